@@ -67,22 +67,22 @@ RUBRIC_ROWS = [
     ("FEMA-PDA", None, "Inaccessible", "Structure cannot be assessed from the image (obscured by water, smoke, trees, cloud or outside the frame).", "U", "monitor", None),
 ]
 
-# Bands for measured values, (standard, subject, measure, low, high, value).
-# A band holds low <= x < high. Widths are in inches, heat in kelvin, extent in percent.
-MEASURED_BANDS = [
-    ("MBEI-CS", "cracking (reinforced concrete)", "crack_width_in", 0.0, 0.012, "CS1"),
-    ("MBEI-CS", "cracking (reinforced concrete)", "crack_width_in", 0.012, 0.05, "CS2"),
-    ("MBEI-CS", "cracking (reinforced concrete)", "crack_width_in", 0.05, None, "CS3"),
-    ("MBEI-CS", "cracking (prestressed concrete)", "crack_width_in", 0.0, 0.004, "CS1"),
-    ("MBEI-CS", "cracking (prestressed concrete)", "crack_width_in", 0.004, 0.009, "CS2"),
-    ("MBEI-CS", "cracking (prestressed concrete)", "crack_width_in", 0.009, None, "CS3"),
-    ("IEC-62446-3-CoA", "single hot cell", "delta_t_k", 10.0, 40.0, "CoA 2"),
-    ("IEC-62446-3-CoA", "single hot cell", "delta_t_k", 40.0, None, "CoA 3"),
-    ("FEMA-PDA", "building", "percent_damage", 0.0, 1.0, "Undamaged"),
-    ("FEMA-PDA", "building", "percent_damage", 1.0, 10.0, "Affected"),
-    ("FEMA-PDA", "building", "percent_damage", 10.0, 26.0, "Minor"),
-    ("FEMA-PDA", "building", "percent_damage", 26.0, 50.0, "Major"),
-    ("FEMA-PDA", "building", "percent_damage", 50.0, None, "Destroyed"),
+# Thresholds for measured values, lowest first: (standard, subject, measure, threshold, strict, value).
+# A value applies once the measure reaches the threshold (exceeds it, when strict) and no later one does.
+MEASURED_THRESHOLDS = [
+    ("MBEI-CS", "cracking (reinforced concrete)", "crack_width_in", 0.0, False, "CS1"),
+    ("MBEI-CS", "cracking (reinforced concrete)", "crack_width_in", 0.012, False, "CS2"),
+    ("MBEI-CS", "cracking (reinforced concrete)", "crack_width_in", 0.05, True, "CS3"),
+    ("MBEI-CS", "cracking (prestressed concrete)", "crack_width_in", 0.0, False, "CS1"),
+    ("MBEI-CS", "cracking (prestressed concrete)", "crack_width_in", 0.004, False, "CS2"),
+    ("MBEI-CS", "cracking (prestressed concrete)", "crack_width_in", 0.009, True, "CS3"),
+    ("IEC-62446-3-CoA", "single hot cell", "delta_t_k", 10.0, False, "CoA 2"),
+    ("IEC-62446-3-CoA", "single hot cell", "delta_t_k", 40.0, True, "CoA 3"),
+    ("FEMA-PDA", "building", "percent_damage", 0.0, False, "Undamaged"),
+    ("FEMA-PDA", "building", "percent_damage", 1.0, False, "Affected"),
+    ("FEMA-PDA", "building", "percent_damage", 10.0, False, "Minor"),
+    ("FEMA-PDA", "building", "percent_damage", 26.0, False, "Major"),
+    ("FEMA-PDA", "building", "percent_damage", 50.0, True, "Destroyed"),
 ]
 MIN_IRRADIANCE_WM2 = 600.0
 MM_PER_INCH = 25.4
