@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,35 +46,37 @@ def quota_sample(df: DataFrame, id_column: str, classes_column: str, seed: int,
 
     `classes_column` holds the damage classes of a row, empty for a clean one. Classes are served in order, then
     the set is filled from any damage, then clean rows are added; the development set comes from the rest.
-    At most (rows still to be taken) of a class can matter, so each class keeps that many candidates and the
-    steps work on those few rows only.
+    No class can need more candidates than rows are taken in all, so that many per class are kept (before the
+    shuffle) and the sequential choice sees a number of rows fixed by the quotas, whatever the table holds.
     """
     quotas = CONCRETE_QUOTAS if quotas is None else quotas
     depth = sum(n for _, n in quotas) + fill_to + clean + dev_damaged + dev_clean
-    order = hash_order(seed, id_column)
     names = [name for name, _ in quotas]
-    wanted = F.filter(F.array(*map(F.lit, names)), lambda name: F.array_contains(F.col(classes_column), name))
+    wanted = F.array_intersect(F.array(*map(F.lit, names)), F.col(classes_column))
     pools = F.when(F.size(classes_column) == 0, F.array(F.lit("clean"))).otherwise(
         F.concat(wanted, F.array(F.lit("damaged")))
     )
     pooled = df.select(id_column, F.explode(pools).alias("pool"))
-    candidates = top_per_group(pooled, ["pool"], order, depth, "place").persist()
+    candidates = top_per_group(pooled, ["pool"], hash_order(seed, id_column), depth, "place")
+    schema = candidates.select(id_column).schema.add("split", "string")
 
-    def take(pool: str, used: DataFrame, n: int | Column) -> DataFrame:
-        free = candidates.filter(F.col("pool") == pool).join(used, id_column, "left_anti")
-        return top_per_group(free, [], [F.col("place")], n, "rn").select(id_column) if isinstance(n, int) else free
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        order = {pool: rows[id_column].tolist() for pool, rows in pdf.sort_values("place").groupby("pool")}
+        used: set = set()
 
-    chosen = candidates.select(id_column).limit(0)
-    for name, quota in quotas:
-        chosen = chosen.unionByName(take(name, chosen, quota))
-    missing = chosen.agg((F.lit(fill_to) - F.count(F.lit(1))).alias("missing"))
-    free = top_per_group(take("damaged", chosen, F.lit(0)), [], [F.col("place")], fill_to, "rn")
-    extra = free.join(F.broadcast(missing), F.col("rn") <= F.col("missing")).select(id_column)
-    damaged_eval = chosen.unionByName(extra)
-    clean_eval = take("clean", candidates.select(id_column).limit(0), clean)
-    evaluation = damaged_eval.unionByName(clean_eval)
-    development = take("damaged", evaluation, dev_damaged).unionByName(take("clean", evaluation, dev_clean))
-    return evaluation.withColumn("split", F.lit("eval_v1")).unionByName(development.withColumn("split", F.lit("dev")))
+        def take(pool: str, n: int) -> list:
+            taken = [item for item in order.get(pool, []) if item not in used][: max(n, 0)]
+            used.update(taken)
+            return taken
+
+        damaged = [item for pool, n in quotas for item in take(pool, n)]
+        damaged += take("damaged", fill_to - len(damaged))
+        evaluation = damaged + take("clean", clean)
+        development = take("damaged", dev_damaged) + take("clean", dev_clean)
+        splits = ["eval_v1"] * len(evaluation) + ["dev"] * len(development)
+        return pd.DataFrame({id_column: evaluation + development, "split": splits}, columns=[id_column, "split"])
+
+    return candidates.groupBy(F.lit(1)).applyInPandas(choose, schema)
 
 
 def exemplar_candidates(images: DataFrame) -> DataFrame:
@@ -92,7 +95,7 @@ def select_exemplars(images: DataFrame, k: int = 3, exclude_ids: list[str] | Non
     if exclude_ids:
         pool = pool.filter(~F.col("image_id").isin(*exclude_ids))
     graded = pool.withColumn("grade", F.col("labels.grade_native"))
-    per_grade = top_per_group(graded, ["asset_class", "grade"], [F.col("image_id")], max(k, 1), "_turn")
+    per_grade = top_per_group(graded, ["asset_class", "grade"], [F.col("image_id")], k, "_turn")
     chosen = top_per_group(per_grade, ["asset_class"], [F.col("_turn"), F.col("grade")], k, "place")
     return chosen.select(
         "asset_class",

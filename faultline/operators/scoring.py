@@ -181,12 +181,16 @@ def unusable_findings(images: DataFrame) -> DataFrame:
     contract = [value.alias(name) for name, value in unassessable(reason).items()]
     return whole.select(
         "finding_id", "asset_class", *contract, evidence_struct(), pending_review(), "model",
-        F.lit(0.0).alias("usd"), F.lit(0.0).alias("seconds"),
+        F.lit(0.0).alias("usd"),
+        F.lit(0.0).alias("seconds"),
     )
 
 
 def graded_findings(graded: DataFrame) -> DataFrame:
-    """Findings from grader answers. A missing or invalid contract becomes a U finding with the reason."""
+    """Findings from priced grader answers, with the call beside each.
+
+    A missing or invalid contract becomes a U finding with the reason; its call still counts in the log.
+    """
     parsed = graded.withColumn("_contract", F.from_json("contract_json", schemas.CONTRACT, {"mode": "PERMISSIVE"}))
     names = schemas.struct(schemas.CONTRACT).fieldNames()
     flat = parsed.select("*", *[F.col(f"_contract.{name}").alias(name) for name in names])
@@ -201,4 +205,10 @@ def graded_findings(graded: DataFrame) -> DataFrame:
         "finding_id", "asset_class", *contract, evidence_struct(), pending_review(), "model",
         F.when(F.col("_failed"), 0.0).otherwise(F.col("usd")).alias("usd"),
         F.when(F.col("_failed"), 0.0).otherwise(F.col("seconds")).alias("seconds"),
+        "input_tokens",
+        "output_tokens",
+        "note",
+        "ts",
+        F.col("seconds").alias("call_seconds"),
+        F.col("usd").alias("call_usd"),
     )

@@ -44,7 +44,12 @@ GATE = (
     f" {USAGE}"
 )
 
-CALLS = f"ts timestamp, stage string, image_id string, {USAGE.replace(', ts timestamp', '')}"
+GATE_LOG = f"{GATE}, usd double"
+
+FINDING_LOG = (
+    f"{FINDINGS}, input_tokens bigint, output_tokens bigint, note string, ts timestamp, call_seconds double,"
+    " call_usd double"
+)
 
 REVIEWS = (
     "id bigint, run_id string, finding_id string, action string, prior_level string, new_level string,"
