@@ -1,6 +1,6 @@
 """The registered queries: each Spark query beside the SQL that gives the same rows in another engine."""
 
-from catalog import queue_queries  # noqa: F401
+from catalog import evaluation_queries, image_queries, queue_queries, run_queries  # noqa: F401
 from catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -13,9 +13,15 @@ def capture_date(exif_text: Column) -> Column:
 
 
 def parse_fractions(text: Column) -> Column:
-    """`a=0.1;b=0.2` to a map of doubles, dropping empty parts."""
-    pairs = F.map_filter(F.str_to_map(text, F.lit(";"), F.lit("=")), lambda k, v: k != "")
-    return F.transform_values(pairs, lambda k, v: v.try_cast("double"))
+    """`a=0.1;b=0.2` to a map of doubles, dropping empty parts. A name given twice keeps its last value."""
+    pairs = F.transform(F.filter(F.split(text, ";"), lambda part: part != ""), lambda part: F.split(part, "="))
+    names = F.transform(pairs, lambda pair: pair[0])
+    values = F.transform(pairs, lambda pair: F.get(pair, F.lit(1)).try_cast("double"))
+    distinct = F.array_distinct(names)
+    last = F.transform(
+        distinct, lambda name: F.element_at(values, (F.size(names) + 1 - F.array_position(F.reverse(names), name)).cast("int"))
+    )
+    return F.map_from_arrays(distinct, last)
 
 
 def parse_names(text: Column) -> Column:

@@ -14,6 +14,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
+
+from faultline.session import materialise
 
 HASH_LIMIT = 50_000
 
@@ -36,11 +39,11 @@ def _hash_draws(groups: DataFrame, by: list[str], categories: list[str], seed: i
     drawn = groups.withColumn("_draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_total") - 1)))
     text = F.concat_ws("/", key, F.col("b").cast("string"), F.col("_draw").cast("string"))
     slot = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % F.col("_total")
-    hit = F.size(F.filter("_upto", lambda bound: bound <= F.col("_slot")))
-    cell = F.element_at("_cells", F.col("_at"))
+    # The slot passes through a one-element array so that its hash is computed once, not once per bound.
+    hit = F.transform(F.array(slot), lambda at: F.size(F.filter("_upto", lambda bound: bound <= at)))
+    cell = F.get("_cells", F.col("_at"))
     return (
-        drawn.withColumn("_slot", slot)
-        .withColumn("_at", hit + 1)
+        drawn.withColumn("_at", F.element_at(hit, 1))
         .select(*by, "b", *[cell[name].alias(name) for name in categories])
         .groupBy(*by, "b", *categories)
         .agg(F.count(F.lit(1)).alias("n"))
@@ -62,7 +65,7 @@ def _multinomial_draws(groups: DataFrame, by: list[str], categories: list[str],
                 counts.append(generator.multinomial(int(sizes.sum()), sizes / sizes.sum()))
             yield batch[key_names].assign(_drawn=counts)
 
-    schema = slim.select(*key_names).schema.add("_drawn", "array<bigint>")
+    schema = slim.select(*key_names).schema.add("_drawn", ArrayType(LongType()))
     drawn = slim.select(*key_names, "_n", "_seed").mapInPandas(draw, schema)
     return (
         drawn.join(groups.select(*key_names, "_cells"), key_names)
@@ -75,7 +78,10 @@ def resampled(cells: DataFrame, by: list[str], categories: list[str], resamples:
               hash_limit: int = HASH_LIMIT) -> DataFrame:
     """Counts per group, resample `b` and category."""
     groups = _cells_per_group(cells, by, categories)
-    spread = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")).repartition(*by, "b")
+    numbered = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
+    # A given count keeps these few rows spread over all tasks: the draws below multiply each of them by n.
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = numbered.repartition(tasks, *by, "b")
     small = _hash_draws(spread.filter(F.col("_total") <= hash_limit), by, categories, seed)
     large = _multinomial_draws(spread.filter(F.col("_total") > hash_limit), by, categories, seed)
     return small.unionByName(large)
@@ -85,8 +91,10 @@ def intervals(cells: DataFrame, by: list[str], categories: list[str], statistics
               resamples: int = 1000, seed: int = 0, hash_limit: int = HASH_LIMIT) -> DataFrame:
     """Point estimate and 95 percent percentile interval of each statistic.
 
-    A statistic is an aggregate over the category columns and the count `n`.
+    A statistic is an aggregate over the category columns and the count `n`. The cells are written first, so the
+    rows behind them are read once.
     """
+    cells = materialise(cells, "cells")
     points = cells.groupBy(*by).agg(F.sum("n").alias("n_rows"), *[s.alias(name) for name, s in statistics.items()])
     draws = resampled(cells, by, categories, resamples, seed, hash_limit)
     per_resample = draws.groupBy(*by, "b").agg(*[s.alias(name) for name, s in statistics.items()])

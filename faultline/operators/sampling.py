@@ -76,7 +76,7 @@ def quota_sample(df: DataFrame, id_column: str, classes_column: str, seed: int,
         splits = ["eval_v1"] * len(evaluation) + ["dev"] * len(development)
         return pd.DataFrame({id_column: evaluation + development, "split": splits}, columns=[id_column, "split"])
 
-    return candidates.groupBy(F.lit(1)).applyInPandas(choose, schema)
+    return candidates.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(choose, schema)
 
 
 def exemplar_candidates(images: DataFrame) -> DataFrame:
