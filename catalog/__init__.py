@@ -1,6 +1,13 @@
 """The registered queries: each Spark query beside the SQL that gives the same rows in another engine."""
 
-from catalog import evaluation_queries, image_queries, queue_queries, run_queries, scoring_queries  # noqa: F401
+from catalog import (  # noqa: F401
+    evaluation_queries,
+    image_queries,
+    queue_queries,
+    report_queries,
+    run_queries,
+    scoring_queries,
+)
 from catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -118,3 +118,26 @@ CONCRETE_QUOTAS = [
     ("ExposedRebars", 10),
     ("Efflorescence", 10),
 ]
+
+# Sampled slices of each dataset, class -> [(split, from, to)] in shuffle order, and the seed.
+SAMPLING_SEED = 20260925
+STEEL_SLICES = {"Fair": [("dev", 0, 5)], "Poor": [("dev", 0, 5)], "Severe": [("dev", 0, 5)]}
+SCENE_SLICES = {
+    "Intact": [("eval_v1", 0, 13), ("dev", 13, 16)],
+    "Damaged": [("eval_v1", 0, 14), ("dev", 14, 17)],
+    "Collapsed": [("eval_v1", 0, 13), ("dev", 13, 15)],
+}
+THERMAL_SLICES = {
+    "Cell": [("eval_v1", 0, 3), ("dev", 3, 4)],
+    "Cell-Multi": [("eval_v1", 0, 2), ("dev", 3, 4)],
+    "Cracking": [("eval_v1", 0, 2), ("dev", 3, 4)],
+    "Diode": [("eval_v1", 0, 3), ("dev", 3, 4)],
+    "Diode-Multi": [("eval_v1", 0, 2), ("dev", 3, 4)],
+    "Hot-Spot": [("eval_v1", 0, 3), ("dev", 3, 4)],
+    "Hot-Spot-Multi": [("eval_v1", 0, 2), ("dev", 3, 4)],
+    "No-Anomaly": [("eval_v1", 0, 15), ("dev", 15, 19)],
+    "Offline-Module": [("eval_v1", 0, 2), ("dev", 3, 4)],
+    "Shadowing": [("eval_v1", 0, 2)],
+    "Soiling": [("eval_v1", 0, 2)],
+    "Vegetation": [("eval_v1", 0, 2)],
+}
