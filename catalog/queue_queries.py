@@ -54,13 +54,18 @@ ranked as (
 QUEUE_VIEWS = "fx_findings fx_assets"
 
 
-def _queue(spark: SparkSession, sf_dir: str, keep_factors: bool = False) -> DataFrame:
-    return rank_queue(views.findings(spark, sf_dir), views.assets(spark, sf_dir), TODAY, keep_factors=keep_factors)
+# What ranking itself reads: a caller that needs no more of a finding sorts and writes no more of it.
+RANKED_BY = ["run_id", "finding_id", "asset_class", "unified", "action", "evidence"]
+
+
+def _queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_queue(views.findings(spark, sf_dir), views.assets(spark, sf_dir), TODAY)
 
 
 @query(oracle(QUEUE_VIEWS, """select run_id, queue_rank, queue_score, finding_id, image_id, level, effective_action as action from ranked""", FACTORS))
 def work_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _queue(spark, sf_dir).select(
+    findings = views.findings(spark, sf_dir).select(*RANKED_BY)
+    return rank_queue(findings, views.assets(spark, sf_dir), TODAY).select(
         "run_id", "queue_rank", "queue_score", "finding_id", "image_id", F.col("unified.level").alias("level"), F.col("action.code").alias("action")
     )
 
@@ -237,7 +242,8 @@ def review_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     + FACTORS.replace("from fx_findings f", "from reviewed f"),
 ))
 def requeue_after_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reviewed = apply_reviews(views.findings(spark, sf_dir), views.reviews(spark, sf_dir))
+    findings = views.findings(spark, sf_dir).select(*RANKED_BY, "review")
+    reviewed = apply_reviews(findings, views.reviews(spark, sf_dir)).drop("review")
     return rank_queue(reviewed, views.assets(spark, sf_dir), TODAY).select(
         "run_id", "queue_rank", "queue_score", "finding_id", F.col("unified.level").alias("level"), F.col("action.code").alias("action")
     )

@@ -8,6 +8,9 @@ before it. Only those totals, one row per group and partition, meet in a window.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,16 +23,19 @@ _PARTITION_BIT = 33
 def _attach(rows: DataFrame, totals: DataFrame, keys: list[str], added: list[str]) -> DataFrame:
     """Join per-partition totals back. They are written first, so Spark broadcasts them only if the files are small."""
     small = materialise(totals, "totals").withColumnsRenamed({key: f"_key_{key}" for key in keys})
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & rows[key].eqNullSafe(small[f"_key_{key}"])
+    condition = reduce(and_, [rows[key].eqNullSafe(small[f"_key_{key}"]) for key in keys])
     return rows.join(small, condition, "left").select(rows["*"], *[small[name] for name in added])
 
 
+def sorted_rows(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
+    """The rows in global order, written once, with their position `_seq` and partition `_part`."""
+    ordered = df.orderBy(*[F.col(key) for key in group], *order).withColumn("_seq", F.monotonically_increasing_id())
+    return materialise(ordered, "sorted").withColumn("_part", F.shiftright("_seq", _PARTITION_BIT))
+
+
 def with_rank(df: DataFrame, group: list[str], order: list[Column], name: str = "rank") -> DataFrame:
     """Row number 1..n of each group in `order`, which must end in a unique column."""
-    sorted_rows = df.orderBy(*[F.col(key) for key in group], *order).withColumn("_seq", F.monotonically_increasing_id())
-    rows = materialise(sorted_rows, "sorted").withColumn("_part", F.shiftright("_seq", _PARTITION_BIT))
+    rows = sorted_rows(df, group, order)
     parts = rows.groupBy(*group, "_part").agg(F.min("_seq").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     totals = parts.select(
@@ -48,12 +54,7 @@ def with_running(df: DataFrame, group: list[str], order: list[Column], *, sums:
     """
     sums, last_before = sums or {}, last_before or {}
     inputs = {f"_in_{name}": value for name, value in (sums | last_before).items()}
-    sorted_rows = (
-        df.withColumns(inputs)
-        .orderBy(*[F.col(key) for key in group], *order)
-        .withColumn("_seq", F.monotonically_increasing_id())
-    )
-    rows = materialise(sorted_rows, "sorted").withColumn("_part", F.shiftright("_seq", _PARTITION_BIT))
+    rows = sorted_rows(df.withColumns(inputs), group, order)
     part_totals = [F.sum(f"_in_{name}").alias(f"_all_{name}") for name in sums]
     part_totals += [
         F.max_by(f"_in_{name}", F.when(F.col(f"_in_{name}").isNotNull(), F.col("_seq"))).alias(f"_all_{name}")

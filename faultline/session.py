@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: str | int = "*", app: str = "faultline", memory: str = "8g") -> SparkSession:
-    """A single-JVM session for tests and the benchmark. Clusters bring their own session."""
+    """A single-JVM session for tests and the benchmark. Clusters bring their own session.
+
+    The method limit makes Spark split generated code that the JVM would refuse to compile for its size, which
+    wide projections over nested findings reach.
+    """
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -19,6 +23,7 @@ def local_session(cpus: str | int = "*", app: str = "faultline", memory: str = "
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
