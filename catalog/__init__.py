@@ -1,5 +1,9 @@
 """The registered queries: each Spark query beside the SQL that gives the same rows in another engine."""
 
+import sys
+
+from pyspark import cloudpickle
+
 from catalog import (  # noqa: F401
     evaluation_queries,
     image_queries,
@@ -10,4 +14,7 @@ from catalog import (  # noqa: F401
 )
 from catalog.registry import ORACLES, QUERIES
 
+# The formula scorers travel to the workers with their code.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = ["ORACLES", "QUERIES"]

@@ -89,7 +89,7 @@ def read_sidecar(spark: SparkSession, path: str, lines: bool = False) -> DataFra
     Each file is one JSON object keyed by file name; with `lines` each line is such an object, which lets Spark
     split a large sidecar.
     """
-    objects = spark.read.option("wholetext", str(not lines).lower()).text(path)
+    objects = spark.read.text(path, wholetext=not lines)
     by_name = F.from_json("value", "map<string,string>", {"mode": "FAILFAST"})
     return objects.select(F.explode(by_name).alias("file_name", "_entry")).select(
         "file_name", F.from_json("_entry", "map<string,string>").alias("entry")

@@ -4,12 +4,18 @@ import sys
 import zlib
 
 import pytest
+from pyspark import cloudpickle
 
 ROOT = pathlib.Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 
+import builders  # noqa: E402
+
 from faultline.session import local_session  # noqa: E402
 
+# Fake scorers travel to the workers with their code, as a user's notebook functions do.
+cloudpickle.register_pickle_by_value(builders)
+
 
 @pytest.fixture(scope="session")
 def spark():
