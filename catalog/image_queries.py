@@ -273,7 +273,9 @@ def quota_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.quota_sample(images, "image_id", "classes", SEED)
 
 
-@query(oracle("", "select 0::bigint as shared"))
+@query(oracle("fx_images", """select count(*) as shared from (
+  (select image_id from filled union all select image_id from clean where rn <= 10) intersect
+  (select image_id from rest where rn <= 10 union all select image_id from clean where rn > 10 and rn <= 15))""", _quota_ctes()))
 def eval_dev_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = quota_sample(spark, sf_dir)
     shared = sampling.overlap(chosen.filter(F.col("split") == "eval_v1"), chosen.filter(F.col("split") == "dev"))
@@ -327,8 +329,7 @@ def finding_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def freeze_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = views.images(spark, sf_dir).select("image_id", "path", "sha256", "width", "height", "asset_class", "labels")
     stored = writers.freeze_digest(images)
-    turned = writers.freeze_digest(images.orderBy(F.col("sha256").desc())).select(F.col("digest").alias("other"))
-    both = stored.join(F.broadcast(turned))
-    return both.select(
+    turned = writers.freeze_digest(images.orderBy(F.col("sha256").desc())).select("digest")
+    return stored.withColumn("other", turned.scalar()).select(
         "rows", F.length("digest").cast("bigint").alias("digest_length"), (F.col("digest") == F.col("other")).alias("order_free")
     )

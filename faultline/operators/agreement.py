@@ -38,7 +38,7 @@ def cohens_kappa(side_by_side: DataFrame) -> DataFrame:
     ).select("side.*")
     marginals = sides.groupBy("grade").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     chance = marginals.agg(F.sum(F.col("a").cast("double") * F.col("b")).alias("products"))
-    both = observed.join(F.broadcast(chance))
+    both = observed.withColumn("products", chance.scalar())
     po, pe = ratio(F.col("agreed"), F.col("n")), F.try_divide(F.col("products"), F.col("n").cast("double") * F.col("n"))
     return both.select(
         "n", po.alias("observed"), pe.alias("expected"), F.try_divide(po - pe, F.lit(1.0) - pe).alias("kappa")
@@ -92,7 +92,7 @@ def cost_per_thousand(images: DataFrame, scenarios: DataFrame, prices: DataFrame
     priced = scenarios.join(tariff("gate"), "gate_model", "left").join(tariff("grade"), "grade_model", "left")
     total = usd("gate", gate_output_tokens) + F.col("pass_through") * usd("grade", grade_output_tokens)
     heavy = usd("grade", grade_output_tokens)
-    return priced.join(F.broadcast(mean)).select(
+    return priced.withColumn("image_tokens", mean.scalar()).select(
         "scenario",
         "image_tokens",
         total.alias("usd_per_1000"),

@@ -64,7 +64,10 @@ def with_running(df: DataFrame, group: list[str], order: list[Column], *, sums:
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     carried = [F.sum(f"_all_{name}").over(before).alias(f"_carry_{name}") for name in sums]
     carried += [F.last(f"_all_{name}", ignorenulls=True).over(before).alias(f"_carry_{name}") for name in last_before]
-    totals = parts.select(*group, "_part", *carried)
+    # The rows are sorted by group, so a partition border cuts at most one group: only the later pieces of cut
+    # groups carry anything, and there are fewer of them than partitions, however many groups there are.
+    piece = F.row_number().over(Window.partitionBy(*group).orderBy("_part"))
+    totals = parts.select(*group, "_part", piece.alias("_piece"), *carried).filter("_piece > 1").drop("_piece")
     placed = _attach(rows, totals, [*group, "_part"], [f"_carry_{name}" for name in [*sums, *last_before]])
 
     local = Window.partitionBy(*group, "_part").orderBy("_seq")

@@ -44,6 +44,7 @@ def finding_counts(findings: DataFrame, by: tuple[str, ...] = ("run_id",)) -> Da
         F.count(F.lit(1)).alias("findings"),
         F.count_distinct(first_image()).alias("graded_images"),
         F.count_if(F.col("review.status") != "pending").alias("reviews"),
+        F.array_join(F.array_sort(F.collect_set("asset_class")), ", ").alias("asset_classes"),
         *[F.count_if(F.col("unified.level") == name).alias(name) for name in LEVELS],
     )
 
@@ -200,10 +201,7 @@ def run_metrics(routed_gate: DataFrame, findings: DataFrame, calls: DataFrame, *
     `disaster_runs` are marked `surge`, the others `inspect`.
     """
     spark = findings.sparkSession
-    classes = findings.groupBy("run_id").agg(
-        F.array_join(F.array_sort(F.collect_set("asset_class")), ", ").alias("asset_classes")
-    )
-    parts = [gate_counts(routed_gate), finding_counts(findings), classes, call_totals(calls)]
+    parts = [gate_counts(routed_gate), finding_counts(findings), call_totals(calls)]
     if images is None:
         parts.append(routed_gate.groupBy("run_id").agg(F.count(F.lit(1)).alias("images")))
     else:

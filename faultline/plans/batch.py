@@ -56,8 +56,7 @@ def _spread(df: DataFrame, tasks: int) -> DataFrame:
 def _gate_stage(images: DataFrame, root: str, run_id: str, gate: Scorer | None, settings: RunSettings,
                 prices: DataFrame | None) -> None:
     spark = images.sparkSession
-    done = readers.load_gate(spark, root).filter(F.col("run_id") == run_id)
-    todo = not_yet_gated(images, done)
+    todo = not_yet_gated(images, readers.gated_ids(spark, root, run_id))
     if gate is None:
         usage = schemas.struct(schemas.USAGE)
         blank = {f.name: F.lit(None).cast(f.dataType) for f in usage.fields}
@@ -91,7 +90,7 @@ def _grade_stage(images: DataFrame, root: str, run_id: str, grade: Scorer, setti
                  prices: DataFrame | None, exemplars: DataFrame | None) -> None:
     spark = images.sparkSession
     gate = routed_gate(spark, root, settings).filter(F.col("run_id") == run_id)
-    done = readers.load_raw_findings(spark, root).filter(F.col("run_id") == run_id)
+    done = readers.graded_ids(spark, root, run_id)
     standard = standard_for(F.col("asset_class"), settings.bridge_alternative)
     unusable = images.join(
         gate.filter("routed and not usable").select("image_id", "reason", "model"), "image_id"

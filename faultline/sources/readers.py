@@ -33,8 +33,9 @@ def content_hash(content: Column) -> Column:
 
 
 def image_dimensions(spark: SparkSession, folder: str) -> DataFrame:
-    """Width and height of every readable image below a folder, decoded by the JVM image source."""
-    images = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "true").load(folder)
+    """Width and height of every readable JPEG below a folder, decoded by the JVM image source."""
+    reader = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "true")
+    images = reader.option("pathGlobFilter", "*.[jJ][pP]*[gG]").load(folder)
     path = F.regexp_replace(F.url_decode(F.replace("image.origin", F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
     return images.select(path.alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"))
 
@@ -169,6 +170,15 @@ def load_gate(spark: SparkSession, root: str) -> DataFrame:
     return read_run_table(spark, root, "gate", schemas.GATE_LOG).dropDuplicates(["run_id", "image_id"])
 
 
+def gated_ids(spark: SparkSession, root: str, run_id: str) -> DataFrame:
+    """Ids a run has gated: one column of one run's files, and no shuffle, since an anti-join ignores copies."""
+    return read_run_table(spark, root, "gate", schemas.GATE_LOG).filter(F.col("run_id") == run_id).select("image_id")
+
+
+def graded_ids(spark: SparkSession, root: str, run_id: str) -> DataFrame:
+    return read_run_table(spark, root, "findings", schemas.FINDING_LOG).filter(F.col("run_id") == run_id).select("finding_id")
+
+
 def load_raw_findings(spark: SparkSession, root: str) -> DataFrame:
     return read_run_table(spark, root, "findings", schemas.FINDING_LOG).dropDuplicates(["run_id", "finding_id"])
 

@@ -30,7 +30,7 @@ def gate_arrivals(images: DataFrame, root: str, run_id: str, gate: Scorer, check
     check_scorer("gate", gate)
 
     def gate_batch(batch: DataFrame, _: int) -> None:
-        done = readers.load_gate(batch.sparkSession, root).filter(F.col("run_id") == run_id)
+        done = readers.gated_ids(batch.sparkSession, root, run_id)
         scored = gate_images(not_yet_gated(distinct_images(batch), done), gate)
         rows = scored.withColumns({"usd": F.lit(0.0), "run_id": F.lit(run_id)})
         writers.append_log(rows.select(*schemas.struct(schemas.GATE_LOG).fieldNames(), "run_id"), root, "gate")
