@@ -122,3 +122,15 @@ def test_evaluation_set_is_written_and_disjoint(spark, tmp_path):
     evalset.write_demo_manifests(dev, dev.select("path").filter("path <> '/f/none'"), str(tmp_path / "demo"), n=3, mixed=2)
     assert readers.read_manifest(spark, str(tmp_path / "demo" / "by_dataset")).count() == 6
     assert readers.read_manifest(spark, str(tmp_path / "demo" / "mixed")).count() == 4
+
+
+def test_jpeg_sizes_come_from_the_image_source(spark, tmp_path, png):
+    jvm = spark._jvm
+    for name, (width, height) in {"b.JPG": (20, 10), "c.jpeg": (8, 16)}.items():
+        picture = jvm.java.awt.image.BufferedImage(width, height, 1)
+        assert jvm.javax.imageio.ImageIO.write(picture, "jpg", jvm.java.io.File(str(tmp_path / name)))
+    (tmp_path / "a.png").write_bytes(png(5, 6))
+    got = readers.scan_folder(spark, str(tmp_path), "bridge_element").collect()
+    assert [(r.image_id, r.width, r.height) for r in sorted(got, key=lambda r: r.path)] == [
+        ("img_00000", 5, 6), ("img_00001", 20, 10), ("img_00002", 8, 16)
+    ]
