@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +13,7 @@ from catalog.views import TODAY, oracle
 from faultline.functions.tiles import explode_targets
 from faultline.operators.sampling import select_exemplars
 from faultline.operators.scoring import gate_images, grade_targets, graded_findings
-from faultline.operators.validation import rubric_by_standard, standard_for
+from faultline.operators.validation import standard_for
 from faultline.plans.batch import RunSettings, grading_targets, run_batch
 from faultline.session import new_folder
 from faultline.sources import readers, writers
@@ -45,7 +43,7 @@ def formula_grade(target: dict) -> dict | None:
     step = sum(int(v) for v in target["bbox"]) % 7
     if step == 6:
         return None
-    rubric = json.loads(target["rubric"])
+    rubric = target["rubric"]
     contract = {
         "defect_type": "formula defect",
         "native_scale": {"standard": target["standard"], "value": rubric[0]["value"], "criteria_matched": [rubric[0]["criterion"]]},
@@ -91,9 +89,7 @@ graded as (
 def batch_score_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = views.images(spark, sf_dir)
     targets = explode_targets(images).withColumn("standard", standard_for(F.col("asset_class")))
-    none = F.array().cast("array<struct<place:int,image_id:string,native_value:string,note:string>>")
-    asked = targets.join(F.broadcast(rubric_by_standard(spark)), "standard").withColumn("exemplars", none)
-    findings = graded_findings(grade_targets(asked, formula_grade).withColumn("usd", F.lit(0.0)))
+    findings = graded_findings(grade_targets(targets, formula_grade).withColumn("usd", F.lit(0.0)))
     return findings.select(
         "finding_id", F.col("unified.level").alias("level"), F.col("native_scale.value").alias("native_value"),
         F.col("measurements.confidence").alias("confidence"), "defect_type",
@@ -124,7 +120,7 @@ def grading_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     gate = views.gate(spark, sf_dir)
     routed = gate.withColumn("routed", ~F.col("usable") | F.col("damage_present") | (F.col("confidence") < 0.7))
     bridges = views.images(spark, sf_dir).filter(F.col("asset_class") == "bridge_element")
-    return grading_targets(bridges, routed, RunSettings(tiles=True), None).select("finding_id", "standard")
+    return grading_targets(bridges, routed, RunSettings(tiles=True)).select("finding_id", "standard")
 
 
 @query(oracle("fx_images", "select image_id, usable, damage_present, confidence from verdicts", GATE_SQL))

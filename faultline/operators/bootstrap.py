@@ -9,6 +9,8 @@ multinomial draws whose cost does not depend on n, used beyond.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -19,6 +21,8 @@ from pyspark.sql.types import ArrayType, LongType
 from faultline.session import materialise
 
 HASH_LIMIT = 50_000
+# Hash draws compare a slot with every bound of its group; four grades against four give sixteen cells.
+MAX_HASH_CELLS = 16
 
 
 def _cells_per_group(cells: DataFrame, by: list[str], categories: list[str]) -> DataFrame:
@@ -39,11 +43,11 @@ def _hash_draws(groups: DataFrame, by: list[str], categories: list[str], seed: i
     drawn = groups.withColumn("_draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_total") - 1)))
     text = F.concat_ws("/", key, F.col("b").cast("string"), F.col("_draw").cast("string"))
     slot = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % F.col("_total")
-    # The slot passes through a one-element array so that its hash is computed once, not once per bound.
-    hit = F.transform(F.array(slot), lambda at: F.size(F.filter("_upto", lambda bound: bound <= at)))
+    passed = [F.coalesce((F.get("_upto", F.lit(at)) <= F.col("_slot")).cast("int"), F.lit(0)) for at in range(MAX_HASH_CELLS)]
     cell = F.get("_cells", F.col("_at"))
     return (
-        drawn.withColumn("_at", F.element_at(hit, 1))
+        drawn.withColumn("_slot", slot)
+        .withColumn("_at", reduce(add, passed))
         .select(*by, "b", *[cell[name].alias(name) for name in categories])
         .groupBy(*by, "b", *categories)
         .agg(F.count(F.lit(1)).alias("n"))
@@ -82,8 +86,9 @@ def resampled(cells: DataFrame, by: list[str], categories: list[str], resamples:
     # A given count keeps these few rows spread over all tasks: the draws below multiply each of them by n.
     tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = numbered.repartition(tasks, *by, "b")
-    small = _hash_draws(spread.filter(F.col("_total") <= hash_limit), by, categories, seed)
-    large = _multinomial_draws(spread.filter(F.col("_total") > hash_limit), by, categories, seed)
+    by_hash = (F.col("_total") <= hash_limit) & (F.size("_cells") <= MAX_HASH_CELLS)
+    small = _hash_draws(spread.filter(by_hash), by, categories, seed)
+    large = _multinomial_draws(spread.filter(~by_hash), by, categories, seed)
     return small.unionByName(large)
 
 

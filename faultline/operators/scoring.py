@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from faultline import schemas
 from faultline.functions.text import metadata_lines
-from faultline.operators.validation import finding_rules
+from faultline.operators.validation import finding_rules, rubrics_by_standard
 
 Scorer = Callable[[dict], dict | None]
 ATTEMPTS = 2
@@ -99,36 +99,48 @@ def _grade_row(scorer: Scorer, target: dict) -> dict:
     return {"contract_json": contract} | _usage(answer, started, note)
 
 
-def grade_targets(targets: DataFrame, scorer: Scorer) -> DataFrame:
-    """Grade each target once and return contract text and usage beside the target's columns."""
+def _exemplars_by_class(exemplars: DataFrame | None) -> dict[str, list[dict]]:
+    """The chosen exemplars, at most five per asset class, as plain lists for the workers."""
+    rows = [] if exemplars is None else exemplars.orderBy("asset_class", "place").collect()
+    by_class: dict[str, list[dict]] = {}
+    for row in rows:
+        by_class.setdefault(row["asset_class"], []).append(
+            {"image_id": row["image_id"], "native_value": row["native_value"], "note": row["note"]}
+        )
+    return by_class
+
+
+def grade_targets(targets: DataFrame, scorer: Scorer, exemplars: DataFrame | None = None) -> DataFrame:
+    """Grade each target once and return contract text and usage beside the target's columns.
+
+    The scorer also gets `rubric`, the rows of the target's standard, and `exemplars`, those of its class except
+    the target's own image. Both are small and fixed for a run, so they travel once per task, not once per row.
+    """
     check_scorer("grade", scorer)
+    rubrics = rubrics_by_standard()
+    shown = _exemplars_by_class(exemplars)
     with_metadata = targets.withColumn(
         "metadata",
         metadata_lines(*[F.col(name) for name in ("asset_class", "gsd_mm_per_px", "irradiance_wm2", "captured_on", "width", "height")]),
     )
-    sent = with_metadata.withColumns(
-        {
-            "rubric": F.to_json("rubric"),
-            "exemplars": F.to_json("exemplars"),
-        }
-    )
     carried = ["finding_id", "image_id", "asset_class", "standard", "tile", "bbox", "gsd_mm_per_px", "irradiance_wm2"]
-    asked = [*carried, "path", "metadata", "rubric", "exemplars"]
+    asked = [*carried, "path", "metadata"]
     schema = schemas.struct(f"contract_json string, {schemas.USAGE}")
-    carried_schema = sent.select(*carried).schema
+    carried_schema = with_metadata.select(*carried).schema
     for field in schema.fields:
         carried_schema = carried_schema.add(field)
     columns = carried_schema.fieldNames()
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [
-                {name: target[name] for name in carried} | _grade_row(scorer, target)
-                for target in batch.to_dict("records")
-            ]
+            rows = []
+            for target in batch.to_dict("records"):
+                others = [e for e in shown.get(target["asset_class"], []) if e["image_id"] != target["image_id"]]
+                given = target | {"rubric": rubrics.get(target["standard"], []), "exemplars": others}
+                rows.append({name: target[name] for name in carried} | _grade_row(scorer, given))
             yield pd.DataFrame(rows, columns=columns)
 
-    return sent.select(*asked).mapInPandas(score, carried_schema)
+    return with_metadata.select(*asked).mapInPandas(score, carried_schema)
 
 
 def evidence_struct() -> Column:

@@ -16,6 +16,13 @@ def rubric_table(spark: SparkSession) -> DataFrame:
     )
 
 
+def rubrics_by_standard() -> dict[str, list[dict]]:
+    """The built-in rubric rows of each standard as plain dicts."""
+    names = ("standard", "subject", "value", "criterion", "level", "action", "flag")
+    rows = [dict(zip(names, row)) for row in RUBRIC_ROWS]
+    return {standard: [row for row in rows if row["standard"] == standard] for standard in ALLOWED_VALUES}
+
+
 def rubric_by_standard(spark: SparkSession) -> DataFrame:
     """One row per standard with its allowed values and its rows: five rows, always safe to broadcast."""
     rows = [

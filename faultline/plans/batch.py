@@ -7,9 +7,10 @@ actions share an unwritten scorer result, and a rerun continues from the rows th
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from faultline import schemas
@@ -19,8 +20,7 @@ from faultline.functions.tiles import explode_targets
 from faultline.operators.queue import rank_queue
 from faultline.operators.records import distinct_images, for_disaster, not_yet_gated, not_yet_graded
 from faultline.operators.review import apply_reviews
-from faultline.operators.runs import disaster_counts, priced, ranked_list, summarise
-from faultline.operators.sampling import exemplars_for_targets
+from faultline.operators.runs import disaster_counts, priced, progress, ranked_list, summarise
 from faultline.operators.scoring import (
     Scorer,
     check_scorer,
@@ -29,7 +29,7 @@ from faultline.operators.scoring import (
     graded_findings,
     unusable_findings,
 )
-from faultline.operators.validation import rubric_by_standard, standard_for
+from faultline.operators.validation import standard_for
 from faultline.sources import readers, writers
 
 
@@ -73,17 +73,11 @@ def routed_gate(spark: SparkSession, root: str, settings: RunSettings) -> DataFr
     return with_routing(readers.load_gate(spark, root), settings.min_confidence, settings.forced_classes)
 
 
-def grading_targets(images: DataFrame, gate: DataFrame, settings: RunSettings, exemplars: DataFrame | None) -> DataFrame:
-    """What the grader is asked: one row per tile of a routed, usable image, with rubric and exemplars."""
-    spark = images.sparkSession
+def grading_targets(images: DataFrame, gate: DataFrame, settings: RunSettings) -> DataFrame:
+    """What the grader is asked: one row per tile of a routed, usable image, with the standard to grade on."""
     wanted = gate.filter("routed and usable").select("image_id")
     targets = explode_targets(images.join(wanted, "image_id", "left_semi"), settings.tiles)
-    standard = standard_for(F.col("asset_class"), settings.bridge_alternative)
-    with_rubric = targets.withColumn("standard", standard).join(F.broadcast(rubric_by_standard(spark)), "standard", "left")
-    if exemplars is None:
-        none = "array<struct<place:int,image_id:string,native_value:string,note:string>>"
-        return with_rubric.withColumn("exemplars", F.array().cast(none))
-    return exemplars_for_targets(with_rubric, exemplars)
+    return targets.withColumn("standard", standard_for(F.col("asset_class"), settings.bridge_alternative))
 
 
 def _grade_stage(images: DataFrame, root: str, run_id: str, grade: Scorer, settings: RunSettings,
@@ -102,8 +96,8 @@ def _grade_stage(images: DataFrame, root: str, run_id: str, grade: Scorer, setti
         if f.name in ("input_tokens", "output_tokens", "note", "ts", "call_seconds", "call_usd")
     }
     not_assessed = not_yet_graded(unusable_findings(unusable), done).withColumns(blank)
-    targets = not_yet_graded(grading_targets(images, gate, settings, exemplars), done)
-    answers = _priced(grade_targets(_spread(targets, settings.scorer_tasks), grade), prices)
+    targets = not_yet_graded(grading_targets(images, gate, settings), done)
+    answers = _priced(grade_targets(_spread(targets, settings.scorer_tasks), grade, exemplars), prices)
     findings = graded_findings(answers).unionByName(not_assessed).withColumn("run_id", F.lit(run_id))
     writers.append_log(findings.select(*fields), root, "findings")
 
@@ -139,12 +133,25 @@ def save_ranked(images: DataFrame, root: str, run_id: str, today: dt.date | str,
     return queue
 
 
+def run_progress(images: DataFrame, root: str, run_id: str, settings: RunSettings | None = None) -> DataFrame:
+    """The live counters of a run from what its tables hold now."""
+    spark, this_run = images.sparkSession, F.col("run_id") == run_id
+    return progress(
+        images.withColumn("run_id", F.lit(run_id)),
+        routed_gate(spark, root, settings or RunSettings()).filter(this_run),
+        readers.load_raw_findings(spark, root).filter(this_run),
+        readers.load_calls(spark, root).filter(this_run),
+    )
+
+
 def run_batch(images: DataFrame, root: str, run_id: str, gate: Scorer | None, grade: Scorer | None,
               today: dt.date | str, *, settings: RunSettings | None = None, prices: DataFrame | None = None,
-              exemplars: DataFrame | None = None, assets: DataFrame | None = None) -> DataFrame:
+              exemplars: DataFrame | None = None, assets: DataFrame | None = None,
+              on_stage: Callable[[str, Row], None] | None = None) -> DataFrame:
     """Run or resume one run over `images` and return its one-row summary.
 
-    `gate=None` passes every image on; `grade=None` stops after routing.
+    `gate=None` passes every image on; `grade=None` stops after routing. `on_stage` is called with the counters so
+    far after each stage; a live view while a stage runs reads the same counters from the growing tables.
     """
     settings = settings or RunSettings()
     for name, scorer in (("gate", gate), ("grade", grade)):
@@ -154,9 +161,16 @@ def run_batch(images: DataFrame, root: str, run_id: str, gate: Scorer | None, gr
     if settings.limit:
         images = images.orderBy("pos").limit(settings.limit)
     images = distinct_images(images)
+
+    def report(stage: str) -> None:
+        if on_stage is not None:
+            on_stage(stage, run_progress(images, root, run_id, settings).first())
+
     _gate_stage(images, root, run_id, gate, settings, prices)
+    report("gate")
     if grade is not None:
         _grade_stage(images, root, run_id, grade, settings, prices, exemplars)
+        report("grade")
     queue = save_ranked(images, root, run_id, today, assets=assets, exports=settings.exports)
     this_run = F.col("run_id") == run_id
     summary = summarise(
@@ -167,6 +181,7 @@ def run_batch(images: DataFrame, root: str, run_id: str, gate: Scorer | None, gr
     )
     if settings.exports:
         writers.write_summary(summary, f"{root.rstrip('/')}/exports/{run_id}/summary_json")
+    report("done")
     return summary
 
 

@@ -12,9 +12,31 @@ from faultline.functions.text import numbered_id
 from faultline.operators.ordered import with_rank
 from faultline.operators.records import merged_with_sidecar
 
-def read_manifest(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """A JSON-lines manifest with the fixed schema. A malformed row or a wrong type stops the read."""
-    return spark.read.schema(schemas.struct(schemas.IMAGES)).option("mode", "FAILFAST").json(path)
+def read_manifest(spark: SparkSession, path: str | list[str], position: bool = False) -> DataFrame:
+    """A JSON-lines manifest with the fixed schema. A malformed row or a wrong type stops the read.
+
+    `position` adds `pos`, which sorts rows in manifest order (file, place in the file), for taking the first ones.
+    """
+    images = spark.read.schema(schemas.struct(schemas.IMAGES)).option("mode", "FAILFAST").json(path)
+    if not position:
+        return images
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    return images.select("*", place.alias("pos"))
+
+
+def list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Paths below a folder; file contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return files.select(_local_path("path").alias("path"))
+
+
+def _local_path(column: str) -> Column:
+    """A file URI as a plain path, without its percent escapes."""
+    return F.regexp_replace(F.url_decode(F.replace(F.col(column), F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
 
 
 def image_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -24,7 +46,7 @@ def image_files(spark: SparkSession, folder: str) -> DataFrame:
         .option("recursiveFileLookup", "true")
         .load(folder)
         .filter(F.lower("path").rlike(r"\.(jpg|jpeg|png)$"))
-        .withColumn("path", F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^file:/+", "/"))
+        .withColumn("path", _local_path("path"))
     )
 
 
@@ -36,8 +58,7 @@ def image_dimensions(spark: SparkSession, folder: str) -> DataFrame:
     """Width and height of every readable JPEG below a folder, decoded by the JVM image source."""
     reader = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "true")
     images = reader.option("pathGlobFilter", "*.[jJ][pP]*[gG]").load(folder)
-    path = F.regexp_replace(F.url_decode(F.replace("image.origin", F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
-    return images.select(path.alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"))
+    return images.select(_local_path("image.origin").alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"))
 
 
 def png_dimension(content: Column, at: int) -> Column:

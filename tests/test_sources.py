@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultline.functions import text
+from faultline.operators import records
 from faultline.plans import evalset
 from faultline.sources import readers, writers
 
@@ -20,6 +21,14 @@ def test_manifest_round_trip_keeps_nulls(spark, tmp_path):
     assert sorted(back.collect(), key=lambda r: r.image_id) == sorted(images.collect(), key=lambda r: r.image_id)
 
 
+def test_first_rows_in_manifest_order(spark, tmp_path):
+    for name, ids in {"a": "pqr", "b": "stu"}.items():
+        (tmp_path / f"{name}.jsonl").write_text("".join(json.dumps({"image_id": i}) + "\n" for i in ids))
+    images = readers.read_manifest(spark, str(tmp_path), position=True)
+    assert [r.image_id for r in records.of_dataset(images, None, 4).collect()] == ["p", "q", "r", "s"]
+    assert sorted(r.path.rsplit("/", 1)[1] for r in readers.list_files(spark, str(tmp_path)).collect()) == ["a.jsonl", "b.jsonl"]
+
+
 def test_blank_lines_are_skipped_and_bad_rows_stop_the_read(spark, tmp_path):
     (tmp_path / "m.jsonl").write_text('{"image_id": "a", "width": 5}\n\n{"image_id": "b", "client_id": null}\n')
     assert readers.read_manifest(spark, str(tmp_path / "m.jsonl")).count() == 2
