@@ -109,11 +109,13 @@ select concat('cust_', c.c_custkey) as image_id, cast(n.n_regionkey as double) *
 from {customer} c join {nation} n on c.c_nationkey = n.n_nationkey where c.c_acctbal >= 0
 """
 
-# Events stand for model calls and for reviewer decisions.
+# Events stand for model calls and for reviewer decisions. Seconds are multiples of 1/8, so their sums are exact in
+# any order and a rounded total cannot depend on it.
 FX_CALLS = """
 select event_id as call_id, ts, concat('run', event_id % 3) as run_id,
   case when event_type in ('click', 'view') then 'gate' else 'grade' end as stage, concat('model_', event_type) as model,
-  concat('doc_', user_id) as image_id, user_id * 10 as input_tokens, event_id % 900 as output_tokens, value as seconds
+  concat('doc_', user_id) as image_id, user_id * 10 as input_tokens, event_id % 900 as output_tokens,
+  floor(value * 8) * 0.125e0 as seconds
 from {events}
 """
 
@@ -154,8 +156,9 @@ VIEWS = {
 }
 TABLES = ["documents", "labels", "orders", "customer", "nation", "events"]
 
-# A price list as a caller would supply it: USD per million tokens, in and out.
-PRICE_LIST = [("model_click", 1.0, 5.0), ("model_view", 0.25, 1.25), ("model_error", 2.0, 10.0)]
+# A price list as a caller would supply it: USD per million tokens, in and out. Each token costs a multiple of 1e-4,
+# so that no total sits on a rounding edge.
+PRICE_LIST = [("model_click", 100.0, 500.0), ("model_view", 200.0, 1000.0), ("model_error", 400.0, 2000.0)]
 
 
 def oracle(views: str, body: str, ctes: str = "") -> str:
