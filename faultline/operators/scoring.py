@@ -17,11 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline import schemas
+from faultline.fixed_values import ASSET_CLASSES
 from faultline.functions.text import metadata_lines
 from faultline.operators.validation import finding_rules, rubrics_by_standard
 
 Scorer = Callable[[dict], dict | None]
 ATTEMPTS = 2
+MAX_EXEMPLARS = 5
 
 
 def check_scorer(name: str, scorer: object) -> None:
@@ -101,7 +103,10 @@ def _grade_row(scorer: Scorer, target: dict) -> dict:
 
 def _exemplars_by_class(exemplars: DataFrame | None) -> dict[str, list[dict]]:
     """The chosen exemplars, at most five per asset class, as plain lists for the workers."""
-    rows = [] if exemplars is None else exemplars.orderBy("asset_class", "place").collect()
+    most = MAX_EXEMPLARS * len(ASSET_CLASSES)
+    rows = [] if exemplars is None else exemplars.orderBy("asset_class", "place").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {MAX_EXEMPLARS} exemplars per asset class: select them first")
     by_class: dict[str, list[dict]] = {}
     for row in rows:
         by_class.setdefault(row["asset_class"], []).append(
