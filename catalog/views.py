@@ -27,7 +27,7 @@ select concat('doc_', doc_id) as image_id, doc_id as pos, concat('run', doc_id %
        else concat('2026-0', 1 + doc_id % 9, '-1', doc_id % 10) end as captured_on,
   damage_present, truth,
   case asset_class
-    when 'bridge_element' then case when truth is null then 'n/a' else cast(truth + 1 as varchar(1)) end
+    when 'bridge_element' then case when truth is null then 'n/a' else concat('', truth + 1) end
     when 'steel_coating' then case truth when 0 then 'Good' when 1 then 'Fair' when 2 then 'Poor' when 3 then 'Severe' end
     when 'pv_module' then case truth when 0 then 'CoA 1' when 1 then 'CoA 2' when 2 then 'CoA 3' end end as grade_native,
   case when asset_class = 'bridge_element' and doc_id % 3 <> 0 then 'team-graded' when truth is null then null else 'dataset' end as grade_source,
