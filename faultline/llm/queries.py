@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from faultline.llm.quality_rules import op3_quality_rules
 from faultline.llm.token_counts import op2_token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     query.__name__: query
-    for query in (op2_token_counts,)
+    for query in (op2_token_counts, op3_quality_rules)
 }
 ORACLES: dict[str, str] = {}

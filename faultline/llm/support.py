@@ -28,6 +28,15 @@ def in_part(doc_id: str | Column, remainder: int) -> Column:
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % 3 == remainder, F.lit(False))
 
 
+def hash_sample(df: DataFrame, rows: int, *order: str) -> DataFrame:
+    """About `rows` rows (at most twice as many), those of low hash of `order`: the same on any partitioning.
+
+    Every task keeps its own share, so nothing but the sample is moved. For fitting only.
+    """
+    share = min(1.0, rows / max(df.count(), 1))
+    return df.where(F.xxhash64(*order).bitwiseAND(2**31 - 1) < int(share * 2**31)).limit(2 * rows)
+
+
 def worker_value(key: tuple, build: Callable[[], object]) -> object:
     """An object kept for the life of the worker process, whichever task asks first.
 
