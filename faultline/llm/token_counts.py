@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm.support import table, worker_value
+from faultline.llm.support import hash_sample, table, worker_value
 
 #: The fitting sample of tier one: rows, and the longest text taken, in characters. Results do not depend on them.
 SAMPLE_ROWS, SAMPLE_CHARS = 4_000, 20_000
@@ -75,15 +75,10 @@ def load_model(proto: bytes):
 def frequent_units(documents: DataFrame, text: str, order: list[str], proto: bytes) -> tuple[str, bytes]:
     """Tier one, packed: the frequent units joined by a character that no unit has, and one length byte for each.
 
-    Fitted on the SAMPLE_ROWS rows of lowest hash whose text has at most SAMPLE_CHARS characters.
+    Fitted on about SAMPLE_ROWS rows of low hash whose text has at most SAMPLE_CHARS characters.
     """
-    sample = (
-        documents.where(F.length(text) <= SAMPLE_CHARS)
-        .select(F.col(text).alias("text"), F.xxhash64(*order).alias("rank"))
-        .orderBy("rank")
-        .limit(SAMPLE_ROWS)
-        .select("text")
-    )
+    short = documents.where(F.length(text) <= SAMPLE_CHARS)
+    sample = hash_sample(short, SAMPLE_ROWS, *order).select(F.col(text).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted: Counter = Counter()
