@@ -6,13 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from faultline.llm.language_id import op8_language_id
+from faultline.llm.personal_data import op5_personal_data
+from faultline.llm.quality_classifier import op10_quality_classifier
 from faultline.llm.quality_rules import op3_quality_rules
 from faultline.llm.token_counts import op2_token_counts
+from faultline.llm.token_files import op7_token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     query.__name__: query
-    for query in (op2_token_counts, op3_quality_rules)
+    for query in (
+        op2_token_counts,
+        op3_quality_rules,
+        op5_personal_data,
+        op7_token_files,
+        op8_language_id,
+        op10_quality_classifier,
+    )
 }
 ORACLES: dict[str, str] = {}
