@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from faultline.llm.language_id import op8_language_id
+from faultline.llm.ngram_join import op4_ngram_join
 from faultline.llm.personal_data import op5_personal_data
 from faultline.llm.quality_classifier import op10_quality_classifier
 from faultline.llm.quality_rules import op3_quality_rules
@@ -20,6 +21,7 @@ QUERIES: dict[str, Query] = {
     for query in (
         op2_token_counts,
         op3_quality_rules,
+        op4_ngram_join,
         op5_personal_data,
         op7_token_files,
         op8_language_id,

@@ -28,6 +28,14 @@ def in_part(doc_id: str | Column, remainder: int) -> Column:
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % 3 == remainder, F.lit(False))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have, whatever the case of its letters."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def hash_sample(df: DataFrame, rows: int, *order: str) -> DataFrame:
     """About `rows` rows (at most twice as many), those of low hash of `order`: the same on any partitioning.
 
