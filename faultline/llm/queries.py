@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from faultline.llm.decontamination import op6_decontamination
 from faultline.llm.language_id import op8_language_id
 from faultline.llm.ngram_join import op4_ngram_join
 from faultline.llm.personal_data import op5_personal_data
@@ -23,6 +24,7 @@ QUERIES: dict[str, Query] = {
         op3_quality_rules,
         op4_ngram_join,
         op5_personal_data,
+        op6_decontamination,
         op7_token_files,
         op8_language_id,
         op10_quality_classifier,
