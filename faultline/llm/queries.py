@@ -14,12 +14,14 @@ from faultline.llm.quality_classifier import op10_quality_classifier
 from faultline.llm.quality_rules import op3_quality_rules
 from faultline.llm.token_counts import op2_token_counts
 from faultline.llm.token_files import op7_token_files
+from faultline.llm.warc import op1_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
+        op1_warc,
         op2_token_counts,
         op3_quality_rules,
         op4_ngram_join,
