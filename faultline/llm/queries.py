@@ -1,4 +1,4 @@
-"""The registered queries of the numbered operators, and SQL for those that SQL can express (none so far as rows go)."""
+"""The registered queries of the numbered operators, and SQL for those whose whole result SQL can express."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from faultline.llm.decontamination import op6_decontamination
 from faultline.llm.language_id import op8_language_id
 from faultline.llm.ngram_join import op4_ngram_join
+from faultline.llm.packing import op9_packing
 from faultline.llm.personal_data import op5_personal_data
 from faultline.llm.quality_classifier import op10_quality_classifier
 from faultline.llm.quality_rules import op3_quality_rules
@@ -29,7 +30,68 @@ QUERIES: dict[str, Query] = {
         op6_decontamination,
         op7_token_files,
         op8_language_id,
+        op9_packing,
         op10_quality_classifier,
     )
 }
-ORACLES: dict[str, str] = {}
+
+ORACLES: dict[str, str] = {
+    "op1_warc": """
+        WITH payloads AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+        equal AS (SELECT payload, max(page_id) AS winner, count(*) AS n FROM payloads GROUP BY payload),
+        joined AS (
+            SELECT page_id, payload, winner,
+                   strlen(payload) >= 1000 AND n > 1 AND winner IS NOT NULL AND page_id IS DISTINCT FROM winner AS revisits
+            FROM payloads JOIN equal USING (payload)
+        )
+        SELECT page_id, strlen(payload) AS payload_bytes, sha1(payload) AS payload_digest,
+               CASE WHEN revisits THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN revisits THEN winner END AS refers_to
+        FROM joined
+    """,
+    "op4_ngram_join": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, [x FOR x IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents
+        ),
+        shingles AS (
+            SELECT DISTINCT doc_id, unnest(
+                CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                     ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS s
+            FROM words
+        ),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        common AS (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+            FROM shingles x JOIN shingles y USING (s) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2
+        ),
+        links AS (
+            SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c)
+        ),
+        reach(a, b) AS (
+            SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+        ),
+        classes AS (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a)
+        SELECT doc_id, class_id, (SELECT count(*) FROM links WHERE a = doc_id) AS n_links FROM classes
+    """,
+    "op6_decontamination": r"""
+        WITH texts AS (
+            SELECT doc_id AS id, false AS is_item, text FROM documents UNION ALL SELECT item_id, true, text FROM benchmark
+        ),
+        words AS (
+            SELECT id, is_item, [x FOR x IN string_split_regex(
+                regexp_replace(lower(coalesce(text, '')), '[!-/:-@\[-`{-~]', ' ', 'g'), '[\x20\x09-\x0D]+') IF x <> ''] AS w
+            FROM texts
+        ),
+        shingles AS (
+            SELECT DISTINCT id, is_item, unnest([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) AS s FROM words
+        ),
+        sizes AS (SELECT id AS item_id, count(*) AS n_item FROM shingles WHERE is_item GROUP BY id),
+        shared AS (
+            SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared
+            FROM shingles d JOIN shingles i USING (s) WHERE NOT d.is_item AND i.is_item GROUP BY 1, 2
+        )
+        SELECT doc_id, item_id, n_shared::INTEGER AS n_shared, n_item::INTEGER AS n_item,
+               n_shared::DOUBLE / n_item::DOUBLE AS containment
+        FROM shared JOIN sizes USING (item_id) WHERE n_shared >= 0.8 * n_item
+    """,
+}
