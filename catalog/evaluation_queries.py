@@ -242,25 +242,36 @@ def qwk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.select("run_id", "asset_class", F.round("qwk", 9).alias("qwk"))
 
 
-DRAWS = """
-gate_cells as (
-  select run_id, truth_damage as truth, routed, count(*) as n from scored where truth_damage is not null group by all
+def draws_sql(cells: str, keys: str, categories: str, result: str) -> str:
+    """Poisson counts of every cell and resample, by inversion at a numbered hash."""
+    text = ", '/', ".join([*keys.split(", "), *categories.split(", "), "b"])
+    return f"""
+{result}_ranges as (
+  select *, greatest(0, floor(n - 10 * sqrt(n) - 20))::bigint as lo, ceil(n + 10 * sqrt(n) + 30)::bigint as hi from {cells}
 ),
-placed as (
-  select *, sum(n) over (partition by run_id order by truth, routed rows unbounded preceding) as upto, sum(n) over (partition by run_id) as total from gate_cells
+{result}_terms as (select *, unnest(generate_series(lo, hi)) as k from {result}_ranges),
+{result}_upto as (
+  select {keys}, {categories}, k, hi, sum(exp(k * ln(n) - n - lgamma(k + 1))) over (partition by {keys}, {categories} order by k rows unbounded preceding) as upto
+  from {result}_terms
 ),
-replicates as (select b from generate_series(0, 999) as s(b)),
-draws as (
-  select t.run_id, r.b, ('0x' || substr(md5(concat('0/', t.run_id, '/', r.b, '/', d.j)), 1, 8))::bigint % t.total as slot
-  from (select run_id, any_value(total)::bigint as total from placed group by run_id) t join replicates r on true
-  join lateral (select unnest(generate_series(0, t.total - 1)) as j) d on true
+{result}_uniforms as (
+  select {keys}, {categories}, b, (('0x' || substr(md5(concat('0/', {text})), 1, 12))::bigint::double + 0.5) / 281474976710656.0::double as u
+  from {cells}, (select unnest(generate_series(0, 999)) as b)
 ),
-hits as (
-  select d.run_id, d.b, p.truth, p.routed from draws d join placed p on p.run_id = d.run_id and d.slot < p.upto and d.slot >= p.upto - p.n
+{result} as (
+  select {keys}, {categories}, u.b, coalesce(min(t.k) filter (where t.upto >= u.u), max(t.hi)) as n
+  from {result}_uniforms u join {result}_upto t using ({keys}, {categories}) group by {keys}, {categories}, u.b
+)"""
+
+
+DRAWS = f"""
+gate_cells as (
+  select run_id, truth_damage as truth, routed, count(*) as n from scored where truth_damage is not null group by all
 ),
+{draws_sql("gate_cells", "run_id", "truth, routed", "hits")},
 stats as (
-  select run_id, b, count(*) filter (where truth and routed)::double as tp, count(*) filter (where routed)::double as p, count(*) filter (where truth)::double as t
-  from hits group by run_id, b
+  select run_id, b, coalesce(sum(n) filter (where truth and routed), 0)::double as tp, coalesce(sum(n) filter (where routed), 0)::double as p, coalesce(sum(n) filter (where truth), 0)::double as t
+  from hits group by run_id, b having sum(n) > 0
 ),
 rates as (select run_id, b, coalesce(tp / nullif(p, 0), 0) as "precision", coalesce(tp / nullif(t, 0), 0) as recall from stats),
 scores as (select *, coalesce(2.0::double * "precision" * recall / nullif("precision" + recall, 0), 0) as f1 from rates),
@@ -287,20 +298,12 @@ def bootstrap_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("run_id", "n_rows", *[F.round(name, 9).alias(name) for name in found.columns[2:]])
 
 
-GRADE_DRAWS = """
-placed as (
-  select *, sum(n) over (partition by run_id, asset_class order by truth, pred rows unbounded preceding) as upto, sum(n) over (partition by run_id, asset_class) as total
-  from cells where pred is not null
-),
-replicates as (select b from generate_series(0, 999) as s(b)),
-draws as (
-  select t.run_id, t.asset_class, r.b, ('0x' || substr(md5(concat('0/', t.run_id, '/', t.asset_class, '/', r.b, '/', d.j)), 1, 8))::bigint % t.total as slot
-  from (select run_id, asset_class, any_value(total)::bigint as total from placed group by run_id, asset_class) t join replicates r on true
-  join lateral (select unnest(generate_series(0, t.total - 1)) as j) d on true
-),
+GRADE_DRAWS = f"""
+assessed_cells as (select * from cells where pred is not null),
+{draws_sql("assessed_cells", "run_id, asset_class", "truth, pred", "grade_hits")},
 stats as (
-  select d.run_id, d.asset_class, d.b, count(*) filter (where p.truth = p.pred)::double / count(*) as exact_match, count(*) filter (where abs(p.truth - p.pred) <= 1)::double / count(*) as within_one_grade
-  from draws d join placed p on p.run_id = d.run_id and p.asset_class = d.asset_class and d.slot < p.upto and d.slot >= p.upto - p.n group by all
+  select run_id, asset_class, b, coalesce(sum(n) filter (where truth = pred), 0)::double / sum(n)::double as exact_match, coalesce(sum(n) filter (where abs(truth - pred) <= 1), 0)::double / sum(n)::double as within_one_grade
+  from grade_hits group by run_id, asset_class, b having sum(n) > 0
 ),
 point as (
   select run_id, asset_class, cast(sum(n) as bigint) as n_rows, coalesce(sum(n) filter (where truth = pred), 0)::double / sum(n)::double as exact_match,
@@ -318,15 +321,6 @@ def bootstrap_grading(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("run_id", "asset_class", "n_rows", *[F.round(name, 9).alias(name) for name in found.columns[3:]])
 
 
-@query()
-def bootstrap_gate_large(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The multinomial form used beyond the hash limit; same distribution, other draws."""
-    scored = evaluation.scored_images(views.images(spark, sf_dir), _routed(spark, sf_dir))
-    truth = F.coalesce(F.col("labels.damage_present"), F.lit(False))
-    cells = scored.groupBy("run_id", truth.alias("truth"), "routed").agg(F.count(F.lit(1)).alias("n"))
-    return bootstrap.intervals(cells, ["run_id"], ["truth", "routed"], bootstrap.gate_statistics(), hash_limit=0)
-
-
 GRADES_SQL = """
 grades as (
   select concat('doc_', doc_id) as image_id, 'ab' as grader, case when n_chars % 23 = 0 then 'U' else cast(1 + n_chars % 4 as varchar) end as grade from documents

@@ -31,19 +31,21 @@ def _report(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     )
 
 
-@query(oracle(GATE_VIEWS, """select p.run_id, p.n_rows as n, round(p.tp / p.t, 9) as recall, round(quantile_cont(s.recall, 0.025), 9) as recall_low, round(quantile_cont(s.recall, 0.975), 9) as recall_high
+@query(oracle(GATE_VIEWS, """select p.run_id, p.n_rows as n, round(p.tp / p.t, 9) as recall, round(quantile_cont(s.recall, 0.025), 9) as recall_low, round(quantile_cont(s.recall, 0.975), 9) as recall_high,
+  round(p.tp / p.p, 9) as "precision", round(quantile_cont(s."precision", 0.025), 9) as precision_low, round(quantile_cont(s."precision", 0.975), 9) as precision_high,
+  round(2.0::double * (p.tp / p.p) * (p.tp / p.t) / (p.tp / p.p + p.tp / p.t), 9) as f1, round(quantile_cont(s.f1, 0.025), 9) as f1_low, round(quantile_cont(s.f1, 0.975), 9) as f1_high
   from point p join scores s on s.run_id = p.run_id group by p.run_id, p.n_rows, p.tp, p.p, p.t""", CELLS + "," + DRAWS))
 def scored_gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _report(spark, sf_dir)["gate"].select(
-        "run_id", "n", *[F.round(name, 9).alias(name) for name in ("recall", "recall_low", "recall_high")]
-    )
+    shown = [f"{name}{side}" for name in ("recall", "precision", "f1") for side in ("", "_low", "_high")]
+    return _report(spark, sf_dir)["gate"].select("run_id", "n", *[F.round(name, 9).alias(name) for name in shown])
 
 
-@query(oracle(GRADING_VIEWS, """select p.run_id, p.asset_class, p.n_rows as n_assessed, round(p.within_one_grade, 9) as within_one_grade, round(quantile_cont(s.within_one_grade, 0.025), 9) as within_one_grade_low, round(quantile_cont(s.within_one_grade, 0.975), 9) as within_one_grade_high
+@query(oracle(GRADING_VIEWS, """select p.run_id, p.asset_class, p.n_rows as n_assessed, round(p.exact_match, 9) as exact_match, round(quantile_cont(s.exact_match, 0.025), 9) as exact_match_low, round(quantile_cont(s.exact_match, 0.975), 9) as exact_match_high,
+  round(p.within_one_grade, 9) as within_one_grade, round(quantile_cont(s.within_one_grade, 0.025), 9) as within_one_grade_low, round(quantile_cont(s.within_one_grade, 0.975), 9) as within_one_grade_high
   from point p join stats s on s.run_id = p.run_id and s.asset_class = p.asset_class group by p.run_id, p.asset_class, p.n_rows, p.exact_match, p.within_one_grade""", GRADING + "," + GRADE_DRAWS))
 def scored_grading_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _report(spark, sf_dir)["grading"].filter(F.col("n_assessed") > 0)
-    shown = ("within_one_grade", "within_one_grade_low", "within_one_grade_high")
+    shown = [f"{name}{side}" for name in ("exact_match", "within_one_grade") for side in ("", "_low", "_high")]
     return rows.select("run_id", "asset_class", "n_assessed", *[F.round(name, 9).alias(name) for name in shown])
 
 

@@ -1,108 +1,63 @@
 """Bootstrap intervals from counted cells.
 
-A resample of n labelled rows, seen through a statistic that only counts categories, is a draw of n positions
-over the category counts. So the rows are counted once and the resamples work on the counts. Two draws give the
-same distribution: numbered hash draws, reproducible in any SQL engine and used up to `hash_limit` rows, and
-multinomial draws whose cost does not depend on n, used beyond.
+A statistic that only counts categories sees a resample as one count per category. Each row enters a resample a Poisson(1)
+number of times, so a category of n rows has a Poisson(n) count, independent of the others: the bootstrap for tables too
+large to resample row by row. The draw inverts the distribution at a numbered hash, so any SQL engine can repeat it,
+and its cost does not depend on the number of rows. One law holds at every size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-from operator import add
+import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import LongType
 
 from faultline.session import materialise
 
-HASH_LIMIT = 50_000
-# Hash draws compare a slot with every bound of its group; four grades against four give sixteen cells.
-MAX_HASH_CELLS = 16
-
-
-def _cells_per_group(cells: DataFrame, by: list[str], categories: list[str]) -> DataFrame:
-    """One row per group: its total and its categories with their upper slot bounds, in category order."""
-    ordered = F.array_sort(F.collect_list(F.struct(*[F.col(name) for name in categories], F.col("n"))))
-    total = F.aggregate("_cells", F.lit(0).cast("bigint"), lambda acc, cell: acc + cell["n"])
-    upto = F.transform(
-        "_cells",
-        lambda cell, at: F.aggregate(
-            F.slice("_cells", F.lit(1), at + 1), F.lit(0).cast("bigint"), lambda acc, other: acc + other["n"]
-        ),
-    )
-    return cells.groupBy(*by).agg(ordered.alias("_cells")).withColumns({"_total": total, "_upto": upto})
-
-
-def _hash_draws(groups: DataFrame, by: list[str], categories: list[str], seed: int) -> DataFrame:
-    key = F.concat_ws("/", F.lit(str(seed)), *[F.col(name) for name in by])
-    drawn = groups.withColumn("_draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_total") - 1)))
-    text = F.concat_ws("/", key, F.col("b").cast("string"), F.col("_draw").cast("string"))
-    slot = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % F.col("_total")
-    passed = [F.coalesce((F.get("_upto", F.lit(at)) <= F.col("_slot")).cast("int"), F.lit(0)) for at in range(MAX_HASH_CELLS)]
-    cell = F.get("_cells", F.col("_at"))
-    return (
-        drawn.withColumn("_slot", slot)
-        .withColumn("_at", reduce(add, passed))
-        .select(*by, "b", *[cell[name].alias(name) for name in categories])
-        .groupBy(*by, "b", *categories)
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-
-
-def _multinomial_draws(groups: DataFrame, by: list[str], categories: list[str], seed: int) -> DataFrame:
-    shares = F.transform("_cells", lambda cell: cell["n"])
-    group_seed = F.xxhash64(F.lit(seed), *[F.col(name) for name in by], F.col("b"))
-    slim = groups.select(*by, "b", "_cells", shares.alias("_n"), group_seed.alias("_seed"))
-    key_names = [*by, "b"]
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            counts = []
-            for sizes, seed_value in zip(batch["_n"], batch["_seed"]):
-                sizes = np.asarray(sizes, dtype=np.int64)
-                generator = np.random.default_rng(int(seed_value) & 0xFFFFFFFFFFFFFFFF)
-                counts.append(generator.multinomial(int(sizes.sum()), sizes / sizes.sum()))
-            yield batch[key_names].assign(_drawn=counts)
-
-    schema = slim.select(*key_names).schema.add("_drawn", ArrayType(LongType()))
-    drawn = slim.select(*key_names, "_n", "_seed").mapInPandas(draw, schema)
-    return (
-        drawn.join(groups.select(*key_names, "_cells"), key_names)
-        .select(*key_names, F.posexplode("_drawn").alias("_at", "n"), "_cells")
-        .select(*key_names, *[F.get("_cells", F.col("_at"))[name].alias(name) for name in categories], "n")
-    )
-
-
-def resampled(cells: DataFrame, by: list[str], categories: list[str], resamples: int = 1000, seed: int = 0,
-              hash_limit: int = HASH_LIMIT) -> DataFrame:
-    """Counts per group, resample `b` and category."""
-    groups = _cells_per_group(cells, by, categories)
-    numbered = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
-    # A given count keeps these few rows spread over all tasks: the draws below multiply each of them by n.
-    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = numbered.repartition(tasks, *by, "b")
-    by_hash = (F.col("_total") <= hash_limit) & (F.size("_cells") <= MAX_HASH_CELLS)
-    small = _hash_draws(spread.filter(by_hash), by, categories, seed)
-    large = _multinomial_draws(spread.filter(~by_hash), by, categories, seed)
-    return small.unionByName(large)
+
+def poisson_at(n: int, uniforms: np.ndarray) -> np.ndarray:
+    """The least counts whose distribution function for mean n reaches the uniforms."""
+    spread = 10 * math.sqrt(n)
+    low, high = max(0, math.floor(n - spread - 20)), math.ceil(n + spread + 30)
+    steps = math.log(n) - np.log(np.arange(low + 1, high + 1))
+    first = low * math.log(n) - n - math.lgamma(low + 1)
+    upto = np.cumsum(np.exp(first + np.concatenate([[0.0], np.cumsum(steps)])))
+    return low + np.minimum(np.searchsorted(upto, uniforms), high - low)
+
+
+@F.arrow_udf(LongType())
+def _poisson(counts: pa.Array, uniforms: pa.Array) -> pa.Array:
+    n, u = counts.to_numpy(zero_copy_only=False), uniforms.to_numpy(zero_copy_only=False)
+    out = np.zeros(len(n), np.int64)
+    for mean in np.unique(n[n > 0]):
+        out[n == mean] = poisson_at(int(mean), u[n == mean])
+    return pa.array(out)
+
+
+def resampled(cells: DataFrame, by: list[str], categories: list[str], resamples: int = 1000, seed: int = 0) -> DataFrame:
+    """Counts per group, category and resample `b`; a category may have a count of 0."""
+    numbered = cells.select(*by, *categories, "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
+    text = F.concat_ws("/", F.lit(str(seed)), *[F.col(name).cast("string") for name in [*by, *categories, "b"]])
+    uniform = (F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(2.0**48)
+    return numbered.select(*by, *categories, "b", _poisson(F.col("n"), uniform).alias("n"))
 
 
 def intervals(cells: DataFrame, by: list[str], categories: list[str], statistics: dict[str, Column],
-              resamples: int = 1000, seed: int = 0, hash_limit: int = HASH_LIMIT) -> DataFrame:
+              resamples: int = 1000, seed: int = 0) -> DataFrame:
     """Point estimate and 95 percent percentile interval of each statistic.
 
     A statistic is an aggregate over the category columns and the count `n`. The cells are written first, so the
-    rows behind them are read once.
+    rows behind them are read once. Resamples that drew no row at all have no statistic and are left out.
     """
     cells = materialise(cells, "cells")
     points = cells.groupBy(*by).agg(F.sum("n").alias("n_rows"), *[s.alias(name) for name, s in statistics.items()])
-    draws = resampled(cells, by, categories, resamples, seed, hash_limit)
-    per_resample = draws.groupBy(*by, "b").agg(*[s.alias(name) for name, s in statistics.items()])
+    draws = resampled(cells, by, categories, resamples, seed)
+    aggregates = [s.alias(name) for name, s in statistics.items()]
+    per_resample = draws.groupBy(*by, "b").agg(F.sum("n").alias("_drawn"), *aggregates).filter("_drawn > 0")
     bounds = [
         F.percentile(name, share).alias(f"{name}_{side}")
         for name in statistics
