@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-PRECISION, LOW = 22, 1 << 31
+PRECISION, LOW = 20, 1 << 31
 LANES, CHECKPOINT_ROWS = 2048, 256
 SEGMENT = LANES * CHECKPOINT_ROWS
 BLOCK_SEGMENTS = 4
@@ -44,8 +44,13 @@ class Frequencies:
     def slots(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.scaled), dtype=np.uint32), self.scaled.astype(np.int64))
 
-    def digest(self) -> int:
-        return zlib.crc32(self.scaled.astype("<u8").tobytes())
+    def packed(self) -> bytes:
+        return zlib.compress(self.scaled.astype("<u4").tobytes(), 1)
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Frequencies:
+        scaled = np.frombuffer(zlib.decompress(data), "<u4").astype(np.uint64)
+        return cls(scaled, np.concatenate([[0], np.cumsum(scaled)[:-1]]).astype(np.uint64))
 
 
 def encode_block(ids: np.ndarray, table: Frequencies) -> list[bytes]:

@@ -1,15 +1,15 @@
 """Token ids of a corpus in binary files of entropy-coded blocks, written and read in parallel.
 
-Writing takes two passes. The first counts every id of every document; the counts become one frequency table that all
-blocks share. The second sorts the documents by id over range partitions, and each task streams one file: independent
-blocks of interleaved coder lanes, with checkpoints and checksums (see rans.py), and a foot with the place of each segment and
-document. A task names its file by attempt, and only files listed in the returned manifest belong to the output, so a
-lost executor or a repeated task leaves at most a file that nobody reads.
+Writing sorts the documents by id over range partitions, and each task streams one file. Ids gather until a run of blocks
+is full; they are counted, and the counts become the static frequency table that the run's blocks share. Blocks are
+independent, with interleaved coder lanes, checkpoints and checksums (see rans.py). The file's foot has the place of each
+segment, table and document. A task names its file by attempt, and only files listed in the returned manifest belong to the
+output, so a lost executor or a repeated task leaves at most a file that nobody reads.
 
 Reading deals segments to tasks: each decodes its own, owns the documents that start in it, and goes on into the
 next segments only to end its last document.
 
-A file: magic, segments, foot (numpy arrays), and at its end the foot's length and crc32 and the frequency table's digest.
+A file: magic, runs (a frequency table, then segments), foot (numpy arrays), and the foot's length and crc32.
 
 Ids come from the tokenizers library. A text's pre-tokens never cross a single space or line feed between other
 characters, so ids are looked up by word in a worker's cache, which the library fills. Texts with other white space
@@ -25,6 +25,7 @@ import io
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,10 +38,13 @@ from faultline.llm.rans import BLOCK_SEGMENTS, SEGMENT, Frequencies, decode_segm
 from faultline.llm.support import file_system, materialise, new_folder, table, worker_value
 
 MAGIC = b"FLTOKEN1"
-TAIL = "<QII"  # length and crc32 of the foot, digest of the frequency table
+TAIL = "<QI"  # length and crc32 of the foot
 TAIL_BYTES = struct.calcsize(TAIL)
 #: Words a worker keeps, of at most so many characters.
-CACHED_WORDS, WORD_CHARS = 700_000, 32
+CACHED_WORDS, WORD_CHARS = 1_000_000, 32
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Ids that share a frequency table.
+RUN = 4 * BLOCK_SEGMENTS * SEGMENT
 SAFE = re.compile(r"(?<=\S)[ \n](?=\S)")
 #: Segments that a reading task decodes, about.
 TASK_SEGMENTS = 16
@@ -58,10 +62,14 @@ class WordIds(dict):
         self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
 
     def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.encode(word)
+        body = word.rstrip(PUNCTUATION)
+        if len(body) < len(word) and body[-1:].isalpha():  # a pre-token ends between a letter and punctuation
+            ids = self[body] + self[word[len(body) :]]
+        else:
+            ids = self.encode(word)
         if len(self) < CACHED_WORDS and len(word) <= WORD_CHARS:
             self[word] = ids
         return ids
@@ -90,40 +98,17 @@ def word_ids(shared) -> WordIds:
     return worker_value(("word ids", zlib.crc32(shared.value.encode())), lambda: WordIds(shared.value))
 
 
-def count_ids(documents: DataFrame, shared, text: str, end_id: int, vocabulary: int) -> np.ndarray:
-    """How often each id occurs in all documents. Tasks add their own counts up before anything is moved."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, total = word_ids(shared), np.zeros(vocabulary, np.int64)
-        for batch in batches:
-            for value in batch.column(0).to_pylist():
-                found = np.frombuffer(ids.of_text(value), "<u4")
-                total[end_id] += 1
-                if len(found) < 4 * vocabulary // 64:
-                    np.add.at(total, found, 1)
-                else:
-                    total += np.bincount(found, minlength=vocabulary)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "n"])
-
-    rows = documents.select(text).mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(vocabulary, np.int64)
-    for row in rows:
-        counts[row.id] = row.n
-    return counts
-
-
 class FileWriter:
-    """Streams documents into one file, a block at a time."""
+    """Streams documents into one file, a run of blocks at a time."""
 
-    def __init__(self, path: str, frequencies: Frequencies):
+    def __init__(self, path: str):
         system, place = file_system(path)
         self.out = system.open_output_stream(place)
         self.out.write(MAGIC)
-        self.frequencies, self.size = frequencies, len(MAGIC)
+        self.size = len(MAGIC)
         self.held: list[np.ndarray] = []
         self.n_held = self.n_tokens = 0
-        self.segment_at: list[int] = []
+        self.places: list[tuple[int, int, int]] = []
         self.doc_id: list[int | None] = []
         self.doc_tokens: list[int] = []
 
@@ -133,30 +118,37 @@ class FileWriter:
         self.held.append(ids)
         self.n_held += len(ids)
         self.n_tokens += len(ids)
-        while self.n_held >= SEGMENT * BLOCK_SEGMENTS:
+        if self.n_held >= RUN:
             waiting = np.concatenate(self.held)
-            self._block(waiting[: SEGMENT * BLOCK_SEGMENTS])
-            self.held, self.n_held = [waiting[SEGMENT * BLOCK_SEGMENTS :]], len(waiting) - SEGMENT * BLOCK_SEGMENTS
-
-    def _block(self, ids: np.ndarray) -> None:
-        for segment in encode_block(ids, self.frequencies):
-            self.segment_at.append(self.size)
-            self.out.write(segment)
-            self.size += len(segment)
+            full = len(waiting) // RUN * RUN
+            for at in range(0, full, RUN):
+                self._run(waiting[at : at + RUN])
+            self.held, self.n_held = [waiting[full:]], len(waiting) - full
+
+    def _run(self, ids: np.ndarray) -> None:
+        frequencies = Frequencies.from_counts(np.bincount(ids))
+        packed, table_at = frequencies.packed(), self.size
+        self.out.write(packed)
+        self.size += len(packed)
+        for at in range(0, len(ids), BLOCK_SEGMENTS * SEGMENT):
+            for segment in encode_block(ids[at : at + BLOCK_SEGMENTS * SEGMENT], frequencies):
+                self.places.append((self.size, len(segment), table_at))
+                self.out.write(segment)
+                self.size += len(segment)
 
     def close(self) -> None:
         if self.n_held:
-            self._block(np.concatenate(self.held))
+            self._run(np.concatenate(self.held))
         foot = io.BytesIO()
         np.savez(
             foot,
-            segment_at=np.array([*self.segment_at, self.size], np.int64),
+            places=np.array(self.places, np.int64).reshape(-1, 3),
             doc_id=np.array([x or 0 for x in self.doc_id], np.int64),
             doc_null=np.array([x is None for x in self.doc_id], bool),
             doc_tokens=np.array(self.doc_tokens, np.int64),
         )
         packed = zlib.compress(foot.getvalue(), 1)
-        self.out.write(packed + struct.pack(TAIL, len(packed), zlib.crc32(packed), self.frequencies.digest()))
+        self.out.write(packed + struct.pack(TAIL, len(packed), zlib.crc32(packed)))
         self.size += len(packed) + TAIL_BYTES
         self.out.close()
 
@@ -164,21 +156,26 @@ class FileWriter:
 class FileReader:
     """Random access to the segments and documents of one file."""
 
-    def __init__(self, path: str, frequencies: Frequencies, slots: np.ndarray):
+    def __init__(self, path: str):
         system, place = file_system(path)
-        self.file, self.frequencies, self.slots = system.open_input_file(place), frequencies, slots
+        self.file = system.open_input_file(place)
         size = self.file.size()
-        length, checksum, digest = struct.unpack(TAIL, self.file.read_at(TAIL_BYTES, size - TAIL_BYTES))
+        length, checksum = struct.unpack(TAIL, self.file.read_at(TAIL_BYTES, size - TAIL_BYTES))
         packed = self.file.read_at(length, size - TAIL_BYTES - length)
-        if zlib.crc32(packed) != checksum or digest != frequencies.digest() or self.file.read_at(len(MAGIC), 0) != MAGIC:
-            raise ValueError(f"{path} is damaged or has another frequency table")
+        if zlib.crc32(packed) != checksum or self.file.read_at(len(MAGIC), 0) != MAGIC:
+            raise ValueError(f"{path} is damaged")
         foot = np.load(io.BytesIO(zlib.decompress(packed)))
-        self.segment_at, self.doc_id, self.doc_null, self.doc_tokens = (foot[k] for k in ("segment_at", "doc_id", "doc_null", "doc_tokens"))
+        self.places, self.doc_id, self.doc_null, self.doc_tokens = (foot[k] for k in ("places", "doc_id", "doc_null", "doc_tokens"))
         self.doc_start = np.concatenate([[0], np.cumsum(self.doc_tokens)]).astype(np.int64)
+        self.table_at = -1
 
     def segment(self, number: int) -> np.ndarray:
-        start, end = self.segment_at[number : number + 2]
-        return decode_segment(self.file.read_at(int(end - start), int(start)), self.frequencies, self.slots)
+        start, length, table_at = map(int, self.places[number])
+        if table_at != self.table_at:  # the table ends where the run's first segment starts
+            end = int(self.places[self.places[:, 2] == table_at, 0].min())
+            self.frequencies = Frequencies.unpacked(self.file.read_at(end - table_at, table_at))
+            self.slots, self.table_at = self.frequencies.slots(), table_at
+        return decode_segment(self.file.read_at(length, start), self.frequencies, self.slots)
 
     def documents(self, first: int, last: int) -> Iterator[tuple[int | None, int, Iterator[np.ndarray]]]:
         """Id, start in the file and parts of the ids of each document that starts in segments first to last - 1."""
@@ -202,15 +199,9 @@ class FileReader:
         self.file.close()
 
 
-def write_token_files(documents: DataFrame, folder: str, tokenizer_json: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, Frequencies]:
-    """Write `documents` into `folder` and return the manifest (a row for each file) and the frequency table."""
-    from tokenizers import Tokenizer
-
-    spark = documents.sparkSession
-    vocabulary = max(Tokenizer.from_str(tokenizer_json).get_vocab_size(with_added_tokens=True), end_id + 1)
-    shared = spark.sparkContext.broadcast(tokenizer_json)
-    frequencies = Frequencies.from_counts(count_ids(documents, shared, text, end_id, vocabulary))
-    shared_table = spark.sparkContext.broadcast(frequencies)
+def write_token_files(documents: DataFrame, folder: str, tokenizer_json: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Write `documents` into `folder` and return the manifest, a row for each file."""
+    shared = documents.sparkSession.sparkContext.broadcast(tokenizer_json)
     if file_system(folder)[0].type_name == "local":
         file_system(folder)[0].create_dir(file_system(folder)[1])
 
@@ -219,32 +210,29 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer_json: str, en
         path = f"{folder}/tokens-{context.partitionId():06d}-{context.taskAttemptId()}.bin"
         for batch in batches:
             for number, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                writer = writer or FileWriter(path, shared_table.value)
+                writer = writer or FileWriter(path)
                 writer.add(number, np.append(np.frombuffer(ids.of_text(value), "<u4"), np.uint32(end_id)))
         if writer:
             writer.close()
-            row = {"path": path, "file_no": context.partitionId(), "n_documents": len(writer.doc_id), "n_tokens": writer.n_tokens, "n_segments": len(writer.segment_at), "n_bytes": writer.size}
+            row = {"path": path, "file_no": context.partitionId(), "n_documents": len(writer.doc_id), "n_tokens": writer.n_tokens, "n_segments": len(writer.places), "n_bytes": writer.size}
             yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("path", pa.string()), ("file_no", pa.int32()), ("n_documents", pa.int64()), ("n_tokens", pa.int64()), ("n_segments", pa.int32()), ("n_bytes", pa.int64())]))
 
     ordered = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).orderBy("doc_id", "text")
-    return materialise(ordered.mapInArrow(write, MANIFEST), "token-manifest"), frequencies
+    return materialise(ordered.mapInArrow(write, MANIFEST), "token-manifest")
 
 
-def read_token_files(manifest: DataFrame, frequencies: Frequencies) -> DataFrame:
+def read_token_files(manifest: DataFrame) -> DataFrame:
     """Per document of the files: doc_id, start (ids before it in all files), n_tokens, ids_crc32, decoded in parallel.
 
     Tasks get segments, not files. The running total is over one manifest row for each file.
     """
-    spark = manifest.sparkSession
-    shared = spark.sparkContext.broadcast(frequencies)
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     pieces = manifest.withColumn("before", before).select("path", "before", F.explode(F.sequence(F.lit(0), F.col("n_segments") - 1)).alias("segment"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = shared.value.slots()
         for batch in batches:
             for piece in batch.to_pylist():
-                reader, rows = FileReader(piece["path"], shared.value, slots), []
+                reader, rows = FileReader(piece["path"]), []
                 for doc_id, start, parts in reader.documents(piece["segment"], piece["segment"] + 1):
                     crc = length = 0
                     for part in parts:
@@ -264,5 +252,4 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
         tokenizer_json = file.read()
-    manifest, frequencies = write_token_files(table(spark, sf_dir, "documents"), new_folder(spark, "tokens"), tokenizer_json, end_id=2)
-    return read_token_files(manifest, frequencies)
+    return read_token_files(write_token_files(table(spark, sf_dir, "documents"), new_folder(spark, "tokens"), tokenizer_json, end_id=2))
