@@ -58,9 +58,9 @@ def model_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sized.withColumns({"model_width": wide, "model_height": high})
 
 
-@query(oracle("fx_images fx_gate", "select image_id from fx_images where image_id not in (select image_id from fx_gate)"))
+@query(oracle("fx_images fx_gate_so_far", "select image_id from fx_images where image_id not in (select image_id from fx_gate_so_far)"))
 def resume_ungated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.not_yet_gated(views.images(spark, sf_dir), views.gate(spark, sf_dir)).select("image_id")
+    return records.not_yet_gated(views.images(spark, sf_dir), views.view(spark, sf_dir, "fx_gate_so_far")).select("image_id")
 
 
 @query(oracle("fx_images fx_preds", "select image_id, concat(image_id, '/', tile) as finding_id from targets where concat(image_id, '/', tile) not in (select finding_id from fx_preds)", TILES))

@@ -85,9 +85,9 @@ def score_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("run_id", "finding_id", "severity_weight", "criticality", "consequence", "urgency", "queue_score")
 
 
-@query(oracle("fx_assets", f"select a.image_id, a.found_on, {URGENCY_SQL} as urgency from fx_assets a"))
+@query(oracle("fx_customer_assets", f"select a.image_id, a.found_on, {URGENCY_SQL} as urgency from fx_customer_assets a"))
 def urgency_by_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    register = views.assets(spark, sf_dir)
+    register = views.view(spark, sf_dir, "fx_customer_assets")
     return register.select("image_id", "found_on", urgency(F.col("found_on"), F.lit(TODAY).cast("date")).alias("urgency"))
 
 
@@ -145,12 +145,11 @@ def surge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(oracle("fx_findings", """select d.run_id, d.native_value, coalesce(c.n, 0) as n from domain_values d left join counted c
   on d.run_id = c.run_id and d.native_value = c.native_value
   union all select run_id, native_value, n from counted where native_value not in (select v from known)""", """
-counted as (select run_id, native_value, count(*) as n from fx_findings where asset_class in ('building_disaster', 'pv_module') group by run_id, native_value),
+counted as (select run_id, native_value, count(*) as n from fx_findings group by run_id, native_value),
 known(v) as (values ('Undamaged'), ('Affected'), ('Minor'), ('Major'), ('Destroyed'), ('Inaccessible')),
 domain_values as (select distinct run_id, v as native_value from counted, known)"""))
 def surge_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = views.findings(spark, sf_dir).filter(F.col("asset_class").isin("building_disaster", "pv_module"))
-    return disaster_class_counts(seen)
+    return disaster_class_counts(views.findings(spark, sf_dir))
 
 
 @query(oracle("fx_findings", f"select run_id, {LEVEL_SQL} from fx_findings group by run_id"))

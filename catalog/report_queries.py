@@ -117,7 +117,7 @@ def thermal_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SCENE_SQL = f"""
-scenes as (select concat('scene_', doc_id, '.jpg') as file, case n_chars % 3 when 0 then 'Intact' when 1 then 'Damaged' else 'Collapsed' end as class from documents where lang = 'en'),
+scenes as (select concat('scene_', doc_id, '.jpg') as file, case n_chars % 3 when 0 then 'Intact' when 1 then 'Damaged' else 'Collapsed' end as class from documents),
 placed as (select *, row_number() over (partition by class order by md5(concat('{SAMPLING_SEED}/', file)), file) as rn from scenes),
 sliced as (select *, {_slice_case(SCENE_SLICES, 'class')} as split from placed)
 """
@@ -127,7 +127,7 @@ sliced as (select *, {_slice_case(SCENE_SLICES, 'class')} as split from placed)
   case class when 'Intact' then 'Undamaged,Affected' when 'Damaged' then 'Minor,Major' else 'Destroyed' end as groups,
   case class when 'Intact' then 'S0' when 'Damaged' then 'S2' else 'S4' end as level from sliced where split is not null""", SCENE_SQL))
 def scene_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir).filter(F.col("lang") == "en")
+    docs = _documents(spark, sf_dir)
     name = F.concat(F.lit("scene_"), F.col("doc_id").cast("string"), F.lit(".jpg"))
     kind = F.col("n_chars") % 3
     index = docs.select(name.alias("file"), F.when(kind == 0, "Intact").when(kind == 1, "Damaged").otherwise("Collapsed").alias("class"))

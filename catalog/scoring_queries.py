@@ -10,8 +10,9 @@ from catalog.image_queries import TILES
 from catalog.queue_queries import URGENCY_SQL
 from catalog.registry import query
 from catalog.views import TODAY, oracle
+from faultline.functions.routing import with_routing
 from faultline.functions.tiles import explode_targets
-from faultline.operators.sampling import select_exemplars
+from faultline.operators.sampling import select_exemplars, union_all
 from faultline.operators.scoring import gate_images, grade_targets, graded_findings
 from faultline.operators.validation import standard_for
 from faultline.plans.batch import RunSettings, grading_targets, run_batch
@@ -113,14 +114,14 @@ def batch_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queue.select("finding_id", F.col("unified.level").alias("level"), "queue_score", "queue_rank")
 
 
-@query(oracle("fx_images fx_gate", """select concat(i.image_id, '/', t.tile) as finding_id, 'MBEI-CS' as standard from fx_images i join fx_gate g on g.image_id = i.image_id join targets t on t.image_id = i.image_id
-  where g.usable and (g.damage_present or g.confidence < 0.7) and i.asset_class = 'bridge_element'""", TILES))
+@query(oracle("fx_images fx_gate", """select concat(i.image_id, '/', t.tile) as finding_id,
+  case i.asset_class when 'bridge_element' then 'MBEI-CS' when 'steel_coating' then 'CorrosionCS' when 'pv_module' then 'IEC-62446-3-CoA' else 'FEMA-PDA' end as standard
+  from fx_images i join fx_gate g on g.image_id = i.image_id join targets t on t.image_id = i.image_id
+  where g.usable and (g.damage_present or g.confidence < 0.7 or i.asset_class = 'pv_module')""", TILES))
 def grading_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a grader would be asked for the bridge images."""
-    gate = views.gate(spark, sf_dir)
-    routed = gate.withColumn("routed", ~F.col("usable") | F.col("damage_present") | (F.col("confidence") < 0.7))
-    bridges = views.images(spark, sf_dir).filter(F.col("asset_class") == "bridge_element")
-    return grading_targets(bridges, routed, RunSettings(tiles=True)).select("finding_id", "standard")
+    """What a grader would be asked."""
+    routed = with_routing(views.gate(spark, sf_dir))
+    return grading_targets(views.images(spark, sf_dir), routed, RunSettings(tiles=True)).select("finding_id", "standard")
 
 
 @query(oracle("fx_images", "select image_id, usable, damage_present, confidence from verdicts", GATE_SQL))
@@ -153,8 +154,10 @@ def _finished(stream: DataFrame, spark: SparkSession, mode: str) -> DataFrame:
         .start()
         .awaitTermination()
     )
-    wanted = batches[-1:] if mode == "complete" else batches
-    return spark.read.schema(stream.schema).parquet(*wanted)
+    if mode == "complete":
+        return spark.read.schema(stream.schema).parquet(*batches[-1:])
+    numbered = [spark.read.schema(stream.schema).parquet(path).withColumn("batch", F.lit(at)) for at, path in enumerate(batches)]
+    return union_all(numbered)
 
 
 def _as_stream(df: DataFrame, spark: SparkSession) -> DataFrame:
@@ -183,10 +186,10 @@ def stream_live_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live_rows.withColumn("seconds", F.round("seconds", 6))
 
 
-@query(oracle("fx_calls", """select run_id, stage, bucket, count(*) as calls, sum(input_tokens / 1024.0::double) as usd
+@query(oracle("fx_calls", """select run_id, stage, bucket, count(*) as calls, sum(input_tokens / 1024.0::double) as usd, closes <= (select max(ts) - interval '2 hours' from fx_calls) as closed
   from (select *, strftime(time_bucket(interval '1 hour', ts), '%Y-%m-%d %H:%M') as bucket, time_bucket(interval '1 hour', ts) + interval '1 hour' as closes from fx_calls)
-  where closes <= (select max(ts) - interval '2 hours' from fx_calls) group by run_id, stage, bucket"""))
+  group by run_id, stage, bucket, closes"""))
 def stream_cost_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hours that are closed: the watermark has passed their end."""
-    rows = _finished(live.cost_per_bucket(_call_feed(spark, sf_dir)), spark, "append")
-    return rows.select("run_id", "stage", F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("bucket"), "calls", "usd")
+    """Every hour with its calls, and whether the watermark has passed its end."""
+    rows = live.latest_buckets(_finished(live.cost_per_bucket(_call_feed(spark, sf_dir)), spark, "update"))
+    return rows.select("run_id", "stage", F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("bucket"), "calls", "usd", "closed")

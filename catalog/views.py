@@ -49,15 +49,18 @@ from (
 ) labelled
 """
 
-# Verdicts on every dataset that has been gated; src19 has arrived but is still waiting.
+# Verdicts on every image.
 FX_GATE = """
 select concat('run', doc_id % 3) as run_id, concat('doc_', doc_id) as image_id,
   case doc_id % 4 when 0 then 'bridge_element' when 1 then 'steel_coating' when 2 then 'pv_module' else 'building_disaster' end as asset_class,
   n_chars >= 500 as usable, lang <> 'en' as damage_present, cast((doc_id * 37) % 101 as double) / 100 as confidence,
   concat('seen in ', lang) as reason, concat('gate_', lang) as model
-from {documents} where source <> 'src19'
+from {documents}
 """
 
+# A gate log that a later dataset is still waiting for.
+FX_GATE_SO_FAR = FX_GATE + " where source <> 'src19'"
+
 # Orders stand for graded findings, customers for the assets they were found on.
 FX_FINDINGS = """
 select finding_id, image_id, run_id, asset_class, level,
@@ -100,22 +103,25 @@ from (
 ) graded
 """
 
-# The asset register: customers in good standing. The others have no entry and take the defaults.
-FX_ASSETS = """
+# All customers as assets.
+FX_CUSTOMER_ASSETS = """
 select concat('cust_', c.c_custkey) as image_id, cast(n.n_regionkey as double) * 0.875e0 as criticality,
   1 + cast(c.c_custkey % 5 as double) / 4 as production_loss_factor, 1 + cast(c.c_custkey % 3 as double) / 2 as occupancy_factor,
   case when c.c_custkey % 17 = 0 then null when c.c_custkey % 19 = 0 then '2026/09/01' when c.c_custkey % 23 = 0 then '2026-02-30'
        else concat('2026-0', 7 + c.c_custkey % 3, '-', 10 + c.c_custkey % 20) end as found_on
-from {customer} c join {nation} n on c.c_nationkey = n.n_nationkey where c.c_acctbal >= 0
+from {customer} c join {nation} n on c.c_nationkey = n.n_nationkey
 """
 
-# Events stand for model calls and for reviewer decisions. Seconds are multiples of 1/8, so their sums are exact in
-# any order and a rounded total cannot depend on it.
+# The asset register: customers in good standing. The others have no entry and take the defaults.
+FX_ASSETS = FX_CUSTOMER_ASSETS + " where c.c_acctbal >= 0"
+
+# Events stand for model calls and for reviewer decisions. Seconds are multiples of 1/4096, finer than a millisecond;
+# their sums are exact in any order, so a rounded total cannot depend on it.
 FX_CALLS = """
 select event_id as call_id, ts, concat('run', event_id % 3) as run_id,
   case when event_type in ('click', 'view') then 'gate' else 'grade' end as stage, concat('model_', event_type) as model,
   concat('doc_', user_id) as image_id, user_id * 10 as input_tokens, event_id % 900 as output_tokens,
-  floor(value * 8) * 0.125e0 as seconds
+  floor(value * 4096) / 4096.0e0 as seconds
 from {events}
 """
 
@@ -123,7 +129,7 @@ FX_REVIEWS = """
 select event_id as id, ts as reviewed_at, concat('run', event_id % 3) as run_id, concat('ord_', user_id) as finding_id,
   case event_type when 'click' then 'accepted' when 'view' then 'accepted' when 'error' then 'overridden' else 'marked_u' end as action,
   case when event_type = 'error' then concat('S', event_id % 5) end as new_level, concat('reviewer_', event_id % 7) as reviewer
-from {events} where event_type <> 'signup'
+from {events}
 """
 
 # One to three graded tiles per document image.
@@ -148,8 +154,10 @@ from (
 VIEWS = {
     "fx_images": FX_IMAGES,
     "fx_gate": FX_GATE,
+    "fx_gate_so_far": FX_GATE_SO_FAR,
     "fx_findings": FX_FINDINGS,
     "fx_assets": FX_ASSETS,
+    "fx_customer_assets": FX_CUSTOMER_ASSETS,
     "fx_calls": FX_CALLS,
     "fx_reviews": FX_REVIEWS,
     "fx_preds": FX_PREDS,

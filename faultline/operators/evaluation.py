@@ -136,10 +136,13 @@ def weighted_kappa(n: Column, sum_truth: Column, sum_pred: Column, sum_truth2: C
 
     The expected squared gap of independent raters with these marginals is
     E[t^2] + E[p^2] - 2 E[t] E[p], so no table of marginal pairs is needed and the (k-1)^2 scale cancels.
-    Zero when nothing can disagree by chance.
+    Both terms are whole numbers times n, counted exactly and divided once, so a table of any size whose raters can
+    not disagree by chance gives zero.
     """
-    expected = sum_truth2 + sum_pred2 - F.lit(2.0) * sum_truth * sum_pred / n
-    return F.when(n > 0, F.coalesce(F.lit(1.0) - F.try_divide(sum_gap2.cast("double"), expected), F.lit(0.0)))
+    n, t, p, t2, p2, gap2 = (c.cast("decimal(19,0)") for c in (n, sum_truth, sum_pred, sum_truth2, sum_pred2, sum_gap2))
+    chance = n * (t2 + p2) - F.lit(2).cast("decimal(1,0)") * (t * p)
+    agreed = F.lit(1.0) - F.try_divide((n * gap2).cast("double"), chance.cast("double"))
+    return F.when(n > 0, F.coalesce(agreed, F.lit(0.0)))
 
 
 def grading_rates(cells: DataFrame) -> DataFrame:

@@ -93,4 +93,5 @@ def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int,
     limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
     if k > limit:
         return with_rank(df, group, order, name).filter(F.col(name) <= k)
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col(name) <= k)
+    numbered = df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col(name) <= k)
+    return numbered.withColumn(name, F.col(name).cast("bigint"))

@@ -11,17 +11,19 @@ from faultline.functions.columns import first_or_blank
 from faultline.functions.priority import bounded_criticality, consequence, severity_weight, urgency
 from faultline.functions.text import element_of
 from faultline.operators.ordered import top_per_group, with_rank
+from faultline.operators.records import one_row_per
 
 ASSET_COLUMNS = ["criticality", "production_loss_factor", "occupancy_factor", "found_on"]
 
 
 def with_factors(findings: DataFrame, assets: DataFrame | None, today: dt.date | str) -> DataFrame:
-    """Add the four score factors and the score. `assets` holds one row per image id; absent means defaults."""
+    """Add the four score factors and the score. `assets` is a table by image id; absent means defaults, and of several rows of an id the least counts."""
     keyed = findings.withColumn("image_id", first_or_blank(F.col("evidence.image_ids")))
     if assets is None:
         known = keyed.withColumns({name: F.lit(None).cast("string" if name == "found_on" else "double") for name in ASSET_COLUMNS})
     else:
-        known = keyed.join(assets.select("image_id", *ASSET_COLUMNS), "image_id", "left")
+        register = one_row_per(assets.select("image_id", *ASSET_COLUMNS), "image_id")
+        known = keyed.join(register, "image_id", "left")
     level = F.col("unified.level")
     factors = known.withColumns(
         {

@@ -6,9 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def one_row_per(df: DataFrame, key: str, order: list[Column] | None = None) -> DataFrame:
+    """The first row of each key in `order`, or else the least by all its columns: the same on any partitioning."""
+    row = F.struct(*[F.col(name) for name in df.columns])
+    first = F.min(row) if order is None else F.min_by(row, F.struct(*order))
+    return df.groupBy(key).agg(first.alias("_row")).select("_row.*")
+
+
 def distinct_images(images: DataFrame) -> DataFrame:
-    """One row per image id. Duplicate manifest rows would be scored, and paid for, twice."""
-    return images.dropDuplicates(["image_id"])
+    """The first row of each image id in manifest order. Duplicate rows would be scored, and paid for, twice."""
+    order = ["pos", "path", "sha256"] if "pos" in images.columns else ["path", "sha256", "width", "height"]
+    return one_row_per(images, "image_id", [F.col(name) for name in order])
 
 
 def duplicate_count(images: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from faultline.fixed_values import DISASTER_CLASSES, LEVELS
 from faultline.functions.columns import first_or_blank, key_counts, ratio
 from faultline.functions.grades import level_ordinal
+from faultline.operators.ordered import with_running
+from faultline.operators.records import one_row_per
 
 
 def first_image() -> Column:
@@ -17,8 +19,8 @@ def first_image() -> Column:
 
 
 def priced(calls: DataFrame, prices: DataFrame) -> DataFrame:
-    """Calls with `usd` from token counts; a model without a price costs nothing."""
-    tariff = prices.select("model", "usd_per_mtok_in", "usd_per_mtok_out")
+    """Calls with `usd` from token counts; a model without a price costs nothing, one with several the least."""
+    tariff = one_row_per(prices.select("model", "usd_per_mtok_in", "usd_per_mtok_out"), "model")
     usd = (
         F.col("input_tokens") * F.coalesce("usd_per_mtok_in", F.lit(0.0))
         + F.col("output_tokens") * F.coalesce("usd_per_mtok_out", F.lit(0.0))
@@ -71,43 +73,44 @@ def cost_by_stage(calls: DataFrame) -> DataFrame:
     )
 
 
-def _by_latency(calls: DataFrame, keys: list[str]) -> DataFrame:
-    """Calls counted per millisecond of latency.
+def median_seconds(calls: DataFrame, keys: list[str]) -> DataFrame:
+    """The exact median of the logged seconds of each group.
 
-    Logged seconds carry three decimals, so a group has at most (longest call in ms) rows here however many
-    calls it holds, and the exact median below reads those instead of the calls.
+    Equal values are counted, the counts are summed in order over range partitions, and the one or two middle places
+    are looked up, so no task holds a group's values.
     """
-    return calls.groupBy(*keys, F.round("seconds", 3).alias("seconds")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("usd").alias("usd"),
-        F.sum("input_tokens").alias("input_tokens"),
-        F.sum("output_tokens").alias("output_tokens"),
-    )
+    counted = calls.filter(F.col("seconds").isNotNull()).groupBy(*keys, "seconds").agg(F.count(F.lit(1)).alias("n"))
+    placed = with_running(counted, keys, [F.col("seconds")], sums={"upto": F.col("n")})
+    totals = counted.groupBy(*keys).agg(F.sum("n").alias("_total"))
 
+    def covers(place: Column) -> Column:
+        return (F.col("upto") - F.col("n") < place) & (place <= F.col("upto"))
 
-def _median() -> Column:
-    return F.percentile("seconds", 0.5, F.col("n")).alias("median_seconds")
+    low, high = F.floor((F.col("_total") + 1) / 2), F.floor(F.col("_total") / 2) + 1
+    middle = placed.join(totals, keys).filter(covers(low) | covers(high))
+    return middle.groupBy(*keys).agg(((F.min("seconds") + F.max("seconds")) / 2).alias("median_seconds"))
 
 
 def ops_by_stage(calls: DataFrame) -> DataFrame:
-    latency = _by_latency(calls, ["run_id", "stage", "model"])
-    return latency.groupBy("run_id", "stage").agg(
-        F.sum("n").alias("calls"),
-        _median(),
+    keys = ["run_id", "stage"]
+    totals = calls.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("calls"),
         F.round(F.sum("usd"), 4).alias("usd_total"),
         F.array_join(F.array_sort(F.collect_set("model")), ", ").alias("models"),
     )
+    return totals.join(median_seconds(calls, keys), keys, "left").select(*keys, "calls", "median_seconds", "usd_total", "models")
 
 
 def cost_by_stage_model(calls: DataFrame) -> DataFrame:
-    latency = _by_latency(calls, ["run_id", "stage", "model"])
-    return latency.groupBy("run_id", "stage", "model").agg(
-        F.sum("n").alias("calls"),
+    keys = ["run_id", "stage", "model"]
+    totals = calls.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("calls"),
         F.sum("usd").alias("usd"),
-        _median(),
         F.sum("input_tokens").alias("input_tokens"),
         F.sum("output_tokens").alias("output_tokens"),
     )
+    columns = [*keys, "calls", "usd", "median_seconds", "input_tokens", "output_tokens"]
+    return totals.join(median_seconds(calls, keys), keys, "left").select(*columns)
 
 
 def usd_per_image(calls: DataFrame, gate: DataFrame, images: DataFrame) -> DataFrame:
@@ -252,8 +255,11 @@ def levels_long(counts: DataFrame, key: str = "run_id") -> DataFrame:
     return counts.unpivot(key, LEVELS, "level", "count")
 
 
-def disaster_counts(findings: DataFrame) -> DataFrame:
-    """Triage counts per run: one column per damage class and level, zero when absent, and mean confidence without U."""
+def disaster_counts(findings: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """Triage counts per run: one column per damage class and level, zero when absent, and mean confidence without U.
+
+    Runs listed in `runs` that have no finding count zeros.
+    """
     value, level = F.col("native_scale.value"), F.col("unified.level")
     assessed = F.when(level != "U", F.col("measurements.confidence"))
     counts = findings.groupBy("run_id").agg(
@@ -264,6 +270,9 @@ def disaster_counts(findings: DataFrame) -> DataFrame:
         *[F.count_if(level == name).alias(name) for name in LEVELS],
         F.avg(assessed).alias("mean_confidence"),
     )
+    if runs is not None:
+        counts = counts.join(runs.select("run_id").distinct(), "run_id", "full_outer")
+        counts = counts.fillna(0, [name for name in counts.columns if name not in ("run_id", "mean_confidence")])
     return counts.withColumn("u_rate", ratio(F.col("U"), F.col("n_findings")))
 
 

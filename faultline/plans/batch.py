@@ -17,8 +17,8 @@ from faultline import schemas
 from faultline.fixed_values import FORCED_CLASSES, MIN_CLEAN_CONFIDENCE
 from faultline.functions.routing import pass_through_verdict, with_routing
 from faultline.functions.tiles import explode_targets
-from faultline.operators.queue import rank_queue
-from faultline.operators.records import distinct_images, for_disaster, not_yet_gated, not_yet_graded
+from faultline.operators.queue import ASSET_COLUMNS, rank_queue
+from faultline.operators.records import distinct_images, for_disaster, not_yet_gated, not_yet_graded, one_row_per
 from faultline.operators.review import apply_reviews
 from faultline.operators.runs import disaster_counts, priced, progress, ranked_list, summarise
 from faultline.operators.scoring import (
@@ -29,7 +29,7 @@ from faultline.operators.scoring import (
     graded_findings,
     unusable_findings,
 )
-from faultline.operators.validation import standard_for
+from faultline.operators.validation import image_rules, split_valid, standard_for
 from faultline.sources import readers, writers
 
 
@@ -103,16 +103,14 @@ def _grade_stage(images: DataFrame, root: str, run_id: str, grade: Scorer, setti
 
 
 def captured_dates(images: DataFrame, assets: DataFrame | None) -> DataFrame:
-    """The asset attributes a queue needs; without an asset register only the capture date is known."""
-    if assets is not None:
-        return assets
-    return images.select(
-        "image_id",
-        F.lit(None).cast("double").alias("criticality"),
-        F.lit(None).cast("double").alias("production_loss_factor"),
-        F.lit(None).cast("double").alias("occupancy_factor"),
-        F.col("captured_on").alias("found_on"),
-    )
+    """The asset attributes a queue needs. The capture date stands in where a register has no date for an image."""
+    captured = one_row_per(images.select("image_id", "captured_on"), "image_id")
+    blank = {name: F.lit(None).cast("double") for name in ("criticality", "production_loss_factor", "occupancy_factor")}
+    if assets is None:
+        return captured.withColumns(blank).withColumn("found_on", F.col("captured_on"))
+    register = one_row_per(assets.select("image_id", *ASSET_COLUMNS), "image_id")
+    joined = register.join(captured, "image_id", "full_outer")
+    return joined.withColumn("found_on", F.coalesce("found_on", "captured_on"))
 
 
 def save_ranked(images: DataFrame, root: str, run_id: str, today: dt.date | str, *, assets: DataFrame | None = None,
@@ -133,6 +131,15 @@ def save_ranked(images: DataFrame, root: str, run_id: str, today: dt.date | str,
     return queue
 
 
+def valid_images(images: DataFrame) -> DataFrame:
+    """`images` if every row fulfils the image contract; a bad row stops the run before any scorer is called."""
+    valid, broken = split_valid(images, image_rules())
+    if not broken.isEmpty():
+        rules = broken.select(F.explode("violations").alias("rule")).groupBy("rule").count().orderBy("rule")
+        raise ValueError("images break their contract: " + ", ".join(f"{r['rule']} {r['count']}" for r in rules.collect()))
+    return valid
+
+
 def run_progress(images: DataFrame, root: str, run_id: str, settings: RunSettings | None = None) -> DataFrame:
     """The live counters of a run from what its tables hold now."""
     spark, this_run = images.sparkSession, F.col("run_id") == run_id
@@ -158,8 +165,9 @@ def run_batch(images: DataFrame, root: str, run_id: str, gate: Scorer | None, gr
         if scorer is not None:
             check_scorer(name, scorer)
     spark = images.sparkSession
+    images = valid_images(images)
     if settings.limit:
-        images = images.orderBy("pos").limit(settings.limit)
+        images = images.orderBy("pos" if "pos" in images.columns else "image_id").limit(settings.limit)
     images = distinct_images(images)
 
     def report(stage: str) -> None:
@@ -190,7 +198,7 @@ def disaster_images(spark: SparkSession, *, folder: str | None = None, manifest:
     if (folder is None) == (manifest is None):
         raise ValueError("a disaster run needs either a folder or a manifest")
     if manifest is not None:
-        return for_disaster(readers.read_manifest(spark, manifest))
+        return for_disaster(readers.read_manifest(spark, manifest, position=True))
     name = folder.rstrip("/").rsplit("/", 1)[-1]
     return readers.scan_folder(
         spark, folder, "building_disaster", source_dataset=name, split="surge", prefix="surge"
@@ -205,7 +213,7 @@ def run_disaster(spark: SparkSession, root: str, run_id: str, gate: Scorer | Non
     settings = replace(settings or RunSettings(), tiles=False)
     run_batch(images, root, run_id, gate, grade, today, settings=settings, **options)
     queue = readers.read_run_table(spark, root, "queue", schemas.QUEUE).filter(F.col("run_id") == run_id)
-    counts = disaster_counts(queue)
+    counts = disaster_counts(queue, spark.range(1).select(F.lit(run_id).alias("run_id")))
     if settings.exports:
         writers.write_summary(counts, f"{root.rstrip('/')}/exports/{run_id}/surge_counts_json")
     return counts, ranked_list(queue)

@@ -60,8 +60,14 @@ def scored_report(images: DataFrame, routed_gate: DataFrame, findings: DataFrame
     }
 
 
-def run_report(routed_gate: DataFrame, findings: DataFrame, calls: DataFrame,
-               images: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Metrics of each run, and the evaluation tables when the images carry labels."""
-    report = {"metrics": runs.run_metrics(routed_gate, findings, calls)}
+def run_report(routed_gate: DataFrame, findings: DataFrame, calls: DataFrame, images: DataFrame | None = None, *,
+               configs: DataFrame | None = None, disaster_runs: DataFrame | None = None, top: int = 10) -> dict[str, DataFrame]:
+    """Metrics of each run, the first rows of its queue, and the evaluation tables when images with labels are given.
+
+    `images` needs a run_id to give the size of each run's manifest.
+    """
+    sized = images if images is not None and "run_id" in images.columns else None
+    report = {"metrics": runs.run_metrics(routed_gate, findings, calls, images=sized, configs=configs, disaster_runs=disaster_runs)}
+    if "queue_rank" in findings.columns:
+        report["top"] = runs.ranked_list(findings.filter(F.col("queue_rank") <= top))
     return report if images is None else report | evaluation_tables(images, routed_gate, findings)

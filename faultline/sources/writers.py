@@ -67,7 +67,7 @@ def freeze_digest(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     row_hash = F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256)
 
     def word(at: int) -> Column:
-        return F.conv(F.substring(row_hash, at, 8), 16, 10).cast("bigint")
+        return F.conv(F.substring(row_hash, at, 8), 16, 10).cast("decimal(10,0)")  # sums have 20 digits
 
     sums = [F.sum(word(1 + 8 * at)).alias(f"w{at}") for at in range(4)]
     return df.select(row_hash.alias("h"), *fields).agg(F.count(F.lit(1)).alias("rows"), *sums).select(

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from faultline import schemas
 from faultline.operators.records import distinct_images, not_yet_gated
 from faultline.operators.review import agreement
-from faultline.operators.runs import cost_by_stage
+from faultline.operators.runs import cost_by_stage, priced
 from faultline.operators.scoring import Scorer, check_scorer, gate_images
 from faultline.sources import readers, writers
 
@@ -21,8 +21,8 @@ def manifest_stream(spark: SparkSession, folder: str, files_per_trigger: int | N
     return reader.json(folder)
 
 
-def gate_arrivals(images: DataFrame, root: str, run_id: str, gate: Scorer, checkpoint: str) -> StreamingQuery:
-    """Gate each arriving image of a run once.
+def gate_arrivals(images: DataFrame, root: str, run_id: str, gate: Scorer, checkpoint: str, prices: DataFrame | None = None) -> StreamingQuery:
+    """Gate each arriving image of a run once; its call costs what `prices` say.
 
     The checkpoint skips files already taken; the anti-join skips images already gated, whether by an earlier batch,
     by a batch job, or by a batch that is replayed after its append had finished.
@@ -32,7 +32,8 @@ def gate_arrivals(images: DataFrame, root: str, run_id: str, gate: Scorer, check
     def gate_batch(batch: DataFrame, _: int) -> None:
         done = readers.gated_ids(batch.sparkSession, root, run_id)
         scored = gate_images(not_yet_gated(distinct_images(batch), done), gate)
-        rows = scored.withColumns({"usd": F.lit(0.0), "run_id": F.lit(run_id)})
+        costed = scored.withColumn("usd", F.lit(0.0)) if prices is None else priced(scored, prices)
+        rows = costed.withColumn("run_id", F.lit(run_id))
         writers.append_log(rows.select(*schemas.struct(schemas.GATE_LOG).fieldNames(), "run_id"), root, "gate")
 
     return (
@@ -54,8 +55,21 @@ def live_costs(calls: DataFrame) -> DataFrame:
 
 
 def cost_per_bucket(calls: DataFrame, bucket: str = "1 hour", lateness: str = "2 hours") -> DataFrame:
-    """Live costs per time bucket of the call's own timestamp; rows later than `lateness` are left out."""
+    """Live costs per time bucket of the call's own timestamp, for a sink in update mode.
+
+    A bucket comes out whenever it changes, so the newest ones are there before they close; rows later than
+    `lateness` are left out, which bounds the state.
+    """
     timed = calls.withWatermark("ts", lateness)
     return timed.groupBy("run_id", "stage", F.window("ts", bucket)).agg(
-        F.count(F.lit(1)).alias("calls"), F.sum("usd").alias("usd")
+        F.count(F.lit(1)).alias("calls"), F.sum("usd").alias("usd"), F.max("ts").alias("last_ts")
     )
+
+
+def latest_buckets(updates: DataFrame, lateness: str = "2 hours") -> DataFrame:
+    """The last state of each bucket from its updates (with `batch`, their number), and whether it can still change."""
+    facts = F.struct("calls", "usd", "last_ts")
+    latest = updates.groupBy("run_id", "stage", "window").agg(F.max_by(facts, "batch").alias("_last"))
+    newest = updates.agg(F.max("last_ts").alias("_newest"))  # one row
+    closed = F.col("window.end") <= F.col("_newest") - F.expr(f"interval {lateness}")
+    return latest.join(F.broadcast(newest)).select("run_id", "stage", "window", "_last.calls", "_last.usd", closed.alias("closed"))

@@ -177,3 +177,10 @@ def test_measured_values(spark):
     )
     got = rows.select("want", measured_value(*[F.col(c) for c in "sdwtip"]).alias("got")).collect()
     assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_kappa_of_one_constant_class_is_zero_at_any_size(spark):
+    cells = spark.createDataFrame([("run", "steel_coating", 2, 2, 100_000_007)], "run_id string, asset_class string, truth int, pred int, n bigint")
+    assert evaluation.grading_rates(cells).first().qwk == 0.0
+    near = cells.union(cells.selectExpr("run_id", "asset_class", "1", "2", "bigint(1)")).union(cells.selectExpr("run_id", "asset_class", "1", "1", "bigint(1)"))
+    assert evaluation.grading_rates(near).first().qwk == pytest.approx(2 / 3, abs=1e-6)

@@ -62,3 +62,4 @@ def test_top_per_group_is_limited_before_the_shuffle(spark):
     deep = top_per_group(df, ["g"], [F.col("k").desc(), F.col("id")], 2000)
     want = df.groupBy("g").count().select(F.least(F.col("count"), F.lit(2000)).alias("n")).agg(F.sum("n")).first()[0]
     assert deep.count() == want
+    assert dict(top.dtypes)["rn"] == dict(deep.dtypes)["rn"] == "bigint"

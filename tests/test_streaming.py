@@ -1,7 +1,7 @@
 import builders
 from pyspark.sql import functions as F
 
-from faultline.operators.runs import cost_by_stage
+from faultline.operators.runs import cost_by_stage, median_seconds
 from faultline.sources import readers, writers
 from faultline.streaming import live
 
@@ -37,3 +37,34 @@ def test_live_costs_equal_batch(spark, tmp_path):
         "checkpointLocation", str(tmp_path / "cp")
     ).trigger(availableNow=True).start().awaitTermination()
     assert seen[max(seen)] == sorted(map(tuple, cost_by_stage(calls).collect()))
+
+
+def test_arrivals_cost_what_the_prices_say(spark, tmp_path):
+    root, inbox, checkpoint = (str(tmp_path / n) for n in ("store", "inbox", "checkpoint"))
+    writers.write_manifest(builders.images(spark, [{"image_id": "img_0"}]), f"{inbox}/one")
+    prices = spark.createDataFrame([("fake-gate", 1000.0, 2000.0)] * 2, "model string, usd_per_mtok_in double, usd_per_mtok_out double")
+    live.gate_arrivals(live.manifest_stream(spark, f"{inbox}/*"), root, "run", builders.fake_gate, checkpoint, prices).awaitTermination()
+    assert readers.load_gate(spark, root).first().usd == (16 * 1000 + 4 * 2000) / 1e6
+
+
+def test_every_bucket_is_there_in_its_last_state(spark, tmp_path):
+    rows = [("run", "gate", at / 8, f"2026-09-25 0{at % 9}:30:00") for at in range(60)]
+    calls = spark.createDataFrame(rows, "run_id string, stage string, usd double, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    calls.repartition(4).write.parquet(str(tmp_path / "calls"))
+    stream = spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "calls"))
+
+    def keep(batch, number):
+        batch.withColumn("batch", F.lit(number)).write.parquet(str(tmp_path / "updates"), mode="append")
+
+    live.cost_per_bucket(stream, lateness="12 hours").writeStream.foreachBatch(keep).outputMode("update").option(
+        "checkpointLocation", str(tmp_path / "cp")
+    ).trigger(availableNow=True).start().awaitTermination()
+    got = live.latest_buckets(spark.read.parquet(str(tmp_path / "updates"))).orderBy("window").collect()
+    assert [r.calls for r in got] == [7, 7, 7, 7, 7, 7, 6, 6, 6] and sum(r.usd for r in got) == sum(r[2] for r in rows)
+    assert [r.closed for r in got] == [True] * 6 + [False] * 3
+
+
+def test_median_of_the_seconds_as_logged(spark):
+    rows = [("a", 0.00049)] * 3 + [("b", 1.0), ("b", 0.25), ("b", 4.0), ("b", 0.5), ("c", None)]
+    got = median_seconds(spark.createDataFrame(rows, "run_id string, seconds double"), ["run_id"]).collect()
+    assert {r.run_id: r.median_seconds for r in got} == {"a": 0.00049, "b": 0.75}
