@@ -98,8 +98,9 @@ def packed(items: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOU
 def packed_documents(documents: DataFrame, model_path: str, cluster: Column | None = None, capacity: int = CAPACITY, per_source: int = PER_SOURCE) -> DataFrame:
     """Pack `documents` (doc_id, text, source) by their tokens. The default cluster is the text itself, so copies never meet in a bin."""
     chosen = documents.select("doc_id", "source", (F.xxhash64("text") if cluster is None else cluster).alias("cluster"), "text")
-    counted = token_counts(chosen, model_path, order=["doc_id"])
-    return packed(counted.select("doc_id", F.col("n_tokens").alias("length"), "source", "cluster"), capacity, per_source)
+    counted = token_counts(chosen, model_path, order=["doc_id"]).select("doc_id", F.col("n_tokens").alias("length"), "source", "cluster")
+    # Written, so that no filter above counts a second time.
+    return packed(materialise(counted, "lengths"), capacity, per_source)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
