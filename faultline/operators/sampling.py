@@ -79,6 +79,10 @@ def quota_sample(df: DataFrame, id_column: str, classes_column: str, seed: int,
     return candidates.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(choose, schema)
 
 
+#: Exemplars that a grader is shown at most.
+MAX_EXEMPLARS = 5
+
+
 def exemplar_candidates(images: DataFrame) -> DataFrame:
     """Images that may be shown to a grader: graded by a named source and in no evaluation split."""
     return images.filter(
@@ -90,7 +94,7 @@ def exemplar_candidates(images: DataFrame) -> DataFrame:
 
 def select_exemplars(images: DataFrame, k: int = 3, exclude_ids: list[str] | None = None) -> DataFrame:
     """Up to `k` (0 to 5) exemplars per asset class, one per grade in grade order, then a second of each, and so on."""
-    k = max(0, min(5, k))
+    k = max(0, min(MAX_EXEMPLARS, k))
     pool = exemplar_candidates(images)
     if exclude_ids:
         pool = pool.filter(~F.col("image_id").isin(*exclude_ids))
@@ -107,9 +111,13 @@ def select_exemplars(images: DataFrame, k: int = 3, exclude_ids: list[str] | Non
 
 
 def exemplars_for_targets(targets: DataFrame, exemplars: DataFrame) -> DataFrame:
-    """Attach to each target the exemplars of its class except its own image; at most five per class."""
+    """Attach to each target the exemplars of its class except its own image.
+
+    A class shows its first MAX_EXEMPLARS; select_exemplars picks no more, so that many rows a class travel to the tasks.
+    """
     item = F.struct("place", F.col("image_id"), "native_value", "note")
-    by_class = exemplars.groupBy("asset_class").agg(F.array_sort(F.collect_list(item)).alias("_exemplars"))
+    first = top_per_group(exemplars, ["asset_class"], [F.col("place"), F.col("image_id")], MAX_EXEMPLARS, "_rn")
+    by_class = first.groupBy("asset_class").agg(F.array_sort(F.collect_list(item)).alias("_exemplars"))
     joined = targets.join(F.broadcast(by_class), "asset_class", "left")
     others = F.filter("_exemplars", lambda e: e["image_id"] != F.col("image_id"))
     return joined.withColumn("exemplars", F.coalesce(others, F.array().cast(joined.schema["_exemplars"].dataType))).drop(

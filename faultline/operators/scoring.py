@@ -11,19 +11,21 @@ import datetime as dt
 import json
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline import schemas
-from faultline.fixed_values import ASSET_CLASSES
 from faultline.functions.text import metadata_lines
+from faultline.operators.sampling import exemplars_for_targets
 from faultline.operators.validation import finding_rules, rubrics_by_standard
 
 Scorer = Callable[[dict], dict | None]
 ATTEMPTS = 2
-MAX_EXEMPLARS = 5
+#: Rows that are answered before any of them leaves a task.
+SLICE = 64
 
 
 def check_scorer(name: str, scorer: object) -> None:
@@ -72,22 +74,42 @@ def _gate_row(scorer: Scorer, image: dict) -> dict:
     return fallback | {"reason": reason} | usage
 
 
-def gate_images(images: DataFrame, scorer: Scorer) -> DataFrame:
-    """Score each image once, with one retry. After a second failure the image is routed, never dropped."""
+USAGE_FIELDS = [
+    ("model", pa.string()),
+    ("input_tokens", pa.int64()),
+    ("output_tokens", pa.int64()),
+    ("seconds", pa.float64()),
+    ("note", pa.string()),
+    ("ts", pa.timestamp("us", "UTC")),
+]
+
+
+def _answered(call: Callable[[dict], dict], rows: list[dict], at_once: int) -> list[dict]:
+    """The answers in row order, from up to `at_once` calls at a time."""
+    if at_once <= 1:
+        return [call(row) for row in rows]
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(call, rows))
+
+
+def gate_images(images: DataFrame, scorer: Scorer, at_once: int = 1) -> DataFrame:
+    """Score each image once, with one retry. After a second failure the image is routed, never dropped.
+
+    A task makes up to `at_once` calls at a time, from threads. A scorer sees plain values: whole numbers stay whole
+    and missing values are None, whatever else is in the batch.
+    """
     check_scorer("gate", scorer)
     kept = [name for name in ("image_id", "path", "asset_class", "width", "height", "source_dataset") if name in images.columns]
-    schema = schemas.struct(schemas.GATE)
-    columns = schema.fieldNames()
+    fields = [("usable", pa.bool_()), ("damage_present", pa.bool_()), ("confidence", pa.float64()), ("reason", pa.string()), *USAGE_FIELDS]
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [
-                {"image_id": image["image_id"], "asset_class": image["asset_class"]} | _gate_row(scorer, image)
-                for image in batch.to_dict("records")
-            ]
-            yield pd.DataFrame(rows, columns=columns)
+            for part in (batch.slice(at, SLICE) for at in range(0, batch.num_rows, SLICE)):
+                answers = _answered(lambda image: _gate_row(scorer, image), part.to_pylist(), at_once)
+                columns = [pa.array([answer[name] for answer in answers], kind) for name, kind in fields]
+                yield pa.RecordBatch.from_arrays([part.column("image_id"), part.column("asset_class"), *columns], ["image_id", "asset_class", *dict(fields)])
 
-    return images.select(*kept).mapInPandas(score, schema)
+    return images.select(*kept).mapInArrow(score, schemas.struct(schemas.GATE))
 
 
 def _grade_row(scorer: Scorer, target: dict) -> dict:
@@ -101,51 +123,39 @@ def _grade_row(scorer: Scorer, target: dict) -> dict:
     return {"contract_json": contract} | _usage(answer, started, note)
 
 
-def _exemplars_by_class(exemplars: DataFrame | None) -> dict[str, list[dict]]:
-    """The chosen exemplars, at most five per asset class, as plain lists for the workers."""
-    most = MAX_EXEMPLARS * len(ASSET_CLASSES)
-    rows = [] if exemplars is None else exemplars.orderBy("asset_class", "place").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {MAX_EXEMPLARS} exemplars per asset class: select them first")
-    by_class: dict[str, list[dict]] = {}
-    for row in rows:
-        by_class.setdefault(row["asset_class"], []).append(
-            {"image_id": row["image_id"], "native_value": row["native_value"], "note": row["note"]}
-        )
-    return by_class
-
-
-def grade_targets(targets: DataFrame, scorer: Scorer, exemplars: DataFrame | None = None) -> DataFrame:
+def grade_targets(targets: DataFrame, scorer: Scorer, exemplars: DataFrame | None = None, at_once: int = 1) -> DataFrame:
     """Grade each target once and return contract text and usage beside the target's columns.
 
     The scorer also gets `rubric`, the rows of the target's standard, and `exemplars`, those of its class except
-    the target's own image. Both are small and fixed for a run, so they travel once per task, not once per row.
+    the target's own image. A task makes up to `at_once` calls at a time, from threads.
     """
     check_scorer("grade", scorer)
     rubrics = rubrics_by_standard()
-    shown = _exemplars_by_class(exemplars)
     with_metadata = targets.withColumn(
         "metadata",
         metadata_lines(*[F.col(name) for name in ("asset_class", "gsd_mm_per_px", "irradiance_wm2", "captured_on", "width", "height")]),
     )
     carried = ["finding_id", "image_id", "asset_class", "standard", "tile", "bbox", "gsd_mm_per_px", "irradiance_wm2"]
     asked = [*carried, "path", "metadata"]
-    schema = schemas.struct(f"contract_json string, {schemas.USAGE}")
-    carried_schema = with_metadata.select(*carried).schema
-    for field in schema.fields:
-        carried_schema = carried_schema.add(field)
-    columns = carried_schema.fieldNames()
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    if exemplars is not None:
+        with_metadata, asked = exemplars_for_targets(with_metadata, exemplars), [*asked, "exemplars"]
+    schema = with_metadata.select(*carried).schema
+    for field in schemas.struct(f"contract_json string, {schemas.USAGE}").fields:
+        schema = schema.add(field)
+    fields = [("contract_json", pa.string()), *USAGE_FIELDS]
+
+    def grade(target: dict) -> dict:
+        shown = [{name: e[name] for name in ("image_id", "native_value", "note")} for e in target.get("exemplars") or []]
+        return _grade_row(scorer, target | {"rubric": rubrics.get(target["standard"], []), "exemplars": shown})
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for target in batch.to_dict("records"):
-                others = [e for e in shown.get(target["asset_class"], []) if e["image_id"] != target["image_id"]]
-                given = target | {"rubric": rubrics.get(target["standard"], []), "exemplars": others}
-                rows.append({name: target[name] for name in carried} | _grade_row(scorer, given))
-            yield pd.DataFrame(rows, columns=columns)
-
-    return with_metadata.select(*asked).mapInPandas(score, carried_schema)
+            for part in (batch.slice(at, SLICE) for at in range(0, batch.num_rows, SLICE)):
+                answers = _answered(grade, part.to_pylist(), at_once)
+                columns = [pa.array([answer[name] for answer in answers], kind) for name, kind in fields]
+                yield pa.RecordBatch.from_arrays([*(part.column(name) for name in carried), *columns], [*carried, *dict(fields)])
+
+    return with_metadata.select(*asked).mapInArrow(score, schema)
 
 
 def evidence_struct() -> Column:

@@ -7,7 +7,7 @@ actions share an unwritten scorer result, and a rerun continues from the rows th
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -30,6 +30,7 @@ from faultline.operators.scoring import (
     unusable_findings,
 )
 from faultline.operators.validation import image_rules, split_valid, standard_for
+from faultline.session import materialise
 from faultline.sources import readers, writers
 
 
@@ -40,7 +41,9 @@ class RunSettings:
     forced_classes: tuple[str, ...] = tuple(FORCED_CLASSES)
     bridge_alternative: bool = False
     limit: int = 0
-    scorer_tasks: int = 0
+    scorer_tasks: int = 0  # 0: as many as shuffles have
+    calls_at_once: int = 1  # of each task
+    wave_rows: int = 50_000  # rows scored between two commits
     exports: bool = True
 
 
@@ -48,9 +51,17 @@ def _priced(rows: DataFrame, prices: DataFrame | None) -> DataFrame:
     return rows.withColumn("usd", F.lit(0.0)) if prices is None else priced(rows, prices)
 
 
-def _spread(df: DataFrame, tasks: int) -> DataFrame:
-    """Scorer rows are small but slow: without a fixed task count a whole manifest may land in a few tasks."""
-    return df.repartition(tasks) if tasks else df
+def _waves(todo: DataFrame, key: str, settings: RunSettings) -> Iterator[DataFrame]:
+    """What is to be scored, in parts of about `wave_rows`. Each part is written before the next one starts.
+
+    A run that dies keeps its finished waves, and pays again for one wave at most. The rows are written once, so all
+    waves see the same ones. Scorer rows are small but slow: without a fixed task count they may land in a few tasks.
+    """
+    planned = materialise(todo, "todo")
+    waves = max(1, -(-planned.count() // settings.wave_rows))
+    tasks = settings.scorer_tasks or int(todo.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for wave in range(waves):
+        yield planned.filter(F.pmod(F.xxhash64(key), F.lit(waves)) == wave).repartition(tasks, F.col(key))
 
 
 def _gate_stage(images: DataFrame, root: str, run_id: str, gate: Scorer | None, settings: RunSettings,
@@ -62,11 +73,12 @@ def _gate_stage(images: DataFrame, root: str, run_id: str, gate: Scorer | None,
         blank = {f.name: F.lit(None).cast(f.dataType) for f in usage.fields}
         blank |= {"model": F.lit("none"), "input_tokens": F.lit(0).cast("bigint"), "output_tokens": F.lit(0).cast("bigint"),
                   "seconds": F.lit(0.0), "note": F.lit(""), "ts": F.current_timestamp()}
-        verdicts = pass_through_verdict(todo.select("image_id", "asset_class")).withColumns(blank)
+        parts = iter([pass_through_verdict(todo.select("image_id", "asset_class")).withColumns(blank)])
     else:
-        verdicts = gate_images(_spread(todo, settings.scorer_tasks), gate)
-    rows = _priced(verdicts, prices).withColumn("run_id", F.lit(run_id))
-    writers.append_log(rows.select(*schemas.struct(schemas.GATE_LOG).fieldNames(), "run_id"), root, "gate")
+        parts = (gate_images(wave, gate, settings.calls_at_once) for wave in _waves(todo, "image_id", settings))
+    for verdicts in parts:
+        rows = _priced(verdicts, prices).withColumn("run_id", F.lit(run_id))
+        writers.append_log(rows.select(*schemas.struct(schemas.GATE_LOG).fieldNames(), "run_id"), root, "gate")
 
 
 def routed_gate(spark: SparkSession, root: str, settings: RunSettings) -> DataFrame:
@@ -97,9 +109,11 @@ def _grade_stage(images: DataFrame, root: str, run_id: str, grade: Scorer, setti
     }
     not_assessed = not_yet_graded(unusable_findings(unusable), done).withColumns(blank)
     targets = not_yet_graded(grading_targets(images, gate, settings), done)
-    answers = _priced(grade_targets(_spread(targets, settings.scorer_tasks), grade, exemplars), prices)
-    findings = graded_findings(answers).unionByName(not_assessed).withColumn("run_id", F.lit(run_id))
-    writers.append_log(findings.select(*fields), root, "findings")
+    writers.append_log(not_assessed.withColumn("run_id", F.lit(run_id)).select(*fields), root, "findings")
+    for wave in _waves(targets, "finding_id", settings):
+        answers = _priced(grade_targets(wave, grade, exemplars, settings.calls_at_once), prices)
+        findings = graded_findings(answers).withColumn("run_id", F.lit(run_id))
+        writers.append_log(findings.select(*fields), root, "findings")
 
 
 def captured_dates(images: DataFrame, assets: DataFrame | None) -> DataFrame:
