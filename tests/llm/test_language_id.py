@@ -10,14 +10,24 @@ from faultline.llm.language_id import WIDTHS, fit_languages, fit_ridge, language
 DATA = "/root/testdata/sf0.01"
 
 
+def place_sets(text):
+    """For each n, the places of the text's n-grams, each looked up by itself."""
+    out, offset = [], 0
+    for n, width in WIDTHS.items():
+        grams = sorted({text[i : i + n] for i in range(len(text) - n + 1)})
+        out.append({int(np.flatnonzero(row[offset : offset + width])[0]) for row in presence(grams)})
+        offset += width
+    return out
+
+
 def test_kernel_is_the_mean_cosine_of_ngram_sets():
-    texts = ["the cat sat", "The dog sat down", "der hund"]
-    grams = lambda t, n: {t.lower()[i : i + n] for i in range(len(t) - n + 1)}
+    texts = ["the cat sat", "the dog sat down", "der hund"]
     rows = scaled(presence(texts))
-    for i, a in enumerate(texts):
-        for j, b in enumerate(texts):
-            want = np.mean([len(grams(a, n) & grams(b, n)) / np.sqrt(len(grams(a, n)) * len(grams(b, n))) for n in WIDTHS])
-            assert rows[i] @ rows[j] == pytest.approx(want, abs=0.03)  # n-grams share places now and then
+    for i, a in enumerate(map(place_sets, texts)):
+        for j, b in enumerate(map(place_sets, texts)):
+            want = np.mean([len(x & y) / np.sqrt(len(x) * len(y)) for x, y in zip(a, b, strict=True)])
+            assert rows[i] @ rows[j] == pytest.approx(want, abs=1e-6)
+    assert (presence(["The CAT"]) == presence(["the cat"])).all()
 
 
 def test_full_landmarks_give_exact_kernel_ridge():
