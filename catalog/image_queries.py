@@ -132,7 +132,8 @@ def exemplar_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(oracle("fx_images", "select image_id, replace(split_part(exif_text, ' ', 1), ':', '-') as captured_on from fx_images"))
+@query(oracle("fx_images", """select image_id, case when length(day) = 10 then day end as captured_on
+  from (select image_id, replace(split_part(exif_text, ' ', 1), ':', '-') as day from fx_images)"""))
 def capture_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.images(spark, sf_dir).select("image_id", text.capture_date(F.col("exif_text")).alias("captured_on"))
 
@@ -184,11 +185,12 @@ def record_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(oracle("fx_images", "select image_id, path from fx_images where source_dataset in (select source_dataset from fx_images where damage_present)"))
+@query(oracle("fx_images", "select image_id, path from fx_images where width % 3 <> 0"))
 def with_existing_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A listing that lacks a third of the files and has others besides."""
     images = views.images(spark, sf_dir)
-    damaged = images.filter("damage_present").select("source_dataset").distinct()
-    listing = images.join(damaged, "source_dataset", "left_semi").select("path")
+    others = images.select(F.concat("path", F.lit(".bak")).alias("path"))
+    listing = images.filter(F.col("width") % 3 != 0).select("path").union(others)
     return records.with_existing_file(images, listing).select("image_id", "path")
 
 
@@ -325,11 +327,19 @@ def finding_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(oracle("fx_images", "select count(*) as rows, 64::bigint as digest_length, true as order_free from fx_images"))
+DIGEST_SQL = """
+hashed as (
+  select sha256(concat('{"image_id":"', image_id, '","path":"', path, '","sha256":"', sha256, '","width":', width, ',"height":', height, ',"asset_class":"', asset_class, '"}')) as h
+  from fx_images
+),
+words as (select count(*) as n, """ + ", ".join(f"sum(('0x' || substr(h, {1 + 8 * at}, 8))::bigint) as w{at}" for at in range(4)) + """ from hashed)
+"""
+
+
+@query(oracle("fx_images", "select n as rows, sha256(concat(n, '/', w0, '/', w1, '/', w2, '/', w3)) as digest, true as order_free from words", DIGEST_SQL))
 def freeze_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    images = views.images(spark, sf_dir).select("image_id", "path", "sha256", "width", "height", "asset_class", "labels")
-    stored = writers.freeze_digest(images)
-    turned = writers.freeze_digest(images.orderBy(F.col("sha256").desc())).select("digest")
-    return stored.withColumn("other", turned.scalar()).select(
-        "rows", F.length("digest").cast("bigint").alias("digest_length"), (F.col("digest") == F.col("other")).alias("order_free")
-    )
+    images = views.images(spark, sf_dir)
+    flat = ["image_id", "path", "sha256", "width", "height", "asset_class"]
+    stored = writers.freeze_digest(images, [*flat, "labels"]).select("digest")
+    turned = writers.freeze_digest(images.orderBy(F.col("sha256").desc()), [*flat, "labels"]).select("digest")
+    return writers.freeze_digest(images, flat).select("rows", "digest", (stored.scalar() == turned.scalar()).alias("order_free"))

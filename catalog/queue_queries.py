@@ -103,26 +103,27 @@ def escalations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(oracle(QUEUE_VIEWS, """select run_id, queue_rank, queue_score, finding_id, image_id, asset_class, defect_type, standard, native_value,
   level as unified_level, '+/-1' as uncertainty, flag as flags, effective_action as action_code, coalesce(cast(effective_sla as varchar), '') as sla_days,
   concat('row for ', native_value) as action_basis, confidence, criterion as criteria_matched, concat('graded ', native_value) as justification,
-  review_status, concat(x0, ',', y0, ',', x0 + 100, ',', y0 + 80) as bbox, tile, model, round(usd, 6) as usd, round(seconds, 3) as seconds from ranked""", FACTORS))
+  review_status, null::varchar as reviewer, null::varchar as prior_level, concat(x0, ',', y0, ',', x0 + 100, ',', y0 + 80) as bbox, tile, model, round(usd, 6) as usd, round(seconds, 3) as seconds from ranked""", FACTORS))
 def queue_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = queue_rows(_queue(spark, sf_dir))
-    return rows.withColumn("sla_days", F.coalesce(F.col("sla_days").cast("string"), F.lit(""))).drop("reviewer", "prior_level")
+    return rows.withColumn("sla_days", F.coalesce(F.col("sla_days").cast("string"), F.lit("")))
 
 
 @query(oracle("fx_findings", r"""select run_id, image_id, finding_id,
   case when defect_type like '% (%' then regexp_replace(list_last(string_split(defect_type, ' (')), '\)+$', '') else '' end as element,
   defect_type as defect, standard, native_value as condition_state, coalesce(cast(round(area_cm2 / 10000, 4) as double), -1) as quantity,
-  case when area_cm2 is null then '' else 'm2' end as unit, level as unified_level, flag as flags, criterion as criteria_matched, confidence, review_status
+  case when area_cm2 is null then '' else 'm2' end as unit, level as unified_level, flag as flags, criterion as criteria_matched, confidence, review_status,
+  null::varchar as reviewer, null::varchar as prior_level, concat('graded ', native_value) as justification
   from fx_findings where asset_class = 'bridge_element'"""))
 def bridge_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bridge_rows(views.findings(spark, sf_dir))
-    return rows.withColumn("quantity", F.coalesce("quantity", F.lit(-1.0))).drop("reviewer", "prior_level", "justification")
+    return rows.withColumn("quantity", F.coalesce("quantity", F.lit(-1.0)))
 
 
 @query(oracle(QUEUE_VIEWS, """select run_id, queue_rank as rank, finding_id, image_id, native_value, level, confidence, effective_action as action,
-  concat('graded ', native_value) as justification from ranked""", FACTORS))
+  effective_sla as sla_days, concat('graded ', native_value) as justification from ranked""", FACTORS))
 def triage_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranked_list(_queue(spark, sf_dir)).drop("sla_days")
+    return ranked_list(_queue(spark, sf_dir))
 
 
 LEVEL_SQL = ", ".join(f"count(*) filter (where level = '{lv}') as \"{lv}\"" for lv in ("S0", "S1", "S2", "S3", "S4", "U"))

@@ -38,7 +38,8 @@ select concat('doc_', doc_id) as image_id, doc_id as pos, concat('run', doc_id %
     case when n_chars % 11 = 0 then 'ExposedRebars;' else '' end, case when n_chars % 9 = 0 then 'Efflorescence;' else '' end,
     case when n_chars % 8 = 0 then 'Wetspot;' else '' end, case when n_chars % 3 = 0 then 'Bearing;' else '' end) as label_text,
   concat('Crack=0.', n_chars % 10, ';;Rust=0.', n_chars % 7, ';') as fraction_text,
-  concat('2026:0', 1 + doc_id % 9, ':1', doc_id % 10, ' 10:00:00') as exif_text
+  case when doc_id % 17 = 0 then '2026:9:1 10:00' when doc_id % 19 = 0 then ''
+       else concat('2026:0', 1 + doc_id % 9, ':1', doc_id % 10, ' 10:00:00') end as exif_text
 from (
   select d.doc_id, d.source, d.n_chars,
     case d.doc_id % 4 when 0 then 'bridge_element' when 1 then 'steel_coating' when 2 then 'pv_module' else 'building_disaster' end as asset_class,
