@@ -9,6 +9,7 @@ from catalog import (  # noqa: F401
     image_queries,
     queue_queries,
     report_queries,
+    roundtrip_queries,
     run_queries,
     scoring_queries,
 )
