@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from faultline import schemas
 from faultline.functions.columns import first_or_blank
@@ -40,12 +42,12 @@ def _local_path(column: str) -> Column:
 
 
 def image_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Every JPEG and PNG below a folder with its bytes, whatever the case of its extension."""
+    """Every JPEG and PNG below a folder with its bytes, whatever the case of its extension; other files are not opened."""
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*.{[jJ][pP][gG],[jJ][pP][eE][gG],[pP][nN][gG]}")
         .load(folder)
-        .filter(F.lower("path").rlike(r"\.(jpg|jpeg|png)$"))
         .withColumn("path", _local_path("path"))
     )
 
@@ -54,11 +56,27 @@ def content_hash(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
-def image_dimensions(spark: SparkSession, folder: str) -> DataFrame:
-    """Width and height of every readable JPEG below a folder, decoded by the JVM image source."""
-    reader = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "true")
-    images = reader.option("pathGlobFilter", "*.[jJ][pP]*[gG]").load(folder)
-    return images.select(_local_path("image.origin").alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"))
+def jpeg_size(head: bytes) -> tuple[int, int] | None:
+    """Width and height from the frame header of a JPEG; pixels are not decoded."""
+    at = 2
+    while head[:2] == b"\xff\xd8" and at + 9 <= len(head):
+        if head[at] != 0xFF:
+            return None
+        marker = head[at + 1]
+        if marker == 0xFF:  # a fill byte
+            at += 1
+        elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+            return int.from_bytes(head[at + 7 : at + 9]), int.from_bytes(head[at + 5 : at + 7])
+        else:
+            at += 2 + int.from_bytes(head[at + 2 : at + 4])
+    return None
+
+
+@F.arrow_udf(StructType().add("width", "integer").add("height", "integer"))
+def _jpeg_dimensions(heads: pa.Array) -> pa.Array:
+    sizes = [jpeg_size(head) if head else None for head in heads.to_pylist()]
+    parts = [pa.array([size[at] if size else None for size in sizes], pa.int32()) for at in (0, 1)]
+    return pa.StructArray.from_arrays(parts, ["width", "height"])
 
 
 def png_dimension(content: Column, at: int) -> Column:
@@ -70,16 +88,17 @@ def scan_folder(spark: SparkSession, folder: str, asset_class: str, *, sidecar:
                 source_dataset: str = "", split: str = "", prefix: str = "img") -> DataFrame:
     """Image records of a folder: hash, dimensions, ids numbered from 0 in path order, sidecar overlaid.
 
-    PNG sizes come from the header that is already read for the hash; other formats from the image source. Bytes
-    never leave the scan.
+    Sizes come from the headers of the bytes that are read for the hash anyway (of a JPEG, its first mebibyte).
     """
+    is_png = F.hex(F.substring("content", 2, 3)) == "504E47"
     files = image_files(spark, folder).select(
         "path",
         content_hash(F.col("content")).alias("sha256"),
-        F.when(F.hex(F.substring("content", 2, 3)) == "504E47", png_dimension(F.col("content"), 17)).alias("_w"),
-        F.when(F.hex(F.substring("content", 2, 3)) == "504E47", png_dimension(F.col("content"), 21)).alias("_h"),
+        F.when(is_png, png_dimension(F.col("content"), 17)).alias("_w"),
+        F.when(is_png, png_dimension(F.col("content"), 21)).alias("_h"),
+        _jpeg_dimensions(F.when(~is_png, F.substring("content", 1, 2**20))).alias("_jpeg"),
     )
-    sized = files.join(image_dimensions(spark, folder), "path", "left")
+    sized = files.select("path", "sha256", "_w", "_h", "_jpeg.width", "_jpeg.height")
     numbered = with_rank(sized, [], [F.split("path", "/")], "_n")
     records = numbered.select(
         numbered_id(prefix, F.col("_n") - 1).alias("image_id"),

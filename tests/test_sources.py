@@ -133,7 +133,7 @@ def test_evaluation_set_is_written_and_disjoint(spark, tmp_path):
     assert readers.read_manifest(spark, str(tmp_path / "demo" / "mixed")).count() == 4
 
 
-def test_jpeg_sizes_come_from_the_image_source(spark, tmp_path, png):
+def test_sizes_of_encoded_jpegs(spark, tmp_path, png):
     jvm = spark._jvm
     for name, (width, height) in {"b.JPG": (20, 10), "c.jpeg": (8, 16)}.items():
         picture = jvm.java.awt.image.BufferedImage(width, height, 1)
@@ -143,3 +143,19 @@ def test_jpeg_sizes_come_from_the_image_source(spark, tmp_path, png):
     assert [(r.image_id, r.width, r.height) for r in sorted(got, key=lambda r: r.path)] == [
         ("img_00000", 5, 6), ("img_00001", 20, 10), ("img_00002", 8, 16)
     ]
+
+
+def test_jpeg_sizes_come_from_the_frame_header(spark, tmp_path):
+    def segment(marker, data):
+        return bytes([0xFF, marker]) + (len(data) + 2).to_bytes(2) + data
+
+    frame = segment(0xC2, b"\x08" + (480).to_bytes(2) + (640).to_bytes(2) + b"\x03" + bytes(9))
+    table = segment(0xC4, bytes(20))  # its marker lies among those of frames
+    whole = b"\xff\xd8" + segment(0xE1, b"exif" + bytes(5000)) + table + b"\xff" + frame
+    assert readers.jpeg_size(whole) == (640, 480)
+    assert [readers.jpeg_size(d) for d in (b"", b"no image", whole[:100], b"\xff\xd8junk and more")] == [None] * 4
+    (tmp_path / "a.JPeG").write_bytes(whole)
+    (tmp_path / "b.jpg").write_bytes(b"broken")
+    (tmp_path / "c.mp4").write_bytes(b"no image")
+    got = readers.scan_folder(spark, str(tmp_path), "steel_coating").orderBy("path").collect()
+    assert [(r.path[-6:], r.width, r.height) for r in got] == [("a.JPeG", 640, 480), ("/b.jpg", None, None)]
