@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm.components import connected_components
-from faultline.llm.support import WordHashes, fresh, materialise, mixed, shingle_hashes, table, whole_groups, word_hashes, words_of
+from faultline.llm.support import WordHashes, fresh, materialise, mixed, shingle_hashes, slices, table, whole_groups, word_hashes, words_of
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.995
 SIGNATURE, LEAF_ROWS, MAX_DEPTH, BLOCK_ROWS = 64, 256, 4, 512
@@ -70,7 +70,7 @@ def fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = word_hashes()
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(t, hashes) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -272,7 +272,7 @@ def shingle_sets(documents: DataFrame, wanted: DataFrame, doc_id: str, text: str
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = word_hashes()
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(t, hashes).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "set"])
 

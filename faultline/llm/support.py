@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from faultline.session import materialise, new_folder  # noqa: F401  (used by the operators)
 
 #: Words a worker's hash cache holds before it starts anew; the hashes do not depend on it.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -121,6 +121,13 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, for work that holds much more than its input."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def file_system(path: str):
     """The file system and the path in it: local or shared folders, and the stores pyarrow reads (s3, gs, hdfs)."""
     from pyarrow import fs
