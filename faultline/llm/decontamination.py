@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm.support import WordHashes, fresh, materialise, mixed, shingle_hashes, table, word_hashes
+from faultline.llm.support import WordHashes, fresh, materialise, mixed, shingle_hashes, slices, table, word_hashes
 
 SHINGLE, CONTAINMENT = 5, 0.8
 #: Minimum hashes of an item or window; bits of each table sent to the tasks.
@@ -148,7 +148,7 @@ def possible_documents(documents: DataFrame, items: DataFrame, doc_id: str, text
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, (wanted, shingle_bits, key_bits) = word_hashes(), shared.value
-        for batch in batches:
+        for batch in slices(batches):
             rows, keys, hits = [], [], []
             for row, value in enumerate(batch.column(2).to_pylist()):
                 values = shingles(value, hashes)

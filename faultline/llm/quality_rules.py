@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm.support import WordHashes, hash_sample, materialise, mixed, table, word_hashes
+from faultline.llm.support import WordHashes, hash_sample, materialise, mixed, slices, table, word_hashes
 
 #: Rows of a tree, trees, and so the rows of the fitting sample (those of low hash).
 TREE_ROWS, TREES = 256, 100
@@ -195,7 +195,7 @@ def rule_counts(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = word_hashes()
-        for batch in batches:
+        for batch in slices(batches):
             counted = [count_rules(t, hashes) for t in batch.column(1).to_pylist()]
             columns = np.array(counted, np.int64).reshape(-1, len(COUNTS)).T
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], ["doc_id", *COUNTS])
