@@ -15,8 +15,8 @@ Ids come from the tokenizers library. A text's pre-tokens never cross a single s
 characters, so ids are looked up by word in a worker's cache, which the library fills. Texts with other white space
 are cut at the safe places only, and texts with an added token's string go to the library whole.
 
-Defined results: null and empty texts hold the end id alone. Null ids come first; rows of equal id are ordered by their
-text. An empty table gives no file and an empty result.
+Defined results: null and empty texts hold the end id alone. Null ids come first; rows of equal id are ordered by the
+md5 of their text. An empty table gives no file and an empty result.
 """
 
 from __future__ import annotations
@@ -217,7 +217,7 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer_json: str, en
             row = {"path": path, "file_no": context.partitionId(), "n_documents": len(writer.doc_id), "n_tokens": writer.n_tokens, "n_segments": len(writer.places), "n_bytes": writer.size}
             yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("path", pa.string()), ("file_no", pa.int32()), ("n_documents", pa.int64()), ("n_tokens", pa.int64()), ("n_segments", pa.int32()), ("n_bytes", pa.int64())]))
 
-    ordered = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).orderBy("doc_id", "text")
+    ordered = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).orderBy("doc_id", F.md5("text"))
     return materialise(ordered.mapInArrow(write, MANIFEST), "token-manifest")
 
 
