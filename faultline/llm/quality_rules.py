@@ -2,8 +2,12 @@
 
 The forest follows its usual definition: every tree splits a subsample of rows at random values of random statistics,
 and a row that is alone after few splits is anomalous. A row's score is 2^(-mean path length / expected length). The
-threshold comes from labelled rows: the lowest score above which no more than `good_loss` of the good ones lie. All
-labelled rows count, as a histogram of scores; without labelled rows nothing is rejected by the forest.
+threshold comes from all labelled rows, as a histogram of scores for each label: of all cuts between scores the one of
+least weighted error, which is GOOD_WEIGHT times the share of good rows rejected plus the share of bad rows kept. Shares
+don't depend on the number of labels, and a few odd good rows don't move the cut. The threshold lies midway between the
+labelled rows on both sides of the cut; among cuts of equal error the one that rejects least counts. Without bad rows the
+threshold is the lowest score above which no more than `good_loss` of the good ones lie; without good rows nothing is
+rejected by the forest.
 
 Defined results: null and empty texts have no words and fail the base rules. Repeated rows and ties give a row each.
 An empty table gives an empty result. Only the id and the text are read, so other columns and their names don't matter.
@@ -23,7 +27,9 @@ from faultline.llm.support import WordHashes, hash_sample, materialise, mixed, s
 
 #: Rows of a tree, trees, and so the rows of the fitting sample (those of low hash).
 TREE_ROWS, TREES = 256, 100
-#: Share of the good labelled rows that the forest may reject.
+#: A share of good labelled rows rejected weighs as much as so many times that share of bad ones kept.
+GOOD_WEIGHT = 10
+#: Share of the good labelled rows that the forest may reject where no row is labelled bad.
 GOOD_LOSS = 0.001
 SCORE_BINS = 1000
 #: The range of each figure in ordinary prose.
@@ -205,6 +211,28 @@ def rule_counts(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     return chosen.mapInArrow(count, f"doc_id {kind}, " + ", ".join(f"{name} long" for name in COUNTS))
 
 
+def threshold_of(bins: list[tuple[int, int, int]], good_loss: float = GOOD_LOSS) -> float:
+    """The threshold from (bin, good rows, bad rows), ascending. A bin is the upper edge of its scores times SCORE_BINS."""
+    n_good, n_bad = sum(b[1] for b in bins), sum(b[2] for b in bins)
+    if not n_good:
+        return 1.0
+    if not n_bad:
+        above = 0
+        for edge, good, _ in reversed(bins):
+            above += good
+            if above > good_loss * n_good:
+                return edge / SCORE_BINS
+        return 1.0
+    threshold, lost, kept = 1.0, 0, n_bad
+    least = kept * n_good
+    for (edge, *_), (upper, good, bad) in zip(reversed(bins[:-1]), reversed(bins[1:]), strict=True):
+        lost, kept = lost + good, kept - bad
+        error = GOOD_WEIGHT * lost * n_bad + kept * n_good  # in whole numbers, so equal errors are equal
+        if error < least:
+            threshold, least = (edge + upper - 1) / 2 / SCORE_BINS, error
+    return threshold
+
+
 def fit_rules(counts: DataFrame, labels: DataFrame, good_loss: float = GOOD_LOSS) -> QualityRules:
     """The forest over `counts` (as rule_counts gives them) and its threshold from `labels` (doc_id, quality 0 or 1)."""
     spark = counts.sparkSession
@@ -219,17 +247,11 @@ def fit_rules(counts: DataFrame, labels: DataFrame, good_loss: float = GOOD_LOSS
     def score(*columns: pa.Array) -> pa.Array:
         return pa.array(shared.value.scores(statistics(np.stack([c.to_numpy(zero_copy_only=False) for c in columns], axis=1))))
 
-    good = labels.where("quality = 1").select("doc_id").distinct()
-    labelled = judged.join(good, "doc_id", "left_semi").withColumn("bin", F.ceil(score(*COUNTS) * SCORE_BINS))
-    bins = sorted((row["bin"], row["count"]) for row in labelled.groupBy("bin").count().collect())
-    allowed, above = good_loss * sum(n for _, n in bins), 0
-    threshold = 1.0
-    for edge, n in reversed(bins):
-        above += n
-        if above > allowed:
-            threshold = edge / SCORE_BINS
-            break
-    return QualityRules(forest, threshold)
+    # A row with both labels counts as both.
+    marks = labels.where("quality in (0, 1)").groupBy("doc_id").agg(*(F.max((F.col("quality") == q).cast("long")).alias(name) for name, q in (("good", 1), ("bad", 0))))
+    labelled = judged.join(marks, "doc_id").withColumn("bin", F.ceil(score(*COUNTS) * SCORE_BINS))
+    bins = labelled.groupBy("bin").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).collect()
+    return QualityRules(forest, threshold_of(sorted((row.bin, row.good, row.bad) for row in bins), good_loss))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

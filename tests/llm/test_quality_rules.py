@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 
-from faultline.llm.quality_rules import COUNTS, QualityRules, base_failed, count_rules, fit_rules, grow_forest, mean_search_depth, rule_counts, statistics
+from faultline.llm.quality_rules import COUNTS, QualityRules, base_failed, count_rules, fit_rules, grow_forest, mean_search_depth, rule_counts, statistics, threshold_of
 from faultline.llm.support import WordHashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -76,3 +76,23 @@ def test_no_labels_and_no_rows(spark):
 def test_fixed_rules():
     assert base_failed(49, 0) and not base_failed(50, 25) and base_failed(50, 26)
     assert statistics(np.zeros((1, len(COUNTS)), np.int64)).shape == (1, 6)
+
+
+def test_good_outliers_among_few_labels_leave_the_forest_on(spark):
+    rows = [(i, text) for i, text in documents() if i is not None and i < 3000 and i != 5]
+    choose = random.Random(4)
+    odd = [(4000 + i, "".join(choose.choice("abcdefgh") for _ in range(300)) + "$$$!!! " + rows[i][1].upper().replace(" ", "$$$$!!!! ")) for i in range(3)]
+    counts = rule_counts(spark.createDataFrame(rows + odd, "doc_id long, text string")).cache()
+    for every in (1, 2, 4):  # the share of labels differs, the verdicts don't
+        labels = spark.createDataFrame([(i, int(i < 1000 or i >= 4000)) for i, _ in rows + odd if i % every == 0 or i >= 4000], "doc_id long, quality int")
+        rules = fit_rules(counts, labels)
+        kept = {r.doc_id for r in counts.where(rules.kept_counts(spark, COUNTS)).collect()}
+        assert kept == {i for i, _ in rows if i < 1000}
+
+
+def test_threshold_of_least_weighted_error():
+    assert threshold_of([(400, 300, 0), (620, 0, 20), (770, 1, 0)]) == 0.5095  # midway between 0.400 and 0.619
+    assert threshold_of([(400, 3000, 0), (620, 0, 200), (770, 10, 0)]) == 0.5095
+    assert threshold_of([(400, 300, 20), (620, 1, 0)]) == 1.0  # bad rows that look like good ones are not worth a good row
+    assert threshold_of([(400, 999, 0), (500, 1, 0), (600, 1, 0)]) == 0.5  # good rows only: one in 1,000 may go
+    assert threshold_of([(400, 0, 5)]) == threshold_of([]) == 1.0
