@@ -2,11 +2,13 @@
 
 Every distinct shingle set is embedded as SIGNATURE minimum hashes; two sets share each of them with a chance of their
 similarity. A run starts with all sets in one bucket and splits buckets recursively: a bucket samples one or two
-signature places (1 / similarity on average, drawn from the bucket's own path), and a set goes to one child for each
-place, chosen by its hash there. So sets of the wanted similarity stay together about as often as they split, others
-part fast. A bucket of at most LEAF_ROWS sets, or at MAX_DEPTH, is a leaf: all its pairs are compared. Large leaves are compared
+signature places (1 / similarity on average at first, DEEPER times as many below, drawn from the bucket's own path), and
+a set goes to one child for each place, chosen by its hash there. So sets of the wanted similarity stay together at least
+as often as they split, others part fast. A bucket of at most LEAF_ROWS sets, or at MAX_DEPTH, is a leaf: all its pairs are compared. Large leaves are compared
 in blocks, so no task holds one whole and none is cut short. Runs repeat until the target recall is reached for pairs of
-exactly the least similarity; their number follows from the chance that such a pair survives MAX_DEPTH splits.
+exactly the least similarity that need all MAX_DEPTH splits; pairs in smaller buckets are met more often. All runs split
+by the same signatures, so the number of runs follows from the mean, over the binomial number of places that such a pair
+agrees in, of the chance to survive the splits; pairs that the comparison of signatures leaves out count as missed.
 
 Equal shingle sets form one class, whatever their number, and enter the join as one set. A pair that meets in several
 leaves counts in the first of them only. Leaves first compare signatures, with a wide margin, to find the sets that need
@@ -35,10 +37,12 @@ from pyspark.sql import functions as F
 from faultline.llm.components import connected_components
 from faultline.llm.support import WordHashes, fresh, materialise, mixed, shingle_hashes, slices, table, whole_groups, word_hashes, words_of
 
-SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.995
-SIGNATURE, LEAF_ROWS, MAX_DEPTH, BLOCK_ROWS = 64, 256, 4, 512
+SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.99999
+SIGNATURE, LEAF_ROWS, MAX_DEPTH, BLOCK_ROWS = 64, 256, 3, 512
+#: Places that a bucket below the first splits on, as a multiple of 1 / similarity.
+DEEPER = 1.4
 #: Signatures may fall short of the similarity by so many standard deviations before a pair is left out.
-MARGIN = 4.5
+MARGIN = 5.5
 SEED = np.uint64(0x5851F42D4C957F2D)
 FACTOR = mixed(np.arange(1, SIGNATURE + 1, dtype=np.uint64)) | np.uint64(1)
 SHIFT = mixed(np.arange(1001, SIGNATURE + 1001, dtype=np.uint64))
@@ -87,26 +91,51 @@ def fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     return chosen.mapInArrow(compute, "doc_id long, text_key string, node binary, n_shingles int, signature binary")
 
 
-def survival(similarity: float, depth: int) -> float:
-    """The chance that a pair of this similarity is still together, in some leaf, after `depth` splits of one run."""
-    more = 1 / similarity - math.floor(1 / similarity)
-    least = math.floor(1 / similarity)
+def mean_places(similarity: float, depth: int) -> float:
+    """How many places a bucket samples on average, after `depth` splits above it."""
+    return (DEEPER if depth else 1) / similarity
+
+
+def survival(similarity: float, depth: int, agreement: float | None = None) -> float:
+    """The chance that a pair is still together, in some leaf, after `depth` splits of one run.
+
+    `agreement` is the share of signature places in which the pair agrees, by default its similarity.
+    """
     alive = 1.0
-    for _ in range(depth):
-        apart = 1 - similarity * alive
+    for above in range(depth - 1, -1, -1):
+        least = math.floor(mean_places(similarity, above))
+        more = mean_places(similarity, above) - least
+        apart = 1 - (similarity if agreement is None else agreement) * alive
         alive = 1 - (1 - more) * apart**least - more * apart ** (least + 1)
     return alive
 
 
-def runs_for(similarity: float, recall: float, depth: int = MAX_DEPTH) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - survival(similarity, depth)))
+def least_equal(similarity: float) -> float:
+    """Signature places that a pair must agree in to be compared exactly."""
+    return SIGNATURE * similarity - MARGIN * math.sqrt(SIGNATURE * similarity * (1 - similarity))
+
+
+def expected_recall(similarity: float, runs: int, depth: int) -> float:
+    """The chance that a pair of exactly this similarity is found, if it needs `depth` splits."""
+    found = 0.0
+    for equal in range(max(0, math.ceil(least_equal(similarity))), SIGNATURE + 1):
+        chance = math.comb(SIGNATURE, equal) * similarity**equal * (1 - similarity) ** (SIGNATURE - equal)
+        found += chance * (1 - (1 - survival(similarity, depth, equal / SIGNATURE)) ** runs)
+    return found
+
+
+def runs_for(similarity: float, recall: float, depth: int | None = None) -> int:
+    depth = MAX_DEPTH if depth is None else depth
+    if recall >= expected_recall(similarity, 10**6, depth):
+        raise ValueError(f"signatures of {SIGNATURE} places and a margin of {MARGIN} do not reach a recall of {recall}")
+    return next(runs for runs in range(1, 10**6 + 1) if expected_recall(similarity, runs, depth) >= recall)
 
 
-def child_paths(path: np.ndarray, signatures: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and paths of the children of rows in buckets `path`. Rows of one bucket use the same places."""
+def child_paths(path: np.ndarray, signatures: np.ndarray, places: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and paths of the children of rows in buckets `path`. Rows of one bucket use the same places, `places` on average."""
     draw = mixed(path ^ SEED)
     chance = (draw >> np.uint64(40)).astype(float) / 2**24
-    more, least = 1 / similarity - math.floor(1 / similarity), math.floor(1 / similarity)
+    more, least = places - math.floor(places), math.floor(places)
     rows, paths = [], []
     for k in range(least + 1):
         chosen = np.arange(len(path)) if k < least else np.flatnonzero(chance < more)
@@ -118,7 +147,7 @@ def child_paths(path: np.ndarray, signatures: np.ndarray, similarity: float) ->
     return np.concatenate(rows), np.concatenate(paths)
 
 
-def split(rows: DataFrame, similarity: float, runs: int = 0) -> DataFrame:
+def split(rows: DataFrame, places: float, runs: int = 0) -> DataFrame:
     """Children of `rows` (path, node, signature), or of the roots of `runs` runs where rows have no path yet."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +156,7 @@ def split(rows: DataFrame, similarity: float, runs: int = 0) -> DataFrame:
             data = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u4").reshape(-1, SIGNATURE)
             for run in range(runs or 1):
                 path = np.full(len(node), mixed(np.array([run + 1], np.uint64))[0]) if runs else batch.column("path").to_numpy().view(np.uint64)
-                owner, paths = child_paths(path, data, similarity)
+                owner, paths = child_paths(path, data, places)
                 yield pa.RecordBatch.from_arrays([pa.array(paths.view(np.int64)), node.take(pa.array(owner))], ["path", "node"])
 
     return rows.mapInArrow(compute, "path long, node binary")
@@ -135,7 +164,7 @@ def split(rows: DataFrame, similarity: float, runs: int = 0) -> DataFrame:
 
 def leaves_of(nodes: DataFrame, similarity: float, recall: float) -> DataFrame:
     """All leaves of all runs that hold two sets or more: path, node, size."""
-    bucket_rows, leaves = split(nodes.select("node", "signature"), similarity, runs_for(similarity, recall)), None
+    bucket_rows, leaves = split(nodes.select("node", "signature"), mean_places(similarity, 0), runs_for(similarity, recall)), None
     for depth in range(1, MAX_DEPTH + 1):
         bucket_rows = materialise(bucket_rows, "buckets")
         sizes = bucket_rows.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
@@ -145,7 +174,7 @@ def leaves_of(nodes: DataFrame, similarity: float, recall: float) -> DataFrame:
         large = sized.where(F.col("size") > LEAF_ROWS)
         if depth == MAX_DEPTH or large.isEmpty():
             return leaves
-        bucket_rows = split(large.join(nodes.select("node", "signature"), "node"), similarity)
+        bucket_rows = split(large.join(nodes.select("node", "signature"), "node"), mean_places(similarity, depth))
     return leaves
 
 
@@ -181,7 +210,7 @@ def of_like_size(sizes: np.ndarray, similarity: float) -> np.ndarray:
 
 
 def similar_signatures(signatures: np.ndarray, similarity: float) -> np.ndarray:
-    least = SIGNATURE * similarity - MARGIN * math.sqrt(SIGNATURE * similarity * (1 - similarity))
+    least = least_equal(similarity)
     out = np.zeros((len(signatures), len(signatures)), bool)
     for at in range(0, len(signatures), 32):
         out[at : at + 32] = (signatures[at : at + 32, None, :] == signatures[None, :, :]).sum(axis=2) >= least

@@ -98,3 +98,27 @@ def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 105), (105, 103), (200, 200)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 103: 100, 105: 100}
+
+
+def test_recall_counts_that_runs_share_signatures():
+    assert join.expected_recall(0.8, join.runs_for(0.8, join.RECALL), join.MAX_DEPTH) >= join.RECALL >= 0.9999
+    assert join.expected_recall(0.8, 8, 1) > join.expected_recall(0.8, 8, join.MAX_DEPTH)
+    with pytest.raises(ValueError, match="margin"):
+        join.runs_for(0.8, 1.0)
+
+
+def test_links_of_a_large_group_at_full_depth(spark, monkeypatch):
+    monkeypatch.setattr(join, "LEAF_ROWS", 1)  # every bucket is split to the depth limit
+    choose = random.Random(6)
+    word = lambda: "".join(choose.choice("abcdefghij") for _ in range(5))
+    base, rows = [word() for _ in range(200)], []
+    for i in range(250):  # two changed words each: pairs of a similarity of 0.81 to 0.85
+        near = base.copy()
+        for at in choose.sample(range(5, 195), 2):
+            near[at] = word()
+        rows.append((i, " ".join(near)))
+    want = plain(rows)
+    got = sorted((tuple(r) for r in join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert sum(r[2] for r in want) > 50_000
+    assert sum(r[2] for r in got) >= 0.9999 * sum(r[2] for r in want)
+    assert [r[:2] for r in got] == [r[:2] for r in want]
