@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm.support import materialise, table
+from faultline.llm.ngram_join import similarity_classes, text_key
+from faultline.llm.support import fresh, materialise, table
 from faultline.llm.token_counts import token_counts
 
 CAPACITY, PER_SOURCE, SHARD_PIECES = 4096, 4, 4096
@@ -96,14 +97,30 @@ def packed(items: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOU
 
 
 def packed_documents(documents: DataFrame, model_path: str, cluster: Column | None = None, capacity: int = CAPACITY, per_source: int = PER_SOURCE) -> DataFrame:
-    """Pack `documents` (doc_id, text, source) by their tokens. The default cluster is the text itself, so copies never meet in a bin."""
+    """Pack `documents` (doc_id, text, source) by their tokens. The default cluster is the text itself, so copies never meet in a bin.
+
+    with_cluster gives clusters that near copies share.
+    """
     chosen = documents.select("doc_id", "source", (F.xxhash64("text") if cluster is None else cluster).alias("cluster"), "text")
     counted = token_counts(chosen, model_path, order=["doc_id"]).select("doc_id", F.col("n_tokens").alias("length"), "source", "cluster")
     # Written, so that no filter above counts a second time.
     return packed(materialise(counted, "lengths"), capacity, per_source)
 
 
+def with_cluster(documents: DataFrame, name: str) -> DataFrame:
+    """`documents` with a column `name`: its group of near copies (ngram_join), or the hash of a text without shingles."""
+    prints, classes = similarity_classes(documents)
+    first = F.struct(F.coalesce("first.doc_id", F.lit(-1)).alias("doc_id"), "first.text_key")
+    key = fresh(documents, "text_key")
+    # Every row of a text has the same shingles, so a text has one class, whatever its rows' ids.
+    found = prints.where("node is not null").select("node", "text_key").distinct().join(classes.select("node", F.xxhash64(first).alias(name)), "node")
+    keyed = documents.withColumn(key, text_key("text"))
+    joined = keyed.join(found.select(F.col("text_key").alias(key), name), key, "left")
+    return joined.withColumn(name, F.when(F.col("text").isNotNull(), F.coalesce(name, F.xxhash64("text")))).drop(key)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return packed_documents(with_cluster(documents, "cluster"), public_tokenizers.path("piece_bpe_32k.model"), F.col("cluster"))

@@ -3,7 +3,7 @@
 import random
 from collections import Counter, defaultdict
 
-from faultline.llm.packing import pack, packed
+from faultline.llm.packing import op9_packing, pack, packed, with_cluster
 
 
 def plain_pack(lengths, sources, clusters, capacity, per_source):
@@ -62,3 +62,20 @@ def test_whole_table(spark):
         want[i] += max(length or 0, 0)
     assert total == +want
     assert packed(items.limit(0), 64).count() == 0
+
+
+def test_near_copies_never_share_a_bin(spark, tmp_path):
+    choose = random.Random(5)
+    word = lambda: "".join(choose.choice("abcdefgh") for _ in range(5))
+    base = " ".join(word() for _ in range(60))
+    near = [base, f"{base} ", f"{base}\n", base.replace(" ", "  ", 3), base, *(f"{base} {word()}" for _ in range(15))]
+    other = [" ".join(word() for _ in range(60)) for _ in range(20)]
+    rows = [(i if i else None, t, f"s{i}") for i, t in enumerate(near)] + [(100 + i, t, f"t{i}") for i, t in enumerate(other)] + [(200, "", "u"), (201, None, "u"), (202, "  ", "u")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    documents.write.parquet(f"{tmp_path}/documents.parquet")
+    cluster = {r.source: r.cluster for r in with_cluster(documents, "cluster").where("text != ''").collect()}
+    assert len({cluster[f"s{i}"] for i in range(20)}) == 1 and len({cluster[f"t{i}"] for i in range(20)}) == 20
+    got = op9_packing(spark, str(tmp_path)).collect()
+    bins = Counter(r.bin_id for r in got if r.doc_id is None or r.doc_id < 100)
+    assert len(bins) == 20 and max(bins.values()) == 1
+    assert {r.doc_id for r in got} >= {None, *range(1, 20), *range(100, 120)}
