@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from faultline.llm.decontamination import op6_decontamination
+from faultline.llm.filter_audit import op13_filter_audit
 from faultline.llm.language_id import op8_language_id
 from faultline.llm.ngram_join import op4_ngram_join
 from faultline.llm.packing import op9_packing
@@ -32,6 +33,7 @@ QUERIES: dict[str, Query] = {
         op8_language_id,
         op9_packing,
         op10_quality_classifier,
+        op13_filter_audit,
     )
 }
 
@@ -94,4 +96,49 @@ ORACLES: dict[str, str] = {
                n_shared::DOUBLE / n_item::DOUBLE AS containment
         FROM shared JOIN sizes USING (item_id) WHERE n_shared >= 0.8 * n_item
     """,
+    "op13_filter_audit": r"""
+        WITH texts AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+                   [x FOR x IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS w
+            FROM documents
+        ),
+        marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+        least AS (SELECT t, min(doc_id) AS first FROM texts GROUP BY t),
+        failing AS (
+            SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                   (len(w) < 100)::INT
+                   + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT
+                   + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t))::INT
+                   + 8 * regexp_matches(t, '[#$%&*|]')::INT
+                   + 16 * coalesce(texts.doc_id > first, false)::INT AS fails
+            FROM texts JOIN least USING (t) LEFT JOIN marks ON marks.doc_id = texts.doc_id
+        ),
+        cells AS (
+            SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM failing GROUP BY 1, 2
+        ),
+        letters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(letter, bit)),
+        orders AS (
+            SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+            FROM letters a, letters b, letters c, letters d, letters e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31
+        ),
+        steps AS (
+            SELECT filter_order, s::INT AS step, bits[s] AS bit, list_sum(bits[:s - 1])::INT AS b4
+            FROM orders, (SELECT unnest(range(1, 6)) AS s)
+        ),
+        seen AS (SELECT filter_order, step, bit, coalesce(b4, 0) AS b4 FROM steps),
+        measured AS (
+            SELECT part, filter_order, step, bit,
+                   sum(CASE WHEN fails & (b4 | bit) = 0 THEN n ELSE 0 END) AS kept,
+                   sum(CASE WHEN fails & b4 = 0 AND fails & bit > 0 THEN n ELSE 0 END) AS removed,
+                   sum(CASE WHEN fails & b4 > 0 AND fails & bit > 0 THEN n ELSE 0 END) AS redundant,
+                   sum(CASE WHEN fails = bit THEN n ELSE 0 END) AS unique_fails,
+                   sum(CASE WHEN fails & b4 = 0 AND fails & bit > 0 THEN good ELSE 0 END) AS good_lost,
+                   sum(CASE WHEN fails & b4 = 0 AND fails & bit > 0 THEN toxic ELSE 0 END) AS toxic_lost
+            FROM cells, seen GROUP BY 1, 2, 3, 4
+        )
+        SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+               unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+               (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+        FROM measured
+    """,
 }

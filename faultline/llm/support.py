@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from faultline.session import materialise, new_folder  # noqa: F401  (used by the operators)
 
+WHITE_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: Words a worker's hash cache holds before it starts anew; the hashes do not depend on it.
 CACHED_WORDS = 200_000
 
@@ -45,6 +47,36 @@ def hash_sample(df: DataFrame, rows: int, *order: str) -> DataFrame:
     return df.where(F.xxhash64(*order).bitwiseAND(2**31 - 1) < int(share * 2**31)).limit(2 * rows)
 
 
+#: A key with more than this share of a table's rows is hot, so there are fewer than HOT_KEYS hot keys.
+HOT_KEYS = 2000
+
+
+def join_beside_hot(rows: DataFrame, facts: DataFrame, *keys: str) -> DataFrame:
+    """`rows`, a written table, with the columns of `facts`, which has each key once; null where it has none.
+
+    The facts of hot keys, fewer than HOT_KEYS rows, are broadcast; only the rows of other keys are shuffled. So no task
+    gets the rows of a key that holds a third of the table.
+    """
+    share = rows.count() // HOT_KEYS
+    hot = materialise(rows.groupBy(*keys).count().where(F.col("count") > share).select(*keys), "hot-keys")
+    known = F.broadcast(materialise(facts.join(F.broadcast(hot), list(keys), "left_semi"), "hot-facts"))
+    of_hot = rows.join(F.broadcast(hot), list(keys), "left_semi").join(known, list(keys), "left")
+    others = rows.join(F.broadcast(hot), list(keys), "left_anti").join(facts, list(keys), "left")
+    return of_hot.unionByName(others)
+
+
+def text_pieces(data: bytes, size: int = 2**20) -> Iterator[bytes]:
+    """`data` cut behind white space into pieces of about `size` bytes, so that a long text's words are never all held at once."""
+    at = 0
+    while len(data) - at > size:
+        space = WHITE_SPACE.search(data, at + size)
+        if space is None:
+            break
+        yield data[at : space.end()]
+        at = space.end()
+    yield data[at:] if at else data
+
+
 def worker_value(key: tuple, build: Callable[[], object]) -> object:
     """An object kept for the life of the worker process, whichever task asks first.
 
