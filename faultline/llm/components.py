@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.support import materialise
+from faultline.llm.support import join_beside_hot, materialise
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -19,9 +19,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     roots = materialise(graph.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).select("node", F.least("node", "root").alias("root")), "roots")
     while True:
         heard = graph.join(roots, graph.b == roots.node).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("heard"))
-        lower = roots.join(heard, "node").select("node", F.col("root").alias("was"), F.least("root", "heard").alias("root"))
+        lower = materialise(roots.join(heard, "node").select("node", F.col("root").alias("was"), F.least("root", "heard").alias("root")), "lower")
         above = roots.select(F.col("node").alias("root"), F.col("root").alias("upper"))
-        jumped = lower.join(above, "root").select("node", "was", F.least("root", "upper").alias("root"))
+        # A giant component has one root: its nodes don't meet in a task to learn the root's own root.
+        jumped = join_beside_hot(lower, above, "root").select("node", "was", F.least("root", "upper").alias("root"))
         written = materialise(jumped, "roots")
         roots = written.select("node", "root")
         if written.where("root != was").isEmpty():

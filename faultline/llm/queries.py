@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from faultline.llm.collocations import op12_collocations
 from faultline.llm.decontamination import op6_decontamination
 from faultline.llm.filter_audit import op13_filter_audit
 from faultline.llm.language_id import op8_language_id
+from faultline.llm.minmax_dedup import op11_minmax_dedup
 from faultline.llm.ngram_join import op4_ngram_join
 from faultline.llm.packing import op9_packing
 from faultline.llm.personal_data import op5_personal_data
@@ -33,6 +35,8 @@ QUERIES: dict[str, Query] = {
         op8_language_id,
         op9_packing,
         op10_quality_classifier,
+        op11_minmax_dedup,
+        op12_collocations,
         op13_filter_audit,
     )
 }
@@ -96,6 +100,70 @@ ORACLES: dict[str, str] = {
                n_shared::DOUBLE / n_item::DOUBLE AS containment
         FROM shared JOIN sizes USING (item_id) WHERE n_shared >= 0.8 * n_item
     """,
+    "op11_minmax_dedup": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, [x FOR x IN string_split_regex(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w
+            FROM documents
+        ),
+        shingles AS (
+            SELECT DISTINCT doc_id, unnest(
+                CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                     ELSE [array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)] END) AS s
+            FROM words
+        ),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        common AS (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+            FROM shingles x JOIN shingles y USING (s) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2
+        ),
+        links AS (
+            SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+        ),
+        reach(a, b) AS (
+            SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+        ),
+        components AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM components LEFT JOIN sizes USING (doc_id)
+    """,
+    "op12_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents
+        ),
+        words AS (SELECT lang, [x FOR x IN string_split_regex(piece, '[\x20\x09]+') IF x <> ''] AS w FROM pieces),
+        grams AS (
+            SELECT lang, m, unnest([array_to_string(w[i:i + m - 1], ' ') FOR i IN range(1, len(w) - m + 2)]) AS phrase
+            FROM words, (SELECT unnest([1, 2, 3]) AS m)
+        ),
+        f AS (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY 1, 2, 3),
+        totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+        candidates AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 10),
+        inside AS (
+            SELECT lang, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase, a FROM candidates WHERE m = 3
+        ),
+        longer AS (SELECT lang, phrase, max(a) AS longest FROM inside GROUP BY 1, 2),
+        alone AS (
+            SELECT c.* FROM candidates c LEFT JOIN longer USING (lang, phrase) WHERE m = 3 OR longest IS NULL OR 100 * longest < 50 * a
+        ),
+        cuts AS (
+            SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS first, array_to_string(w[k + 1:], ' ') AS rest
+            FROM alone, (SELECT unnest([1, 2]) AS k) WHERE k < m
+        ),
+        measured AS (
+            SELECT cuts.lang, cuts.phrase, a, k, x.f AS l, y.f AS r,
+                   ((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+            FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = first JOIN f y ON y.lang = cuts.lang AND y.phrase = rest
+        ),
+        lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS cut FROM measured),
+        ranked AS (
+            SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score
+            FROM lowest WHERE cut = 1
+        )
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+    """,
     "op13_filter_audit": r"""
         WITH texts AS (
             SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
