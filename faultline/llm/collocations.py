@@ -27,15 +27,17 @@ columns named are read, so names of other columns cannot clash. Counts may reach
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm.support import CACHED_WORDS, join_beside_hot, materialise, mixed, new_folder, table, worker_value
+from faultline.llm.support import CACHED_WORDS, join_beside_hot, materialise, mixed, new_folder, slot_bitmap, table, worker_value
 from faultline.operators.ordered import top_per_group
 
 LONGEST, THRESHOLD, TOP, SHARDS = 3, 10, 2000, 3
@@ -47,7 +49,6 @@ HELD_WORDS = 500_000
 BREAK = b"\xff"  # no byte of UTF-8
 LOWERED = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\n\x0b\x0c\r\t", bytes(range(97, 123)) + BREAK * 10 + b" ")
 MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
-BITMAP_BITS = 32768  # of Spark's bitmap functions
 
 
 class Words(dict):
@@ -161,15 +162,23 @@ COUNT_NAMES = ["lang", "length", "k1", "k2", "start", "n"]
 COUNTS = "lang string, length int, k1 long, k2 long, start int, n long"
 
 
-def scan(rows: DataFrame, number: int, shards: int, longest: int, tables: np.ndarray) -> DataFrame:
+def sent(spark: SparkSession, tables: np.ndarray) -> Broadcast:
+    """Tables on their way to the tasks: they are mostly empty, and held on disk by every executor."""
+    return spark.sparkContext.broadcast(zlib.compress(tables.tobytes(), 1))
+
+
+def received(shared: Broadcast, kind: type) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(shared.value), kind).reshape(-1, 2**SLOT_BITS)
+
+
+def scan(rows: DataFrame, number: int, shards: int, longest: int, tables: Broadcast) -> DataFrame:
     """Counts of all phrases that are active in scan `number`, over a shard's rows. Length 0 counts all words of a language.
 
     `tables[k - 1]` has for each slot the first scan before which a phrase of k words in it had reached the threshold.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(tables)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = shared.value
+        ready = received(tables, np.uint8)
         for held in held_words(batches):
             phrases = Phrases(held)
             if number < shards and phrases.inside.any():
@@ -191,13 +200,8 @@ def scan(rows: DataFrame, number: int, shards: int, longest: int, tables: np.nda
 
 
 def slot_bitmaps(rows: DataFrame, lengths: int) -> np.ndarray:
-    """Which slots the keys of `rows` (length, k1) lie in: a row of truth values for each length. What is collected has a fixed size."""
-    slot = F.shiftrightunsigned("k1", 64 - SLOT_BITS) + 1
-    keyed = rows.where(F.col("length").between(1, lengths)).select("length", F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit"))
-    out = np.zeros((lengths, max(1, 2**SLOT_BITS // BITMAP_BITS), BITMAP_BITS), bool)
-    for found in keyed.groupBy("length", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
-        out[found["length"] - 1, found["bucket"] - 1] = np.unpackbits(np.frombuffer(found["bits"], np.uint8), bitorder="little")
-    return out.reshape(lengths, -1)[:, : 2**SLOT_BITS]
+    """Which slots the keys of `rows` (length, k1) lie in: a row of truth values for each length."""
+    return np.stack([slot_bitmap(rows.where(F.col("length") == length).select("k1"), SLOT_BITS) for length in range(1, lengths + 1)])
 
 
 def dealt(documents: DataFrame, shards: int, lang: str, text: str) -> DataFrame:
@@ -216,7 +220,8 @@ def count_phrases(rows: DataFrame, shards: int = SHARDS, longest: int = LONGEST,
     tables = np.full((max(1, longest - 1), 2**SLOT_BITS), NEVER, np.uint8)
     state, number, last_change = None, 0, 0
     while number < shards or number < last_change + shards:
-        found = scan(rows.where(F.col("shard") == number % shards), number, shards, longest, tables)
+        shared = sent(rows.sparkSession, tables)
+        found = scan(rows.where(F.col("shard") == number % shards), number, shards, longest, shared)
         found = found.withColumn("since", F.lit(None).cast("int"))
         merged = (found if state is None else state.unionByName(found)).groupBy("lang", "length", "k1", "k2")
         summed = merged.agg(F.min("start").alias("start"), F.sum("n").alias("n"), F.min("since").alias("since"))
@@ -224,6 +229,7 @@ def count_phrases(rows: DataFrame, shards: int = SHARDS, longest: int = LONGEST,
         marked = summed.withColumn("since", F.coalesce("since", F.when(F.col("n") >= threshold, number)))
         growing = F.col("start") + shards > number
         state = materialise(marked.where((F.col("length") == 0) | (F.col("n") >= threshold) | growing), "counts")
+        shared.destroy()
         reached = slot_bitmaps(state.where(F.col("since") == number), len(tables)) & (tables == NEVER)
         if reached.any():
             tables[reached], last_change = number, number
@@ -232,15 +238,15 @@ def count_phrases(rows: DataFrame, shards: int = SHARDS, longest: int = LONGEST,
 
 def with_words(rows: DataFrame, counts: DataFrame, longest: int = LONGEST) -> DataFrame:
     """lang, length, phrase and n of the counted phrases (length 1 and more), their words read in one more scan."""
-    wanted = rows.sparkSession.sparkContext.broadcast(slot_bitmaps(counts, longest))
+    wanted = sent(rows.sparkSession, slot_bitmaps(counts, longest))
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.empty(0, np.uint64)
+        kept, seen = received(wanted, bool), np.empty(0, np.uint64)
         for held in held_words(batches):
             phrases = Phrases(held)
             while True:
                 k1 = phrases.keys(0)
-                at = np.flatnonzero(phrases.inside & wanted.value[phrases.length - 1][slots(k1)])
+                at = np.flatnonzero(phrases.inside & kept[phrases.length - 1][slots(k1)])
                 k1, k2 = k1[at], phrases.keys(1, at)
                 first = np.unique(k1 ^ k2, return_index=True)[1]
                 first = first[~np.isin(k1[first] ^ k2[first], seen)]

@@ -21,7 +21,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         heard = graph.join(roots, graph.b == roots.node).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("heard"))
         lower = materialise(roots.join(heard, "node").select("node", F.col("root").alias("was"), F.least("root", "heard").alias("root")), "lower")
         above = roots.select(F.col("node").alias("root"), F.col("root").alias("upper"))
-        # A giant component has one root: its nodes don't meet in a task to learn the root's own root.
+        # A giant component has one root: its nodes are not to meet in a task to learn the root's own root.
         jumped = join_beside_hot(lower, above, "root").select("node", "was", F.least("root", "upper").alias("root"))
         written = materialise(jumped, "roots")
         roots = written.select("node", "root")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import sys
 import types
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -49,20 +50,64 @@ def hash_sample(df: DataFrame, rows: int, *order: str) -> DataFrame:
 
 #: A key with more than this share of a table's rows is hot, so there are fewer than HOT_KEYS hot keys.
 HOT_KEYS = 2000
+#: Tasks that the rows of a hot key are dealt to.
+HOT_PARTS = 64
+#: Rows that one task can join whatever their keys.
+EASY_ROWS = 300_000
+#: Bits of the table that `those_wanted` sends to the tasks.
+WANTED_BITS = 25
+BITMAP_BITS = 32768  # of Spark's bitmap functions
 
 
 def join_beside_hot(rows: DataFrame, facts: DataFrame, *keys: str) -> DataFrame:
     """`rows`, a written table, with the columns of `facts`, which has each key once; null where it has none.
 
-    The facts of hot keys, fewer than HOT_KEYS rows, are broadcast; only the rows of other keys are shuffled. So no task
-    gets the rows of a key that holds a third of the table.
+    The rows of hot keys are dealt to HOT_PARTS tasks, each of which gets their facts, so no task gets the rows of a key that
+    holds a third of the table. Which keys are hot is broadcast: fewer than HOT_KEYS. Up to EASY_ROWS rows are joined as
+    they are.
     """
-    share = rows.count() // HOT_KEYS
-    hot = materialise(rows.groupBy(*keys).count().where(F.col("count") > share).select(*keys), "hot-keys")
-    known = F.broadcast(materialise(facts.join(F.broadcast(hot), list(keys), "left_semi"), "hot-facts"))
-    of_hot = rows.join(F.broadcast(hot), list(keys), "left_semi").join(known, list(keys), "left")
-    others = rows.join(F.broadcast(hot), list(keys), "left_anti").join(facts, list(keys), "left")
-    return of_hot.unionByName(others)
+    total = rows.count()
+    if total <= EASY_ROWS:
+        return rows.join(facts, list(keys), "left")
+    share, part, is_hot = total // HOT_KEYS, fresh(rows, "_part"), fresh(rows, "_hot")
+    hot = rows.groupBy(*keys).count().where(F.col("count") > share).select(*keys, F.lit(True).alias(is_hot))
+    listed = F.broadcast(materialise(hot, "hot-keys"))
+    dealt = rows.join(listed, list(keys), "left").withColumn(part, F.when(F.col(is_hot), F.pmod(F.monotonically_increasing_id(), F.lit(HOT_PARTS))).otherwise(0))
+    parts = F.when(F.col(is_hot), F.sequence(F.lit(0).cast("long"), F.lit(HOT_PARTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    copied = facts.join(listed, list(keys), "left").withColumn(part, F.explode(parts)).drop(is_hot)
+    return dealt.drop(is_hot).join(copied, [*keys, part], "left").drop(part)
+
+
+def slot_bitmap(keys: DataFrame, bits: int) -> np.ndarray:
+    """Truth values for 2^bits slots: which of them the high bits of the keys (one column of 64-bit hashes) lie in.
+
+    What comes to the driver has a fixed size, whatever the number of keys.
+    """
+    slot = F.shiftrightunsigned(F.col(keys.columns[0]), 64 - bits) + 1
+    placed = keys.select(F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit"))
+    out = np.zeros((max(1, 2**bits // BITMAP_BITS), BITMAP_BITS // 8), np.uint8)
+    for found in placed.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
+        out[found["bucket"] - 1] = np.frombuffer(found["bits"], np.uint8)
+    return np.unpackbits(out.reshape(-1), bitorder="little")[: 2**bits].astype(bool)
+
+
+def those_wanted(rows: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
+    """The rows whose `key`, a 64-bit hash, is among those of `wanted` (one column), and a few others.
+
+    A table of 2^WANTED_BITS bits is broadcast, so that a join that follows does not move what it has no use for; a full table
+    lets everything pass.
+    """
+    packed = zlib.compress(np.packbits(slot_bitmap(wanted, WANTED_BITS)).tobytes(), 1)
+    shared, bits = rows.sparkSession.sparkContext.broadcast(packed), WANTED_BITS
+
+    def among(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        table = np.frombuffer(zlib.decompress(shared.value), np.uint8)
+        for keys in batches:
+            slot = (keys.to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+            yield pa.array((table[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1)
+
+    udf = F.arrow_udf(among, "boolean")
+    return rows.where(udf(key))
 
 
 def text_pieces(data: bytes, size: int = 2**20) -> Iterator[bytes]:

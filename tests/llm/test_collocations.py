@@ -71,7 +71,6 @@ def test_equals_a_plain_count(spark, monkeypatch, shards, slot_bits):
 
 def test_counts_are_whole_when_slots_are_shared(spark, monkeypatch):
     monkeypatch.setattr(col, "SLOT_BITS", 4)
-    monkeypatch.setattr(col, "BITMAP_BITS", 16)
     monkeypatch.setattr(col, "slot_bitmaps", plain_bitmaps)
     rows = corpus(seed=9, rows=120)
     dealt = col.dealt(spark.createDataFrame(rows, "text string, lang string").repartition(2), 4, "lang", "text")

@@ -7,6 +7,7 @@ from itertools import permutations
 import pytest
 
 from faultline.llm import filter_audit as fa
+from faultline.llm import support
 from faultline.llm.support import join_beside_hot, materialise, text_pieces
 
 
@@ -95,7 +96,9 @@ def test_odd_rows(spark):
     assert of(spark, [], []) == []
 
 
-def test_hot_keys_are_joined_whole(spark):
+def test_hot_keys_are_joined_whole(spark, monkeypatch):
+    monkeypatch.setattr(support, "EASY_ROWS", 10)
+    monkeypatch.setattr(support, "HOT_KEYS", 20)
     keys = [1] * 900 + [2] * 40 + list(range(3, 60)) + [None] * 5
     rows = materialise(spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k int, i int"), "rows")
     facts = spark.createDataFrame([(k, k * 10) for k in range(0, 50)], "k int, fact int")
