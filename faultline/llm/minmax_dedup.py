@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm.components import connected_components
-from faultline.llm.support import WordHashes, join_beside_hot, materialise, mixed, slices, table, text_pieces, whole_groups, word_hashes
+from faultline.llm.support import WordHashes, join_beside_hot, materialise, mixed, slices, table, text_pieces, those_wanted, whole_groups, word_hashes
 
 SHINGLE, LEAST_PERCENT = 3, 85
 PERMUTATIONS, ROWS = 32, 4
@@ -228,9 +228,9 @@ def full_sets(documents: DataFrame, wanted: DataFrame, doc_id: str, text: str) -
 
     ids = F.coalesce(F.col(doc_id).cast("long"), F.lit(-1))
     texts = documents.select(ids.alias("id_key"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
-    # `wanted` is written, so Spark sends it to the texts only if its files are small, and shuffles the texts if not.
     keyed = materialise(wanted.select("node", F.coalesce("doc_id", F.lit(-1)).alias("id_key"), "text_key"), "wanted")
-    one = texts.join(keyed, ["id_key", "text_key"]).select("node", "text")
+    key = F.xxhash64("id_key", "text_key")
+    one = those_wanted(texts, key, keyed.select(key)).join(keyed, ["id_key", "text_key"]).select("node", "text")
     return materialise(one.mapInArrow(compute, "node binary, set binary").dropDuplicates(["node"]), "sets")
 
 
@@ -286,6 +286,8 @@ def near_duplicates(documents: DataFrame, percent: int = LEAST_PERCENT, doc_id:
     mixed_rows, edges = shared, None
     for first, last in [*FIRST_BANDS, (0, BANDS)]:
         whole = (first, last) == (0, BANDS)
+        if edges is not None and mixed_rows.isEmpty():
+            break
         rows = in_pairs_of_blocks(mixed_rows) if whole else in_blocks(mixed_rows, first, last)
         found = compared(rows, nodes, sets, percent, whole)
         edges = found if edges is None else edges.union(found)
