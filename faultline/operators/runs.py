@@ -3,29 +3,35 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.fixed_values import DISASTER_CLASSES, LEVELS
+from faultline.fixed_values import ASSET_CLASSES, DISASTER_CLASSES, LEVELS
 from faultline.functions.columns import first_or_blank, key_counts, ratio
 from faultline.functions.grades import level_ordinal
-from faultline.operators.ordered import with_running
 from faultline.operators.records import one_row_per
+from faultline.rubric_values import ALLOWED_VALUES
+from faultline.session import materialise
 
 
 def first_image() -> Column:
     return F.try_element_at(F.col("evidence.image_ids"), F.lit(1))
 
 
+def tariff(prices: DataFrame) -> DataFrame:
+    """One row a model: of several prices of a model, the least."""
+    return one_row_per(prices.select("model", "usd_per_mtok_in", "usd_per_mtok_out"), "model")
+
+
 def priced(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """Calls with `usd` from token counts; a model without a price costs nothing, one with several the least."""
-    tariff = one_row_per(prices.select("model", "usd_per_mtok_in", "usd_per_mtok_out"), "model")
     usd = (
         F.col("input_tokens") * F.coalesce("usd_per_mtok_in", F.lit(0.0))
         + F.col("output_tokens") * F.coalesce("usd_per_mtok_out", F.lit(0.0))
     ) / F.lit(1e6)
-    return calls.join(tariff, "model", "left").withColumn("usd", usd).drop("usd_per_mtok_in", "usd_per_mtok_out")
+    return calls.join(tariff(prices), "model", "left").withColumn("usd", usd).drop("usd_per_mtok_in", "usd_per_mtok_out")
 
 
 def gate_counts(routed_gate: DataFrame, by: tuple[str, ...] = ("run_id",)) -> DataFrame:
@@ -73,22 +79,62 @@ def cost_by_stage(calls: DataFrame) -> DataFrame:
     )
 
 
-def median_seconds(calls: DataFrame, keys: list[str]) -> DataFrame:
-    """The exact median of the logged seconds of each group.
+#: Bits of a value that each counting pass looks at, from the highest on: a pass keeps 2^22 counts a group at most.
+RADIX_BITS = (20, 22, 22)
 
-    Equal values are counted, the counts are summed in order over range partitions, and the one or two middle places
-    are looked up, so no task holds a group's values.
-    """
-    counted = calls.filter(F.col("seconds").isNotNull()).groupBy(*keys, "seconds").agg(F.count(F.lit(1)).alias("n"))
-    placed = with_running(counted, keys, [F.col("seconds")], sums={"upto": F.col("n")})
-    totals = counted.groupBy(*keys).agg(F.sum("n").alias("_total"))
 
-    def covers(place: Column) -> Column:
-        return (F.col("upto") - F.col("n") < place) & (place <= F.col("upto"))
+def sortable_bits(value: Column) -> Column:
+    """The bits of a double as a whole number that sorts like the double."""
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value + F.lit(0.0)).cast("bigint")
+    return F.when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit(2**63 - 1)))
+
+
+def _digit(bits: Column, number: int) -> Column:
+    """The digit of `bits` that pass `number` counts; the first one keeps the sign."""
+    below = sum(RADIX_BITS[number + 1 :])
+    moved = F.shiftright(bits, below)
+    return moved if number == 0 else moved.bitwiseAND(F.lit(2 ** RADIX_BITS[number] - 1))
+
+
+def _counts(rows: DataFrame, by: list[str]) -> DataFrame:
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("seconds").alias("_least"), F.max("seconds").alias("_most"))
+
 
-    low, high = F.floor((F.col("_total") + 1) / 2), F.floor(F.col("_total") / 2) + 1
-    middle = placed.join(totals, keys).filter(covers(low) | covers(high))
-    return middle.groupBy(*keys).agg(((F.min("seconds") + F.max("seconds")) / 2).alias("median_seconds"))
+def median_seconds(calls: DataFrame, keys: list[str]) -> DataFrame:
+    """The exact median of the logged seconds of each group, by counting the digits of the values' bits.
+
+    The first pass counts each group's values by their highest bits, and finds the counts that the one or two middle
+    places fall into. Only values with those bits are counted by their next ones, and so on, until a place is left with
+    one value; as many passes as there are digits always do. Nothing is sorted but counts, and no task holds a group.
+    """
+    values = calls.filter(F.col("seconds").isNotNull()).select(*keys, "seconds", sortable_bits(F.col("seconds")).alias("_bits"))
+    whole = Window.partitionBy(*keys)
+    counted = _counts(values.withColumn("_d0", _digit(F.col("_bits"), 0)), [*keys, "_d0"])
+    upto = F.sum("_n").over(whole.orderBy("_d0").rowsBetween(Window.unboundedPreceding, 0))
+    placed = counted.withColumns({"_upto": upto, "_total": F.sum("_n").over(whole)})
+    middle = F.array((F.col("_total") + 1).cast("bigint") - F.floor((F.col("_total") + 1) / 2), F.floor((F.col("_total") + 1) / 2))
+    each = placed.withColumn("_place", F.explode(F.array_distinct(middle))).filter("_upto - _n < _place and _place <= _upto")
+    found = materialise(each.select(*keys, "_d0", "_place", (F.col("_place") - F.col("_upto") + F.col("_n")).alias("_inside"), "_least", "_most"), "places")
+    settled = [found.filter("_least = _most").select(*keys, "_least")]
+    for number in range(1, len(RADIX_BITS)):
+        still = found.filter("_least <> _most").drop("_least", "_most")
+        if still.isEmpty():
+            break
+        renamed = still.withColumnsRenamed({key: f"_key_{key}" for key in keys} | {f"_d{at}": f"_known{at}" for at in range(number)})
+        same = [values[key].eqNullSafe(renamed[f"_key_{key}"]) for key in keys]
+        same += [_digit(values["_bits"], at) == renamed[f"_known{at}"] for at in range(number)]
+        joined = values.join(renamed, reduce(and_, same)).drop(*[f"_key_{key}" for key in keys])
+        known = [f"_known{at}" for at in range(number)]
+        by = [*keys, *known, "_place", "_inside"]
+        counted = _counts(joined.withColumn(f"_d{number}", _digit(F.col("_bits"), number)), [*by, f"_d{number}"])
+        upto = F.sum("_n").over(Window.partitionBy(*by).orderBy(f"_d{number}").rowsBetween(Window.unboundedPreceding, 0))
+        each = counted.withColumn("_upto", upto).filter("_upto - _n < _inside and _inside <= _upto")
+        inside = (F.col("_inside") - F.col("_upto") + F.col("_n")).alias("_inside")
+        digits = [F.col(f"_known{at}").alias(f"_d{at}") for at in range(number)]
+        found = materialise(each.select(*keys, *digits, f"_d{number}", "_place", inside, "_least", "_most"), "places")
+        settled.append(found.filter("_least = _most").select(*keys, "_least"))
+    # A group has one middle value or two.
+    return reduce(DataFrame.union, settled).groupBy(*keys).agg(((F.min("_least") + F.max("_least")) / 2).alias("median_seconds"))
 
 
 def ops_by_stage(calls: DataFrame) -> DataFrame:
@@ -172,6 +218,32 @@ def summarise(images: DataFrame, routed_gate: DataFrame, findings: DataFrame, ca
     )
 
 
+def summary_details(images: DataFrame, findings: DataFrame, calls: DataFrame, configs: DataFrame) -> DataFrame:
+    """What a run's summary says beside its totals: native values, asset classes, cost by stage and stored settings.
+
+    Maps hold fixed vocabularies only: a value that no rubric allows counts as `other`. value_counts has them all.
+    """
+    known = sorted({value for values in ALLOWED_VALUES.values() for value in values})
+
+    def as_map(counted: DataFrame, key: str, value: Column, name: str) -> DataFrame:
+        entries = F.array_sort(F.collect_list(F.struct(F.col(key), value)))
+        return counted.groupBy("run_id").agg(F.map_from_entries(entries).alias(name))
+
+    value = F.col("native_scale.value")
+    named = F.when(value.isin(known), value).otherwise("other").alias("native_value")
+    values = findings.groupBy("run_id", named).agg(F.count(F.lit(1)).alias("n"))
+    kind = F.when(F.col("asset_class").isin(ASSET_CLASSES), F.col("asset_class")).otherwise("other").alias("asset_class")
+    classes = images.groupBy("run_id", kind).agg(F.count(F.lit(1)).alias("n"))
+    totals = F.struct("calls", "usd", "seconds", "input_tokens", "output_tokens")
+    parts = [
+        as_map(values, "native_value", F.col("n"), "native_values"),
+        as_map(classes, "asset_class", F.col("n"), "asset_classes"),
+        as_map(cost_by_stage(calls), "stage", totals, "cost_by_stage"),
+        configs.select("run_id", F.col("settings").alias("config")),
+    ]
+    return _join_runs(parts)
+
+
 def progress(images: DataFrame, routed_gate: DataFrame, findings: DataFrame, calls: DataFrame) -> DataFrame:
     """The live counters of a run, from what it has logged so far."""
     parts = [

@@ -34,6 +34,20 @@ def check_scorer(name: str, scorer: object) -> None:
         raise ValueError(f"unknown {name} scorer: {scorer!r}")
 
 
+def scorer_name(scorer: object) -> str:
+    return "none" if scorer is None else getattr(scorer, "__name__", type(scorer).__name__)
+
+
+def _not_saved(batches: Iterator[pa.RecordBatch], key: str, saved: Callable[[], set[str]] | None) -> Iterator[pa.RecordBatch]:
+    """Slices of the rows whose key an earlier attempt of this task has not saved already."""
+    done = saved() if saved is not None else set()
+    for batch in batches:
+        if done:
+            batch = batch.filter(pa.array([name not in done for name in batch.column(key).to_pylist()]))
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def _usage(answer: dict | None, started: float, note: str) -> dict:
     answer = answer or {}
     return {
@@ -92,9 +106,11 @@ def _answered(call: Callable[[dict], dict], rows: list[dict], at_once: int) -> l
         return list(pool.map(call, rows))
 
 
-def gate_images(images: DataFrame, scorer: Scorer, at_once: int = 1) -> DataFrame:
+def gate_images(images: DataFrame, scorer: Scorer, at_once: int = 1, saved: Callable[[], set[str]] | None = None) -> DataFrame:
     """Score each image once, with one retry. After a second failure the image is routed, never dropped.
 
+    `saved`, called in each task, names images that need no call because an earlier attempt's verdicts are stored.
+
     A task makes up to `at_once` calls at a time, from threads. A scorer sees plain values: whole numbers stay whole
     and missing values are None, whatever else is in the batch.
     """
@@ -103,11 +119,10 @@ def gate_images(images: DataFrame, scorer: Scorer, at_once: int = 1) -> DataFram
     fields = [("usable", pa.bool_()), ("damage_present", pa.bool_()), ("confidence", pa.float64()), ("reason", pa.string()), *USAGE_FIELDS]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(at, SLICE) for at in range(0, batch.num_rows, SLICE)):
-                answers = _answered(lambda image: _gate_row(scorer, image), part.to_pylist(), at_once)
-                columns = [pa.array([answer[name] for answer in answers], kind) for name, kind in fields]
-                yield pa.RecordBatch.from_arrays([part.column("image_id"), part.column("asset_class"), *columns], ["image_id", "asset_class", *dict(fields)])
+        for part in _not_saved(batches, "image_id", saved):
+            answers = _answered(lambda image: _gate_row(scorer, image), part.to_pylist(), at_once)
+            columns = [pa.array([answer[name] for answer in answers], kind) for name, kind in fields]
+            yield pa.RecordBatch.from_arrays([part.column("image_id"), part.column("asset_class"), *columns], ["image_id", "asset_class", *dict(fields)])
 
     return images.select(*kept).mapInArrow(score, schemas.struct(schemas.GATE))
 
@@ -123,7 +138,8 @@ def _grade_row(scorer: Scorer, target: dict) -> dict:
     return {"contract_json": contract} | _usage(answer, started, note)
 
 
-def grade_targets(targets: DataFrame, scorer: Scorer, exemplars: DataFrame | None = None, at_once: int = 1) -> DataFrame:
+def grade_targets(targets: DataFrame, scorer: Scorer, exemplars: DataFrame | None = None, at_once: int = 1,
+                  saved: Callable[[], set[str]] | None = None) -> DataFrame:
     """Grade each target once and return contract text and usage beside the target's columns.
 
     The scorer also gets `rubric`, the rows of the target's standard, and `exemplars`, those of its class except
@@ -149,11 +165,10 @@ def grade_targets(targets: DataFrame, scorer: Scorer, exemplars: DataFrame | Non
         return _grade_row(scorer, target | {"rubric": rubrics.get(target["standard"], []), "exemplars": shown})
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(at, SLICE) for at in range(0, batch.num_rows, SLICE)):
-                answers = _answered(grade, part.to_pylist(), at_once)
-                columns = [pa.array([answer[name] for answer in answers], kind) for name, kind in fields]
-                yield pa.RecordBatch.from_arrays([*(part.column(name) for name in carried), *columns], [*carried, *dict(fields)])
+        for part in _not_saved(batches, "finding_id", saved):
+            answers = _answered(grade, part.to_pylist(), at_once)
+            columns = [pa.array([answer[name] for answer in answers], kind) for name, kind in fields]
+            yield pa.RecordBatch.from_arrays([*(part.column(name) for name in carried), *columns], [*carried, *dict(fields)])
 
     return with_metadata.select(*asked).mapInArrow(score, schema)
 
@@ -210,6 +225,7 @@ def unusable_findings(images: DataFrame) -> DataFrame:
         "finding_id", "asset_class", *contract, evidence_struct(), pending_review(), "model",
         F.lit(0.0).alias("usd"),
         F.lit(0.0).alias("seconds"),
+        "image_id",
     )
 
 
@@ -238,4 +254,5 @@ def graded_findings(graded: DataFrame) -> DataFrame:
         "ts",
         F.col("seconds").alias("call_seconds"),
         F.col("usd").alias("call_usd"),
+        "image_id",
     )

@@ -1,14 +1,17 @@
 """The batch run: gate, route, grade, rank, export, and the review step that re-ranks.
 
-Each stage writes its rows before the next reads them. Scorers are slow, paid for and not repeatable, so no two
-actions share an unwritten scorer result, and a rerun continues from the rows that are already there.
+The image records are written once, bucketed by id, and every stage scans that table. Each stage writes its rows before
+the next reads them: scorers are slow, paid for and not repeatable, so no two actions share an unwritten scorer result.
+Verdicts and findings are saved by each task while the stage runs (sources/store.py) and bucketed alike, so a rerun finds
+what is left to score without a shuffle.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, replace
+import threading
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -18,20 +21,22 @@ from faultline.fixed_values import FORCED_CLASSES, MIN_CLEAN_CONFIDENCE
 from faultline.functions.routing import pass_through_verdict, with_routing
 from faultline.functions.tiles import explode_targets
 from faultline.operators.queue import ASSET_COLUMNS, rank_queue
-from faultline.operators.records import distinct_images, for_disaster, not_yet_gated, not_yet_graded, one_row_per
+from faultline.operators.records import distinct_images, for_disaster, not_yet_gated, one_row_per
 from faultline.operators.review import apply_reviews
-from faultline.operators.runs import disaster_counts, priced, progress, ranked_list, summarise
+from faultline.operators.runs import disaster_counts, priced, progress, ranked_list, summarise, summary_details, tariff
 from faultline.operators.scoring import (
     Scorer,
     check_scorer,
     gate_images,
     grade_targets,
     graded_findings,
+    scorer_name,
     unusable_findings,
 )
-from faultline.operators.validation import image_rules, split_valid, standard_for
+from faultline.operators.validation import image_rules, standard_for, with_violations
 from faultline.session import materialise
 from faultline.sources import readers, writers
+from faultline.sources.store import RunStore, new_job, open_run, run_configs, saved_ids
 
 
 @dataclass
@@ -41,44 +46,48 @@ class RunSettings:
     forced_classes: tuple[str, ...] = tuple(FORCED_CLASSES)
     bridge_alternative: bool = False
     limit: int = 0
-    scorer_tasks: int = 0  # 0: as many as shuffles have
+    scorer_tasks: int = 0  # buckets of a new run, each scored by one task; 0: as many as shuffles have
     calls_at_once: int = 1  # of each task
-    wave_rows: int = 50_000  # rows scored between two commits
+    commit_rows: int = 500  # rows that a task scores before it saves them
+    progress_seconds: float = 10.0  # between two looks at a running stage
     exports: bool = True
 
 
+#: Models that a price list may name; it is sent to every task.
+MAX_PRICED_MODELS = 10_000
+
+
+def _price_list(prices: DataFrame | None) -> DataFrame | None:
+    """The prices, one row a model, checked to be few: a join that moved scored rows would delay their saving."""
+    if prices is None:
+        return None
+    listed = materialise(tariff(prices), "prices")
+    if listed.count() > MAX_PRICED_MODELS:
+        raise ValueError(f"a price list names at most {MAX_PRICED_MODELS} models")
+    return F.broadcast(listed)
+
+
 def _priced(rows: DataFrame, prices: DataFrame | None) -> DataFrame:
     return rows.withColumn("usd", F.lit(0.0)) if prices is None else priced(rows, prices)
 
 
-def _waves(todo: DataFrame, key: str, settings: RunSettings) -> Iterator[DataFrame]:
-    """What is to be scored, in parts of about `wave_rows`. Each part is written before the next one starts.
-
-    A run that dies keeps its finished waves, and pays again for one wave at most. The rows are written once, so all
-    waves see the same ones. Scorer rows are small but slow: without a fixed task count they may land in a few tasks.
-    """
-    planned = materialise(todo, "todo")
-    waves = max(1, -(-planned.count() // settings.wave_rows))
-    tasks = settings.scorer_tasks or int(todo.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    for wave in range(waves):
-        yield planned.filter(F.pmod(F.xxhash64(key), F.lit(waves)) == wave).repartition(tasks, F.col(key))
+def ungated(store: RunStore) -> DataFrame:
+    """The run's images without a verdict; the buckets of both tables meet where they lie."""
+    return not_yet_gated(store.images(), store.gate().hint("merge"))
 
 
-def _gate_stage(images: DataFrame, root: str, run_id: str, gate: Scorer | None, settings: RunSettings,
-                prices: DataFrame | None) -> None:
-    spark = images.sparkSession
-    todo = not_yet_gated(images, readers.gated_ids(spark, root, run_id))
+def _gate_stage(store: RunStore, gate: Scorer | None, settings: RunSettings, prices: DataFrame | None) -> None:
+    todo, job = ungated(store), new_job()
     if gate is None:
         usage = schemas.struct(schemas.USAGE)
         blank = {f.name: F.lit(None).cast(f.dataType) for f in usage.fields}
         blank |= {"model": F.lit("none"), "input_tokens": F.lit(0).cast("bigint"), "output_tokens": F.lit(0).cast("bigint"),
                   "seconds": F.lit(0.0), "note": F.lit(""), "ts": F.current_timestamp()}
-        parts = iter([pass_through_verdict(todo.select("image_id", "asset_class")).withColumns(blank)])
+        verdicts = pass_through_verdict(todo.select("image_id", "asset_class")).withColumns(blank)
     else:
-        parts = (gate_images(wave, gate, settings.calls_at_once) for wave in _waves(todo, "image_id", settings))
-    for verdicts in parts:
-        rows = _priced(verdicts, prices).withColumn("run_id", F.lit(run_id))
-        writers.append_log(rows.select(*schemas.struct(schemas.GATE_LOG).fieldNames(), "run_id"), root, "gate")
+        verdicts = gate_images(todo, gate, settings.calls_at_once, saved_ids(store.folder("gate"), job, "image_id"))
+    rows = _priced(verdicts, prices).select(*schemas.struct(schemas.GATE_LOG).fieldNames())
+    store.append(rows, "gate", job, settings.commit_rows)
 
 
 def routed_gate(spark: SparkSession, root: str, settings: RunSettings) -> DataFrame:
@@ -92,28 +101,41 @@ def grading_targets(images: DataFrame, gate: DataFrame, settings: RunSettings) -
     return targets.withColumn("standard", standard_for(F.col("asset_class"), settings.bridge_alternative))
 
 
-def _grade_stage(images: DataFrame, root: str, run_id: str, grade: Scorer, settings: RunSettings,
-                 prices: DataFrame | None, exemplars: DataFrame | None) -> None:
-    spark = images.sparkSession
-    gate = routed_gate(spark, root, settings).filter(F.col("run_id") == run_id)
-    done = readers.graded_ids(spark, root, run_id)
-    standard = standard_for(F.col("asset_class"), settings.bridge_alternative)
-    unusable = images.join(
-        gate.filter("routed and not usable").select("image_id", "reason", "model"), "image_id"
-    ).withColumn("standard", standard)
-    fields = [*schemas.struct(schemas.FINDING_LOG).fieldNames(), "run_id"]
+def _run_verdicts(store: RunStore, settings: RunSettings) -> DataFrame:
+    verdicts = store.gate().dropDuplicates(["image_id"])
+    return with_routing(verdicts, settings.min_confidence, settings.forced_classes)
+
+
+def _graded(store: RunStore) -> DataFrame:
+    """The findings each image has; an image has at most one for each of its tiles."""
+    return store.findings().groupBy("image_id").agg(F.collect_set("finding_id").alias("_graded"))
+
+
+def _without_finding(targets: DataFrame, graded: DataFrame) -> DataFrame:
+    joined = targets.join(graded.hint("merge"), "image_id", "left")
+    return joined.filter(~F.coalesce(F.array_contains("_graded", F.col("finding_id")), F.lit(False))).drop("_graded")
+
+
+def ungraded(store: RunStore, settings: RunSettings) -> DataFrame:
+    """The run's grading targets without a finding, so a run stopped between tiles resumes at the next tile."""
+    targets = grading_targets(store.images(), _run_verdicts(store, settings).hint("merge"), settings)
+    return _without_finding(targets, _graded(store))
+
+
+def _grade_stage(store: RunStore, grade: Scorer, settings: RunSettings, prices: DataFrame | None, exemplars: DataFrame | None) -> None:
+    fields = schemas.struct(schemas.FINDING_LOG).fieldNames()
+    unusable = _run_verdicts(store, settings).filter("routed and not usable").select("image_id", "reason", "model")
+    whole = unusable_findings(store.images().join(unusable.hint("merge"), "image_id").withColumn("standard", standard_for(F.col("asset_class"), settings.bridge_alternative)))
     blank = {
         f.name: F.lit(None).cast(f.dataType)
         for f in schemas.struct(schemas.FINDING_LOG).fields
         if f.name in ("input_tokens", "output_tokens", "note", "ts", "call_seconds", "call_usd")
     }
-    not_assessed = not_yet_graded(unusable_findings(unusable), done).withColumns(blank)
-    targets = not_yet_graded(grading_targets(images, gate, settings), done)
-    writers.append_log(not_assessed.withColumn("run_id", F.lit(run_id)).select(*fields), root, "findings")
-    for wave in _waves(targets, "finding_id", settings):
-        answers = _priced(grade_targets(wave, grade, exemplars, settings.calls_at_once), prices)
-        findings = graded_findings(answers).withColumn("run_id", F.lit(run_id))
-        writers.append_log(findings.select(*fields), root, "findings")
+    store.append(_without_finding(whole, _graded(store)).withColumns(blank).select(*fields), "findings", new_job(), settings.commit_rows)
+    job = new_job()
+    saved = saved_ids(store.folder("findings"), job, "finding_id")
+    answers = _priced(grade_targets(ungraded(store, settings), grade, exemplars, settings.calls_at_once, saved), prices)
+    store.append(graded_findings(answers).select(*fields), "findings", job, settings.commit_rows)
 
 
 def captured_dates(images: DataFrame, assets: DataFrame | None) -> DataFrame:
@@ -145,13 +167,44 @@ def save_ranked(images: DataFrame, root: str, run_id: str, today: dt.date | str,
     return queue
 
 
-def valid_images(images: DataFrame) -> DataFrame:
-    """`images` if every row fulfils the image contract; a bad row stops the run before any scorer is called."""
-    valid, broken = split_valid(images, image_rules())
-    if not broken.isEmpty():
-        rules = broken.select(F.explode("violations").alias("rule")).groupBy("rule").count().orderBy("rule")
-        raise ValueError("images break their contract: " + ", ".join(f"{r['rule']} {r['count']}" for r in rules.collect()))
-    return valid
+def checked_images(images: DataFrame, limit: int = 0) -> DataFrame:
+    """The first row of each image id, read once from the source. A bad row stops the run before any scorer is called.
+
+    With a limit, of the first rows in manifest order.
+    """
+    checked = materialise(with_violations(images, image_rules()), "manifest")
+    broken = checked.filter(F.size("violations") > 0).select(F.explode("violations").alias("rule"))
+    rules = broken.groupBy("rule").count().orderBy("rule").collect()
+    if rules:
+        raise ValueError("images break their contract: " + ", ".join(f"{r['rule']} {r['count']}" for r in rules))
+    if limit:
+        checked = checked.orderBy("pos" if "pos" in checked.columns else "image_id").limit(limit)
+    return distinct_images(checked.drop("violations"))
+
+
+def _watched(stage: str, work: Callable[[], None], store: RunStore, table: str, seconds: float, seen: Callable[[str, int], None] | None) -> None:
+    """Do a stage's work; meanwhile tell `seen` how many rows its tasks have saved. Only names of files are read for that."""
+    if seen is None:
+        return work()
+    ended, problems = threading.Event(), []
+
+    def look() -> None:
+        try:
+            while not ended.wait(seconds):
+                seen(stage, store.saved_rows(table))
+        except Exception as problem:  # told when the stage is over: a broken view is no reason to lose paid work
+            problems.append(problem)
+
+    watcher = threading.Thread(target=look, daemon=True)
+    watcher.start()
+    try:
+        work()
+    finally:
+        ended.set()
+        watcher.join()
+    if problems:
+        raise problems[0]
+    seen(stage, store.saved_rows(table))
 
 
 def run_progress(images: DataFrame, root: str, run_id: str, settings: RunSettings | None = None) -> DataFrame:
@@ -168,41 +221,40 @@ def run_progress(images: DataFrame, root: str, run_id: str, settings: RunSetting
 def run_batch(images: DataFrame, root: str, run_id: str, gate: Scorer | None, grade: Scorer | None,
               today: dt.date | str, *, settings: RunSettings | None = None, prices: DataFrame | None = None,
               exemplars: DataFrame | None = None, assets: DataFrame | None = None,
-              on_stage: Callable[[str, Row], None] | None = None) -> DataFrame:
+              on_stage: Callable[[str, Row], None] | None = None,
+              on_progress: Callable[[str, int], None] | None = None) -> DataFrame:
     """Run or resume one run over `images` and return its one-row summary.
 
     `gate=None` passes every image on; `grade=None` stops after routing. `on_stage` is called with the counters so
-    far after each stage; a live view while a stage runs reads the same counters from the growing tables.
+    far after each stage, `on_progress` with a stage and the rows of its log every `progress_seconds` while it runs.
     """
     settings = settings or RunSettings()
     for name, scorer in (("gate", gate), ("grade", grade)):
         if scorer is not None:
             check_scorer(name, scorer)
     spark = images.sparkSession
-    images = valid_images(images)
-    if settings.limit:
-        images = images.orderBy("pos" if "pos" in images.columns else "image_id").limit(settings.limit)
-    images = distinct_images(images)
+    checked, listed = checked_images(images, settings.limit), _price_list(prices)
+    named = {"gate": scorer_name(gate), "grader": scorer_name(grade)}
+    tasks = settings.scorer_tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    store = open_run(spark, root, run_id, asdict(settings) | named, tasks)
+    images = store.save_images(checked)
 
     def report(stage: str) -> None:
         if on_stage is not None:
             on_stage(stage, run_progress(images, root, run_id, settings).first())
 
-    _gate_stage(images, root, run_id, gate, settings, prices)
+    _watched("gate", lambda: _gate_stage(store, gate, settings, listed), store, "gate", settings.progress_seconds, on_progress)
     report("gate")
     if grade is not None:
-        _grade_stage(images, root, run_id, grade, settings, prices, exemplars)
+        _watched("grade", lambda: _grade_stage(store, grade, settings, listed, exemplars), store, "findings", settings.progress_seconds, on_progress)
         report("grade")
     queue = save_ranked(images, root, run_id, today, assets=assets, exports=settings.exports)
     this_run = F.col("run_id") == run_id
-    summary = summarise(
-        images.withColumn("run_id", F.lit(run_id)),
-        routed_gate(spark, root, settings).filter(this_run),
-        queue,
-        readers.load_calls(spark, root).filter(this_run),
-    )
+    of_run, calls = images.withColumn("run_id", F.lit(run_id)), readers.load_calls(spark, root).filter(this_run)
+    summary = summarise(of_run, routed_gate(spark, root, settings).filter(this_run), queue, calls)
     if settings.exports:
-        writers.write_summary(summary, f"{root.rstrip('/')}/exports/{run_id}/summary_json")
+        told = summary.join(summary_details(of_run, queue, calls, run_configs(spark, root).filter(this_run)), "run_id", "left")
+        writers.write_summary(told, f"{root.rstrip('/')}/exports/{run_id}/summary_json")
     report("done")
     return summary
 

@@ -48,7 +48,7 @@ GATE_LOG = f"{GATE}, usd double"
 
 FINDING_LOG = (
     f"{FINDINGS}, input_tokens bigint, output_tokens bigint, note string, ts timestamp, call_seconds double,"
-    " call_usd double"
+    " call_usd double, image_id string"
 )
 
 REVIEWS = (
@@ -56,6 +56,8 @@ REVIEWS = (
     " reviewer string, reviewed_at timestamp"
 )
 
+SETTINGS = "buckets int, settings string"
+
 PRICES = "model string, usd_per_mtok_in double, usd_per_mtok_out double"
 
 

@@ -1,3 +1,6 @@
+import random
+import statistics
+
 import builders
 from pyspark.sql import functions as F
 
@@ -68,3 +71,22 @@ def test_median_of_the_seconds_as_logged(spark):
     rows = [("a", 0.00049)] * 3 + [("b", 1.0), ("b", 0.25), ("b", 4.0), ("b", 0.5), ("c", None)]
     got = median_seconds(spark.createDataFrame(rows, "run_id string, seconds double"), ["run_id"]).collect()
     assert {r.run_id: r.median_seconds for r in got} == {"a": 0.00049, "b": 0.75}
+
+
+def test_medians_of_skewed_and_close_values(spark):
+    choose = random.Random(4)
+    groups = {
+        "one": [3.5],
+        None: [1.0, 2.0, 8.0],
+        "close": [1.0 + at * 2.0**-52 for at in range(8)],  # all but the last bits are equal
+        "signs": [-1.5, -0.0, 0.0, 2.0, -1e300, 1e-310],
+        "hot": [0.125] * 900 + [choose.random() for _ in range(1101)],
+        "wide": [10.0 ** choose.uniform(-20, 20) * choose.choice([-1, 1]) for _ in range(400)],
+    }
+    rows = [(name, "m", value) for name, values in groups.items() for value in values]
+    choose.shuffle(rows)
+    got = median_seconds(spark.createDataFrame(rows, "run_id string, model string, seconds double").repartition(5), ["run_id", "model"])
+    assert {r.run_id: r.median_seconds for r in got.collect()} == {name: statistics.median(values) for name, values in groups.items()}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort [seconds" not in plan
+    assert median_seconds(spark.createDataFrame([], "run_id string, seconds double"), ["run_id"]).isEmpty()
