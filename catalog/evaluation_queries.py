@@ -242,36 +242,48 @@ def qwk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.select("run_id", "asset_class", F.round("qwk", 9).alias("qwk"))
 
 
-def draws_sql(cells: str, keys: str, categories: str, result: str) -> str:
-    """Poisson counts of every cell and resample, by inversion at a numbered hash."""
-    text = ", '/', ".join([*keys.split(", "), *categories.split(", "), "b"])
-    return f"""
-{result}_ranges as (
-  select *, greatest(0, floor(n - 10 * sqrt(n) - 20))::bigint as lo, ceil(n + 10 * sqrt(n) + 30)::bigint as hi from {cells}
-),
-{result}_terms as (select *, unnest(generate_series(lo, hi)) as k from {result}_ranges),
-{result}_upto as (
-  select {keys}, {categories}, k, hi, sum(exp(k * ln(n) - n - lgamma(k + 1))) over (partition by {keys}, {categories} order by k rows unbounded preceding) as upto
-  from {result}_terms
-),
-{result}_uniforms as (
-  select {keys}, {categories}, b, (('0x' || substr(md5(concat('0/', {text})), 1, 12))::bigint::double + 0.5) / 281474976710656.0::double as u
-  from {cells}, (select unnest(generate_series(0, 999)) as b)
-),
-{result} as (
-  select {keys}, {categories}, u.b, coalesce(min(t.k) filter (where t.upto >= u.u), max(t.hi)) as n
-  from {result}_uniforms u join {result}_upto t using ({keys}, {categories}) group by {keys}, {categories}, u.b
-)"""
+def draws_sql(cells: str, keys: str, categories: str, result: str, width: int) -> str:
+    """Counts of every cell and resample: conditional binomials down a tree of the given width, by inversion at numbered hashes."""
+    text = ", '/', ".join(["'0'", *keys.split(", "), "start", "'{width}'", "b"])
+    parts = [f"""{result}_places as (select *, row_number() over (partition by {keys} order by {categories}) - 1 as pos from {cells})""",
+             f"""{result}_came{width} as (
+  select {keys}, b, 0 as start, total as came from (select {keys}, cast(sum(n) as bigint) as total from {cells} group by all), (select unnest(generate_series(0, 999)) as b)
+)"""]
+    while width > 1:
+        half = width // 2
+        uniform = f"(('0x' || substr(md5(concat({text.format(width=width)})), 1, 12))::bigint::double + 0.5) / 281474976710656.0::double"
+        parts += [f"""{result}_share{width} as (
+  select {keys}, pos // {width} * {width} as start, cast(sum(n) as bigint) as whole, cast(coalesce(sum(n) filter (where pos % {width} < {half}), 0) as bigint) as lefts from {result}_places group by all
+)""", f"""{result}_range{width} as (
+  select *, greatest(0, floor(came * p - 10 * sqrt(came * p * (1 - p)) - 20))::bigint as lo, least(came, ceil(came * p + 10 * sqrt(came * p * (1 - p)) + 30))::bigint as hi
+  from (select distinct {keys}, start, came, lefts::double / whole::double as p from {result}_came{width} join {result}_share{width} using ({keys}, start) where lefts > 0 and lefts < whole)
+)""", f"""{result}_upto{width} as (
+  select {keys}, start, came, hi, k, sum(exp(lgamma(came + 1) - lgamma(k + 1) - lgamma(came - k + 1) + k * ln(p) + (came - k) * ln(1 - p))) over (partition by {keys}, start, came order by k rows unbounded preceding) as upto
+  from (select *, unnest(generate_series(lo, hi)) as k from {result}_range{width})
+)""", f"""{result}_drawn{width} as (
+  select {keys}, b, start, came, coalesce(min(k) filter (where upto >= u), max(hi)) as drawn
+  from (select *, {uniform} as u from {result}_came{width}) join {result}_upto{width} using ({keys}, start, came) group by {keys}, b, start, came
+)""", f"""{result}_split{width} as (
+  select {keys}, b, start, c.came, case when s.lefts = 0 then 0 when s.lefts = s.whole then c.came else d.drawn end as goes
+  from {result}_came{width} c join {result}_share{width} s using ({keys}, start) left join {result}_drawn{width} d using ({keys}, b, start)
+)""", f"""{result}_came{half} as (
+  select {keys}, b, start, goes as came from {result}_split{width} union all select {keys}, b, start + {half}, came - goes from {result}_split{width}
+)"""]
+        width = half
+    parts.append(f"""{result} as (
+  select {keys}, {categories}, c.b, cast(c.came as bigint) as n from {result}_places p join (select {keys}, b, start as pos, came from {result}_came1) c using ({keys}, pos)
+)""")
+    return ",\n".join(parts)
 
 
 DRAWS = f"""
 gate_cells as (
   select run_id, truth_damage as truth, routed, count(*) as n from scored where truth_damage is not null group by all
 ),
-{draws_sql("gate_cells", "run_id", "truth, routed", "hits")},
+{draws_sql("gate_cells", "run_id", "truth, routed", "hits", 4)},
 stats as (
   select run_id, b, coalesce(sum(n) filter (where truth and routed), 0)::double as tp, coalesce(sum(n) filter (where routed), 0)::double as p, coalesce(sum(n) filter (where truth), 0)::double as t
-  from hits group by run_id, b having sum(n) > 0
+  from hits group by run_id, b
 ),
 rates as (select run_id, b, coalesce(tp / nullif(p, 0), 0) as "precision", coalesce(tp / nullif(t, 0), 0) as recall from stats),
 scores as (select *, coalesce(2.0::double * "precision" * recall / nullif("precision" + recall, 0), 0) as f1 from rates),
@@ -300,10 +312,10 @@ def bootstrap_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 GRADE_DRAWS = f"""
 assessed_cells as (select * from cells where pred is not null),
-{draws_sql("assessed_cells", "run_id, asset_class", "truth, pred", "grade_hits")},
+{draws_sql("assessed_cells", "run_id, asset_class", "truth, pred", "grade_hits", 64)},
 stats as (
   select run_id, asset_class, b, coalesce(sum(n) filter (where truth = pred), 0)::double / sum(n)::double as exact_match, coalesce(sum(n) filter (where abs(truth - pred) <= 1), 0)::double / sum(n)::double as within_one_grade
-  from grade_hits group by run_id, asset_class, b having sum(n) > 0
+  from grade_hits group by run_id, asset_class, b
 ),
 point as (
   select run_id, asset_class, cast(sum(n) as bigint) as n_rows, coalesce(sum(n) filter (where truth = pred), 0)::double / sum(n)::double as exact_match,
