@@ -64,12 +64,16 @@ def escalated(findings: DataFrame) -> DataFrame:
     )
 
 
+def scored_findings(findings: DataFrame, assets: DataFrame | None, today: dt.date | str, keep_factors: bool = False) -> DataFrame:
+    """Findings with their score and effective action."""
+    scored = escalated(with_factors(findings, assets, today))
+    return scored if keep_factors else scored.drop("severity_weight", "criticality", "consequence", "urgency")
+
+
 def rank_queue(findings: DataFrame, assets: DataFrame | None, today: dt.date | str,
                group: tuple[str, ...] = ("run_id",), keep_factors: bool = False) -> DataFrame:
     """Score every finding and number the queue 1..n within each run."""
-    scored = escalated(with_factors(findings, assets, today))
-    if not keep_factors:
-        scored = scored.drop("severity_weight", "criticality", "consequence", "urgency")
+    scored = scored_findings(findings, assets, today, keep_factors)
     return with_rank(scored, list(group), queue_order(), "queue_rank")
 
 

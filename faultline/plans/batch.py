@@ -20,7 +20,7 @@ from faultline import schemas
 from faultline.fixed_values import FORCED_CLASSES, MIN_CLEAN_CONFIDENCE
 from faultline.functions.routing import pass_through_verdict, with_routing
 from faultline.functions.tiles import explode_targets
-from faultline.operators.queue import ASSET_COLUMNS, rank_queue
+from faultline.operators.queue import ASSET_COLUMNS, scored_findings
 from faultline.operators.records import distinct_images, for_disaster, not_yet_gated, one_row_per
 from faultline.operators.review import apply_reviews
 from faultline.operators.runs import disaster_counts, priced, progress, ranked_list, summarise, summary_details, tariff
@@ -35,7 +35,7 @@ from faultline.operators.scoring import (
 )
 from faultline.operators.validation import image_rules, standard_for, with_violations
 from faultline.session import materialise
-from faultline.sources import readers, writers
+from faultline.sources import ranking, readers, writers
 from faultline.sources.store import RunStore, new_job, open_run, run_configs, saved_ids
 
 
@@ -149,22 +149,54 @@ def captured_dates(images: DataFrame, assets: DataFrame | None) -> DataFrame:
     return joined.withColumn("found_on", F.coalesce("found_on", "captured_on"))
 
 
+def _scored_findings(images: DataFrame, root: str, run_id: str, today: dt.date | str, assets: DataFrame | None, findings: DataFrame) -> DataFrame:
+    """A run's raw `findings` with the reviews so far, scored for its queue."""
+    spark = images.sparkSession
+    fields = [*schemas.struct(schemas.FINDINGS).fieldNames(), "run_id"]
+    reviews = readers.load_reviews(spark, root).filter(F.col("run_id") == run_id)
+    return scored_findings(apply_reviews(findings.select(*fields), reviews), captured_dates(images, assets), today)
+
+
+def _last_review(spark: SparkSession, root: str, run_id: str) -> int:
+    reviews = readers.load_reviews(spark, root).filter(F.col("run_id") == run_id)
+    return reviews.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("last")).first()["last"]
+
+
+def _exported(spark: SparkSession, root: str, run_id: str, exports: bool) -> DataFrame:
+    if exports:
+        queue, folder = ranking.queue_in_order(spark, root, run_id), f"{root.rstrip('/')}/exports/{run_id}"
+        writers.write_queue_csv(queue, f"{folder}/queue_csv", in_order=True)
+        writers.write_bridge_csv(queue, f"{folder}/bridge_csv", in_order=True)
+        writers.write_findings_json(queue, f"{folder}/findings_json", in_order=True)
+    return ranking.load_queue(spark, root).filter(F.col("run_id") == run_id)
+
+
 def save_ranked(images: DataFrame, root: str, run_id: str, today: dt.date | str, *, assets: DataFrame | None = None,
                 exports: bool = True) -> DataFrame:
-    """Apply the reviews so far, re-rank a run and rewrite its queue and exports. Returns the stored queue."""
+    """Apply the reviews so far, rank a run anew and rewrite its queue and exports. Returns the stored queue."""
     spark = images.sparkSession
+    last = _last_review(spark, root, run_id)
     findings = readers.load_raw_findings(spark, root).filter(F.col("run_id") == run_id)
-    findings = findings.select(*schemas.struct(schemas.FINDINGS).fieldNames(), "run_id")
-    reviews = readers.load_reviews(spark, root).filter(F.col("run_id") == run_id)
-    ranked = rank_queue(apply_reviews(findings, reviews), captured_dates(images, assets), today)
-    writers.save_queue(ranked, root)
-    queue = readers.read_run_table(spark, root, "queue", schemas.QUEUE).filter(F.col("run_id") == run_id)
-    if exports:
-        folder = f"{root.rstrip('/')}/exports/{run_id}"
-        writers.write_queue_csv(queue, f"{folder}/queue_csv")
-        writers.write_bridge_csv(queue, f"{folder}/bridge_csv")
-        writers.write_findings_json(queue, f"{folder}/findings_json")
-    return queue
+    ranking.write_ranking(_scored_findings(images, root, run_id, today, assets, findings), root, run_id, str(today), last)
+    return _exported(spark, root, run_id, exports)
+
+
+def requeue(images: DataFrame, root: str, run_id: str, today: dt.date | str, *, assets: DataFrame | None = None,
+            exports: bool = True) -> DataFrame:
+    """The queue of `save_ranked` after new decisions: only findings decided since the last ranking are scored and moved.
+
+    Urgency depends on the day, so on another day the run is ranked anew. `images` and `assets` are those of the ranking.
+    """
+    spark = images.sparkSession
+    parts = ranking.read_manifest_rows(spark, root, run_id)
+    if not parts or parts[0]["today"] != str(today):
+        return save_ranked(images, root, run_id, today, assets=assets, exports=exports)
+    last = _last_review(spark, root, run_id)
+    decided = readers.load_reviews(spark, root).filter((F.col("run_id") == run_id) & (F.col("id") > parts[0]["reviewed"]))
+    findings = readers.load_raw_findings(spark, root).filter(F.col("run_id") == run_id)
+    changed = findings.join(decided.select("finding_id").distinct(), "finding_id", "left_semi")
+    ranking.merge_changes(_scored_findings(images, root, run_id, today, assets, changed), root, run_id, str(today), last)
+    return _exported(spark, root, run_id, exports)
 
 
 def checked_images(images: DataFrame, limit: int = 0) -> DataFrame:
@@ -278,7 +310,7 @@ def run_disaster(spark: SparkSession, root: str, run_id: str, gate: Scorer | Non
     images = disaster_images(spark, folder=folder, manifest=manifest)
     settings = replace(settings or RunSettings(), tiles=False)
     run_batch(images, root, run_id, gate, grade, today, settings=settings, **options)
-    queue = readers.read_run_table(spark, root, "queue", schemas.QUEUE).filter(F.col("run_id") == run_id)
+    queue = ranking.load_queue(spark, root).filter(F.col("run_id") == run_id)
     counts = disaster_counts(queue, spark.range(1).select(F.lit(run_id).alias("run_id")))
     if settings.exports:
         writers.write_summary(counts, f"{root.rstrip('/')}/exports/{run_id}/surge_counts_json")

@@ -39,6 +39,12 @@ USAGE = (
     "model string, input_tokens bigint, output_tokens bigint, seconds double, note string, ts timestamp"
 )
 
+QUEUE_KEY = "struct<not_worst: boolean, unassessed: boolean, minus_score: double, finding_id: string>"
+
+QUEUE_PARTS = (
+    f"file string, n bigint, before bigint, first {QUEUE_KEY}, last {QUEUE_KEY}, today string, reviewed bigint"
+)
+
 GATE = (
     "image_id string, asset_class string, usable boolean, damage_present boolean, confidence double, reason string,"
     f" {USAGE}"

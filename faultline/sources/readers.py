@@ -13,6 +13,7 @@ from faultline.functions.columns import first_or_blank
 from faultline.functions.text import numbered_id
 from faultline.operators.ordered import with_rank
 from faultline.operators.records import merged_with_sidecar
+from faultline.sources.ranking import load_queue
 
 def read_manifest(spark: SparkSession, path: str | list[str], position: bool = False) -> DataFrame:
     """A JSON-lines manifest with the fixed schema. A malformed row or a wrong type stops the read.
@@ -225,7 +226,7 @@ def load_raw_findings(spark: SparkSession, root: str) -> DataFrame:
 
 def load_findings(spark: SparkSession, root: str) -> DataFrame:
     """Ranked findings where a run has a queue, else its raw findings."""
-    queue = read_run_table(spark, root, "queue", schemas.QUEUE)
+    queue = load_queue(spark, root)
     raw = load_raw_findings(spark, root).select(*schemas.struct(schemas.FINDINGS).fieldNames(), "run_id")
     unranked = raw.join(queue.select("run_id").distinct(), "run_id", "left_anti")
     return queue.unionByName(unranked, allowMissingColumns=True)

@@ -20,36 +20,31 @@ def append_log(rows: DataFrame, root: str, name: str) -> None:
     rows.write.mode("append").partitionBy("run_id").parquet(f"{root.rstrip('/')}/{name}")
 
 
-def save_queue(queue: DataFrame, root: str) -> None:
-    """Replace the queue of the runs in `queue`, leaving the queues of other runs as they are."""
-    fields = [*schemas.struct(schemas.QUEUE).fieldNames(), "run_id"]
-    (
-        queue.select(*fields)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_id")
-        .parquet(f"{root.rstrip('/')}/queue")
-    )
+def _ranked(queue: DataFrame, in_order: bool) -> DataFrame:
+    return queue if in_order else queue.orderBy("run_id", "queue_rank")
+
 
+def write_queue_csv(queue: DataFrame, path: str, in_order: bool = False) -> None:
+    """The flat queue in rank order: part files follow the order, and so do the rows in each.
 
-def write_queue_csv(queue: DataFrame, path: str) -> None:
-    """The flat queue in rank order: part files follow the order, and so do the rows in each."""
-    rows = queue_rows(queue).orderBy("run_id", "queue_rank")
+    A queue that comes `in_order` (ranking.queue_in_order) is written as it is, here and below.
+    """
+    rows = queue_rows(_ranked(queue, in_order))
     rows.write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
 
 
-def write_bridge_csv(queue: DataFrame, path: str) -> bool:
+def write_bridge_csv(queue: DataFrame, path: str, in_order: bool = False) -> bool:
     """Element entry rows, only when there is a bridge finding. Returns whether anything was written."""
     bridges = queue.filter(F.col("asset_class") == "bridge_element")
     if bridges.isEmpty():
         return False
-    rows = bridge_rows(bridges.orderBy("run_id", "queue_rank"))
+    rows = bridge_rows(_ranked(bridges, in_order))
     rows.write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
     return True
 
 
-def write_findings_json(queue: DataFrame, path: str) -> None:
-    queue.orderBy("run_id", "queue_rank").write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+def write_findings_json(queue: DataFrame, path: str, in_order: bool = False) -> None:
+    _ranked(queue, in_order).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def write_summary(summary: DataFrame, path: str) -> None:
