@@ -37,85 +37,114 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm.support import CACHED_WORDS, join_beside_hot, materialise, mixed, new_folder, slot_bitmap, table, worker_value
+from faultline.llm.support import join_beside_hot, materialise, mixed, new_folder, slot_bitmap, table
 from faultline.operators.ordered import top_per_group
 
-LONGEST, THRESHOLD, TOP, SHARDS = 3, 10, 2000, 3
+LONGEST, THRESHOLD, TOP, SHARDS = 3, 10, 2000, 2
 #: A table's slots: 2^SLOT_BITS bytes are broadcast for each length.
 SLOT_BITS = 23
 NEVER = 255
-#: Words that a task holds before it counts them.
-HELD_WORDS = 500_000
+#: A count's tag holds the phrase's length above, and the scan in which its counting starts in so many bits.
+START_BITS = 6
+#: Bytes of text that a task works on at once; keys that it holds before it counts them.
+HELD_BYTES, HELD_KEYS = 2**20, 2**20
+#: Words of a longer text that its next part repeats, and the longest word, in bytes, that is hashed in blocks.
+REPEATED, LONG_WORD = LONGEST - 1, 64
+#: Parts that the texts are dealt to; shards are made of them.
+PARTS = 16
 BREAK = b"\xff"  # no byte of UTF-8
 LOWERED = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\n\x0b\x0c\r\t", bytes(range(97, 123)) + BREAK * 10 + b" ")
 MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
-class Words(dict):
-    """A number for each word, and two hashes by number. Number 0 is a break between pieces."""
+class Words:
+    """The words of some texts in reading order, found and hashed in one pass over their bytes.
 
-    def __init__(self) -> None:
-        super().__init__({BREAK: 0})
-        self.hashes: tuple[list[int], list[int]] = ([0], [0])
-
-    def __missing__(self, word: bytes) -> int:
-        number = len(self.hashes[0])
-        for seed, hashes in enumerate(self.hashes):
-            hashes.append(xxhash.xxh64_intdigest(word, seed + 1))
-        if len(word) <= 64:
-            self[word] = number
-        return number
-
-
-def tokens(text: str) -> Iterator[list[bytes]]:
-    """The words of a text with a BREAK at the end of each piece, in lists of bounded length."""
-    data = text.encode("utf-8", "surrogatepass").translate(LOWERED)
-    at = 0
-    while at < len(data):
-        end = len(data)
-        if end - at > 2**20:
-            space = [found for mark in (b" ", BREAK) if (found := data.find(mark, at + 2**20)) >= 0]
-            end = min(space, default=end)
-        yield data[at:end].replace(BREAK, b" \xff ").split()
+    `skip` words at the start were counted with the part before; they are here for phrases that begin in them.
+    """
+
+    def __init__(self, data: bytes, lang: np.ndarray, lang_start: np.ndarray, skip: int) -> None:
+        self.data, self.skip = data, skip
+        code = np.frombuffer(data, np.uint8)
+        apart = (code == 0x20) | (code == 0xFF)
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], apart, [True]]).view(np.int8)))
+        self.start, self.end = edge[::2], edge[1::2]
+        self.piece = np.searchsorted(np.flatnonzero(code == 0xFF), self.start)
+        self.lang = lang[np.searchsorted(lang_start, self.start, side="right") - 1]
+        self.hashes = self._hashed()
+
+    def _hashed(self) -> list[np.ndarray]:
+        """Two hashes of every word, from its bytes in blocks of eight and its length."""
+        size = self.end - self.start
+        blocks = np.ndarray(len(self.data), "<u8", self.data + bytes(8), strides=(1,))  # the eight bytes from every place on
+        hashes = [size.astype(np.uint64) * factor for factor in MULTIPLIERS]
+        at = np.arange(len(size))
+        for offset in range(0, LONG_WORD, 8):
+            at = at[size[at] > offset]
+            if not len(at):
+                break
+            block = blocks[self.start[at] + offset] & BLOCK_MASKS[np.minimum(size[at] - offset, 8)]
+            for lane, factor in enumerate(MULTIPLIERS):
+                hashes[lane][at] = mixed(hashes[lane][at] * factor + (block ^ factor))
+        for i in np.flatnonzero(size > LONG_WORD):
+            for lane in range(2):
+                hashes[lane][i] = xxhash.xxh64_intdigest(self.data[self.start[i] : self.end[i]], lane + 1)
+        return hashes
+
+
+#: What to keep of eight bytes of which so many belong to a word.
+BLOCK_MASKS = np.array([2 ** (8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def parts_of(data: bytes) -> Iterator[tuple[bytes, int]]:
+    """A translated text in parts of at most 2 * HELD_BYTES, and how many words at the start of each are repeated.
+
+    Parts end between pieces where they can; else behind a word, and the next one repeats the words before it. A word longer than a
+    part is cut, which can join no phrase's count: nothing that long occurs THRESHOLD times in one place.
+    """
+    at, kept = 0, b""
+    while len(data) - at > HELD_BYTES:
+        limit = at + HELD_BYTES
+        end = data.rfind(BREAK, at, limit)
+        if end > at:
+            yield kept + data[at:end], len(kept.split())
+            at, kept = end, b""
+            continue
+        end = data.rfind(b" ", at, limit)
+        end = end if end > at else limit
+        part = kept + data[at:end]
+        yield part, len(kept.split())
+        kept = b" ".join(part.rpartition(BREAK)[2].split()[-REPEATED:]) + b" " if REPEATED else b""
+        kept = kept if len(kept) < HELD_BYTES // 2 else b""
         at = end
-    yield [BREAK]
+    yield kept + data[at:], len(kept.split())
 
 
-class Held:
-    """Words of a task in reading order, with their languages, until they are counted."""
+def held_words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, list[str]]]:
+    """The words of a task's rows (lang, text), some HELD_BYTES of text at a time, and the languages they refer to."""
+    held, size, langs = [], 0, []
 
-    def __init__(self) -> None:
-        self.words: list[bytes] = []
-        self.ends: list[int] = []
-        self.langs: list[str] = []
-
-    def numbers(self) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray, list[str]]:
-        """Numbers and both hashes of all words, the place of each word's language, and the languages."""
-        known = worker_value(("collocation words",), Words)
-        if len(known.hashes[0]) > CACHED_WORDS:
-            known.clear()
-            known.__init__()
-        number = np.fromiter(map(known.__getitem__, self.words), np.int64, len(self.words))
-        names = sorted(set(self.langs))
+    def words() -> tuple[Words, list[str]]:
+        names = sorted(set(langs))
         place = {name: i for i, name in enumerate(names)}
-        lang = np.repeat(np.array([place[name] for name in self.langs], np.int64), np.diff([0, *self.ends]))
-        return number, tuple(np.array(hashes, np.uint64)[number] for hashes in known.hashes), lang, names
-
+        starts = np.concatenate([[0], np.cumsum([len(part) + 1 for part in held])[:-1]])
+        return Words(BREAK.join(held), np.array([place[name] for name in langs]), starts, 0), names
 
-def held_words(batches: Iterator[pa.RecordBatch]) -> Iterator[Held]:
-    """The words of a task's rows (lang, text), in parts of about HELD_WORDS that end with a piece."""
-    held = Held()
     for batch in batches:
         for lang, scalar in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            for found in tokens(scalar.as_py()):
-                held.words += found
-                held.ends.append(len(held.words))
-                held.langs.append(lang)
-                if len(held.words) >= HELD_WORDS and held.words[-1] == BREAK:
-                    yield held
-                    held = Held()
-    if held.words:
-        yield held
+            data = scalar.as_py().encode("utf-8", "surrogatepass").translate(LOWERED)
+            if len(data) > HELD_BYTES:
+                for part, skip in parts_of(data):
+                    yield Words(part, np.zeros(1, np.int64), np.zeros(1, np.int64), skip), [lang]
+                continue
+            if size + len(data) > HELD_BYTES:
+                yield words()
+                held, size, langs = [], 0, []
+            held.append(data)
+            langs.append(lang)
+            size += len(data) + 1
+    if held:
+        yield words()
 
 
 def lang_hashes(names: list[str], seed: int) -> np.ndarray:
@@ -123,43 +152,47 @@ def lang_hashes(names: list[str], seed: int) -> np.ndarray:
 
 
 class Phrases:
-    """The phrases of rising length that start at each word of a Held. `inside[i]`: the phrase at i lies within a piece."""
+    """The phrases of rising length that start at each word. `inside[i]`: the phrase at i lies within a piece, and counts here."""
 
-    def __init__(self, held: Held) -> None:
-        number, self.words, self.lang, self.names = held.numbers()
-        self.of_lang = [lang_hashes(self.names, seed) for seed in range(2)]
-        self.sums = list(self.words)
-        self.length, self.inside = 1, number != 0
+    def __init__(self, words: Words, names: list[str]) -> None:
+        self.words, self.names = words, names
+        self.of_lang = [lang_hashes(names, seed) for seed in range(2)]
+        self.sums = list(words.hashes)
+        self.length, self.whole = 1, np.ones(len(words.start), bool)
+
+    @property
+    def inside(self) -> np.ndarray:
+        return self.whole & (np.arange(len(self.whole)) + self.length > self.words.skip)
 
     def lengthen(self) -> None:
-        k = self.length
-        self.sums = [s[:-1] * MULTIPLIERS[seed] + self.words[seed][k:] for seed, s in enumerate(self.sums)]
-        self.inside, self.length = self.inside[:-1] & self.inside[1:], k + 1
+        k, piece = self.length, self.words.piece
+        self.sums = [s[:-1] * MULTIPLIERS[seed] + self.words.hashes[seed][k:] for seed, s in enumerate(self.sums)]
+        self.whole, self.length = piece[:-k] == piece[k:], k + 1
 
     def keys(self, seed: int, at: np.ndarray | slice = slice(None)) -> np.ndarray:
-        lang = self.lang[: len(self.inside)][at]
+        lang = self.words.lang[: len(self.whole)][at]
         of_length = np.uint64(self.length * int(MULTIPLIERS[1 - seed]) % 2**64)
         return mixed(self.sums[seed][at] + self.of_lang[seed][lang] + of_length)
 
+    def lang_keys(self) -> list[np.ndarray]:
+        """Keys of the languages themselves, as of phrases of length 0."""
+        return [mixed(hashes) for hashes in self.of_lang]
+
+    def text(self, i: int) -> bytes:
+        return b" ".join(self.words.data[self.words.start[i] : self.words.end[i + self.length - 1]].split())
+
 
 def slots(keys: np.ndarray) -> np.ndarray:
     return (keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def counted(phrases: Phrases, at: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
-    """lang, length, k1, k2, start and n of the phrases at the given places."""
-    k1, k2 = phrases.keys(0, at), phrases.keys(1, at)
-    order = np.argsort(k1, kind="stable")
-    k1, k2 = k1[order], k2[order]
-    first = np.flatnonzero(np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]))
-    lang = pa.array(phrases.names, pa.string()).take(pa.array(phrases.lang[at[order[first]]]))
-    n = np.diff(np.concatenate([first, [len(k1)]]))
-    columns = [lang, pa.array(np.full(len(first), phrases.length, np.int32)), pa.array(k1[first].view(np.int64)), pa.array(k2[first].view(np.int64))]
-    return pa.RecordBatch.from_arrays([*columns, pa.array(start[order[first]].astype(np.int32)), pa.array(n.astype(np.int64))], COUNT_NAMES)
+#: Keys and plain numbers only: these rows are most of what is moved, and whole-stage code aggregates them in place.
+COUNTS = "k1 long, k2 long, tag int, n long"
 
 
-COUNT_NAMES = ["lang", "length", "k1", "k2", "start", "n"]
-COUNTS = "lang string, length int, k1 long, k2 long, start int, n long"
+def counts_batch(k1: np.ndarray, k2: np.ndarray, tag: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    columns = [k1.view(np.int64), k2.view(np.int64), tag.astype(np.int32), n.astype(np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(column) for column in columns], ["k1", "k2", "tag", "n"])
 
 
 def sent(spark: SparkSession, tables: np.ndarray) -> Broadcast:
@@ -171,6 +204,29 @@ def received(shared: Broadcast, kind: type) -> np.ndarray:
     return np.frombuffer(zlib.decompress(shared.value), kind).reshape(-1, 2**SLOT_BITS)
 
 
+class Counter:
+    """Keys that wait to be counted, HELD_KEYS at most."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def add(self, k1: np.ndarray, k2: np.ndarray, tag: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append((k1, k2, tag.astype(np.int32)))
+        self.size += len(k1)
+        if self.size >= HELD_KEYS:
+            yield from self.counts()
+
+    def counts(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            k1, k2, tag = (np.concatenate(columns) for columns in zip(*self.held, strict=True))
+            self.held, self.size = [], 0
+            order = np.argsort(k1)
+            k1, k2 = k1[order], k2[order]
+            first = np.flatnonzero(np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]))
+            yield counts_batch(k1[first], k2[first], tag[order[first]], np.diff(np.concatenate([first, [len(k1)]])))
+
+
 def scan(rows: DataFrame, number: int, shards: int, longest: int, tables: Broadcast) -> DataFrame:
     """Counts of all phrases that are active in scan `number`, over a shard's rows. Length 0 counts all words of a language.
 
@@ -178,23 +234,21 @@ def scan(rows: DataFrame, number: int, shards: int, longest: int, tables: Broadc
     """
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = received(tables, np.uint8)
-        for held in held_words(batches):
-            phrases = Phrases(held)
-            if number < shards and phrases.inside.any():
+        ready, counter = received(tables, np.uint8), Counter()
+        for words, names in held_words(batches):
+            phrases = Phrases(words, names)
+            if number < shards:
                 at = np.flatnonzero(phrases.inside)
-                yield counted(phrases, at, np.zeros(len(at), np.int32))
-                n = np.bincount(phrases.lang[at], minlength=len(phrases.names))
-                zero = pa.array(np.zeros(len(n), np.int64))
-                small = pa.array(np.zeros(len(n), np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(phrases.names), small, zero, zero, small, pa.array(n)], COUNT_NAMES)
-            while phrases.length < longest and len(phrases.inside) > 1:
-                since = np.where(phrases.inside, ready[phrases.length - 1][slots(phrases.keys(0))], NEVER).astype(np.int32)
+                yield from counter.add(phrases.keys(0, at), phrases.keys(1, at), np.full(len(at), 1 << START_BITS))
+                n = np.bincount(words.lang[at], minlength=len(names))
+                yield counts_batch(*phrases.lang_keys(), np.zeros(len(n)), n)
+            while phrases.length < longest and len(phrases.whole) > 1:
+                since = np.where(phrases.whole, ready[phrases.length - 1][slots(phrases.keys(0))], NEVER).astype(np.int32)
                 start = np.maximum(since[:-1], since[1:])
                 phrases.lengthen()
                 at = np.flatnonzero((start <= number) & (number < start + shards) & phrases.inside)
-                if len(at):
-                    yield counted(phrases, at, start[at])
+                yield from counter.add(phrases.keys(0, at), phrases.keys(1, at), (phrases.length << START_BITS) + start[at])
+        yield from counter.counts()
 
     return rows.select("lang", "text").mapInArrow(compute, COUNTS)
 
@@ -205,15 +259,16 @@ def slot_bitmaps(rows: DataFrame, lengths: int) -> np.ndarray:
 
 
 def dealt(documents: DataFrame, shards: int, lang: str, text: str) -> DataFrame:
-    """lang, text and shard of all rows, written by shard."""
+    """lang, text, part and shard of all rows, written by part. A shard is every so many-th part."""
     folder = new_folder(documents.sparkSession, "shards")
     rows = documents.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(text, F.lit("")).alias("text"))
-    rows.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int")).write.partitionBy("shard").parquet(folder)
-    return documents.sparkSession.read.schema("lang string, text string, shard int").parquet(folder)
+    rows.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int")).write.partitionBy("part").parquet(folder)
+    written = documents.sparkSession.read.schema("lang string, text string, part int").parquet(folder)
+    return written.withColumn("shard", F.pmod("part", F.lit(shards)))
 
 
 def count_phrases(rows: DataFrame, shards: int = SHARDS, longest: int = LONGEST, threshold: int = THRESHOLD) -> DataFrame:
-    """lang, length, k1, k2, n: exact counts of all phrases with `threshold` occurrences, by key; length 0 holds all words of a language.
+    """length, k1, k2, n: exact counts of all phrases with `threshold` occurrences, by key; length 0 holds all words of a language.
 
     `rows` (lang, text, shard) are written.
     """
@@ -222,28 +277,34 @@ def count_phrases(rows: DataFrame, shards: int = SHARDS, longest: int = LONGEST,
     while number < shards or number < last_change + shards:
         shared = sent(rows.sparkSession, tables)
         found = scan(rows.where(F.col("shard") == number % shards), number, shards, longest, shared)
-        found = found.withColumn("since", F.lit(None).cast("int"))
-        merged = (found if state is None else state.unionByName(found)).groupBy("lang", "length", "k1", "k2")
-        summed = merged.agg(F.min("start").alias("start"), F.sum("n").alias("n"), F.min("since").alias("since"))
+        found = found.withColumn("since", F.lit(NEVER))
+        merged = (found if state is None else state.unionByName(found)).groupBy("k1", "k2")
+        summed = merged.agg(F.min("tag").alias("tag"), F.sum("n").alias("n"), F.min("since").alias("since"))
         number += 1
-        marked = summed.withColumn("since", F.coalesce("since", F.when(F.col("n") >= threshold, number)))
-        growing = F.col("start") + shards > number
-        state = materialise(marked.where((F.col("length") == 0) | (F.col("n") >= threshold) | growing), "counts")
+        marked = summed.withColumn("since", F.when((F.col("since") == NEVER) & (F.col("n") >= threshold), number).otherwise(F.col("since")))
+        growing = F.col("tag").bitwiseAND(2**START_BITS - 1) + shards > number
+        state = materialise(marked.where((F.col("tag") == 0) | (F.col("n") >= threshold) | growing), "counts")
         shared.destroy()
-        reached = slot_bitmaps(state.where(F.col("since") == number), len(tables)) & (tables == NEVER)
+        reached = slot_bitmaps(with_length(state.where(F.col("since") == number)), len(tables)) & (tables == NEVER)
         if reached.any():
             tables[reached], last_change = number, number
-    return state.select("lang", "length", "k1", "k2", "n")
+    return with_length(state).select("length", "k1", "k2", "n")
 
 
-def with_words(rows: DataFrame, counts: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """lang, length, phrase and n of the counted phrases (length 1 and more), their words read in one more scan."""
-    wanted = sent(rows.sparkSession, slot_bitmaps(counts, longest))
+def with_length(state: DataFrame) -> DataFrame:
+    return state.withColumn("length", F.shiftright("tag", START_BITS))
+
+
+def read_words(rows: DataFrame, wanted: Broadcast, longest: int) -> DataFrame:
+    """lang, length, k1, k2 and phrase of phrases in the wanted slots, mostly once a task; a phrase of length 0 is empty."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, seen = received(wanted, bool), np.empty(0, np.uint64)
-        for held in held_words(batches):
-            phrases = Phrases(held)
+        for words, names in held_words(batches):
+            phrases = Phrases(words, names)
+            k1, k2 = phrases.lang_keys()
+            columns = [pa.array(names, pa.string()), pa.array(np.zeros(len(names), np.int32)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([b""] * len(names), pa.binary())], ["lang", "length", "k1", "k2", "phrase"])
             while True:
                 k1 = phrases.keys(0)
                 at = np.flatnonzero(phrases.inside & kept[phrases.length - 1][slots(k1)])
@@ -251,19 +312,38 @@ def with_words(rows: DataFrame, counts: DataFrame, longest: int = LONGEST) -> Da
                 first = np.unique(k1 ^ k2, return_index=True)[1]
                 first = first[~np.isin(k1[first] ^ k2[first], seen)]
                 at, k1, k2 = at[first], k1[first], k2[first]
-                seen = k1 ^ k2 if len(seen) > 2**21 else np.concatenate([seen, k1 ^ k2])
-                text = [b" ".join(held.words[i : i + phrases.length]) for i in at.tolist()]
-                lang = pa.array(phrases.names, pa.string()).take(pa.array(phrases.lang[at]))
+                seen = k1 ^ k2 if len(seen) > 2**20 else np.concatenate([seen, k1 ^ k2])
+                lang = pa.array(names, pa.string()).take(pa.array(words.lang[at]))
                 columns = [lang, pa.array(np.full(len(at), phrases.length, np.int32)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(text, pa.binary())], ["lang", "length", "k1", "k2", "phrase"])
-                if phrases.length == longest or len(phrases.inside) < 2:
+                text = pa.array([phrases.text(i) for i in at.tolist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*columns, text], ["lang", "length", "k1", "k2", "phrase"])
+                if phrases.length == longest or len(phrases.whole) < 2:
                     break
                 phrases.lengthen()
 
-    key = ["lang", "length", "k1", "k2"]
-    read = rows.select("lang", "text").mapInArrow(compute, "lang string, length int, k1 long, k2 long, phrase binary")
-    named = read.groupBy(*key).agg(F.min("phrase").cast("string").alias("phrase"))
-    return counts.where("length > 0").join(named, key).select("lang", "length", "phrase", "n")
+    return rows.select("lang", "text").mapInArrow(compute, "lang string, length int, k1 long, k2 long, phrase binary")
+
+
+def with_words(rows: DataFrame, counts: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """lang, length, phrase and n of the counted phrases, their words read in one more scan; a phrase of length 0 is empty.
+
+    The scan goes through the parts of the rows in growing steps, and looks in each for the phrases not found before it: frequent
+    ones are read from the first small part, by few tasks, and only rare ones are looked for in all.
+    """
+    key, named, missing, parts = ["length", "k1", "k2"], None, counts, list(range(PARTS))
+    while parts:
+        step = len(parts) if named is None and PARTS < 4 else max(1, (PARTS - len(parts)) or 1)
+        chosen, parts = parts[:step], parts[step:]
+        wanted = sent(rows.sparkSession, slot_bitmaps(missing, longest))
+        read = read_words(rows.where(F.col("part").isin(chosen)), wanted, longest).groupBy(*key).agg(F.min(F.struct("lang", "phrase")).alias("found"))
+        found = materialise(missing.join(read, key).select(*key, "n", "found.lang", F.col("found.phrase").cast("string").alias("phrase")), "named")
+        wanted.destroy()
+        named = found if named is None else named.unionByName(found)
+        if parts:
+            missing = materialise(missing.join(found.select(*key), key, "left_anti"), "unnamed")
+            if missing.isEmpty():
+                break
+    return named.select("lang", "length", "phrase", "n")
 
 
 def scored(phrases: DataFrame) -> DataFrame:
@@ -292,9 +372,10 @@ def collocations(documents: DataFrame, top: int = TOP, threshold: int = THRESHOL
     """The first `top` candidates of each language: lang, rank, phrase, a, l, r, n, score."""
     rows = dealt(documents, shards, lang, text)
     counts = count_phrases(rows, shards, longest, threshold)
-    found = scored(materialise(with_words(rows, counts, longest), "phrases"))
+    phrases = materialise(with_words(rows, counts, longest), "phrases")
+    found = scored(phrases.where("length > 0"))
     best = top_per_group(found, ["lang"], [F.desc("score"), F.desc("a"), F.asc("phrase")], top, "rank")
-    totals = counts.where("length = 0").select("lang", F.col("n").alias("all_words"))
+    totals = phrases.where("length = 0").select("lang", F.col("n").alias("all_words"))
     return best.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", F.col("all_words").alias("n"), "score")
 
 

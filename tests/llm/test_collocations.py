@@ -62,7 +62,8 @@ def of(spark, rows, **settings):
 @pytest.mark.parametrize("shards, slot_bits", [(3, 23), (2, 18), (5, 15)])
 def test_equals_a_plain_count(spark, monkeypatch, shards, slot_bits):
     monkeypatch.setattr(col, "SLOT_BITS", slot_bits)
-    monkeypatch.setattr(col, "HELD_WORDS", 700)
+    monkeypatch.setattr(col, "HELD_BYTES", 4000)
+    monkeypatch.setattr(col, "HELD_KEYS", 700)
     rows = corpus(seed=shards)
     want = plain(rows)
     assert len(want) > 100 and {len(x[2].split()) for x in want} == {2, 3}
@@ -74,9 +75,9 @@ def test_counts_are_whole_when_slots_are_shared(spark, monkeypatch):
     monkeypatch.setattr(col, "slot_bitmaps", plain_bitmaps)
     rows = corpus(seed=9, rows=120)
     dealt = col.dealt(spark.createDataFrame(rows, "text string, lang string").repartition(2), 4, "lang", "text")
-    counts = col.count_phrases(dealt, 4)
-    found = Counter(tuple(r) for r in counts.where("length > 0").select("lang", "length", "n").collect())
-    assert found == Counter((key[0], len(key) - 1, n) for key, n in grams(rows).items() if n >= 10)
+    counts = col.with_words(dealt, col.count_phrases(dealt, 4)).where("length > 0").collect()
+    assert {(r.lang, *r.phrase.encode().split(b" ")): r.n for r in counts} == {key: n for key, n in grams(rows).items() if n >= 10}
+    assert all(r.length == len(r.phrase.split(" ")) for r in counts)
 
 
 def plain_bitmaps(rows, lengths):
