@@ -17,6 +17,7 @@ from faultline.operators.scoring import unusable_findings
 from faultline.operators.validation import standard_for
 from faultline.session import new_folder
 from faultline.sources import readers, writers
+from faultline.sources.readers import content_hash
 
 SEED = 20260925
 
@@ -247,6 +248,13 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.select("image_id", "asset_class", "split")
 
 
+@query(oracle("", "select doc_id, sha256(text) as sha256 from documents where text is not null"))
+def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of every document's bytes, as a folder scan takes it of a file's."""
+    docs = views.table(spark, sf_dir, "documents").filter(F.col("text").isNotNull())
+    return docs.select("doc_id", content_hash(F.col("text").cast("binary")).alias("sha256"))
+
+
 def _quota_ctes() -> str:
     """The sequential choice written out step by step."""
     parts = [

@@ -9,6 +9,7 @@ from catalog import views
 from catalog.registry import query
 from catalog.views import TODAY, oracle
 from faultline.functions.priority import urgency
+from faultline.functions.routing import with_routing
 from faultline.operators.queue import (
     bridge_rows,
     escalated,
@@ -27,7 +28,18 @@ from faultline.operators.runs import (
     value_counts,
     value_text,
 )
-from faultline.operators.validation import criteria_audit, crosswalk, finding_rules, with_violations
+from faultline.operators.validation import (
+    BUILT_IN,
+    criteria_audit,
+    crosswalk,
+    finding_rules,
+    rubric_table,
+    with_version,
+    with_violations,
+)
+from faultline.plans.report import run_report
+from faultline.session import new_folder
+from faultline.sources import readers
 
 URGENCY_SQL = f"""case when a.found_on is null or not regexp_full_match(a.found_on, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')
   or try_cast(a.found_on as date) is null then 1.0::double
@@ -126,6 +138,14 @@ def triage_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_list(_queue(spark, sf_dir))
 
 
+@query(oracle(QUEUE_VIEWS, """select run_id, queue_rank as rank, finding_id, image_id, level, native_value, standard, effective_action as action,
+  effective_sla as sla_days, queue_score as score from ranked where queue_rank <= 10""", FACTORS))
+def run_report_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The top list of each run's report."""
+    calls, gate = views.calls(spark, sf_dir).withColumn("usd", F.lit(0.0)), with_routing(views.gate(spark, sf_dir))
+    return run_report(gate, _queue(spark, sf_dir), calls)["top"]
+
+
 LEVEL_SQL = ", ".join(f"count(*) filter (where level = '{lv}') as \"{lv}\"" for lv in ("S0", "S1", "S2", "S3", "S4", "U"))
 CLASS_SQL = ", ".join(
     f"count(*) filter (where native_value = '{v}') as \"{v}\""
@@ -260,6 +280,55 @@ def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select("run_id", "finding_id", F.array_join("violations", ",").alias("violations"))
 
 
+VERSIONS = views.rubric_cte() + """,
+versions as (
+  select 'built-in' as version, * from rubric
+  union all select 'later', standard, subject, value, criterion, case when level = 'S1' then 'S2' else level end, case when action = 'monitor' then 'schedule' else action end, flag
+  from rubric where standard = 'CorrosionCS' and value <> 'Poor'
+),
+graded as (select *, case when run_id = 'run0' or standard <> 'CorrosionCS' then 'built-in' else 'later' end as version from fx_findings)
+"""
+
+
+def _two_rubrics(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Findings graded by two versions of a rubric, and the later version as it is read back from a rubric file."""
+    folder = new_folder(spark, "rubric")
+    built_in = rubric_table(spark).filter((F.col("standard") == "CorrosionCS") & (F.col("value") != "Poor"))
+    edited = built_in.withColumns(
+        {
+            "unified": F.when(F.col("level") == "S1", "S2").otherwise(F.col("level")),
+            "action": F.when(F.col("action") == "monitor", "schedule").otherwise(F.col("action")),
+        }
+    )
+    row = F.struct("value", "criterion", "unified", "action", F.col("subject").alias("defect"), "flag")
+    edited.groupBy("standard").agg(F.collect_set("value").alias("allowed_values"), F.collect_list(row).alias("rows")).coalesce(1).write.json(folder)
+    later = with_version(readers.read_rubrics(spark, folder))
+    version = later.select(F.max("version").alias("_later"))  # one row
+    findings = views.findings(spark, sf_dir).join(F.broadcast(version))
+    first = (F.col("run_id") == "run0") | (F.col("native_scale.standard") != "CorrosionCS")
+    return findings.withColumn("rubric_version", F.when(first, BUILT_IN).otherwise(F.col("_later"))).drop("_later"), later
+
+
+@query(oracle("fx_findings", """select f.run_id, f.finding_id,
+  f.standard not in (select standard from rubric) as no_rubric,
+  cast(case when f.standard in (select standard from rubric) and not exists (select 1 from versions v where v.version = f.version and v.standard = f.standard and v.criterion = f.criterion) then 1 else 0 end as int) as unknown_criteria,
+  coalesce(exists (select 1 from versions v where v.version = f.version and v.standard = f.standard and v.value = f.native_value) or f.level = 'U', false) as value_allowed,
+  coalesce(exists (select 1 from versions v where v.version = f.version and v.standard = f.standard and v.value = f.native_value and v.criterion = f.criterion and v.level = f.level)
+    or (f.level = 'S4' and f.native_value in ('CS4', 'Severe')) or f.level = 'U', false) as level_supported from graded f""", VERSIONS))
+def rubric_version_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    findings, later = _two_rubrics(spark, sf_dir)
+    return criteria_audit(findings, later)
+
+
+@query(oracle("fx_findings", """select f.run_id, f.finding_id, f.version = 'later' as later, v.level as rubric_level, v.action as rubric_action, v.flag as rubric_flag
+  from graded f left join versions v on v.version = f.version and v.standard = f.standard and v.value = f.native_value
+  and (v.subject is null or v.subject = 'any defect' or v.subject = f.defect_type)""", VERSIONS))
+def rubric_version_crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    findings, rubric = _two_rubrics(spark, sf_dir)
+    found = crosswalk(findings, rubric)
+    return found.select("run_id", "finding_id", (F.col("rubric_version") != BUILT_IN).alias("later"), "rubric_level", "rubric_action", "rubric_flag")
+
+
 AUDIT_CTES = views.rubric_cte() + """,
 known as (select distinct standard from rubric),
 allowed as (select distinct standard, value from rubric),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog import views
@@ -84,6 +84,31 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(oracle(FACT_VIEWS, """select 'native_values' as part, run_id, case when value in (select value from allowed) then value else 'other' end as key, cast(count(*) as bigint) as n, null::double as usd
+    from (select run_id, native_value as value from fx_findings) group by all
+  union all select 'asset_classes', run_id, asset_class, cast(count(*) as bigint), null from fx_images group by all
+  union all select 'cost_by_stage', run_id, stage, cast(count(*) as bigint), round(sum(usd), 6) from priced group by all
+  union all select 'config', run_id, 'gate', 5, null from (select distinct run_id from fx_images)""",
+  FACTS + ", " + views.rubric_cte() + ", allowed as (select distinct value from rubric)"))
+def run_summary_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The maps of a run's summary, one row an entry; the settings as the store gives them, here of a gate named `model`."""
+    images = views.images(spark, sf_dir)
+    configs = images.select("run_id").distinct().withColumn("settings", F.lit('{"gate": "model"}'))
+    told = runs.summary_details(images, views.findings(spark, sf_dir), _calls(spark, sf_dir), configs)
+
+    def entries(name: str, n: Column, usd: Column) -> DataFrame:
+        return told.select("run_id", F.explode(name).alias("key", "value")).select(F.lit(name).alias("part"), "run_id", "key", n.alias("n"), usd.alias("usd"))
+
+    value, none = F.col("value"), F.lit(None).cast("double")
+    gate = F.get_json_object("config", "$.gate")
+    return (
+        entries("native_values", value, none)
+        .unionByName(entries("asset_classes", value, none))
+        .unionByName(entries("cost_by_stage", value["calls"], F.round(value["usd"], 6)))
+        .unionByName(told.select(F.lit("config").alias("part"), "run_id", F.lit("gate").alias("key"), F.length(gate).cast("long").alias("n"), none.alias("usd")))
+    )
+
+
 @query(oracle(FACT_VIEWS, f"""select run_id, images, findings, round(usd, 4) as usd_total, routed from facts where run_id in ('run0', 'run2')""", FACTS))
 def batch_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.batch_status(run_summary(spark, sf_dir), ["run0", "run2"])

@@ -15,7 +15,7 @@ from faultline.functions.tiles import explode_targets
 from faultline.operators.sampling import select_exemplars, union_all
 from faultline.operators.scoring import gate_images, grade_targets, graded_findings
 from faultline.operators.validation import standard_for
-from faultline.plans.batch import RunSettings, grading_targets, run_batch
+from faultline.plans.batch import RunSettings, grading_targets, record_reviews, requeue, run_batch, run_disaster
 from faultline.session import new_folder
 from faultline.sources import readers, writers
 from faultline.streaming import live
@@ -114,6 +114,61 @@ def batch_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queue.select("finding_id", F.col("unified.level").alias("level"), "queue_score", "queue_rank")
 
 
+BATCH_SQL = f"""select r.finding_id, r.level, r.queue_score, row_number() over (order by (r.level <> 'S4'), (r.level = 'U'), coalesce(r.queue_score, 0) desc, r.finding_id) as queue_rank, r.usd from (
+  select f.finding_id, f.level, f.usd, case f.level when 'S0' then 0.0 when 'S1' then 1.0 when 'S2' then 3.0 when 'S3' then 9.0 when 'S4' then 27.0 end::double * f.urgency as queue_score from (
+    select concat(a.image_id, '/', g.tile) as finding_id, case when g.step >= 5 then 'U' else concat('S', g.step) end as level, case when g.step >= 5 then 0.0 else 0.0625 end::double as usd, {URGENCY_SQL} as urgency
+    from (select *, captured_on as found_on from routing) a join graded g on g.image_id = a.image_id where a.routed and a.usable
+    union all select concat(a.image_id, '/full'), 'U', 0.0::double, 1.0::double from routing a where not a.usable) f) r"""
+
+
+@query(oracle("fx_images", BATCH_SQL, GATE_SQL + "," + GRADE_SQL))
+def batch_resumed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over a part of the images, resumed over all of them with prices: every target is graded, and paid for, once."""
+    root = new_folder(spark, "run")
+    images = views.images(spark, sf_dir).drop("run_id")
+    settings = RunSettings(tiles=True, exports=False)
+    prices = spark.createDataFrame([("formula", 125.0, 1000.0)], "model string, usd_per_mtok_in double, usd_per_mtok_out double")
+    for part in (images.filter(F.col("pos") % 3 == 0), images):
+        run_batch(part, root, "all", formula_gate, formula_grade, TODAY, settings=settings, prices=prices)
+    queue = readers.load_findings(spark, root)
+    return queue.select("finding_id", F.col("unified.level").alias("level"), "queue_score", "queue_rank", "usd")
+
+
+@query(oracle("fx_images", """select 'surge' as run_id, count(*) as n_findings, count(distinct image_id) as n_images,
+  count(*) filter (where value = 'Undamaged') as "Undamaged", count(*) filter (where value <> 'Undamaged') as other_values,
+  count(*) filter (where level = 'S0') as "S0", count(*) filter (where level = 'S4') as "S4", count(*) filter (where level = 'U') as "U",
+  avg(case when level <> 'U' then 0.75::double end) as mean_confidence, count(*) filter (where level = 'U')::double / count(*)::double as u_rate
+  from (select image_id, case when not usable or step >= 5 then 'U' else 'Undamaged' end as value, case when not usable or step >= 5 then 'U' else concat('S', step) end as level
+    from (select *, (width + height) % 7 as step from routing) where routed and asset_class = 'building_disaster')""", GATE_SQL))
+def disaster_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A triage run over the building images of a manifest, whole frames only."""
+    root, manifest = new_folder(spark, "run"), new_folder(spark, "manifest")
+    writers.write_manifest(views.images(spark, sf_dir), manifest)
+    settings = RunSettings(tiles=True, exports=False)
+    counts, _ = run_disaster(spark, root, "surge", formula_gate, formula_grade, TODAY, manifest=manifest, settings=settings)
+    return counts.select("run_id", "n_findings", "n_images", "Undamaged", "other_values", "S0", "S4", "U", "mean_confidence", "u_rate")
+
+
+@query(oracle("fx_images", """select finding_id, status, level, row_number() over (order by (level <> 'S4'), (level = 'U'), coalesce(score, 0) desc, finding_id) as queue_rank from (
+  select finding_id, status, level, case level when 'S0' then 0.0 when 'S1' then 1.0 when 'S2' then 3.0 when 'S3' then 9.0 when 'S4' then 27.0 end::double * urgency as score from (
+    select concat(a.image_id, '/full') as finding_id, case when a.pos % 50 = 0 then 'overridden' else 'pending' end as status,
+      case when a.pos % 50 = 0 then 'S4' when a.usable and (a.width + a.height) % 7 < 5 then concat('S', (a.width + a.height) % 7) else 'U' end as level, """ + URGENCY_SQL + """ as urgency
+    from (select r.*, r.captured_on as found_on, i.pos from routing r join fx_images i using (image_id)) a where a.routed))""", GATE_SQL))
+def batch_reviewed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run, decisions on some of its findings, and the queue after only their parts were written anew."""
+    root = new_folder(spark, "run")
+    images = views.images(spark, sf_dir).drop("run_id")
+    run_batch(images, root, "all", formula_gate, formula_grade, TODAY, settings=RunSettings(exports=False))
+    found = readers.load_findings(spark, root).select("finding_id", F.regexp_extract("finding_id", "doc_([0-9]+)/", 1).cast("long").alias("id"))
+    reviews = found.filter(F.col("id") % 50 == 0).select(
+        "id", F.lit("all").alias("run_id"), "finding_id", F.lit("overridden").alias("action"), F.lit(None).cast("string").alias("prior_level"),
+        F.lit("S4").alias("new_level"), F.lit("alice").alias("reviewer"), F.lit("2026-09-25 12:00:00").cast("timestamp").alias("reviewed_at"),
+    )
+    record_reviews(reviews, root)
+    queue = requeue(images, root, "all", TODAY, exports=False)
+    return queue.select("finding_id", F.col("review.status").alias("status"), F.col("unified.level").alias("level"), "queue_rank")
+
+
 @query(oracle("fx_images fx_gate", """select concat(i.image_id, '/', t.tile) as finding_id,
   case i.asset_class when 'bridge_element' then 'MBEI-CS' when 'steel_coating' then 'CorrosionCS' when 'pv_module' then 'IEC-62446-3-CoA' else 'FEMA-PDA' end as standard
   from fx_images i join fx_gate g on g.image_id = i.image_id join targets t on t.image_id = i.image_id

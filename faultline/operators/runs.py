@@ -374,6 +374,23 @@ def ranked_list(queue: DataFrame) -> DataFrame:
     ).orderBy("run_id", F.col("rank").asc_nulls_last())
 
 
+def top_list(queue: DataFrame) -> DataFrame:
+    """The rows of a report's top list, with the standard and the score."""
+    listed = ["run_id", "rank", "finding_id", "image_id", "level", "native_value", "standard", "action", "sla_days", "score"]
+    return queue.select(
+        "run_id",
+        F.col("queue_rank").alias("rank"),
+        "finding_id",
+        first_or_blank(F.col("evidence.image_ids")).alias("image_id"),
+        F.col("unified.level").alias("level"),
+        F.col("native_scale.value").alias("native_value"),
+        F.col("native_scale.standard").alias("standard"),
+        F.col("action.code").alias("action"),
+        F.col("action.sla_days").alias("sla_days"),
+        F.col("queue_score").alias("score"),
+    ).orderBy(*listed[:2])
+
+
 def worst_levels(findings: DataFrame) -> DataFrame:
     """The highest level of each image; U only when nothing else was found."""
     severity = F.coalesce(level_ordinal(F.col("level")), F.lit(-1))

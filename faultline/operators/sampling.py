@@ -7,13 +7,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.fixed_values import CONCRETE_QUOTAS
 from faultline.functions.text import exemplar_note
 from faultline.operators.ordered import top_per_group
+from faultline.session import materialise
 
 
 def hash_order(seed: int, id_column: str) -> list[Column]:
@@ -46,37 +46,26 @@ def quota_sample(df: DataFrame, id_column: str, classes_column: str, seed: int,
 
     `classes_column` holds the damage classes of a row, empty for a clean one. Classes are served in order, then
     the set is filled from any damage, then clean rows are added; the development set comes from the rest.
-    No class can need more candidates than rows are taken in all, so that many per class are kept (before the
-    shuffle) and the sequential choice sees a number of rows fixed by the quotas, whatever the table holds.
+    No class can need more candidates than rows are taken in all, so that many per class are kept (before the shuffle). What a
+    class may take is an anti-join of its candidates with the rows taken before it; both are bounded by the quotas.
     """
     quotas = CONCRETE_QUOTAS if quotas is None else quotas
     depth = sum(n for _, n in quotas) + fill_to + clean + dev_damaged + dev_clean
-    names = [name for name, _ in quotas]
-    wanted = F.array_intersect(F.array(*map(F.lit, names)), F.col(classes_column))
-    pools = F.when(F.size(classes_column) == 0, F.array(F.lit("clean"))).otherwise(
-        F.concat(wanted, F.array(F.lit("damaged")))
-    )
+    wanted = F.array_intersect(F.array(*[F.lit(name) for name, _ in quotas]), F.col(classes_column))
+    pools = F.when(F.size(classes_column) == 0, F.array(F.lit("clean"))).otherwise(F.concat(wanted, F.array(F.lit("damaged"))))
     pooled = df.select(id_column, F.explode(pools).alias("pool"))
-    candidates = top_per_group(pooled, ["pool"], hash_order(seed, id_column), depth, "place")
-    schema = candidates.select(id_column).schema.add("split", "string")
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = {pool: rows[id_column].tolist() for pool, rows in pdf.sort_values("place").groupby("pool")}
-        used: set = set()
-
-        def take(pool: str, n: int) -> list:
-            taken = [item for item in order.get(pool, []) if item not in used][: max(n, 0)]
-            used.update(taken)
-            return taken
-
-        damaged = [item for pool, n in quotas for item in take(pool, n)]
-        damaged += take("damaged", fill_to - len(damaged))
-        evaluation = damaged + take("clean", clean)
-        development = take("damaged", dev_damaged) + take("clean", dev_clean)
-        splits = ["eval_v1"] * len(evaluation) + ["dev"] * len(development)
-        return pd.DataFrame({id_column: evaluation + development, "split": splits}, columns=[id_column, "split"])
-
-    return candidates.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(choose, schema)
+    candidates = materialise(top_per_group(pooled, ["pool"], hash_order(seed, id_column), depth, "place"), "candidates")
+    used = candidates.select(id_column).limit(0)
+    for name, n in quotas:
+        free = candidates.filter(F.col("pool") == name).join(F.broadcast(used), id_column, "left_anti")
+        used = materialise(used.unionByName(free.orderBy("place").limit(n).select(id_column)), "taken")
+    fill = max(0, fill_to - used.count())
+    free = candidates.filter(F.col("pool") == "damaged").join(F.broadcast(used), id_column, "left_anti")
+    numbered = free.orderBy("place").limit(fill + dev_damaged).withColumn("at", F.row_number().over(Window.orderBy("place")))
+    damaged = numbered.select(id_column, F.when(F.col("at") <= fill, "eval_v1").otherwise("dev").alias("split"))
+    unharmed = candidates.filter((F.col("pool") == "clean") & (F.col("place") <= clean + dev_clean))
+    unharmed = unharmed.select(id_column, F.when(F.col("place") <= clean, "eval_v1").otherwise("dev").alias("split"))
+    return used.withColumn("split", F.lit("eval_v1")).unionByName(damaged).unionByName(unharmed)
 
 
 #: Exemplars that a grader is shown at most.

@@ -139,14 +139,14 @@ def _grade_row(scorer: Scorer, target: dict) -> dict:
 
 
 def grade_targets(targets: DataFrame, scorer: Scorer, exemplars: DataFrame | None = None, at_once: int = 1,
-                  saved: Callable[[], set[str]] | None = None) -> DataFrame:
+                  saved: Callable[[], set[str]] | None = None, rubrics: dict[str, list[dict]] | None = None) -> DataFrame:
     """Grade each target once and return contract text and usage beside the target's columns.
 
     The scorer also gets `rubric`, the rows of the target's standard, and `exemplars`, those of its class except
     the target's own image. A task makes up to `at_once` calls at a time, from threads.
     """
     check_scorer("grade", scorer)
-    rubrics = rubrics_by_standard()
+    rubrics = rubrics_by_standard() if rubrics is None else rubrics
     with_metadata = targets.withColumn(
         "metadata",
         metadata_lines(*[F.col(name) for name in ("asset_class", "gsd_mm_per_px", "irradiance_wm2", "captured_on", "width", "height")]),

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from faultline import schemas
 from faultline.fixed_values import FORCED_CLASSES, MIN_CLEAN_CONFIDENCE
+from faultline.functions.columns import lookup
 from faultline.functions.routing import pass_through_verdict, with_routing
 from faultline.functions.tiles import explode_targets
 from faultline.operators.queue import ASSET_COLUMNS, scored_findings
@@ -33,7 +34,16 @@ from faultline.operators.scoring import (
     scorer_name,
     unusable_findings,
 )
-from faultline.operators.validation import image_rules, standard_for, with_violations
+from faultline.operators.validation import (
+    BUILT_IN,
+    RUBRIC_COLUMNS,
+    effective_rubric,
+    image_rules,
+    rubric_rows,
+    rubrics_by_standard,
+    standard_for,
+    with_violations,
+)
 from faultline.session import materialise
 from faultline.sources import ranking, readers, writers
 from faultline.sources.store import RunStore, new_job, open_run, run_configs, saved_ids
@@ -122,7 +132,10 @@ def ungraded(store: RunStore, settings: RunSettings) -> DataFrame:
     return _without_finding(targets, _graded(store))
 
 
-def _grade_stage(store: RunStore, grade: Scorer, settings: RunSettings, prices: DataFrame | None, exemplars: DataFrame | None) -> None:
+def _grade_stage(store: RunStore, grade: Scorer, settings: RunSettings, prices: DataFrame | None, exemplars: DataFrame | None,
+                 rubric: list[dict]) -> None:
+    versions = {row["standard"]: row["version"] for row in rubric}
+    version = F.coalesce(lookup(F.col("native_scale.standard"), versions), F.lit(BUILT_IN))
     fields = schemas.struct(schemas.FINDING_LOG).fieldNames()
     unusable = _run_verdicts(store, settings).filter("routed and not usable").select("image_id", "reason", "model")
     whole = unusable_findings(store.images().join(unusable.hint("merge"), "image_id").withColumn("standard", standard_for(F.col("asset_class"), settings.bridge_alternative)))
@@ -131,11 +144,12 @@ def _grade_stage(store: RunStore, grade: Scorer, settings: RunSettings, prices:
         for f in schemas.struct(schemas.FINDING_LOG).fields
         if f.name in ("input_tokens", "output_tokens", "note", "ts", "call_seconds", "call_usd")
     }
-    store.append(_without_finding(whole, _graded(store)).withColumns(blank).select(*fields), "findings", new_job(), settings.commit_rows)
+    unusable = _without_finding(whole, _graded(store)).withColumns(blank | {"rubric_version": version})
+    store.append(unusable.select(*fields), "findings", new_job(), settings.commit_rows)
     job = new_job()
     saved = saved_ids(store.folder("findings"), job, "finding_id")
-    answers = _priced(grade_targets(ungraded(store, settings), grade, exemplars, settings.calls_at_once, saved), prices)
-    store.append(graded_findings(answers).select(*fields), "findings", job, settings.commit_rows)
+    answers = _priced(grade_targets(ungraded(store, settings), grade, exemplars, settings.calls_at_once, saved, rubrics_by_standard(rubric)), prices)
+    store.append(graded_findings(answers).withColumn("rubric_version", version).select(*fields), "findings", job, settings.commit_rows)
 
 
 def captured_dates(images: DataFrame, assets: DataFrame | None) -> DataFrame:
@@ -252,24 +266,28 @@ def run_progress(images: DataFrame, root: str, run_id: str, settings: RunSetting
 
 def run_batch(images: DataFrame, root: str, run_id: str, gate: Scorer | None, grade: Scorer | None,
               today: dt.date | str, *, settings: RunSettings | None = None, prices: DataFrame | None = None,
-              exemplars: DataFrame | None = None, assets: DataFrame | None = None,
+              exemplars: DataFrame | None = None, assets: DataFrame | None = None, rubric: DataFrame | None = None,
               on_stage: Callable[[str, Row], None] | None = None,
               on_progress: Callable[[str, int], None] | None = None) -> DataFrame:
     """Run or resume one run over `images` and return its one-row summary.
 
     `gate=None` passes every image on; `grade=None` stops after routing. `on_stage` is called with the counters so
     far after each stage, `on_progress` with a stage and the rows of its log every `progress_seconds` while it runs.
+    `rubric` (readers.read_rubrics) replaces the built-in rows of the standards it has rows for; every finding keeps the
+    version it was graded by, and the run's rubric is stored beside it (store.read_rubric_versions).
     """
     settings = settings or RunSettings()
     for name, scorer in (("gate", gate), ("grade", grade)):
         if scorer is not None:
             check_scorer(name, scorer)
     spark = images.sparkSession
+    graded_by = rubric_rows(effective_rubric(rubric, spark))
     checked, listed = checked_images(images, settings.limit), _price_list(prices)
     named = {"gate": scorer_name(gate), "grader": scorer_name(grade)}
     tasks = settings.scorer_tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     store = open_run(spark, root, run_id, asdict(settings) | named, tasks)
     images = store.save_images(checked)
+    store.save_rubric(spark.createDataFrame([tuple(row[name] for name in RUBRIC_COLUMNS) for row in graded_by], schemas.RUBRIC))
 
     def report(stage: str) -> None:
         if on_stage is not None:
@@ -278,7 +296,7 @@ def run_batch(images: DataFrame, root: str, run_id: str, gate: Scorer | None, gr
     _watched("gate", lambda: _gate_stage(store, gate, settings, listed), store, "gate", settings.progress_seconds, on_progress)
     report("gate")
     if grade is not None:
-        _watched("grade", lambda: _grade_stage(store, grade, settings, listed, exemplars), store, "findings", settings.progress_seconds, on_progress)
+        _watched("grade", lambda: _grade_stage(store, grade, settings, listed, exemplars, graded_by), store, "findings", settings.progress_seconds, on_progress)
         report("grade")
     queue = save_ranked(images, root, run_id, today, assets=assets, exports=settings.exports)
     this_run = F.col("run_id") == run_id

@@ -69,5 +69,5 @@ def run_report(routed_gate: DataFrame, findings: DataFrame, calls: DataFrame, im
     sized = images if images is not None and "run_id" in images.columns else None
     report = {"metrics": runs.run_metrics(routed_gate, findings, calls, images=sized, configs=configs, disaster_runs=disaster_runs)}
     if "queue_rank" in findings.columns:
-        report["top"] = runs.ranked_list(findings.filter(F.col("queue_rank") <= top))
+        report["top"] = runs.top_list(findings.filter(F.col("queue_rank") <= top))
     return report if images is None else report | evaluation_tables(images, routed_gate, findings)

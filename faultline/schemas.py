@@ -54,7 +54,7 @@ GATE_LOG = f"{GATE}, usd double"
 
 FINDING_LOG = (
     f"{FINDINGS}, input_tokens bigint, output_tokens bigint, note string, ts timestamp, call_seconds double,"
-    " call_usd double, image_id string"
+    " call_usd double, image_id string, rubric_version string"
 )
 
 REVIEWS = (
@@ -64,6 +64,10 @@ REVIEWS = (
 
 SETTINGS = "buckets int, settings string"
 
+RUBRIC = (
+    "version string, standard string, subject string, value string, criterion string, level string, action string, flag string"
+)
+
 PRICES = "model string, usd_per_mtok_in double, usd_per_mtok_out double"
 
 

@@ -164,7 +164,8 @@ class RunStore:
             self.spark.sql(f"DROP TABLE {entry}")
 
     def images(self) -> DataFrame:
-        return self._bucketed("images", schemas.IMAGES, "image_id")
+        """The run's image records, with the columns they were given with."""
+        return self._bucketed("images", self.spark.read.parquet(self.folder("images")).schema.toDDL(), "image_id")
 
     def gate(self) -> DataFrame:
         """The run's verdicts as they were logged; an image may be there twice after a failure."""
@@ -176,14 +177,15 @@ class RunStore:
     def save_images(self, images: DataFrame) -> DataFrame:
         """Replace the run's image records. Returns them as every stage is to read them."""
         entry, folder = f"faultline_{uuid.uuid4().hex}", self.folder("images")
-        fields = schemas.struct(schemas.IMAGES).fieldNames()
-        given = images.select(*[F.col(name) if name in images.columns else F.lit(None).alias(name) for name in fields])
-        typed = given.select(*[F.col(f.name).cast(f.dataType) for f in schemas.struct(schemas.IMAGES).fields])
-        dealt = typed.repartition(self.buckets, "image_id").write.bucketBy(self.buckets, "image_id")
+        dealt = images.repartition(self.buckets, "image_id").write.bucketBy(self.buckets, "image_id")
         dealt.mode("overwrite").option("path", folder).saveAsTable(entry)
         self.spark.sql(f"DROP TABLE {entry}")
         return self.images()
 
+    def save_rubric(self, rubric: DataFrame) -> None:
+        """Keep the rubric versions that the run's findings name. A resumed run may add versions."""
+        rubric.coalesce(1).write.mode("append").parquet(self.folder("rubrics"))
+
     def append(self, rows: DataFrame, name: str, job: str, commit_rows: int) -> None:
         """Save `rows` (with image_id) to one of the run's logs, each task's rows as it goes."""
         self.spark.dataSource.register(RunLog)
@@ -221,6 +223,13 @@ def open_run(spark: SparkSession, root: str, run_id: str, settings: dict, bucket
     return store
 
 
+def read_rubric_versions(spark: SparkSession, root: str) -> DataFrame:
+    """The rubric rows of every version that a run of the store was graded by."""
+    from faultline.sources.readers import read_run_table
+
+    return read_run_table(spark, root, "rubrics", schemas.RUBRIC).drop("run_id").distinct()
+
+
 def run_configs(spark: SparkSession, root: str) -> DataFrame:
     """run_id, the settings as JSON, and the names of the gate and the grader of every run."""
     named = [F.get_json_object("settings", f"$.{name}").alias(name) for name in ("gate", "grader")]
