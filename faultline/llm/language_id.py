@@ -14,7 +14,6 @@ learned. Ties between languages go to the first in alphabetical order. Repeated
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from faultline.llm.support import in_part, table
+from faultline.llm.support import in_part, share, table
 
 #: Places for the n-grams of each length.
 WIDTHS = {1: 1024, 2: 4096, 3: 8192, 4: 16384}
@@ -31,10 +30,14 @@ WIDTH = sum(WIDTHS.values())
 #: For each language: texts that span the map, and texts that the regression is fitted on.
 LANDMARKS, FIT_ROWS = 12, 400
 RIDGE, SHARPNESS, SCORED_ROWS = 1e-3, 4.0, 128
-LETTER = re.compile(r"[^\W\d_]")
 FACTORS = tuple(np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of the text is a letter (as \\p{L} has it): numerals such as ² and Ⅷ are none."""
+    return any(map(str.isalpha, text))
+
+
 def presence(texts: list[str | None]) -> np.ndarray:
     """One row for each text: 1 where one of its n-grams falls, else 0."""
     out = np.zeros((len(texts), WIDTH), np.float32)
@@ -73,7 +76,7 @@ class LanguageModel:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
-        known = [i for i, t in enumerate(texts) if self.languages and t and LETTER.search(t)]
+        known = [i for i, t in enumerate(texts) if self.languages and t and has_letter(t)]
         for at in range(0, len(known), SCORED_ROWS):
             part = known[at : at + SCORED_ROWS]
             margins = self.margins([texts[i] for i in part])
@@ -109,8 +112,12 @@ def fit_languages(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text
     """Learn from the rows of `labelled` that have a language, a text with a letter and an id."""
     usable = labelled.where(F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & F.col(text).rlike(r"\p{L}"))
     order = Window.partitionBy("lang").orderBy("rank", "doc_id")
+    ranked = usable.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.xxhash64(doc_id).bitwiseAND(2**62 - 1).alias("rank"))
+    # Rows of a rank below a language's bound are about three times as many as are wanted, however many files there are.
+    bound = F.least(F.lit(1.0), F.lit(3.0 * FIT_ROWS) / F.approx_count_distinct("doc_id")) * F.lit(2.0**62)
     chosen = (
-        usable.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.xxhash64(doc_id).alias("rank"))
+        ranked.join(ranked.groupBy("lang").agg(bound.alias("bound")), "lang")
+        .where("rank <= bound")
         .withColumn("place", F.row_number().over(order))
         .where(F.col("place") <= FIT_ROWS)
         .groupBy("doc_id", "lang")
@@ -135,11 +142,11 @@ def fit_languages(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text
 
 def language_of(spark: SparkSession, model: LanguageModel, text: str = "text") -> Column:
     """A struct of lang_pred and score."""
-    shared = spark.sparkContext.broadcast(model)
+    learned = share(spark, model)
 
     @F.arrow_udf("lang_pred string, score double")
     def predict(texts: pa.Array) -> pa.Array:
-        found = shared.value.predict(texts.to_pylist())
+        found = learned().predict(texts.to_pylist())
         return pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())], ["lang_pred", "score"])
 
     return predict(text)

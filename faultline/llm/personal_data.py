@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm.crf import CORE, Crf, Decoder, train
-from faultline.llm.support import table, worker_value
+from faultline.llm.support import share, table, worker_value
 
 KINDS = ["email", "ip", "card", "phone", "secret"]
 LABELS = ["other", "key", "sign", "secret", "data"]
@@ -173,14 +173,14 @@ def train_tagger(labelled: list[str] | DataFrame | None = None) -> Crf:
     return train([labelled_sentence(line) for line in labelled or LABELLED], LABELS)
 
 
-def decoder_of(shared) -> Decoder:
-    key = ("tagger", hashlib.md5(shared.value.emission.tobytes()).hexdigest())
-    return worker_value(key, lambda: shared.value.decoder())
+def decoder_of(model: Callable[[], Crf]) -> Decoder:
+    key = ("tagger", hashlib.md5(model().emission.tobytes()).hexdigest())
+    return worker_value(key, lambda: model().decoder())
 
 
 def find_personal_data(documents: DataFrame, model: Crf, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, a count for each fixed pattern, base_sha256 over their spans, and all spans as text."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared = share(documents.sparkSession, model)
     chosen = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     counts = [f"n_{kind}" for kind in KINDS[:4]]
 
@@ -211,7 +211,7 @@ def masked(text: str, spans: list[Span]) -> str:
 
 def masked_text(spark: SparkSession, model: Crf, text: str = "text") -> Column:
     """The text without personal data. Null stays null."""
-    shared = spark.sparkContext.broadcast(model)
+    shared = share(spark, model)
 
     @F.arrow_udf("string")
     def mask(texts: pa.Array) -> pa.Array:

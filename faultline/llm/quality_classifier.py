@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm.quality_rules import BLANKS, MARKS, SYMBOLS, UPPER, repeated_words
-from faultline.llm.support import WordHashes, hash_sample, in_part, table, word_hashes
+from faultline.llm.support import WordHashes, hash_sample, in_part, share, table, word_hashes
 
 #: Labelled rows that the fit uses (about), hashed word features, length of a factor.
 FIT_ROWS, BUCKETS, FACTORS = 4_000, 2**14, 8
@@ -146,13 +146,13 @@ def fit_classifier(labelled: DataFrame, text: str, label: str, metadata: list[st
 
 def classifier_score(spark: SparkSession, model: FactorisationMachine, text: str, metadata: list[str]) -> Column:
     """The score of each row, between 0 and 1. The model's size is fixed by the constants above."""
-    shared = spark.sparkContext.broadcast(model)
+    learned = share(spark, model)
 
     @F.arrow_udf("double")
     def score(texts: pa.Array, *more: pa.Array) -> pa.Array:
         hashes, columns = word_hashes(), [c.to_pylist() for c in more]
         rows = zip(texts.to_pylist(), zip(*columns, strict=True) if columns else [()] * len(texts), strict=True)
-        return pa.array([shared.value.score(*features(t, m, hashes)) for t, m in rows], pa.float64())
+        return pa.array([learned().score(*features(t, m, hashes)) for t, m in rows], pa.float64())
 
     return score(F.col(text), *(F.col(c).cast("double") for c in metadata))
 

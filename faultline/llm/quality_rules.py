@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm.support import WordHashes, hash_sample, materialise, mixed, slices, table, word_hashes
+from faultline.llm.support import WordHashes, hash_sample, materialise, mixed, share, slices, table, word_hashes
 
 #: Rows of a tree, trees, and so the rows of the fitting sample (those of low hash).
 TREE_ROWS, TREES = 256, 100
@@ -176,22 +176,22 @@ class QualityRules:
 
     def kept_counts(self, spark: SparkSession, columns: list[str]) -> Column:
         """The verdict from columns of counts."""
-        shared = spark.sparkContext.broadcast(self)
+        rules = share(spark, self)
 
         @F.arrow_udf("boolean")
         def verdict(*counts: pa.Array) -> pa.Array:
-            return pa.array(shared.value.kept(np.stack([c.to_numpy(zero_copy_only=False) for c in counts], axis=1)))
+            return pa.array(rules().kept(np.stack([c.to_numpy(zero_copy_only=False) for c in counts], axis=1)))
 
         return verdict(*columns)
 
     def kept_text(self, spark: SparkSession, text: str = "text") -> Column:
         """The verdict from a text."""
-        shared = spark.sparkContext.broadcast(self)
+        rules = share(spark, self)
 
         @F.arrow_udf("boolean")
         def verdict(texts: pa.Array) -> pa.Array:
             counts = [count_rules(t, word_hashes()) for t in texts.to_pylist()]
-            return pa.array(shared.value.kept(np.array(counts, np.int64).reshape(-1, len(COUNTS))))
+            return pa.array(rules().kept(np.array(counts, np.int64).reshape(-1, len(COUNTS))))
 
         return verdict(text)
 
@@ -241,11 +241,11 @@ def fit_rules(counts: DataFrame, labels: DataFrame, good_loss: float = GOOD_LOSS
     if not sample:
         return QualityRules(None, 1.0)
     forest = grow_forest(statistics(np.array(sample, np.int64)))
-    shared = spark.sparkContext.broadcast(forest)
+    grown = share(spark, forest)
 
     @F.arrow_udf("double")
     def score(*columns: pa.Array) -> pa.Array:
-        return pa.array(shared.value.scores(statistics(np.stack([c.to_numpy(zero_copy_only=False) for c in columns], axis=1))))
+        return pa.array(grown().scores(statistics(np.stack([c.to_numpy(zero_copy_only=False) for c in columns], axis=1))))
 
     # A row with both labels counts as both.
     marks = labels.where("quality in (0, 1)").groupBy("doc_id").agg(*(F.max((F.col("quality") == q).cast("long")).alias(name) for name, q in (("good", 1), ("bad", 0))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 import sys
 import types
@@ -11,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,6 +136,19 @@ def worker_value(key: tuple, build: Callable[[], object]) -> object:
     return held[key]
 
 
+def share(spark: SparkSession, value: object) -> Callable[[], object]:
+    """A function that gives `value` in any task. It is sent once, as bytes that hold the code of its class as well, because
+    Spark pickles what it broadcasts by reference to modules that executors may not have.
+    """
+    packed = cloudpickle.dumps(value)
+    shared, key = spark.sparkContext.broadcast(packed), ("shared", xxhash.xxh3_128_hexdigest(packed))
+
+    def get() -> object:
+        return worker_value(key, lambda: pickle.loads(shared.value))
+
+    return get
+
+
 class WordHashes(dict):
     """64-bit hash of a word, computed once for each word the worker meets (up to CACHED_WORDS of them)."""
 

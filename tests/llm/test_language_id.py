@@ -5,7 +5,7 @@ import pathlib
 import numpy as np
 import pytest
 
-from faultline.llm.language_id import WIDTHS, fit_languages, fit_ridge, language_of, op8_language_id, presence, scaled
+from faultline.llm.language_id import WIDTHS, fit_languages, fit_ridge, has_letter, language_of, op8_language_id, presence, scaled
 
 DATA = "/root/testdata/sf0.01"
 
@@ -65,3 +65,8 @@ def test_held_out_accuracy(spark):
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang").collect()}
     held = [r for r in op8_language_id(spark, DATA).collect() if r.held_out]
     assert len(held) > 250 and np.mean([r.lang_pred == truth[r.doc_id] for r in held]) > 0.97
+
+
+@pytest.mark.parametrize("text, letters", [("½ ² ①", False), ("Ⅷ", False), ("12 _ !", False), ("é", True), ("12 ß", True), ("ª", True), ("\u0301", False)])
+def test_numerals_are_no_letters(text, letters):
+    assert has_letter(text) is letters
