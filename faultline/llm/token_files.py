@@ -26,22 +26,26 @@ import re
 import struct
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultline.llm.rans import BLOCK_SEGMENTS, SEGMENT, Frequencies, decode_segment, encode_block
-from faultline.llm.support import file_system, materialise, new_folder, table, worker_value
+from faultline.llm.support import file_system, hash_sample, materialise, new_folder, table, worker_value
 
 MAGIC = b"FLTOKEN1"
 TAIL = "<QI"  # length and crc32 of the foot
 TAIL_BYTES = struct.calcsize(TAIL)
 #: Words a worker keeps, of at most so many characters.
 CACHED_WORDS, WORD_CHARS = 1_000_000, 32
+#: Words that every worker is given at the start, counted in about so many rows of texts of at most so many characters. They
+#: save time only: the ids do not depend on them.
+FREQUENT_WORDS, SAMPLE_ROWS, SAMPLE_CHARS = 65_536, 4_000, 20_000
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Ids that share a frequency table.
 RUN = 4 * BLOCK_SEGMENTS * SEGMENT
@@ -54,8 +58,13 @@ MANIFEST = "path string, file_no int, n_documents long, n_tokens long, n_segment
 class WordIds(dict):
     """The ids of a word with the space or line feed before it, as bytes of little-endian unsigned 32-bit integers."""
 
-    def __init__(self, tokenizer_json: str):
+    def __init__(self, tokenizer_json: str, frequent: tuple[str, bytes, bytes] = ("", b"", b"")):
         super().__init__()
+        words, lengths, ids = frequent
+        at = 0
+        for word, length in zip(words.split("\0"), lengths, strict=False):
+            self[word] = ids[at : at + 4 * length]
+            at += 4 * length
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
@@ -80,11 +89,14 @@ class WordIds(dict):
             return b""
         if any(a in text for a in self.added):
             return self.encode(text)
-        flat = text.replace("\n", " ")
-        if " ".join(text.split()) == flat:
-            first, *rest = text.replace("\n", " \n").split(" ")
-            return self[first] + b"".join([self[w] if w[0] == "\n" else self[" " + w] for w in rest])
-        return b"".join(map(self.__getitem__, safe_parts(text)))
+        return b"".join(map(self.__getitem__, words_with_separators(text)))
+
+
+def words_with_separators(text: str) -> list[str]:
+    """The words of a text, each with the space or line feed before it."""
+    if "\0" not in text and " ".join(text.split()) == text.replace("\n", " "):
+        return text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
+    return safe_parts(text)
 
 
 def safe_parts(text: str) -> list[str]:
@@ -93,9 +105,32 @@ def safe_parts(text: str) -> list[str]:
     return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
 
 
-def word_ids(shared) -> WordIds:
-    """The worker's cache for the tokenizer in the broadcast `shared`."""
-    return worker_value(("word ids", zlib.crc32(shared.value.encode())), lambda: WordIds(shared.value))
+def word_ids(shared: Broadcast) -> WordIds:
+    """The worker's cache for the tokenizer and the frequent words in the broadcast `shared`."""
+    tokenizer_json, frequent = shared.value
+    return worker_value(("word ids", zlib.crc32(tokenizer_json.encode()), zlib.crc32(frequent[2])), lambda: WordIds(tokenizer_json, frequent))
+
+
+def frequent_words(texts: DataFrame, tokenizer_json: str) -> tuple[str, bytes, bytes]:
+    """Frequent words of a bounded sample, joined by a character that none has, the number of ids of each, and the ids.
+
+    `texts` has the columns doc_id and text.
+    """
+    sample = hash_sample(texts.where(F.length("text") <= SAMPLE_CHARS), SAMPLE_ROWS, "doc_id").select("text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                counted.update(w for w in words_with_separators(text) if 0 < len(w) <= WORD_CHARS and "\0" not in w)
+        known = WordIds(tokenizer_json)
+        best = [(w, known[w]) for w, n in counted.most_common(FREQUENT_WORDS) if n > 1 and not any(a in w for a in known.added)]
+        best = [(w, ids) for w, ids in best if len(ids) < 4 * 256]
+        columns = ["\0".join(w for w, _ in best)], [bytes(len(ids) // 4 for _, ids in best)], [b"".join(ids for _, ids in best)]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], ["words", "lengths", "ids"])
+
+    rows = sample.coalesce(1).mapInArrow(count, "words string, lengths binary, ids binary").collect()
+    return (rows[0].words, bytes(rows[0].lengths), bytes(rows[0].ids)) if rows else ("", b"", b"")
 
 
 class FileWriter:
@@ -201,7 +236,8 @@ class FileReader:
 
 def write_token_files(documents: DataFrame, folder: str, tokenizer_json: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Write `documents` into `folder` and return the manifest, a row for each file."""
-    shared = documents.sparkSession.sparkContext.broadcast(tokenizer_json)
+    texts = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    shared = documents.sparkSession.sparkContext.broadcast((tokenizer_json, frequent_words(texts, tokenizer_json)))
     if file_system(folder)[0].type_name == "local":
         file_system(folder)[0].create_dir(file_system(folder)[1])
 
@@ -217,33 +253,36 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer_json: str, en
             row = {"path": path, "file_no": context.partitionId(), "n_documents": len(writer.doc_id), "n_tokens": writer.n_tokens, "n_segments": len(writer.places), "n_bytes": writer.size}
             yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("path", pa.string()), ("file_no", pa.int32()), ("n_documents", pa.int64()), ("n_tokens", pa.int64()), ("n_segments", pa.int32()), ("n_bytes", pa.int64())]))
 
-    ordered = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).orderBy("doc_id", F.md5("text"))
+    ordered = texts.orderBy("doc_id", F.md5("text"))
     return materialise(ordered.mapInArrow(write, MANIFEST), "token-manifest")
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """Per document of the files: doc_id, start (ids before it in all files), n_tokens, ids_crc32, decoded in parallel.
 
-    Tasks get segments, not files. The running total is over one manifest row for each file.
+    Tasks get runs of neighbouring segments, not files. The running total is over one manifest row for each file.
     """
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     pieces = manifest.withColumn("before", before).select("path", "before", F.explode(F.sequence(F.lit(0), F.col("n_segments") - 1)).alias("segment"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, reader = "", None
         for batch in batches:
             for piece in batch.to_pylist():
-                reader, rows = FileReader(piece["path"]), []
+                rows = []
+                if reader is None or path != piece["path"]:
+                    path, reader = piece["path"], FileReader(piece["path"])
                 for doc_id, start, parts in reader.documents(piece["segment"], piece["segment"] + 1):
                     crc = length = 0
                     for part in parts:
                         crc, length = zlib.crc32(part.astype("<u4").tobytes(), crc), length + len(part)
                     rows.append((doc_id, piece["before"] + start, length, crc))
-                reader.close()
                 columns = list(zip(*rows, strict=True)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     segments = manifest.agg(F.sum("n_segments")).first()[0] or 0
-    dealt = pieces.repartition(-(-segments // TASK_SEGMENTS) or 1, "path", "segment")
+    run = F.floor(F.col("segment") / TASK_SEGMENTS)
+    dealt = pieces.repartition(-(-segments // TASK_SEGMENTS) or 1, "path", run).sortWithinPartitions("path", "segment")
     return dealt.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 from faultline.llm import token_files
 from faultline.llm.rans import SEGMENT, Frequencies, decode_segment, encode_block
 from faultline.llm.support import new_folder
-from faultline.llm.token_files import FileReader, FileWriter, WordIds, read_token_files, write_token_files
+from faultline.llm.token_files import FileReader, FileWriter, WordIds, frequent_words, read_token_files, write_token_files
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = ["a", "b", "the", " ", "  ", "\n", "\n\n", "\r", "\t", "\xa0", "　", "᠎", "\x1c", "\x85", "​", "é", "漢", "😀", "1", ",", ".", "'s", "don't", '"', "<|endoftext|>"]
@@ -86,3 +86,15 @@ def test_files_equal_the_library(spark, library, tokenizer_json):
     assert sorted(got, key=lambda r: r[1]) == want
     empty = write_token_files(documents.limit(0), new_folder(spark, "tokens"), tokenizer_json, 2)
     assert read_token_files(empty).count() == 0
+
+
+def test_frequent_words_change_no_id(spark, tokenizer_json):
+    texts = ["the cat sat", "the cat  sat\nthe mat", "a\0b the cat", "the\tcat", "\nthe cat ", None, ""]
+    documents = spark.createDataFrame(list(enumerate(texts * 3)), "doc_id long, text string")
+    frequent = frequent_words(documents, tokenizer_json)
+    assert " cat" in frequent[0].split("\0")
+    seeded, plain = WordIds(tokenizer_json, frequent), WordIds(tokenizer_json)
+    assert len(seeded) > len(plain) == 0
+    for text in texts:
+        assert seeded.of_text(text) == plain.of_text(text)
+    assert frequent_words(documents.limit(0), tokenizer_json) == ("", b"", b"")
