@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm.components import connected_components
-from faultline.llm.support import WordHashes, fresh, materialise, mixed, shingle_hashes, slices, table, whole_groups, word_hashes, words_of
+from faultline.llm.support import WordHashes, fresh, materialise, mixed, shingle_hashes, slices, table, those_wanted, whole_groups, word_hashes, words_of
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.99999
 SIGNATURE, LEAF_ROWS, MAX_DEPTH, BLOCK_ROWS = 64, 256, 3, 512
@@ -69,26 +69,26 @@ def text_key(text: str | Column = "text") -> Column:
     return F.md5(F.col(text) if isinstance(text, str) else text)
 
 
-def fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: its id, a key of its text, and its shingle set's key (`node`), size and signature."""
+def fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: its id, a key of its text, and its shingle set's key (`node`), size and signature, then the `carried` columns."""
+
+    names = ["doc_id", "text_key", "node", "n_shingles", "signature", *carried]
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = word_hashes()
         for batch in slices(batches):
             sets = [shingle_set(t, hashes) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                    pa.array([len(s) for s in sets], pa.int32()),
-                    pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
-                ],
-                ["doc_id", "text_key", "node", "n_shingles", "signature"],
-            )
+            facts = [
+                pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                pa.array([len(s) for s in sets], pa.int32()),
+                pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *facts, *batch.columns[3:]], names)
 
-    chosen = documents.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(text).alias("text_key"), F.col(text).alias("text"))
-    return chosen.mapInArrow(compute, "doc_id long, text_key string, node binary, n_shingles int, signature binary")
+    own = [F.col(doc_id).cast("long").alias("doc_id"), text_key(text).alias("text_key"), F.col(text).alias("text")]
+    chosen = documents.select(*own, *carried)
+    more = "".join(f", `{field.name}` {field.dataType.simpleString()}" for field in chosen.schema.fields[3:])
+    return chosen.mapInArrow(compute, "doc_id long, text_key string, node binary, n_shingles int, signature binary" + more)
 
 
 def mean_places(similarity: float, depth: int) -> float:
@@ -307,14 +307,15 @@ def shingle_sets(documents: DataFrame, wanted: DataFrame, doc_id: str, text: str
 
     ids = F.coalesce(F.col(doc_id).cast("long"), F.lit(-1))
     texts = documents.select(ids.alias("id_key"), text_key(text).alias("text_key"), F.col(text).alias("text"))
-    keyed = wanted.select("node", F.coalesce("doc_id", F.lit(-1)).alias("id_key"), "text_key")
-    one = texts.join(keyed, ["id_key", "text_key"]).dropDuplicates(["id_key", "text_key"])
+    keyed = materialise(wanted.select("node", F.coalesce("doc_id", F.lit(-1)).alias("id_key"), "text_key"), "wanted")
+    key = F.xxhash64("id_key", "text_key")
+    one = those_wanted(texts, key, keyed.select(key)).join(keyed, ["id_key", "text_key"]).dropDuplicates(["id_key", "text_key"])
     return one.select("node", "text").mapInArrow(compute, "node binary, set binary")
 
 
-def similarity_classes(documents: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The rows' fingerprints, and for every shingle set: node, first (its group's least id with that row's text key), n_links."""
-    prints = materialise(fingerprints(documents, doc_id, text), "fingerprints")
+def similarity_classes(documents: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, doc_id: str = "doc_id", text: str = "text", carried: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The rows' fingerprints (with the `carried` columns), and for every shingle set: node, first (its group's least id with that row's text key), n_links."""
+    prints = materialise(fingerprints(documents, doc_id, text, carried), "fingerprints")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
     nodes = materialise(
         prints.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min(first).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")),

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm.ngram_join import similarity_classes, text_key
-from faultline.llm.support import fresh, materialise, table
+from faultline.llm.support import fresh, join_beside_hot, materialise, table
 from faultline.llm.token_counts import token_counts
 
 CAPACITY, PER_SOURCE, SHARD_PIECES = 4096, 4, 4096
@@ -108,19 +108,36 @@ def packed_documents(documents: DataFrame, model_path: str, cluster: Column | No
 
 
 def with_cluster(documents: DataFrame, name: str) -> DataFrame:
-    """`documents` with a column `name`: its group of near copies (ngram_join), or the hash of a text without shingles."""
+    """`documents` with a column `name` (in place of one that it has): its group of near copies (ngram_join), or the hash of a text without shingles."""
     prints, classes = similarity_classes(documents)
     first = F.struct(F.coalesce("first.doc_id", F.lit(-1)).alias("doc_id"), "first.text_key")
     key = fresh(documents, "text_key")
     # Every row of a text has the same shingles, so a text has one class, whatever its rows' ids.
     found = prints.where("node is not null").select("node", "text_key").distinct().join(classes.select("node", F.xxhash64(first).alias(name)), "node")
     keyed = documents.withColumn(key, text_key("text"))
-    joined = keyed.join(found.select(F.col("text_key").alias(key), name), key, "left")
+    joined = keyed.drop(name).join(found.select(F.col("text_key").alias(key), name), key, "left")
     return joined.withColumn(name, F.when(F.col("text").isNotNull(), F.coalesce(name, F.xxhash64("text")))).drop(key)
 
 
+def measured(documents: DataFrame, model_path: str) -> DataFrame:
+    """doc_id, source, length (tokens) and cluster (as with_cluster has it) of every row, from one pass over the texts.
+
+    What the pass gives is written; classes meet these small rows, and no text is moved but those to be compared.
+    """
+    counted = token_counts(documents.select("doc_id", "text", "source"), model_path, order=["doc_id"])
+    counted = counted.select("*", F.xxhash64("text").alias("text_hash"), F.col("text").isNotNull().alias("has_text"))
+    prints, classes = similarity_classes(counted, carried=("source", "n_tokens", "text_hash", "has_text"))
+    first = F.struct(F.coalesce("first.doc_id", F.lit(-1)).alias("doc_id"), "first.text_key")
+    found = join_beside_hot(prints.drop("signature", "text_key"), classes.select("node", F.xxhash64(first).alias("cluster")), "node")
+    cluster = F.when(F.col("has_text"), F.coalesce("cluster", "text_hash")).alias("cluster")
+    return materialise(found.select("doc_id", "source", F.col("n_tokens").alias("length"), cluster), "lengths")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents; one without a token has a row of 0 tokens in no bin."""
     import public_tokenizers
 
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return packed_documents(with_cluster(documents, "cluster"), public_tokenizers.path("piece_bpe_32k.model"), F.col("cluster"))
+    items = measured(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
+    empty = items.where("length <= 0").select("doc_id", zero.alias("piece"), zero.alias("start"), zero.alias("n_tokens"), none.alias("bin_id"), none.alias("place"))
+    return packed(items).unionByName(empty)

@@ -3,7 +3,7 @@
 import random
 from collections import Counter, defaultdict
 
-from faultline.llm.packing import op9_packing, pack, packed, with_cluster
+from faultline.llm.packing import measured, op9_packing, pack, packed, with_cluster
 
 
 def plain_pack(lengths, sources, clusters, capacity, per_source):
@@ -79,3 +79,24 @@ def test_near_copies_never_share_a_bin(spark, tmp_path):
     bins = Counter(r.bin_id for r in got if r.doc_id is None or r.doc_id < 100)
     assert len(bins) == 20 and max(bins.values()) == 1
     assert {r.doc_id for r in got} >= {None, *range(1, 20), *range(100, 120)}
+
+
+def test_measured_rows_and_documents_without_tokens(spark, tmp_path):
+    import public_tokenizers
+
+    base = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, base, "a"), (2, base, "b"), (3, f"{base} more", "a"), (4, None, "a"), (5, "", None), (6, "two words", "c"), (7, "two words", "c"), (None, "other", "c")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in measured(documents, public_tokenizers.path("piece_bpe_32k.model")).collect()}
+    assert len(got) == 8 and got[1].length == got[2].length > 60 and got[4].length == got[5].length == 0
+    assert got[1].cluster == got[2].cluster == got[3].cluster and got[6].cluster == got[7].cluster != got[1].cluster
+    assert got[4].cluster is None and got[6].source == "c"
+    documents.write.parquet(str(tmp_path / "documents.parquet"))
+    packed_rows = op9_packing(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0) for r in packed_rows) == [0, 1, 2, 3, 4, 5, 6, 7]
+    assert [(r.n_tokens, r.bin_id, r.place) for r in packed_rows if r.doc_id in (4, 5)] == [(0, None, None)] * 2
+
+
+def test_a_cluster_column_is_replaced(spark):
+    documents = spark.createDataFrame([(1, "a b c", 9)], "doc_id long, text string, cluster int")
+    assert with_cluster(documents, "cluster").columns == ["doc_id", "text", "cluster"]
