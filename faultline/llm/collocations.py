@@ -259,10 +259,14 @@ def slot_bitmaps(rows: DataFrame, lengths: int) -> np.ndarray:
 
 
 def dealt(documents: DataFrame, shards: int, lang: str, text: str) -> DataFrame:
-    """lang, text, part and shard of all rows, written by part. A shard is every so many-th part."""
+    """lang, text, part and shard of all rows, written by part. A shard is every so many-th part.
+
+    A task writes one part, so it holds one file open, and large tables give no small files; a table of few input
+    splits has empty parts.
+    """
     folder = new_folder(documents.sparkSession, "shards")
     rows = documents.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(text, F.lit("")).alias("text"))
-    rows.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int")).write.partitionBy("part").parquet(folder)
+    rows.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(PARTS))).write.partitionBy("part").parquet(folder)
     written = documents.sparkSession.read.schema("lang string, text string, part int").parquet(folder)
     return written.withColumn("shard", F.pmod("part", F.lit(shards)))
 
