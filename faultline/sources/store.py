@@ -188,18 +188,27 @@ class RunStore:
 
     def append(self, rows: DataFrame, name: str, job: str, commit_rows: int) -> None:
         """Save `rows` (with image_id) to one of the run's logs, each task's rows as it goes."""
-        self.spark.dataSource.register(RunLog)
+        spark = rows.sparkSession  # a stream's batches have a session of their own
+        spark.dataSource.register(RunLog)
         # Small batches and no buffer between a task's scorer and its writer, so that rows are saved as they are made.
         at_once = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(commit_rows), "spark.sql.execution.pandas.udf.buffer.size": "4"}
-        before = {name: self.spark.conf.get(name) for name in at_once}
+        before = {name: spark.conf.get(name) for name in at_once}
         options = {"folder": self.folder(name), "job": job, "commit_rows": str(commit_rows)}
         try:
             for setting, value in at_once.items():
-                self.spark.conf.set(setting, value)
+                spark.conf.set(setting, value)
             rows.withColumn(BUCKET_COLUMN, self.bucket()).write.format(RunLog.name()).mode("append").options(**options).save()
         finally:
             for setting, value in before.items():
-                self.spark.conf.set(setting, value)
+                spark.conf.set(setting, value)
+
+    def files(self, name: str, prefix: str) -> list[str]:
+        """The files of one of the run's logs whose names start with a prefix."""
+        from pyarrow import fs
+
+        system, base = file_system(self.folder(name))
+        found = system.get_file_info(fs.FileSelector(base, allow_not_found=True))
+        return [f"{self.folder(name)}/{entry.base_name}" for entry in found if entry.base_name.startswith(prefix)]
 
     def saved_rows(self, name: str) -> int:
         """Rows in one of the run's logs, by the names of its files."""

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from faultline import schemas
-from faultline.operators.records import distinct_images, not_yet_gated
+from faultline.operators.records import not_yet_gated
 from faultline.operators.review import agreement
 from faultline.operators.runs import cost_by_stage, priced
-from faultline.operators.scoring import Scorer, check_scorer, gate_images
-from faultline.sources import readers, writers
+from faultline.operators.scoring import Scorer, check_scorer, gate_images, scorer_name
+from faultline.sources.store import RunStore, file_system, new_job, open_run
 
 
 def manifest_stream(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -21,23 +26,65 @@ def manifest_stream(spark: SparkSession, folder: str, files_per_trigger: int | N
     return reader.json(folder)
 
 
-def gate_arrivals(images: DataFrame, root: str, run_id: str, gate: Scorer, checkpoint: str, prices: DataFrame | None = None) -> StreamingQuery:
+def new_arrivals(images: DataFrame, store: RunStore, expiry: str | None = None) -> DataFrame:
+    """The images of a stream that their run has not gated, each once, by state kept for every image id.
+
+    The run's own log is a second stream: an id in it, whoever wrote it, is done. Each of its files is read once, so what a
+    micro-batch costs depends on what is new and not on the length of the run. State is kept for good, or, with `expiry`
+    (such as `30 days`), for that long after an id was seen last; an id that comes back later counts as new.
+    """
+    system, folder = file_system(store.folder("gate"))
+    system.create_dir(folder, recursive=True)
+    log = images.sparkSession.readStream.schema("image_id string").parquet(store.folder("gate"))
+    known = log.select("image_id", F.lit(None).cast("string").alias("record"))
+    arriving = images.select("image_id", F.to_json(F.struct(*images.columns)).alias("record"))
+    wait = None if expiry is None else int(pd.Timedelta(expiry).total_seconds() * 1000)
+
+    def first_seen(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seen, records, done = state.exists, [], False
+        for part in rows:
+            records += [record for record in part["record"] if record is not None]
+            done = done or part["record"].isna().any()
+        state.update((True,))
+        if wait is not None:
+            state.setTimeoutDuration(wait)
+        if records and not seen and not done:
+            yield pd.DataFrame({"image_id": [key[0]], "record": [min(records)]})
+
+    timeout = GroupStateTimeout.NoTimeout if wait is None else GroupStateTimeout.ProcessingTimeTimeout
+    found = arriving.union(known).groupBy("image_id").applyInPandasWithState(
+        first_seen, "image_id string, record string", "seen boolean", "append", timeout
+    )
+    return found.select(F.from_json("record", images.schema).alias("image")).select("image.*")
+
+
+def gate_arrivals(images: DataFrame, root: str, run_id: str, gate: Scorer, checkpoint: str, prices: DataFrame | None = None,
+                  expiry: str | None = None, commit_rows: int = 500) -> StreamingQuery:
     """Gate each arriving image of a run once; its call costs what `prices` say.
 
-    The checkpoint skips files already taken; the anti-join skips images already gated, whether by an earlier batch,
-    by a batch job, or by a batch that is replayed after its append had finished.
+    The checkpoint skips files already taken and holds the ids seen; ids that the run gated otherwise come from its log. A batch
+    that is replayed after it had saved some of its rows skips those: their files are named by the batch.
     """
     check_scorer("gate", gate)
-
-    def gate_batch(batch: DataFrame, _: int) -> None:
-        done = readers.gated_ids(batch.sparkSession, root, run_id)
-        scored = gate_images(not_yet_gated(distinct_images(batch), done), gate)
+    spark = images.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    store = open_run(spark, root, run_id, {"gate": scorer_name(gate)}, tasks)
+    stream_key = hashlib.md5(checkpoint.encode()).hexdigest()[:8]
+
+    def gate_batch(batch: DataFrame, number: int) -> None:
+        of_batch = f"{stream_key}.{number}."
+        saved = store.files("gate", f"part-{of_batch}")
+        todo = batch if not saved else not_yet_gated(batch, batch.sparkSession.read.schema("image_id string").parquet(*saved))
+        scored = gate_images(todo, gate)
         costed = scored.withColumn("usd", F.lit(0.0)) if prices is None else priced(scored, prices)
-        rows = costed.withColumn("run_id", F.lit(run_id))
-        writers.append_log(rows.select(*schemas.struct(schemas.GATE_LOG).fieldNames(), "run_id"), root, "gate")
+        store.append(costed.select(*schemas.struct(schemas.GATE_LOG).fieldNames()), "gate", f"{of_batch}{new_job()}", commit_rows)
 
     return (
-        images.writeStream.foreachBatch(gate_batch)
+        new_arrivals(images, store, expiry)
+        .writeStream.foreachBatch(gate_batch)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

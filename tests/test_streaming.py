@@ -1,13 +1,22 @@
+import os
 import random
 import statistics
+import sys
+import time
+from collections import Counter
 
 import builders
+import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from faultline.operators.runs import cost_by_stage, median_seconds
+from faultline.plans.batch import RunSettings, run_batch
 from faultline.sources import readers, writers
 from faultline.streaming import live
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def test_each_arriving_image_is_gated_once(spark, tmp_path):
     root, inbox, checkpoint = (str(tmp_path / n) for n in ("store", "inbox", "checkpoint"))
@@ -24,6 +33,59 @@ def test_each_arriving_image_is_gated_once(spark, tmp_path):
     assert raw.count() == 4
 
 
+def test_images_gated_by_a_batch_job_are_not_gated_again(spark, tmp_path):
+    root, inbox = str(tmp_path / "store"), str(tmp_path / "inbox")
+    images = builders.images(spark, [{"image_id": f"img_{at}"} for at in range(6)])
+    run_batch(images.limit(4), root, "run", builders.fake_gate, None, "2026-09-25", settings=RunSettings(exports=False))
+    writers.write_manifest(images, f"{inbox}/one")
+    told = live.manifest_stream(spark, f"{inbox}/*")
+    live.gate_arrivals(told, root, "run", builders.fake_gate, str(tmp_path / "cp")).awaitTermination()
+    assert spark.read.parquet(f"{root}/gate").count() == 6
+    # The stream's verdicts are bucketed like those of a batch run, which can go on with them.
+    got = run_batch(images, root, "run", builders.fake_gate, builders.fake_grade, "2026-09-25", settings=RunSettings(exports=False)).first()
+    assert (got.gated, got.findings) == (6, 5) and spark.read.parquet(f"{root}/gate").count() == 6
+
+
+def test_a_batch_that_failed_half_way_skips_what_it_saved(spark, tmp_path):
+    root, inbox, checkpoint = (str(tmp_path / n) for n in ("store", "inbox", "checkpoint"))
+    writers.write_manifest(builders.images(spark, [{"image_id": f"img_{at}"} for at in range(30)]), f"{inbox}/one")
+    calls, fuse = tmp_path / "calls", tmp_path / "fuse"
+    calls.mkdir()
+    fuse.touch()
+
+    def gate(image):
+        (calls / f"{image['image_id']}.{time.time_ns()}").touch()
+        if fuse.exists() and len(list(calls.iterdir())) > 20:
+            time.sleep(2)
+            os._exit(1)
+        return builders.fake_gate(image)
+
+    def start():
+        return live.gate_arrivals(live.manifest_stream(spark, f"{inbox}/*"), root, "run", gate, checkpoint, commit_rows=2)
+
+    with pytest.raises(Exception, match="worker|crashed|exit|terminated"):
+        start().awaitTermination()
+    saved = {r.image_id for r in spark.read.parquet(f"{root}/gate").collect()}
+    fuse.unlink()
+    start().awaitTermination()
+    raw = [r.image_id for r in spark.read.parquet(f"{root}/gate").collect()]
+    assert len(raw) == len(set(raw)) == 30
+    times = Counter(path.name.split(".")[0] for path in calls.iterdir())
+    assert saved and all(times[name] == 1 for name in saved)
+
+
+def test_the_plan_of_a_batch_does_not_read_the_run(spark, tmp_path):
+    """Each file of the run's log is read by one micro-batch only."""
+    root, inbox, checkpoint = (str(tmp_path / n) for n in ("store", "inbox", "checkpoint"))
+    read = []
+    for number in range(4):
+        writers.write_manifest(builders.images(spark, [{"image_id": f"img_{number}_{at}"} for at in range(10)]), f"{inbox}/{number}")
+        query = live.gate_arrivals(live.manifest_stream(spark, f"{inbox}/*"), root, "run", builders.fake_gate, checkpoint)
+        query.awaitTermination()
+        read.append(sum(p["numInputRows"] for p in query.recentProgress))
+    assert read[1:] == [20, 20, 20]  # ten arrivals and ten rows that the batch before had logged
+
+
 def test_live_costs_equal_batch(spark, tmp_path):
     rows = [(f"run{at % 2}", "gate" if at % 3 else "grade", at * 10, at, at / 8, at / 16, f"2026-09-25 0{at % 9}:30:00") for at in range(60)]
     calls = spark.createDataFrame(
