@@ -14,7 +14,12 @@ through and changes no result.
 
 Words are compared without case and without ASCII punctuation. Defined results: null and empty texts and items of fewer
 than SHINGLE words have no shingles and match nothing. Rows of equal id and text give one row for each item. An empty table on either
-side gives an empty result. Rows without an id are found too, with a null id.
+side gives an empty result. Rows without an id are found too, with a null id. Only ids and texts are read, so names of other
+columns cannot clash. A text of any length is searched whole; its task holds 192 bytes a shingle meanwhile.
+
+Recall: an item of 2^k shingles is looked for in windows of 2^(k+2), of a similarity of 0.25 at least when it is there word for
+word and of 0.19 at a containment of 0.8, so that 24 minimum hashes miss it with a chance of 0.001 and 0.006 (items near 2^(k+1)
+shingles almost never). Measured at a containment of 0.8, over 1,500 items a size: 0.9987 found of 16 shingles, 0.9993 of 32 and 128.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ Landmarks and fitting rows are bounded (LANDMARKS, FIT_ROWS for each language, o
 their presence bits. Every row is scored over its whole text.
 
 Defined results: `und` with score 0 for a null text or one without a letter, and for every text where nothing could be
-learned. Ties between languages go to the first in alphabetical order. Repeated rows give a row each.
+learned. Ties between languages go to the first in alphabetical order. Repeated rows give a row each; an empty table gives an
+empty result. The text goes in as a column and the prediction comes back by position, so names of other columns cannot clash.
+A text of any length is scored whole; its n-grams are held while it is (some 20 bytes a character).
 """
 
 from __future__ import annotations

@@ -20,7 +20,10 @@ number of other documents of its own shingle set or linked to it.
 
 Defined results: words are runs of characters other than ASCII white space. A text of one to SHINGLE - 1 words has all of
 them as its one shingle. Null, empty and blank texts have no shingles and no links; their class is their own id. Rows
-without an id take part; class_id is null where no row of the group has an id. Repeated rows count as copies.
+without an id take part; class_id is null where no row of the group has an id. Repeated rows count as copies. An empty table
+gives an empty result. Only the id and the text are read (and the columns asked for), so names of other columns cannot clash;
+`one_of_each_group` passes them on whatever their names. A text of any length is taken whole: its words are held while its
+shingles are hashed (some 50 bytes each), and its signature is computed in pieces.
 """
 
 from __future__ import annotations

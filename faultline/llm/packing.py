@@ -8,8 +8,10 @@ by itself: pieces in order of falling length, open bins in order of their free s
 space and goes on to its successors until one is compatible, by the bin's bitmaps of sources and clusters; without one it opens a new
 bin. So a bin is the tightest compatible one of its shard. Sharding costs at most a few half-full bins a shard.
 
-Defined results: rows whose length is null or not positive are in no bin and not in the result. A null source or cluster
-conflicts with nothing. Repeated rows are packed each; ties in length go by id. An empty table gives an empty result.
+Defined results: rows whose length is null or not positive are in no bin and not in the result of `packed`; op9_packing gives
+documents without a token a row of 0 tokens and no bin. A null source or cluster conflicts with nothing. Repeated rows are
+packed each; ties in length go by id. An empty table gives an empty result. Only the columns named are read, so names of
+others cannot clash; `with_cluster` replaces a column of the name it is given. Documents of any length are cut into pieces.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ of a fixed pattern; those always stay. It reads the lines that hold a digit: a c
 label set, so other lines have nothing to tag.
 
 Offsets count code points, the end is exclusive. Null and empty texts have no spans. Repeated rows and ties give a row
-each; an empty table gives an empty result. Other columns are not read by the search and pass through the masking.
+each; an empty table gives an empty result. Other columns are not read by the search and pass through the masking,
+whatever their names. A text of any length is searched whole by the patterns; the tagger takes it line by line, sees the
+first 200 characters of a token and finds one credential in it: what lies behind, and credentials without a digit, it misses.
 """
 
 from __future__ import annotations

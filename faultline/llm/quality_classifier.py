@@ -8,7 +8,9 @@ Fitted on about FIT_ROWS labelled rows, whose features (not texts) go to the dri
 
 Defined results: null and empty texts have no words and are scored from their structure bins. A null metadata value
 has a bin of its own. Without labelled rows of both kinds every score is the share of ones (0.5 without any row).
-Repeated rows and ties give a row each; an empty table gives an empty result.
+Repeated rows and ties give a row each; an empty table gives an empty result. Of two labels of a row the greater counts. The
+text and the metadata go in as columns and the score comes back by position, so names of other columns cannot clash. A text
+of any length is scored whole; its words are held while it is (some 50 bytes each).
 """
 
 from __future__ import annotations

@@ -11,6 +11,7 @@ rejected by the forest.
 
 Defined results: null and empty texts have no words and fail the base rules. Repeated rows and ties give a row each.
 An empty table gives an empty result. Only the id and the text are read, so other columns and their names don't matter.
+A text of any length is counted whole; its words are held while it is (some 50 bytes each).
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ cache: a unit that is not in it costs more, and counts the same. Tier two is a w
 what tier one misses.
 
 Null and empty texts have 0 tokens. Repeated rows and ties give a row each; other columns are passed through by
-`token_counts` whatever their names, because the text goes in as one column and the count comes back by position.
+`token_counts` whatever their names, because the text goes in as one column and the count comes back by position. An
+empty table gives an empty result. A text of any length is counted whole; its units are held while it is (some 50 bytes each).
 """
 
 from __future__ import annotations

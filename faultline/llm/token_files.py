@@ -16,7 +16,10 @@ characters, so ids are looked up by word in a worker's cache, which the library
 are cut at the safe places only, and texts with an added token's string go to the library whole.
 
 Defined results: null and empty texts hold the end id alone. Null ids come first; rows of equal id are ordered by the
-md5 of their text. An empty table gives no file and an empty result.
+md5 of their text. An empty table gives no file and an empty result. Only the id and the text are read, so names of other
+columns cannot clash. A text of any length is encoded whole; its words are held while it is (some 60 bytes each), its ids are
+written in runs of a fixed size. Range sampling for the order takes a bounded number of ids and digests to the driver (Spark
+samples 100 rows for each output partition), whatever the number of documents.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ Tasks name their files by attempt, and only files in the returned manifest belon
 
 Defined results: a null payload is written as an empty one. Pages without an id are written too; they are never referred to while
 another page of that payload has an id, and their record has no page id. Rows that repeat the winning id are responses
-as it is. A null url leaves out the target. An empty table gives no archive and an empty result.
+as it is. A null url leaves out the target. An empty table gives no archive and an empty result. Only page_id, url and html are
+read, so names of other columns cannot clash. A payload of any length is one record, which its task holds whole.
 """
 
 from __future__ import annotations
