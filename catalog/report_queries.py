@@ -80,6 +80,10 @@ sliced as (select *, case when origin = 'test' then 'eval_v1' else {_slice_case(
 
 @query(oracle("", "select concat('corr_', origin, '_', name) as image_id, split, worst_class as grade from sliced where split is not null", STEEL_SQL))
 def steel_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _steel_records(spark, sf_dir).select("image_id", "split", F.col("labels.grade_native").alias("grade"))
+
+
+def _steel_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     kind = F.col("n_chars") % 3
     file_name = F.concat(F.col("doc_id").cast("string"), F.lit(".jpeg"))
@@ -90,8 +94,7 @@ def steel_set(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.lit("0.1").alias(name) for name in ("fair_frac", "poor_frac", "severe_frac")],
         file_name.alias("file_name"),
     )
-    chosen = evalset.steel_set(index, _files(docs, file_name))
-    return chosen.select("image_id", "split", F.col("labels.grade_native").alias("grade"))
+    return evalset.steel_set(index, _files(docs, file_name))
 
 
 THERMAL_SQL = f"""
@@ -105,15 +108,18 @@ sliced as (select *, {_slice_case(THERMAL_SLICES, 'class')} as split from placed
 @query(oracle("", """select concat('ir_test_', lpad(cast(row as varchar), cast(greatest(5, length(cast(row as varchar))) as int), '0')) as image_id, split, class as source_class, grade,
   class <> 'No-Anomaly' as damage_present from sliced where split is not null""", THERMAL_SQL))
 def thermal_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _thermal_records(spark, sf_dir).select(
+        "image_id", "split", F.col("labels.source_class").alias("source_class"), F.col("labels.grade_native").alias("grade"),
+        F.col("labels.damage_present").alias("damage_present"),
+    )
+
+
+def _thermal_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     padded = F.lpad(F.col("doc_id").cast("string"), F.greatest(F.lit(5), F.length(F.col("doc_id").cast("string"))), F.lit("0"))
     files = _files(docs, F.concat(F.lit("test_"), padded, F.lit(".png")))
     rows = docs.select(F.col("doc_id").alias("row"), (F.col("n_chars") % 12).alias("label"))
-    chosen = evalset.thermal_set(rows, files)
-    return chosen.select(
-        "image_id", "split", F.col("labels.source_class").alias("source_class"), F.col("labels.grade_native").alias("grade"),
-        F.col("labels.damage_present").alias("damage_present"),
-    )
+    return evalset.thermal_set(rows, files)
 
 
 SCENE_SQL = f"""
@@ -127,15 +133,18 @@ sliced as (select *, {_slice_case(SCENE_SLICES, 'class')} as split from placed)
   case class when 'Intact' then 'Undamaged,Affected' when 'Damaged' then 'Minor,Major' else 'Destroyed' end as groups,
   case class when 'Intact' then 'S0' when 'Damaged' then 'S2' else 'S4' end as level from sliced where split is not null""", SCENE_SQL))
 def scene_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scene_records(spark, sf_dir).select(
+        "image_id", "split", F.col("labels.source_class").alias("source_class"),
+        F.array_join("labels.fema_group", ",").alias("groups"), F.col("labels.unified_truth").alias("level"),
+    )
+
+
+def _scene_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     name = F.concat(F.lit("scene_"), F.col("doc_id").cast("string"), F.lit(".jpg"))
     kind = F.col("n_chars") % 3
     index = docs.select(name.alias("file"), F.when(kind == 0, "Intact").when(kind == 1, "Damaged").otherwise("Collapsed").alias("class"))
-    chosen = evalset.scene_set(index, _files(docs, name))
-    return chosen.select(
-        "image_id", "split", F.col("labels.source_class").alias("source_class"),
-        F.array_join("labels.fema_group", ",").alias("groups"), F.col("labels.unified_truth").alias("level"),
-    )
+    return evalset.scene_set(index, _files(docs, name))
 
 
 @query(oracle("fx_images", """select dataset, count(*) as n from (select source_dataset as dataset, row_number() over (partition by source_dataset order by image_id) as rn from fx_images) where rn <= 10 group by dataset

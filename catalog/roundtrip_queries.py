@@ -2,20 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog import views
 from catalog.queue_queries import FACTORS, QUEUE_VIEWS, _queue
 from catalog.registry import query
-from catalog.report_queries import SCENE_SQL, STEEL_SQL, THERMAL_SQL, _documents, _files
+from catalog.report_queries import (
+    SCENE_SQL,
+    STEEL_SQL,
+    THERMAL_SQL,
+    _documents,
+    _files,
+    _scene_records,
+    _steel_records,
+    _thermal_records,
+)
 from catalog.views import oracle
 from faultline import schemas
 from faultline.fixed_values import THERMAL_CLASSES
+from faultline.operators.sampling import union_all
 from faultline.operators.validation import image_rules, with_violations
 from faultline.plans import evalset
 from faultline.session import new_folder
 from faultline.sources import readers, writers
+from faultline.sources.store import file_system
 
 
 @query(oracle(QUEUE_VIEWS, "select run_id, cast(queue_rank as bigint) as queue_rank, finding_id, level as unified_level, effective_action as action_code, criterion as criteria_matched from ranked", FACTORS))
@@ -99,3 +113,67 @@ def scene_json_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     parts.drop("part").write.option("maxRecordsPerFile", 1).json(path)
     return readers.read_scene_index(spark, path)
+
+
+PNG_HEAD = "89504E470D0A1A0A0000000D49484452"
+
+
+def _write_pictures(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """A PNG header of an image's size with its document's text behind it, a file for each document. Returns the file names."""
+    texts = views.table(spark, sf_dir, "documents").select("doc_id", "text")
+    sizes = views.view(spark, sf_dir, "fx_images").select(F.col("pos").alias("doc_id"), "width", "height", "asset_class")
+    named = texts.join(sizes, "doc_id").withColumn("file_name", F.format_string("%012d.png", "doc_id"))
+    head = F.unhex(F.concat(F.lit(PNG_HEAD), F.lpad(F.hex("width"), 8, "0"), F.lpad(F.hex("height"), 8, "0")))
+    bytes_of = named.select("file_name", F.concat(head, F.coalesce("text", F.lit("")).cast("binary")).alias("content"))
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = file_system(folder)
+        system.create_dir(base, recursive=True)
+        for batch in batches:
+            for name, content in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                with system.open_output_stream(f"{base}/{name}") as file:
+                    file.write(content)
+            yield batch.select(["file_name"])
+
+    saved = bytes_of.mapInArrow(save, "file_name string")
+    saved.write.format("noop").mode("overwrite").save()
+    return named.select("doc_id", "file_name", "asset_class")
+
+
+@query(oracle("fx_images", f"""select concat('doc_', lpad(cast(n as varchar), cast(greatest(5, length(cast(n as varchar))) as int), '0')) as image_id, file_name, sha256, width, height,
+  case when doc_id % 3 = 0 then asset_class else 'steel_coating' end as asset_class, case when doc_id % 3 = 0 then 0.5::double end as gsd_mm_per_px
+  from (select d.doc_id, lpad(cast(d.doc_id as varchar), 12, '0') || '.png' as file_name, row_number() over (order by d.doc_id) - 1 as n, i.width, i.height, i.asset_class,
+    sha256(unhex('{PNG_HEAD}' || lpad(to_hex(i.width), 8, '0') || lpad(to_hex(i.height), 8, '0')) || encode(coalesce(d.text, ''))) as sha256
+    from documents d join fx_images i on i.pos = d.doc_id)"""))
+def ingested_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of pictures with sidecars: digests, sizes from the headers, numbers in path order, sidecar values on top."""
+    folder, sidecar = new_folder(spark, "pictures"), new_folder(spark, "sidecar")
+    named = _write_pictures(spark, sf_dir, folder).filter(F.col("doc_id") % 3 == 0)
+    entry = F.struct("file_name", F.struct("asset_class", F.lit(0.5).alias("gsd_mm_per_px")))
+    objects = named.groupBy(F.floor(F.col("doc_id") / 1000).alias("part")).agg(F.map_from_entries(F.collect_list(entry)).alias("entries"))
+    objects.select(F.to_json("entries").alias("value")).write.option("maxRecordsPerFile", 1).text(sidecar)
+    found = readers.scan_folder(spark, folder, "steel_coating", sidecar=sidecar, source_dataset="docs", split="dev", prefix="doc")
+    file_name = F.regexp_extract("path", "([^/]+)$", 1).alias("file_name")
+    return found.select("image_id", file_name, "sha256", "width", "height", "asset_class", "gsd_mm_per_px")
+
+
+def _wrapped(body: str, ctes: str) -> str:
+    return f"select * from (with {ctes.strip()} {body})"
+
+
+@query(
+    _wrapped("select concat('corr_', origin, '_', name) as image_id, split, 'steel_coating' as asset_class from sliced where split is not null", STEEL_SQL)
+    + " union all "
+    + _wrapped("select concat('ir_test_', lpad(cast(row as varchar), cast(greatest(5, length(cast(row as varchar))) as int), '0')), split, 'pv_module' from sliced where split is not null", THERMAL_SQL)
+    + " union all "
+    + _wrapped("select concat('rn_test_', replace(file, '.jpg', '')), split, 'building_disaster' from sliced where split is not null", SCENE_SQL)
+)
+def evaluation_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evaluation and development manifests of three datasets, as they are read back; the frozen digest is checked on the way."""
+    folder = new_folder(spark, "evaluation")
+    parts = [_steel_records(spark, sf_dir), _thermal_records(spark, sf_dir), _scene_records(spark, sf_dir)]
+    frozen = evalset.build_evaluation_set(parts, folder).first()
+    manifests = [readers.read_manifest(spark, f"{folder}/{name}") for name in ("eval_v1", "dev")]
+    if frozen["rows"] != manifests[0].count():
+        raise ValueError("the frozen digest is of another set")
+    return union_all(manifests).select("image_id", "split", "asset_class")
