@@ -66,34 +66,24 @@ THERMAL_CLASSES = [
     "Soiling",
     "Vegetation",
 ]
-THERMAL_TO_GRADE = {
-    "Cell": "CoA 2",
-    "Cell-Multi": "CoA 2",
-    "Cracking": "CoA 3",
-    "Diode": "CoA 2",
-    "Diode-Multi": "CoA 2",
-    "Hot-Spot": "CoA 2",
-    "Hot-Spot-Multi": "CoA 2",
-    "No-Anomaly": "CoA 1",
-    "Offline-Module": "CoA 2",
-    "Shadowing": "CoA 1",
-    "Soiling": "CoA 1",
-    "Vegetation": "CoA 1",
-}
-THERMAL_TO_LEVEL = {
-    "Cell": "S3",
-    "Cell-Multi": "S3",
-    "Cracking": "S4",
-    "Diode": "S2",
-    "Diode-Multi": "S2",
-    "Hot-Spot": "S3",
-    "Hot-Spot-Multi": "S3",
-    "No-Anomaly": "S0",
-    "Offline-Module": "S2",
-    "Shadowing": "S1",
-    "Soiling": "S1",
-    "Vegetation": "S1",
-}
+
+# Grade and level of each thermal class, as published.
+THERMAL_CROSSWALK = [
+    ("No-Anomaly", "CoA 1", "S0"),
+    ("Shadowing", "CoA 1", "S1"),
+    ("Soiling", "CoA 1", "S1"),
+    ("Vegetation", "CoA 1", "S1"),
+    ("Diode", "CoA 2", "S2"),
+    ("Diode-Multi", "CoA 2", "S2"),
+    ("Offline-Module", "CoA 2", "S2"),
+    ("Cell", "CoA 2", "S3"),
+    ("Cell-Multi", "CoA 2", "S3"),
+    ("Hot-Spot", "CoA 2", "S3"),
+    ("Hot-Spot-Multi", "CoA 2", "S3"),
+    ("Cracking", "CoA 3", "S4"),
+]
+THERMAL_TO_GRADE = {name: grade for name, grade, _ in THERMAL_CROSSWALK}
+THERMAL_TO_LEVEL = {name: level for name, _, level in THERMAL_CROSSWALK}
 
 # Concrete defect classes that count as damage, and the six sampled by quota.
 CONCRETE_DAMAGE_CLASSES = [
