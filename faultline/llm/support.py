@@ -75,9 +75,10 @@ def join_beside_hot(rows: DataFrame, facts: DataFrame, *keys: str) -> DataFrame:
     hot = rows.groupBy(*keys).count().where(F.col("count") > share).select(*keys, F.lit(True).alias(is_hot))
     listed = F.broadcast(materialise(hot, "hot-keys"))
     dealt = rows.join(listed, list(keys), "left").withColumn(part, F.when(F.col(is_hot), F.pmod(F.monotonically_increasing_id(), F.lit(HOT_PARTS))).otherwise(0))
-    parts = F.when(F.col(is_hot), F.sequence(F.lit(0).cast("long"), F.lit(HOT_PARTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
-    copied = facts.join(listed, list(keys), "left").withColumn(part, F.explode(parts)).drop(is_hot)
-    return dealt.drop(is_hot).join(copied, [*keys, part], "left").drop(part)
+    others = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(HOT_PARTS - 1).cast("long")))
+    copied = facts.join(listed, list(keys)).drop(is_hot).withColumn(part, others)
+    placed = facts.withColumn(part, F.lit(0).cast("long")).unionByName(copied)
+    return dealt.drop(is_hot).join(placed, [*keys, part], "left").drop(part)
 
 
 def slot_bitmap(keys: DataFrame, bits: int) -> np.ndarray:
