@@ -12,7 +12,7 @@ next segments only to end its last document.
 A file: magic, runs (a frequency table, then segments), foot (numpy arrays), and the foot's length and crc32.
 
 Ids come from the tokenizers library. A text's pre-tokens never cross a single space or line feed between other
-characters, so ids are looked up by word in a worker's cache, which the library fills for some texts at a time. Texts with other white space
+characters, so ids are looked up by word in a worker's cache, which the library fills. Texts with other white space
 are cut at the safe places only, and texts with an added token's string go to the library whole.
 
 Defined results: null and empty texts hold the end id alone. Null ids come first; rows of equal id are ordered by the
@@ -25,7 +25,6 @@ samples 100 rows for each output partition), whatever the number of documents.
 from __future__ import annotations
 
 import io
-import os
 import re
 import struct
 import zlib
@@ -40,16 +39,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultline.llm.rans import BLOCK_SEGMENTS, SEGMENT, Frequencies, decode_segment, encode_block
-from faultline.llm.support import file_system, hash_sample, materialise, new_folder, slices, table, worker_value
+from faultline.llm.support import file_system, hash_sample, materialise, new_folder, table, worker_value
 
 MAGIC = b"FLTOKEN1"
 TAIL = "<QI"  # length and crc32 of the foot
 TAIL_BYTES = struct.calcsize(TAIL)
 #: Words a worker keeps, of at most so many characters.
-CACHED_WORDS, WORD_CHARS = 300_000, 32
+CACHED_WORDS, WORD_CHARS = 800_000, 32
 #: Words that every worker is given at the start, counted in about so many rows of texts of at most so many characters. They
 #: save time only: the ids do not depend on them.
-FREQUENT_WORDS, SAMPLE_ROWS, SAMPLE_CHARS = 65_536, 4_000, 20_000
+FREQUENT_WORDS, SAMPLE_ROWS, SAMPLE_CHARS = 65_536, 1_000, 20_000
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Ids that share a frequency table.
 RUN = 4 * BLOCK_SEGMENTS * SEGMENT
@@ -69,44 +68,31 @@ class WordIds(dict):
         for word, length in zip(words.split("\0"), lengths, strict=False):
             self[word] = ids[at : at + 4 * length]
             at += 4 * length
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", found.ids).tobytes() for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, words: set[str]) -> list[str]:
-        """Add the ids of words, the unknown ones encoded at once. Returns the words that are not to stay."""
-        bodies = {}
-        for word in words:
-            body = word.rstrip(PUNCTUATION)
-            if len(body) < len(word) and body[-1:].isalpha():  # a pre-token ends between a letter and punctuation
-                bodies[word] = body
-        unknown = list({part for word in words for part in ((bodies[word], word[len(bodies[word]) :]) if word in bodies else (word,))} - self.keys())
-        self.update(zip(unknown, self.encode(unknown), strict=True))
-        self.update({word: self[body] + self[word[len(body) :]] for word, body in bodies.items()})
-        room = CACHED_WORDS - len(self) + len(words) + len(unknown)
-        return [word for number, word in enumerate({*words, *unknown}) if number >= room or len(word) > WORD_CHARS]
-
-    def of_texts(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of whole texts."""
-        parts: list[list[str]] = []
-        whole: dict[int, bytes] = {}
-        for at, text in enumerate(texts):
-            if text and any(a in text for a in self.added):
-                whole[at] = self.encode([text])[0]
-            parts.append(words_with_separators(text) if text and at not in whole else [])
-        passing = self.learn(set().union(*parts) - self.keys())
-        out = [whole[at] if at in whole else b"".join(map(self.__getitem__, words)) for at, words in enumerate(parts)]
-        for word in passing:
-            del self[word]
-        return out
+    def encode(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        body = word.rstrip(PUNCTUATION)
+        if len(body) < len(word) and body[-1:].isalpha():  # a pre-token ends between a letter and punctuation
+            ids = self[body] + self[word[len(body) :]]
+        else:
+            ids = self.encode(word)
+        if len(self) < CACHED_WORDS and len(word) <= WORD_CHARS:
+            self[word] = ids
+        return ids
 
     def of_text(self, text: str | None) -> bytes:
-        return self.of_texts([text])[0]
+        """The ids of a whole text."""
+        if not text:
+            return b""
+        if any(a in text for a in self.added):
+            return self.encode(text)
+        return b"".join(map(self.__getitem__, words_with_separators(text)))
 
 
 def words_with_separators(text: str) -> list[str]:
@@ -141,8 +127,7 @@ def frequent_words(texts: DataFrame, tokenizer_json: str) -> tuple[str, bytes, b
             for text in batch.column(0).to_pylist():
                 counted.update(w for w in words_with_separators(text) if 0 < len(w) <= WORD_CHARS and "\0" not in w)
         known = WordIds(tokenizer_json)
-        words = [w for w, n in counted.most_common(FREQUENT_WORDS) if n > 1 and not any(a in w for a in known.added)]
-        best = list(zip(words, known.encode(words), strict=True))
+        best = [(w, known[w]) for w, n in counted.most_common(FREQUENT_WORDS) if n > 1 and not any(a in w for a in known.added)]
         best = [(w, ids) for w, ids in best if len(ids) < 4 * 256]
         columns = ["\0".join(w for w, _ in best)], [bytes(len(ids) // 4 for _, ids in best)], [b"".join(ids for _, ids in best)]
         yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], ["words", "lengths", "ids"])
@@ -262,10 +247,10 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer_json: str, en
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, ids, writer = TaskContext.get(), word_ids(shared), None
         path = f"{folder}/tokens-{context.partitionId():06d}-{context.taskAttemptId()}.bin"
-        for batch in slices(batches):
-            for number, found in zip(batch.column(0).to_pylist(), ids.of_texts(batch.column(1).to_pylist()), strict=True):
+        for batch in batches:
+            for number, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 writer = writer or FileWriter(path)
-                writer.add(number, np.append(np.frombuffer(found, "<u4"), np.uint32(end_id)))
+                writer.add(number, np.append(np.frombuffer(ids.of_text(value), "<u4"), np.uint32(end_id)))
         if writer:
             writer.close()
             row = {"path": path, "file_no": context.partitionId(), "n_documents": len(writer.doc_id), "n_tokens": writer.n_tokens, "n_segments": len(writer.places), "n_bytes": writer.size}
