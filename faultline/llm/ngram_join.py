@@ -29,7 +29,7 @@ shingles are hashed (some 50 bytes each), and its signature is computed in piece
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +47,8 @@ DEEPER = 1.4
 #: Signatures may fall short of the similarity by so many standard deviations before a pair is left out.
 MARGIN = 5.5
 SEED = np.uint64(0x5851F42D4C957F2D)
+#: Called in a task, it gives a function from a text (or null) to a whole number.
+Measure = Callable[[], Callable[[str | None], int]]
 FACTOR = mixed(np.arange(1, SIGNATURE + 1, dtype=np.uint64)) | np.uint64(1)
 SHIFT = mixed(np.arange(1001, SIGNATURE + 1001, dtype=np.uint64))
 
@@ -72,25 +74,29 @@ def text_key(text: str | Column = "text") -> Column:
     return F.md5(F.col(text) if isinstance(text, str) else text)
 
 
-def fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: its id, a key of its text, and its shingle set's key (`node`), size and signature, then the `carried` columns."""
+def fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", carried: tuple[str, ...] = (), measures: dict[str, Measure] | None = None) -> DataFrame:
+    """Per row: its id, a key of its text, and its shingle set's key (`node`), size and signature, then the `carried` columns and the `measures` of its text."""
 
-    names = ["doc_id", "text_key", "node", "n_shingles", "signature", *carried]
+    measures = measures or {}
+    names = ["doc_id", "text_key", "node", "n_shingles", "signature", *carried, *measures]
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = word_hashes()
+        hashes, measured = word_hashes(), [start() for start in measures.values()]
         for batch in slices(batches):
-            sets = [shingle_set(t, hashes) for t in batch.column(2).to_pylist()]
+            texts = batch.column(2).to_pylist()
+            sets = [shingle_set(t, hashes) for t in texts]
+            more = [pa.array(map(measure, texts), pa.int64()) for measure in measured]
             facts = [
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                 pa.array([len(s) for s in sets], pa.int32()),
                 pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *facts, *batch.columns[3:]], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *facts, *batch.columns[3:], *more], names)
 
     own = [F.col(doc_id).cast("long").alias("doc_id"), text_key(text).alias("text_key"), F.col(text).alias("text")]
     chosen = documents.select(*own, *carried)
-    more = "".join(f", `{field.name}` {field.dataType.simpleString()}" for field in chosen.schema.fields[3:])
+    fields = [(field.name, field.dataType.simpleString()) for field in chosen.schema.fields[3:]] + [(name, "long") for name in measures]
+    more = "".join(f", `{name}` {kind}" for name, kind in fields)
     return chosen.mapInArrow(compute, "doc_id long, text_key string, node binary, n_shingles int, signature binary" + more)
 
 
@@ -316,9 +322,9 @@ def shingle_sets(documents: DataFrame, wanted: DataFrame, doc_id: str, text: str
     return one.select("node", "text").mapInArrow(compute, "node binary, set binary")
 
 
-def similarity_classes(documents: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, doc_id: str = "doc_id", text: str = "text", carried: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """The rows' fingerprints (with the `carried` columns), and for every shingle set: node, first (its group's least id with that row's text key), n_links."""
-    prints = materialise(fingerprints(documents, doc_id, text, carried), "fingerprints")
+def similarity_classes(documents: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, doc_id: str = "doc_id", text: str = "text", carried: tuple[str, ...] = (), measures: dict[str, Measure] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows' fingerprints (with the `carried` columns and the `measures`), and for every shingle set: node, first (its group's least id with that row's text key), n_links."""
+    prints = materialise(fingerprints(documents, doc_id, text, carried, measures), "fingerprints")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
     nodes = materialise(
         prints.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min(first).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")),

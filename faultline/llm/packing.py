@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from faultline.llm.ngram_join import similarity_classes, text_key
 from faultline.llm.support import fresh, join_beside_hot, materialise, table
-from faultline.llm.token_counts import token_counts
+from faultline.llm.token_counts import token_counter, token_counts
 
 CAPACITY, PER_SOURCE, SHARD_PIECES = 4096, 4, 4096
 
@@ -124,11 +124,11 @@ def with_cluster(documents: DataFrame, name: str) -> DataFrame:
 def measured(documents: DataFrame, model_path: str) -> DataFrame:
     """doc_id, source, length (tokens) and cluster (as with_cluster has it) of every row, from one pass over the texts.
 
-    What the pass gives is written; classes meet these small rows, and no text is moved but those to be compared.
+    Tokens and shingles are taken from a text by the same Python worker, so a task has one. What the pass gives is written; classes meet these small rows, and no text is moved but those to be compared.
     """
-    counted = token_counts(documents.select("doc_id", "text", "source"), model_path, order=["doc_id"])
-    counted = counted.select("*", F.xxhash64("text").alias("text_hash"), F.col("text").isNotNull().alias("has_text"))
-    prints, classes = similarity_classes(counted, carried=("source", "n_tokens", "text_hash", "has_text"))
+    texts = documents.select("doc_id", "text", "source", F.xxhash64("text").alias("text_hash"), F.col("text").isNotNull().alias("has_text"))
+    tokens = token_counter(texts, model_path, order=["doc_id"])
+    prints, classes = similarity_classes(texts, carried=("source", "text_hash", "has_text"), measures={"n_tokens": tokens})
     first = F.struct(F.coalesce("first.doc_id", F.lit(-1)).alias("doc_id"), "first.text_key")
     found = join_beside_hot(prints.drop("signature", "text_key"), classes.select("node", F.xxhash64(first).alias("cluster")), "node")
     cluster = F.when(F.col("has_text"), F.coalesce("cluster", "text_hash")).alias("cluster")

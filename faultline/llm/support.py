@@ -21,6 +21,8 @@ from faultline.session import materialise, new_folder  # noqa: F401  (used by th
 WHITE_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: Words a worker's hash cache holds before it starts anew; the hashes do not depend on it.
 CACHED_WORDS = 200_000
+#: Values of `share` that a worker holds at once.
+SHARED_VALUES = 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -125,14 +127,22 @@ def text_pieces(data: bytes, size: int = 2**20) -> Iterator[bytes]:
     yield data[at:] if at else data
 
 
-def worker_value(key: tuple, build: Callable[[], object]) -> object:
-    """An object kept for the life of the worker process, whichever task asks first.
+def worker_value(key: tuple, build: Callable[[], object], most: int = 1) -> object:
+    """An object kept in the worker process, whichever task asks first, until `most` newer ones of its kind are asked for.
+
+    The first part of the key is the kind. A worker outlives the job that fitted a cache or a model, so what earlier jobs
+    left is dropped before the next is built; else every input that a session works on would add its own.
 
     Functions reach a worker by value, so their own globals last for one task; a module entry lasts longer.
     """
     holder = sys.modules.setdefault("_faultline_worker_values", types.ModuleType("_faultline_worker_values"))
     held = holder.__dict__.setdefault("held", {})
-    if key not in held:
+    if key in held:
+        held[key] = held.pop(key)  # the last asked for is the last to go
+    else:
+        of_kind = [other for other in held if other[0] == key[0]]
+        for other in of_kind[: max(0, len(of_kind) - most + 1)]:
+            del held[other]
         held[key] = build()
     return held[key]
 
@@ -145,7 +155,7 @@ def share(spark: SparkSession, value: object) -> Callable[[], object]:
     shared, key = spark.sparkContext.broadcast(packed), ("shared", xxhash.xxh3_128_hexdigest(packed))
 
     def get() -> object:
-        return worker_value(key, lambda: pickle.loads(shared.value))
+        return worker_value(key, lambda: pickle.loads(shared.value), SHARED_VALUES)
 
     return get
 

@@ -98,29 +98,36 @@ def frequent_units(documents: DataFrame, text: str, order: list[str], proto: byt
 
 def token_counts(documents: DataFrame, model_path: str, text: str = "text", order: list[str] | None = None) -> DataFrame:
     """`documents` with n_tokens: long, the tokens of the whole `text`. `order` are the columns that pick tier one's sample."""
+    start = token_counter(documents, model_path, text, order)
+
+    @F.arrow_udf("long")
+    def count(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tokens_in = start()
+        for batch in texts:
+            # A few texts at a time as Python strings: a batch has thousands.
+            yield pa.array([tokens_in(t) for at in range(0, len(batch), 500) for t in batch.slice(at, 500).to_pylist()], pa.int64())
+
+    return documents.withColumn("n_tokens", count(F.col(text)))
+
+
+def token_counter(documents: DataFrame, model_path: str, text: str = "text", order: list[str] | None = None) -> Callable[[], Callable[[str | None], int]]:
+    """For use in a task: gives a function from a text to its tokens. Both tiers' starting data are bounded, whatever the corpus."""
     with open(model_path, "rb") as file:
         proto = file.read()
     check_model(load_model(proto))
     frequent = frequent_units(documents, text, order or [text], proto)
-    return documents.withColumn("n_tokens", token_counter(documents.sparkSession, proto, frequent)(F.col(text)))
-
-
-def token_counter(spark: SparkSession, proto: bytes, frequent: tuple[str, bytes]) -> Callable:
-    """A column function from a text to its tokens. Both tiers' starting data are bounded, whatever the corpus."""
-    shared = spark.sparkContext.broadcast((proto, frequent))
+    shared = documents.sparkSession.sparkContext.broadcast((proto, frequent))
     key = ("unit lengths", hash((len(proto), proto[-64:], frequent)))
 
     def build() -> UnitLengths:
         model, (units, lengths) = load_model(shared.value[0]), shared.value[1]
         return UnitLengths(model, dict(zip(units.split(" "), lengths, strict=True)) if lengths else {})
 
-    @F.arrow_udf("long")
-    def count(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def start() -> Callable[[str | None], int]:
         known = worker_value(key, build)
-        for batch in texts:
-            yield pa.array([sum(map(known.__getitem__, units_of(t))) if t else 0 for t in batch.to_pylist()], pa.int64())
+        return lambda value: sum(map(known.__getitem__, units_of(value))) if value else 0
 
-    return count
+    return start
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

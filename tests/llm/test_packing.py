@@ -3,7 +3,9 @@
 import random
 from collections import Counter, defaultdict
 
+from faultline.llm.ngram_join import fingerprints
 from faultline.llm.packing import measured, op9_packing, pack, packed, with_cluster
+from faultline.llm.token_counts import token_counter, token_counts
 
 
 def plain_pack(lengths, sources, clusters, capacity, per_source):
@@ -100,3 +102,16 @@ def test_measured_rows_and_documents_without_tokens(spark, tmp_path):
 def test_a_cluster_column_is_replaced(spark):
     documents = spark.createDataFrame([(1, "a b c", 9)], "doc_id long, text string, cluster int")
     assert with_cluster(documents, "cluster").columns == ["doc_id", "text", "cluster"]
+
+
+def test_tokens_and_shingles_take_one_worker_a_task(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rows = [(1, "the cat sat on the mat"), (2, None), (3, ""), (4, "w " * 7000), (4, "the cat sat on the mat")]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = fingerprints(texts, measures={"n_tokens": token_counter(texts, path, order=["doc_id"])})
+    plan = prints._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan
+    want = token_counts(texts, path, order=["doc_id"])
+    assert sorted((r.doc_id, r.n_tokens) for r in prints.collect()) == sorted((r.doc_id, r.n_tokens) for r in want.collect())
