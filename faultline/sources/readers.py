@@ -13,6 +13,7 @@ from faultline.functions.columns import first_or_blank
 from faultline.functions.text import numbered_id
 from faultline.operators.ordered import with_rank
 from faultline.operators.records import merged_with_sidecar
+from faultline.session import materialise
 from faultline.sources.ranking import load_queue
 
 def read_manifest(spark: SparkSession, path: str | list[str], position: bool = False) -> DataFrame:
@@ -100,7 +101,9 @@ def scan_folder(spark: SparkSession, folder: str, asset_class: str, *, sidecar:
         _jpeg_dimensions(F.when(~is_png, F.substring("content", 1, 2**20))).alias("_jpeg"),
     )
     sized = files.select("path", "sha256", "_w", "_h", "_jpeg.width", "_jpeg.height")
-    numbered = with_rank(sized, [], [F.split("path", "/")], "_n")
+    # Written, and dealt anew: a sort looks at its rows twice, which would open every file twice, and files come in many small tasks.
+    facts = materialise(sized.repartition("path"), "files")
+    numbered = with_rank(facts, [], [F.split("path", "/")], "_n")
     records = numbered.select(
         numbered_id(prefix, F.col("_n") - 1).alias("image_id"),
         "path",

@@ -159,3 +159,18 @@ def test_jpeg_sizes_come_from_the_frame_header(spark, tmp_path):
     (tmp_path / "c.mp4").write_bytes(b"no image")
     got = readers.scan_folder(spark, str(tmp_path), "steel_coating").orderBy("path").collect()
     assert [(r.path[-6:], r.width, r.height) for r in got] == [("a.JPeG", 640, 480), ("/b.jpg", None, None)]
+
+
+def test_a_folder_scan_reads_each_file_once(spark, tmp_path, png, monkeypatch):
+    for n in range(40):
+        (tmp_path / f"{n}.png").write_bytes(png(3 + n, 4))
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted_hash(content):
+        read.add(1)
+        return hashlib.sha256(content).hexdigest()
+
+    monkeypatch.setattr(readers, "content_hash", counted_hash)
+    got = readers.scan_folder(spark, str(tmp_path), "steel_coating").collect()
+    assert len(got) == 40 and read.value == 40
