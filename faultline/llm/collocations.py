@@ -37,7 +37,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm.support import join_beside_hot, materialise, mixed, new_folder, slot_bitmap, table
+from faultline.llm.support import batch_rows, join_beside_hot, materialise, mixed, new_folder, slot_bitmap, table
 from faultline.operators.ordered import top_per_group
 
 LONGEST, THRESHOLD, TOP, SHARDS = 3, 10, 2000, 2
@@ -47,7 +47,9 @@ NEVER = 255
 #: A count's tag holds the phrase's length above, and the scan in which its counting starts in so many bits.
 START_BITS = 6
 #: Bytes of text that a task works on at once; keys that it holds before it counts them.
-HELD_BYTES, HELD_KEYS = 2**20, 2**20
+HELD_BYTES, HELD_KEYS = 2**20, 2**19
+#: Rows of texts, and of counts, that pass between Spark and a worker at once.
+TEXT_ROWS, COUNT_ROWS = 1000, 2**16
 #: Words of a longer text that its next part repeats, and the longest word, in bytes, that is hashed in blocks.
 REPEATED, LONG_WORD = LONGEST - 1, 64
 #: Parts that the texts are dealt to; shards are made of them.
@@ -224,7 +226,10 @@ class Counter:
             order = np.argsort(k1)
             k1, k2 = k1[order], k2[order]
             first = np.flatnonzero(np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]))
-            yield counts_batch(k1[first], k2[first], tag[order[first]], np.diff(np.concatenate([first, [len(k1)]])))
+            n = np.diff(np.concatenate([first, [len(k1)]]))
+            for at in range(0, len(first), COUNT_ROWS):
+                some = first[at : at + COUNT_ROWS]
+                yield counts_batch(k1[some], k2[some], tag[order[some]], n[at : at + COUNT_ROWS])
 
 
 def scan(rows: DataFrame, number: int, shards: int, longest: int, tables: Broadcast) -> DataFrame:
@@ -375,8 +380,9 @@ def scored(phrases: DataFrame) -> DataFrame:
 def collocations(documents: DataFrame, top: int = TOP, threshold: int = THRESHOLD, longest: int = LONGEST, shards: int = SHARDS, lang: str = "lang", text: str = "text") -> DataFrame:
     """The first `top` candidates of each language: lang, rank, phrase, a, l, r, n, score."""
     rows = dealt(documents, shards, lang, text)
-    counts = count_phrases(rows, shards, longest, threshold)
-    phrases = materialise(with_words(rows, counts, longest), "phrases")
+    with batch_rows(documents.sparkSession, TEXT_ROWS):
+        counts = count_phrases(rows, shards, longest, threshold)
+        phrases = materialise(with_words(rows, counts, longest), "phrases")
     found = scored(phrases.where("length > 0"))
     best = top_per_group(found, ["lang"], [F.desc("score"), F.desc("a"), F.asc("phrase")], top, "rank")
     totals = phrases.where("length = 0").select("lang", F.col("n").alias("all_words"))

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 from itertools import pairwise
 
+import numpy as np
 import pytest
 
 from faultline.llm import collocations as col
@@ -119,3 +120,17 @@ def test_scores_past_64_bits_are_exact(spark):
     assert got["b c"] == (f["b c"], f["b"], f["c"], score("b c", "b", "c"))
     cut = min((score("a b c", "a", "b c"), 1), (score("a b c", "a b", "c"), 2))
     assert got["a b c"][3] == cut[0]
+
+
+def test_what_passes_between_spark_and_a_worker_is_bounded(spark):
+    """A worker's counts leave in batches of a fixed size, and texts come in fewer at once than Spark would send."""
+    counter, keys = col.Counter(), np.arange(col.HELD_KEYS, dtype=np.uint64)
+    batches = list(counter.add(keys, keys, np.ones(len(keys))))
+    assert sum(batch.num_rows for batch in batches) == len(keys) and max(batch.num_rows for batch in batches) <= 2**16
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(name)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(col, "count_phrases", lambda *_: seen.append(int(spark.conf.get(name))) or (_ for _ in ()).throw(KeyError))
+        with pytest.raises(KeyError):
+            col.collocations(spark.createDataFrame([("en", "a b")], "lang string, text string"))
+    assert seen[0] <= 1000 and spark.conf.get(name) == before
