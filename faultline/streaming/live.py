@@ -6,6 +6,8 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -26,19 +28,42 @@ def manifest_stream(spark: SparkSession, folder: str, files_per_trigger: int | N
     return reader.json(folder)
 
 
+#: Groups that a micro-batch's ids are dealt to, to find each id's least record.
+ID_GROUPS = 4096
+
+
+def _least_records(rows: pa.Table) -> pa.Table:
+    """Of each image id of a group its least record, and none where the run has logged the id."""
+    found = rows.group_by("image_id").aggregate([("record", "min"), ("logged", "max")])
+    record = pc.if_else(found["logged_max"], pa.scalar(None, pa.string()), found["record_min"])
+    return pa.table({"image_id": found["image_id"], "record": record})
+
+
 def new_arrivals(images: DataFrame, store: RunStore, expiry: str | None = None) -> DataFrame:
     """The images of a stream that their run has not gated, each once, by state kept for every image id.
 
     The run's own log is a second stream: an id in it, whoever wrote it, is done. Each of its files is read once, so what a
-    micro-batch costs depends on what is new and not on the length of the run. State is kept for good, or, with `expiry`
-    (such as `30 days`), for that long after an id was seen last; an id that comes back later counts as new.
+    micro-batch costs depends on what is new and not on the length of the run. A micro-batch's rows are first reduced to one an
+    id, many ids at a time; Spark's own state then drops the ids seen before. State is kept for good, or, with `expiry`
+    (such as `30 days`), for that long after an id was seen last, by a Python function for each id; an id that comes back
+    later counts as new. A checkpoint goes on with the kind of state it began with.
     """
     system, folder = file_system(store.folder("gate"))
     system.create_dir(folder, recursive=True)
     log = images.sparkSession.readStream.schema("image_id string").parquet(store.folder("gate"))
     known = log.select("image_id", F.lit(None).cast("string").alias("record"))
     arriving = images.select("image_id", F.to_json(F.struct(*images.columns)).alias("record"))
-    wait = None if expiry is None else int(pd.Timedelta(expiry).total_seconds() * 1000)
+    rows = arriving.union(known)
+    if expiry is None:
+        dealt = rows.withColumn("logged", F.col("record").isNull()).groupBy(F.pmod(F.xxhash64("image_id"), F.lit(ID_GROUPS)).alias("part"))
+        found = dealt.applyInArrow(_least_records, "image_id string, record string").dropDuplicates(["image_id"]).filter("record is not null")
+    else:
+        found = _seen_lately(rows, int(pd.Timedelta(expiry).total_seconds() * 1000))
+    return found.select(F.from_json("record", images.schema).alias("image")).select("image.*")
+
+
+def _seen_lately(rows: DataFrame, wait: int) -> DataFrame:
+    """The least record of each id that has no row without a record and was not seen in the last `wait` milliseconds."""
 
     def first_seen(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -49,16 +74,13 @@ def new_arrivals(images: DataFrame, store: RunStore, expiry: str | None = None)
             records += [record for record in part["record"] if record is not None]
             done = done or part["record"].isna().any()
         state.update((True,))
-        if wait is not None:
-            state.setTimeoutDuration(wait)
+        state.setTimeoutDuration(wait)
         if records and not seen and not done:
             yield pd.DataFrame({"image_id": [key[0]], "record": [min(records)]})
 
-    timeout = GroupStateTimeout.NoTimeout if wait is None else GroupStateTimeout.ProcessingTimeTimeout
-    found = arriving.union(known).groupBy("image_id").applyInPandasWithState(
-        first_seen, "image_id string, record string", "seen boolean", "append", timeout
+    return rows.groupBy("image_id").applyInPandasWithState(
+        first_seen, "image_id string, record string", "seen boolean", "append", GroupStateTimeout.ProcessingTimeTimeout
     )
-    return found.select(F.from_json("record", images.schema).alias("image")).select("image.*")
 
 
 def gate_arrivals(images: DataFrame, root: str, run_id: str, gate: Scorer, checkpoint: str, prices: DataFrame | None = None,

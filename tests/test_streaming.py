@@ -86,6 +86,23 @@ def test_the_plan_of_a_batch_does_not_read_the_run(spark, tmp_path):
     assert read[1:] == [20, 20, 20]  # ten arrivals and ten rows that the batch before had logged
 
 
+def test_ids_are_told_apart_by_sparks_own_state(spark, tmp_path):
+    """No Python function is called for each image id; an id that the log told first is known when it arrives later."""
+    root, inbox, checkpoint = (str(tmp_path / n) for n in ("store", "inbox", "checkpoint"))
+    images = builders.images(spark, [{"image_id": f"img_{at}", "path": f"{at}.jpg"} for at in range(6)])
+    run_batch(images.limit(4), root, "run", builders.fake_gate, None, "2026-09-25", settings=RunSettings(exports=False))
+    again = images.filter("image_id = 'img_5'").withColumn("path", F.lit("0.jpg"))
+    stream = live.manifest_stream(spark, f"{inbox}/*")
+    for name, arrival in (("one", images.filter("image_id = 'img_5'").union(again)), ("two", images)):
+        writers.write_manifest(arrival, f"{inbox}/{name}")
+        live.gate_arrivals(stream, root, "run", builders.fake_gate, checkpoint).awaitTermination()
+    assert sorted(r.image_id for r in spark.read.parquet(f"{root}/gate").collect()) == [f"img_{at}" for at in range(6)]
+    plan = live.new_arrivals(stream, live.RunStore(spark, root, "run", 8))._jdf.queryExecution().analyzed().toString()
+    assert "PandasWithState" not in plan and "Deduplicate" in plan
+    lasting = live.new_arrivals(stream, live.RunStore(spark, root, "run", 8), "30 days")._jdf.queryExecution().analyzed().toString()
+    assert "PandasWithState" in lasting
+
+
 def test_live_costs_equal_batch(spark, tmp_path):
     rows = [(f"run{at % 2}", "gate" if at % 3 else "grade", at * 10, at, at / 8, at / 16, f"2026-09-25 0{at % 9}:30:00") for at in range(60)]
     calls = spark.createDataFrame(
