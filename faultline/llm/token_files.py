@@ -12,7 +12,8 @@ next segments only to end its last document.
 A file: magic, runs (a frequency table, then segments), foot (numpy arrays), and the foot's length and crc32.
 
 Ids come from the tokenizers library. A text's pre-tokens never cross a single space or line feed between other
-characters, so ids are looked up by word in a worker's cache, which the library fills. Texts with other white space
+characters, so ids are looked up by word in a worker's cache, which the library fills: words of letters alone, one pre-token
+each, by its model without the steps around it. Texts with other white space
 are cut at the safe places only, and texts with an added token's string go to the library whole.
 
 Defined results: null and empty texts hold the end id alone. Null ids come first; rows of equal id are ordered by the
@@ -25,6 +26,7 @@ samples 100 rows for each output partition), whatever the number of documents.
 from __future__ import annotations
 
 import io
+import json
 import re
 import struct
 import zlib
@@ -52,6 +54,9 @@ FREQUENT_WORDS, SAMPLE_ROWS, SAMPLE_CHARS = 65_536, 1_000, 20_000
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Ids that share a frequency table.
 RUN = 4 * BLOCK_SEGMENTS * SEGMENT
+#: How a byte-level vocabulary spells bytes (marks stand for themselves), and letters that are such in every version of Unicode.
+BYTE_LEVEL = {byte: chr(256 + at) for at, byte in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
+LETTERS = {c: c.encode().decode("latin-1").translate(BYTE_LEVEL) for c in map(chr, range(0x250)) if c.isalpha()}
 SAFE = re.compile(r"(?<=\S)[ \n](?=\S)")
 #: Segments that a reading task decodes, about.
 TASK_SEGMENTS = 16
@@ -72,16 +77,30 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = self.tokenizer.model if splits_at_letters(tokenizer_json) else None
 
     def encode(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def encode_word(self, word: str) -> bytes:
+        """The ids of a word. Letters after at most one space are one pre-token, which the library's model takes as it is."""
+        if self.model is None:
+            return self.encode(word)
+        before = word[:1] if word[:1] in " \n" else ""
+        try:
+            spelt = "".join(map(LETTERS.__getitem__, word[len(before) :]))
+        except KeyError:
+            return self.encode(word)
+        if before == "\n":
+            return self["\n"] + self[word[1:]] if spelt else self.encode(word)
+        return array("I", [token.id for token in self.model.tokenize(BYTE_LEVEL[0x20] + spelt if before else spelt)]).tobytes()
+
     def __missing__(self, word: str) -> bytes:
         body = word.rstrip(PUNCTUATION)
         if len(body) < len(word) and body[-1:].isalpha():  # a pre-token ends between a letter and punctuation
             ids = self[body] + self[word[len(body) :]]
         else:
-            ids = self.encode(word)
+            ids = self.encode_word(word)
         if len(self) < CACHED_WORDS and len(word) <= WORD_CHARS:
             self[word] = ids
         return ids
@@ -95,6 +114,14 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, words_with_separators(text)))
 
 
+def splits_at_letters(tokenizer_json: str) -> bool:
+    """Whether a tokenizer only cuts a text by the byte-level pattern before its model merges bytes."""
+    parts = json.loads(tokenizer_json)
+    pre, model = parts.get("pre_tokenizer") or {}, parts.get("model") or {}
+    by_pattern = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+    return parts.get("normalizer") is None and by_pattern and model.get("type") == "BPE" and not model.get("dropout")
+
+
 def words_with_separators(text: str) -> list[str]:
     """The words of a text, each with the space or line feed before it."""
     if "\0" not in text and " ".join(text.split()) == text.replace("\n", " "):

@@ -54,6 +54,20 @@ def test_word_cache_equals_the_library(library, tokenizer_json):
         assert np.frombuffer(words.of_text(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_words_of_letters_are_given_to_the_model_alone(library, tokenizer_json, monkeypatch):
+    words, whole = WordIds(tokenizer_json), []
+    monkeypatch.setattr(words, "encode", lambda text: whole.append(text) or WordIds.encode(words, text))
+    letters = [chr(c) for c in range(1, 0x300) if chr(c).isalpha()]
+    choose = random.Random(2)
+    texts = [before + "".join(choose.choices(letters, k=choose.randint(1, 5))) for before in ("", " ", "\n") for _ in range(3000)]
+    for text in [*texts, "", " ", "\n", "été du Nord,", "ªº ǅŉ", "don't"]:
+        assert np.frombuffer(words.of_text(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    whole.clear()
+    words.of_text("Straßenmusikanten\nspielen été, vor Häusern.")
+    assert set(whole) <= {",", "."}
+    assert WordIds(tokenizer_json.replace('"normalizer":null', '"normalizer":{"type":"Lowercase"}').replace('"normalizer": null', '"normalizer": {"type": "Lowercase"}')).model is None
+
+
 def test_documents_across_segments(tmp_path, monkeypatch):
     monkeypatch.setattr(token_files, "RUN", 2 * SEGMENT)
     path, random_state = str(tmp_path / "x.bin"), np.random.default_rng(1)
