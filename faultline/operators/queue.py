@@ -16,9 +16,12 @@ from faultline.operators.records import one_row_per
 ASSET_COLUMNS = ["criticality", "production_loss_factor", "occupancy_factor", "found_on"]
 
 
-def with_factors(findings: DataFrame, assets: DataFrame | None, today: dt.date | str) -> DataFrame:
-    """Add the four score factors and the score. `assets` is a table by image id; absent means defaults, and of several rows of an id the least counts."""
-    keyed = findings.withColumn("image_id", first_or_blank(F.col("evidence.image_ids")))
+def with_factors(findings: DataFrame, assets: DataFrame | None, today: dt.date | str, keyed: bool = False) -> DataFrame:
+    """Add the four score factors and the score. `assets` is a table by image id; absent means defaults, and of several rows of an id the least counts.
+
+    `keyed` findings come with their image_id: those of a run's store meet the assets where they lie.
+    """
+    keyed = findings if keyed else findings.withColumn("image_id", first_or_blank(F.col("evidence.image_ids")))
     if assets is None:
         known = keyed.withColumns({name: F.lit(None).cast("string" if name == "found_on" else "double") for name in ASSET_COLUMNS})
     else:
@@ -64,9 +67,9 @@ def escalated(findings: DataFrame) -> DataFrame:
     )
 
 
-def scored_findings(findings: DataFrame, assets: DataFrame | None, today: dt.date | str, keep_factors: bool = False) -> DataFrame:
+def scored_findings(findings: DataFrame, assets: DataFrame | None, today: dt.date | str, keep_factors: bool = False, keyed: bool = False) -> DataFrame:
     """Findings with their score and effective action."""
-    scored = escalated(with_factors(findings, assets, today))
+    scored = escalated(with_factors(findings, assets, today, keyed))
     return scored if keep_factors else scored.drop("severity_weight", "criticality", "consequence", "urgency")
 
 

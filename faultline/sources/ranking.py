@@ -11,7 +11,6 @@ Parts are replaced by writing new files and then the manifest that names them, s
 from __future__ import annotations
 
 import uuid
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -46,11 +45,18 @@ def _parts_folder(root: str, run_id: str) -> str:
     return f"{root.rstrip('/')}/queue_parts/run_id={folder_name(run_id)}"
 
 
+def _part_name() -> Column:
+    """The name of the file a row lies in, as the manifest has it: from its ranking's folder on. Cut, not matched: it is taken for every row."""
+    path = F.col("_metadata.file_path")
+    short = F.substring_index(path, "/", -2)
+    return F.when(short.startswith("_part="), F.substring_index(path, "/", -3)).otherwise(short)
+
+
 def _measured(spark: SparkSession, folder: str) -> list[dict]:
     """File name, row count, first and last key of every part file in a folder."""
     keys = spark.read.schema(f"_key {schemas.QUEUE_KEY}").parquet(folder)
-    parts = keys.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"), F.min("_key").alias("first"), F.max("_key").alias("last"))
-    return [row.asDict() for row in parts.withColumn("file", F.regexp_extract("file", "([^/]+(/_part=[^/]+)?/[^/]+)$", 1)).collect()]
+    parts = keys.groupBy(_part_name().alias("file")).agg(F.count(F.lit(1)).alias("n"), F.min("_key").alias("first"), F.max("_key").alias("last"))
+    return [row.asDict() for row in parts.collect()]
 
 
 def _order(key: tuple) -> tuple:
@@ -80,24 +86,30 @@ def write_ranking(scored: DataFrame, root: str, run_id: str, today: str, reviewe
 
 def read_manifest_rows(spark: SparkSession, root: str, run_id: str) -> list[dict]:
     """The parts of a run's queue in order."""
+    found = _manifests(spark, root).filter(F.col("run_id") == run_id).collect()
+    return sorted((row.asDict() for row in found), key=lambda row: row["before"])
+
+
+def _manifests(spark: SparkSession, root: str) -> DataFrame:
     from faultline.sources.readers import read_run_table
 
-    found = read_run_table(spark, root, "queue", schemas.QUEUE_PARTS).filter(F.col("run_id") == run_id).collect()
-    return sorted((row.asDict() for row in found), key=lambda row: row["before"])
+    return read_run_table(spark, root, "queue", schemas.QUEUE_PARTS)
+
+
+def ranked_runs(spark: SparkSession, root: str) -> DataFrame:
+    """The ids of the runs with a row in their queue, from the manifests alone."""
+    return _manifests(spark, root).filter("n > 0").select("run_id").distinct()
 
 
 def load_queue(spark: SparkSession, root: str) -> DataFrame:
     """The ranked findings of all runs that have a queue; ranks come from the manifests."""
-    from faultline.sources.readers import read_run_table
-
-    parts = read_run_table(spark, root, "queue", schemas.QUEUE_PARTS).select("file", "before", "run_id")
+    parts = _manifests(spark, root).select("file", "before", "run_id")
     files = [f"{_parts_folder(root, row['run_id'])}/{row['file']}" for row in parts.select("run_id", "file").collect()]
     fields = schemas.struct(schemas.QUEUE).fieldNames()
     if not files:
         return spark.createDataFrame([], schemas.struct(schemas.QUEUE).add("run_id", "string"))
     rows = spark.read.schema(schemas.struct(schemas.QUEUE)).parquet(*files).drop("queue_rank")
-    name = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+(/_part=[^/]+)?/[^/]+)$", 1)
-    placed = rows.select("*", name.alias("file"), F.col("_metadata.row_index").alias("_place"))
+    placed = rows.select("*", _part_name().alias("file"), F.col("_metadata.row_index").alias("_place"))
     joined = placed.join(F.broadcast(parts) if len(files) <= FEW_PARTS else parts, "file")
     return joined.withColumn("queue_rank", F.col("before") + F.col("_place") + F.lit(1)).select(*fields, "run_id")
 
@@ -129,6 +141,19 @@ def queue_in_order(spark: SparkSession, root: str, run_id: str) -> DataFrame:
     return listed.repartitionById(len(parts), "part").mapInArrow(read, schema)
 
 
+def part_of(key: Column, fences: Column, n: int) -> Column:
+    """The number of the part a key belongs to: the last of the `n` sorted first keys that is not above it, else the first part."""
+
+    def halved(found: Column, _: Column) -> Column:
+        middle = F.shiftright(found["low"] + found["high"], 1)
+        above = F.struct(found["low"], middle.alias("high"))
+        below = F.struct((middle + F.lit(1)).alias("low"), found["high"])
+        return F.when(found["low"] >= found["high"], found).when(F.get(fences, middle) <= key, below).otherwise(above)
+
+    whole = F.struct(F.lit(0).alias("low"), F.lit(n).alias("high"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(n.bit_length())), whole, halved, lambda found: F.greatest(found["low"] - F.lit(1), F.lit(0)))
+
+
 def merge_changes(changed: DataFrame, root: str, run_id: str, today: str, reviewed: int) -> int:
     """Move `changed` findings (scored anew) to their places in the run's queue. Returns how many parts were written.
 
@@ -136,23 +161,18 @@ def merge_changes(changed: DataFrame, root: str, run_id: str, today: str, review
     """
     spark, base = changed.sparkSession, _parts_folder(root, run_id)
     parts = read_manifest_rows(spark, root, run_id)
-    fences = [_order(part["first"]) for part in parts]
-
-    @F.arrow_udf("int")
-    def part_of(keys: pa.Array) -> pa.Array:
-        return pa.array([max(0, bisect_right(fences, _order(tuple(key.values()))) - 1) for key in keys.to_pylist()], pa.int32())
-
-    moved = materialise(changed.select(*_stored(), queue_key().alias("_key")).withColumn("_part", part_of("_key")), "changed")
+    fences = spark.createDataFrame([([part["first"] for part in parts],)], f"_fences array<{schemas.QUEUE_KEY}>")
+    keyed = changed.select(*_stored(), queue_key().alias("_key")).crossJoin(F.broadcast(fences))
+    moved = materialise(keyed.withColumn("_part", part_of(F.col("_key"), F.col("_fences"), len(parts))).drop("_fences"), "changed")
     number = {part["file"]: at for at, part in enumerate(parts)}
-    name = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+(/_part=[^/]+)?/[^/]+)$", 1)
-    ids = spark.read.schema("finding_id string").parquet(*[f"{base}/{file}" for file in number]).select("finding_id", name.alias("file"))
+    ids = spark.read.schema("finding_id string").parquet(*[f"{base}/{file}" for file in number]).select("finding_id", _part_name().alias("file"))
     losing = ids.join(moved.select("finding_id"), "finding_id", "left_semi").select("file").distinct().collect()
     touched = sorted({number[row["file"]] for row in losing} | {row["_part"] for row in moved.select("_part").distinct().collect()})
     if not touched:
         _save_manifest(spark, root, run_id, parts, today, reviewed)
         return 0
     old = spark.read.schema(schemas.struct(schemas.QUEUE).add("_key", schemas.struct(f"k {schemas.QUEUE_KEY}")["k"].dataType))
-    old = old.parquet(*[f"{base}/{parts[at]['file']}" for at in touched]).select("*", name.alias("_file")).drop("queue_rank")
+    old = old.parquet(*[f"{base}/{parts[at]['file']}" for at in touched]).select("*", _part_name().alias("_file")).drop("queue_rank")
     numbers = spark.createDataFrame([(parts[at]["file"], at) for at in touched], "_file string, _part int")
     kept = old.join(F.broadcast(numbers) if len(touched) <= FEW_PARTS else numbers, "_file").drop("_file")
     kept = kept.join(moved.select("finding_id"), "finding_id", "left_anti")

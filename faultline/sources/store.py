@@ -26,6 +26,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from pyspark.sql.types import StructType
 
 from faultline import schemas
+from faultline.operators.records import distinct_images
 
 #: Characters that Spark writes as %XX in the name of a partition folder.
 ESCAPED = set('"#%\'*/:=?\\\x7f{[]^') | {chr(code) for code in range(1, 32)}
@@ -175,9 +176,10 @@ class RunStore:
         return self._bucketed("findings", schemas.FINDING_LOG, "image_id")
 
     def save_images(self, images: DataFrame) -> DataFrame:
-        """Replace the run's image records. Returns them as every stage is to read them."""
+        """Replace the run's image records by the first row of each image id. Returns them as every stage is to read them."""
         entry, folder = f"faultline_{uuid.uuid4().hex}", self.folder("images")
-        dealt = images.repartition(self.buckets, "image_id").write.bucketBy(self.buckets, "image_id")
+        # Copies of an image are told in the bucket it is dealt to: one shuffle does both.
+        dealt = distinct_images(images.repartition(self.buckets, "image_id")).write.bucketBy(self.buckets, "image_id")
         dealt.mode("overwrite").option("path", folder).saveAsTable(entry)
         self.spark.sql(f"DROP TABLE {entry}")
         return self.images()

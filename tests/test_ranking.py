@@ -134,3 +134,32 @@ def test_changed_findings_alone_are_shuffled(spark, tmp_path, small_parts):
     written = ranking.merge_changes(_scored_findings(images, root, "run", TODAY, None, raw), root, "run", TODAY, 1)
     assert 1 <= written <= 2 < parts
     assert check_queue(ranking.load_queue(spark, root), 100)[0].unified.level == "S4"
+
+
+def test_the_part_of_a_key_is_found_without_python(spark):
+    choose = random.Random(5)
+
+    def key():
+        return (choose.choice([None, False, True]), choose.random() < 0.5, float(choose.randrange(-3, 1)), f"img_{choose.randrange(99)}")
+
+    for n in (1, 2, 3, 37):
+        fences = sorted({key() for _ in range(n)}, key=ranking._order)
+        keys = [key() for _ in range(100)] + fences
+        given = spark.createDataFrame([(k, fences) for k in keys], f"key {schemas.QUEUE_KEY}, fences array<{schemas.QUEUE_KEY}>")
+        got = given.select("key", ranking.part_of(F.col("key"), F.col("fences"), len(fences)).alias("part"))
+        assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+        for row in got.collect():
+            want = max(0, sum(ranking._order(fence) <= ranking._order(tuple(row.key)) for fence in fences) - 1)
+            assert row.part == want
+
+
+def test_a_queue_is_read_without_the_findings_behind_it(spark, tmp_path):
+    root = str(tmp_path / "store")
+    images = stored_findings(spark, root, 20)
+    stored_findings(spark, root, 10, run_id="unranked", seed=2)
+    save_ranked(images, root, "run", TODAY, exports=False)
+    found = readers.load_findings(spark, root)
+    assert {r.run_id: r["count"] for r in found.groupBy("run_id").count().collect()} == {"run": 20, "unranked": 10}
+    text = found._jdf.queryExecution().executedPlan().toString()
+    # The name of a row's file is cut from its path, and the folder of the ranked run is not read for what has no rank.
+    assert "regexp_extract" not in text and "NOT (run_id" in text
