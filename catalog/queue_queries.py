@@ -70,8 +70,8 @@ QUEUE_VIEWS = "fx_findings fx_assets"
 RANKED_BY = ["run_id", "finding_id", "asset_class", "unified", "action", "evidence"]
 
 
-def _queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rank_queue(views.findings(spark, sf_dir), views.assets(spark, sf_dir), TODAY)
+def _queue(spark: SparkSession, sf_dir: str, in_order: bool = False) -> DataFrame:
+    return rank_queue(views.findings(spark, sf_dir), views.assets(spark, sf_dir), TODAY, in_order=in_order)
 
 
 @query(oracle(QUEUE_VIEWS, """select run_id, queue_rank, queue_score, finding_id, image_id, level, effective_action as action from ranked""", FACTORS))

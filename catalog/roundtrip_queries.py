@@ -35,7 +35,7 @@ from faultline.sources.store import file_system
 @query(oracle(QUEUE_VIEWS, "select run_id, cast(queue_rank as bigint) as queue_rank, finding_id, level as unified_level, effective_action as action_code, criterion as criteria_matched from ranked", FACTORS))
 def queue_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "queue_csv")
-    writers.write_queue_csv(_queue(spark, sf_dir), path)
+    writers.write_queue_csv(_queue(spark, sf_dir, in_order=True), path, in_order=True)
     rows = spark.read.option("header", "true").option("escape", '"').csv(path)
     return rows.select("run_id", F.col("queue_rank").cast("bigint").alias("queue_rank"), "finding_id", "unified_level", "action_code", "criteria_matched")
 
@@ -43,7 +43,7 @@ def queue_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(oracle("fx_findings", "select run_id, finding_id, native_value as condition_state, defect_type as defect, level as unified_level from fx_findings where asset_class = 'bridge_element'"))
 def bridge_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "bridge_csv")
-    writers.write_bridge_csv(_queue(spark, sf_dir), path)
+    writers.write_bridge_csv(_queue(spark, sf_dir, in_order=True), path, in_order=True)
     rows = spark.read.option("header", "true").option("escape", '"').csv(path)
     return rows.select("run_id", "finding_id", "condition_state", "defect", "unified_level")
 
@@ -51,7 +51,7 @@ def bridge_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(oracle(QUEUE_VIEWS, "select run_id, cast(queue_rank as bigint) as queue_rank, finding_id, queue_score, native_value, confidence from ranked", FACTORS))
 def findings_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "findings_json")
-    writers.write_findings_json(_queue(spark, sf_dir), path)
+    writers.write_findings_json(_queue(spark, sf_dir, in_order=True), path, in_order=True, compression="gzip")
     rows = spark.read.schema(schemas.struct(schemas.QUEUE).add("run_id", "string")).option("mode", "FAILFAST").json(path)
     native, confidence = F.col("native_scale.value").alias("native_value"), F.col("measurements.confidence").alias("confidence")
     return rows.select("run_id", "queue_rank", "finding_id", "queue_score", native, confidence)

@@ -74,10 +74,10 @@ def scored_findings(findings: DataFrame, assets: DataFrame | None, today: dt.dat
 
 
 def rank_queue(findings: DataFrame, assets: DataFrame | None, today: dt.date | str,
-               group: tuple[str, ...] = ("run_id",), keep_factors: bool = False) -> DataFrame:
-    """Score every finding and number the queue 1..n within each run."""
+               group: tuple[str, ...] = ("run_id",), keep_factors: bool = False, in_order: bool = False) -> DataFrame:
+    """Score every finding and number the queue 1..n within each run. `in_order`: its rows come run by run in rank order, for an export."""
     scored = scored_findings(findings, assets, today, keep_factors)
-    return with_rank(scored, list(group), queue_order(), "queue_rank")
+    return with_rank(scored, list(group), queue_order(), "queue_rank", in_order)
 
 
 def top_of_queue(findings: DataFrame, assets: DataFrame | None, today: dt.date | str, k: int = 10,

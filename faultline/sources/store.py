@@ -27,6 +27,7 @@ from pyspark.sql.types import StructType
 
 from faultline import schemas
 from faultline.operators.records import distinct_images
+from faultline.session import file_system
 
 #: Characters that Spark writes as %XX in the name of a partition folder.
 ESCAPED = set('"#%\'*/:=?\\\x7f{[]^') | {chr(code) for code in range(1, 32)}
@@ -38,17 +39,6 @@ def folder_name(value: str) -> str:
     return "".join(f"%{ord(c):02X}" if c in ESCAPED else c for c in value)
 
 
-def file_system(path: str):
-    """The file system and the path in it: shared folders, and the stores pyarrow writes to (s3, gs, hdfs, abfs)."""
-    from pyarrow import fs
-
-    if path.startswith("file:"):
-        path = "/" + path.removeprefix("file:").lstrip("/")
-    if path.startswith("/"):
-        return fs.LocalFileSystem(), path
-    return fs.FileSystem.from_uri(path)
-
-
 def attempt_prefix(job: str, partition: int) -> str:
     return f"part-{job}-{partition:05d}-"
 

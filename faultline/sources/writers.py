@@ -27,7 +27,7 @@ def _ranked(queue: DataFrame, in_order: bool) -> DataFrame:
 def write_queue_csv(queue: DataFrame, path: str, in_order: bool = False) -> None:
     """The flat queue in rank order: part files follow the order, and so do the rows in each.
 
-    A queue that comes `in_order` (ranking.queue_in_order) is written as it is, here and below.
+    A queue that comes `in_order` (ranking.queue_in_order, queue.rank_queue) is written as it is, here and below.
     """
     rows = queue_rows(_ranked(queue, in_order))
     rows.write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
@@ -43,8 +43,9 @@ def write_bridge_csv(queue: DataFrame, path: str, in_order: bool = False) -> boo
     return True
 
 
-def write_findings_json(queue: DataFrame, path: str, in_order: bool = False) -> None:
-    _ranked(queue, in_order).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+def write_findings_json(queue: DataFrame, path: str, in_order: bool = False, compression: str = "none") -> None:
+    """Findings as JSON lines in rank order, as plain text unless a `compression` that Spark knows is named."""
+    _ranked(queue, in_order).write.mode("overwrite").option("ignoreNullFields", "false").json(path, compression=compression)
 
 
 def write_summary(summary: DataFrame, path: str) -> None:

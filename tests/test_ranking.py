@@ -10,6 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultline import schemas
+from faultline.operators import ordered
+from faultline.operators.queue import rank_queue
 from faultline.plans.batch import record_reviews, requeue, save_ranked
 from faultline.sources import ranking, readers, writers
 
@@ -163,3 +165,21 @@ def test_a_queue_is_read_without_the_findings_behind_it(spark, tmp_path):
     text = found._jdf.queryExecution().executedPlan().toString()
     # The name of a row's file is cut from its path, and the folder of the ranked run is not read for what has no rank.
     assert "regexp_extract" not in text and "NOT (run_id" in text
+
+
+@pytest.mark.parametrize("few", [ordered.FEW_TOTALS, 0])
+def test_an_export_of_all_runs_is_sorted_once(spark, tmp_path, small_parts, monkeypatch, few):
+    monkeypatch.setattr(ordered, "FEW_TOTALS", few)
+    choose = random.Random(3)
+    rows = [builders.finding(f"img_{at}/full", choose.choice(LEVELS), run_id=choose.choice(["a", "b", "c"])) for at in range(90)]
+    found = builders.findings(spark, rows).repartition(4)
+    want = rank_queue(found, None, TODAY).orderBy("run_id", "queue_rank").collect()
+    queue = rank_queue(found, None, TODAY, in_order=True)
+    assert queue.select(*want[0].__fields__).collect() == want
+    text = queue._jdf.queryExecution().executedPlan().toString()
+    assert ("rangepartitioning" in text) == (few == 0)
+    writers.write_findings_json(queue, str(tmp_path / "plain"), in_order=True)
+    assert exported(tmp_path / "plain") == [r.finding_id for r in want]
+    writers.write_findings_json(queue, str(tmp_path / "small"), in_order=True, compression="gzip")
+    assert all(path.name.endswith(".json.gz") for path in (tmp_path / "small").glob("part-*"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "small")).collect()) == sorted(r.value for r in spark.read.text(str(tmp_path / "plain")).collect())
