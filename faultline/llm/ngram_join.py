@@ -22,8 +22,8 @@ Defined results: words are runs of characters other than ASCII white space. A te
 them as its one shingle. Null, empty and blank texts have no shingles and no links; their class is their own id. Rows
 without an id take part; class_id is null where no row of the group has an id. Repeated rows count as copies. An empty table
 gives an empty result. Only the id and the text are read (and the columns asked for), so names of other columns cannot clash;
-`one_of_each_group` passes them on whatever their names. A text of any length is taken whole: its words are held while its
-shingles are hashed (some 50 bytes each), and its signature is computed in pieces.
+`one_of_each_group` passes them on whatever their names. A text of any length is taken whole: the hashes of its words are
+held while its shingles are hashed (some 50 bytes each), and its signature is computed in pieces.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm.components import connected_components
-from faultline.llm.support import WordHashes, fresh, materialise, mixed, shingle_hashes, slices, table, those_wanted, whole_groups, word_hashes, words_of
+from faultline.llm.support import fresh, hashed_words, materialise, mixed, run_hashes, slices, table, those_wanted, whole_groups
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.99999
 SIGNATURE, LEAF_ROWS, MAX_DEPTH, BLOCK_ROWS = 64, 256, 3, 512
@@ -47,18 +47,31 @@ DEEPER = 1.4
 #: Signatures may fall short of the similarity by so many standard deviations before a pair is left out.
 MARGIN = 5.5
 SEED = np.uint64(0x5851F42D4C957F2D)
-#: Called in a task, it gives a function from a text (or null) to a whole number.
-Measure = Callable[[], Callable[[str | None], int]]
+#: Called in a task, it gives a function from texts (or nulls) to a whole number for each.
+Measure = Callable[[], Callable[[pa.Array], np.ndarray]]
 FACTOR = mixed(np.arange(1, SIGNATURE + 1, dtype=np.uint64)) | np.uint64(1)
 SHIFT = mixed(np.arange(1001, SIGNATURE + 1001, dtype=np.uint64))
 
 
-def shingle_set(text: str | None, hashes: WordHashes, size: int = SHINGLE) -> np.ndarray:
-    """The distinct shingle hashes of a text, ascending."""
-    words = words_of(text)
-    if 0 < len(words) < size:
-        return shingle_hashes(words, hashes, len(words)) ^ np.uint64(len(words))
-    return np.unique(shingle_hashes(words, hashes, size))
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending."""
+    values = np.sort(values)
+    keep = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=keep[1:])
+    return values if keep.all() else values[keep]
+
+
+def sets_of(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
+    """The distinct shingle hashes of each text, ascending. Texts are hashed together, so their words are never Python objects."""
+    words, first = hashed_words(texts)
+    runs = run_hashes(words, size) if len(words) >= size else np.empty(0, np.uint64)
+    out = []
+    for begin, end in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if 0 < end - begin < size:
+            out.append(run_hashes(words[begin:end], end - begin) ^ np.uint64(end - begin))
+        else:
+            out.append(distinct(runs[begin : max(begin, end - size + 1)]))
+    return out
 
 
 def signature(values: np.ndarray) -> np.ndarray:
@@ -81,11 +94,11 @@ def fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     names = ["doc_id", "text_key", "node", "n_shingles", "signature", *carried, *measures]
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, measured = word_hashes(), [start() for start in measures.values()]
+        measured = [start() for start in measures.values()]
         for batch in slices(batches):
-            texts = batch.column(2).to_pylist()
-            sets = [shingle_set(t, hashes) for t in texts]
-            more = [pa.array(map(measure, texts), pa.int64()) for measure in measured]
+            texts = batch.column(2)
+            sets = sets_of(texts)
+            more = [pa.array(measure(texts), pa.int64()) for measure in measured]
             facts = [
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                 pa.array([len(s) for s in sets], pa.int32()),
@@ -309,9 +322,8 @@ def shingle_sets(documents: DataFrame, wanted: DataFrame, doc_id: str, text: str
     """node and set for `wanted` (node, doc_id, text_key), each computed from one document of that text."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = word_hashes()
         for batch in slices(batches):
-            sets = [shingle_set(t, hashes).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
+            sets = [s.astype("<u8").tobytes() for s in sets_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "set"])
 
     ids = F.coalesce(F.col(doc_id).cast("long"), F.lit(-1))

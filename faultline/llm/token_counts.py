@@ -6,7 +6,7 @@ their start (or nothing else) and no line feed, which `check_model` verifies. So
 
 Tier one is a table of frequent units and their lengths, fitted on a bounded sample and sent to every task. It is a
 cache: a unit that is not in it costs more, and counts the same. Tier two is a worker's own cache, filled by encoding
-what tier one misses.
+what tier one misses. Texts are split some hundreds at a time by Arrow, and every different unit of them is looked up once.
 
 Null and empty texts have 0 tokens. Repeated rows and ties give a row each; other columns are passed through by
 `token_counts` whatever their names, because the text goes in as one column and the count comes back by position. An
@@ -19,7 +19,9 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +68,39 @@ class UnitLengths(dict):
             self[unit] = length
         return length
 
+    def of_all(self, units: list[str]) -> np.ndarray:
+        """The tokens of units that are all different; what no tier has is encoded in one call."""
+        found = list(map(self.get, units))
+        missed = [at for at, length in enumerate(found) if length is None]
+        if missed:
+            unknown = [units[at] for at in missed]
+            for at, unit, ids in zip(missed, unknown, self.model.encode(unknown, num_threads=1), strict=True):
+                found[at] = length = len(ids) - (unit[0] == "\n")
+                if len(self) < self.most and len(unit) <= UNIT_CHARS:
+                    self[unit] = length
+        return np.array(found, np.int64)
+
+
+def texts_units(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The units of all texts, as units_of has them, the texts' numbers in the order taken, and where the units of each begin, and the end."""
+    texts = pc.replace_substring(pc.fill_null(texts, ""), SPACE_MARK, " ")
+    odd = pc.or_(pc.or_(pc.equal(texts, ""), pc.starts_with(texts, " ")), pc.match_substring(texts, "  "))
+    split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+    if pc.any(odd).as_py():
+        split = pa.concat_arrays([split.filter(pc.invert(odd)), pa.array([units_of(t) for t in texts.filter(odd).to_pylist()], split.type)])
+    place = np.argsort(odd.to_numpy(zero_copy_only=False), kind="stable")
+    return split.flatten(), place, np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False), dtype=np.int64)])
+
+
+def tokens_of(texts: pa.Array, known: UnitLengths) -> np.ndarray:
+    """The tokens of each text. Every different unit of the texts is looked up once."""
+    units, place, starts = texts_units(texts)
+    coded = units.dictionary_encode()
+    ends = np.concatenate([[0], np.cumsum(known.of_all(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()])])
+    out = np.empty(len(texts), np.int64)
+    out[place] = ends[starts[1:]] - ends[starts[:-1]]
+    return out
+
 
 def load_model(proto: bytes):
     import sentencepiece
@@ -104,14 +139,14 @@ def token_counts(documents: DataFrame, model_path: str, text: str = "text", orde
     def count(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokens_in = start()
         for batch in texts:
-            # A few texts at a time as Python strings: a batch has thousands.
-            yield pa.array([tokens_in(t) for at in range(0, len(batch), 500) for t in batch.slice(at, 500).to_pylist()], pa.int64())
+            # A few texts at a time: a batch has thousands.
+            yield pa.array(np.concatenate([tokens_in(batch.slice(at, 500)) for at in range(0, max(1, len(batch)), 500)]), pa.int64())
 
     return documents.withColumn("n_tokens", count(F.col(text)))
 
 
-def token_counter(documents: DataFrame, model_path: str, text: str = "text", order: list[str] | None = None) -> Callable[[], Callable[[str | None], int]]:
-    """For use in a task: gives a function from a text to its tokens. Both tiers' starting data are bounded, whatever the corpus."""
+def token_counter(documents: DataFrame, model_path: str, text: str = "text", order: list[str] | None = None) -> Callable[[], Callable[[pa.Array], np.ndarray]]:
+    """For use in a task: gives a function from texts to the tokens of each. Both tiers' starting data are bounded, whatever the corpus."""
     with open(model_path, "rb") as file:
         proto = file.read()
     check_model(load_model(proto))
@@ -123,9 +158,9 @@ def token_counter(documents: DataFrame, model_path: str, text: str = "text", ord
         model, (units, lengths) = load_model(shared.value[0]), shared.value[1]
         return UnitLengths(model, dict(zip(units.split(" "), lengths, strict=True)) if lengths else {})
 
-    def start() -> Callable[[str | None], int]:
+    def start() -> Callable[[pa.Array], np.ndarray]:
         known = worker_value(key, build)
-        return lambda value: sum(map(known.__getitem__, units_of(value))) if value else 0
+        return lambda texts: tokens_of(texts, known)
 
     return start
 

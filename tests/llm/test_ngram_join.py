@@ -3,6 +3,8 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from faultline.llm import ngram_join as join
@@ -122,3 +124,20 @@ def test_links_of_a_large_group_at_full_depth(spark, monkeypatch):
     assert sum(r[2] for r in want) > 50_000
     assert sum(r[2] for r in got) >= 0.9999 * sum(r[2] for r in want)
     assert [r[:2] for r in got] == [r[:2] for r in want]
+
+
+def test_sets_of_texts_hashed_together():
+    """As many shingles, and as many in common, as word by word; what a text's neighbours are changes nothing."""
+    choose = random.Random(11)
+    parts = ["a", "b", "longer-word", "é", "\x00", "a\x00", "x" * 8, "x" * 9, "y" * 64, "y" * 65, "z" * 200, "\xa0", " ", "\t", "\n", "\x0b", "\x0c", "\r", "  "]
+    texts = [choose.choice([None, "", " ", " ".join(choose.choice(parts) for _ in range(choose.randint(0, 30)))]) for _ in range(1500)]
+    words = [(t or "").encode().split() for t in texts]
+    plain = [{tuple(w[i : i + min(5, len(w))]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    got = join.sets_of(pa.array(["skipped", *texts], pa.string()).slice(1))
+    assert [len(s) for s in got] == [len(s) for s in plain]
+    assert all((np.diff(s.astype(object)) > 0).all() for s in got)
+    for _ in range(3000):
+        a, b = choose.randrange(1500), choose.randrange(1500)
+        assert len(np.intersect1d(got[a], got[b])) == len(plain[a] & plain[b])
+    assert all((join.sets_of(pa.array([t], pa.string()))[0] == s).all() for t, s in zip(texts[:200], got, strict=False))
+    assert join.sets_of(pa.array([], pa.string())) == []

@@ -3,9 +3,10 @@
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
-from faultline.llm.token_counts import UnitLengths, check_model, load_model, token_counts, units_of
+from faultline.llm.token_counts import UnitLengths, check_model, load_model, token_counts, tokens_of, units_of
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 PIECES = ["a", "b", "the", " ", "  ", "\n", "\n\n", "\r", "\t", "▁", "　", "\x00", "\x85", "é", "漢", "😀", "<s>", "</s>", "<0x0A>", "1", ",", ";\r", "don't"]
@@ -41,3 +42,18 @@ def test_odd_rows(spark, model):
     want = sorted(((i, len(model.encode(t)) if t else 0) for i, t, _ in rows), key=str)
     assert sorted(((r.doc_id, r.n_tokens) for r in got.collect()), key=str) == want
     assert token_counts(texts.limit(0), PATH, order=["doc_id"]).count() == 0
+
+
+def test_texts_taken_together_count_as_by_themselves(model):
+    choose, encoded = random.Random(8), []
+
+    class Counted:
+        def encode(self, units, **options):
+            encoded.append(units)
+            return model.encode(units, **options)
+
+    texts = [choose.choice([None, "", " ", "".join(choose.choice(PIECES) for _ in range(choose.randint(0, 25)))]) for _ in range(2000)]
+    known, column = UnitLengths(Counted(), {"the": 1}), pa.array(["skipped", *texts], pa.string()).slice(1)
+    assert tokens_of(column, known).tolist() == [len(model.encode(t)) if t else 0 for t in texts]
+    assert len(encoded) == 1 and len(set(encoded[0])) == len(encoded[0])  # one call, each unit once
+    assert tokens_of(column.slice(5, 0), known).tolist() == [] and tokens_of(column, known).sum() == tokens_of(column[::-1], known).sum()
