@@ -15,7 +15,7 @@ import numpy as np
 
 PLACES = 2048
 #: Tokens whose scores a decoder keeps, and padded cells it decodes at once.
-CACHED_TOKENS, CELLS = 200_000, 200_000
+CACHED_TOKENS, CELLS = 300_000, 200_000
 RUNS = [(re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"[a-zß-öø-ÿ]+"), "a"), (re.compile(r"[0-9]+"), "9")]
 CORE = re.compile(r"[A-Za-z0-9+/_=\-]+")
 
@@ -245,7 +245,8 @@ class Decoder(dict):
         at = np.zeros((len(batch), longest), np.int64)
         for row, sentence in zip(at, batch, strict=True):
             row[: len(sentence)] = sentence
-        table = np.stack(self.rows)
+        known, at = np.unique(at, return_inverse=True)  # of all rows that are kept, a batch needs a few
+        table, at = np.stack([self.rows[i] for i in known.tolist()]), at.reshape(len(batch), longest)
         score = table[at, 0]
         score[:, 1:] += table[at[:, :-1], 1]
         score[:, :-1] += table[at[:, 1:], 2]

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm.crf import CORE, KEY_WORDS, Crf, Decoder, train
-from faultline.llm.support import share, table, worker_value
+from faultline.llm.support import share, slices, table, worker_value
 
 KINDS = ["email", "ip", "card", "phone", "secret"]
 LABELS = ["other", "key", "sign", "secret", "data"]
@@ -43,6 +43,8 @@ APART = r" \t-\r\"'`,;()\[\]{}<>.|"
 TOKEN = re.compile(rf"[^{APART}:=]+(?:={{1,2}}(?=[{APART}]|$))?|[:=]+")
 #: Longest part of a line that is tagged at once, in characters.
 LINE_CHARS = 20_000
+#: Tokens that are held and decoded at once, and rows whose texts are held as Python strings.
+GROUP_TOKENS, HELD_ROWS = 600_000, 1000
 KEY_AT_END = re.compile(r"(?:^|[^A-Za-z0-9])(?:" + "|".join(sorted(KEY_WORDS)) + r")[\"'`]?[ \t]*[:=]+[ \t\r]*$", re.IGNORECASE)
 CUT = re.compile(r"[ \t]")
 
@@ -177,26 +179,35 @@ def lines_to_tag(text: str) -> Iterator[tuple[int, str]]:
         yield begin, text[begin:]
 
 
-def tagged_spans(texts: list[str | None], decoder: Decoder) -> list[list[Span]]:
-    """Credentials of each text, as the tagger sees them."""
-    sentences, places, owners = [], [], []
+def groups_to_tag(texts: list[str | None]) -> Iterator[list[tuple[int, int, str, list[str]]]]:
+    """What is tagged of the texts (the text's number, the part's start, the part and its tokens), until a group has GROUP_TOKENS."""
+    held, tokens = [], 0
     for owner, text in enumerate(texts):
         for start, line in lines_to_tag(text) if text else ():
             found = TOKEN.findall(line)
             if found:
-                sentences.append(found)
-                places.append((start, line))
-                owners.append(owner)
+                held.append((owner, start, line, found))
+                tokens += len(found)
+                if tokens >= GROUP_TOKENS:
+                    yield held
+                    held, tokens = [], 0
+    if held:
+        yield held
+
+
+def tagged_spans(texts: list[str | None], decoder: Decoder) -> list[list[Span]]:
+    """Credentials of each text, as the tagger sees them. Tokens are held for a group of lines at a time, however many the texts have."""
     out: list[list[Span]] = [[] for _ in texts]
     secret = LABELS.index("secret")
-    for owner, (start, line), labels in zip(owners, places, decoder.decode(sentences), strict=True):
-        chosen = np.flatnonzero(labels == secret)
-        found = list(TOKEN.finditer(line)) if len(chosen) else []
-        for word in (found[i] for i in chosen):
-            core = max(CORE.finditer(word[0]), key=lambda m: len(m[0]), default=None)
-            if core and len(core[0]) >= SECRET_CHARS:
-                at = start + word.start() + core.start()
-                out[owner].append((at, at + len(core[0]), "secret"))
+    for group in groups_to_tag(texts):
+        for (owner, start, line, _), labels in zip(group, decoder.decode([tokens for *_, tokens in group]), strict=True):
+            chosen = np.flatnonzero(labels == secret)
+            found = list(TOKEN.finditer(line)) if len(chosen) else []
+            for word in (found[i] for i in chosen):
+                core = max(CORE.finditer(word[0]), key=lambda m: len(m[0]), default=None)
+                if core and len(core[0]) >= SECRET_CHARS:
+                    at = start + word.start() + core.start()
+                    out[owner].append((at, at + len(core[0]), "secret"))
     return out
 
 
@@ -234,7 +245,7 @@ def find_personal_data(documents: DataFrame, model: Crf, doc_id: str = "doc_id",
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = decoder_of(shared)
-        for batch in batches:
+        for batch in slices(batches, HELD_ROWS):
             found = all_spans(batch.column(1).to_pylist(), decoder)
             numbers = [pa.array([sum(s[2] == kind for s in fixed) for fixed, _ in found], pa.int64()) for kind in KINDS[:4]]
             digest = [hashlib.sha256(joined(fixed).encode()).hexdigest() for fixed, _ in found]
@@ -263,9 +274,12 @@ def masked_text(spark: SparkSession, model: Crf, text: str = "text") -> Column:
 
     @F.arrow_udf("string")
     def mask(texts: pa.Array) -> pa.Array:
-        values = texts.to_pylist()
-        found = all_spans(values, decoder_of(shared))
-        return pa.array([t if t is None or not every else masked(t, every) for t, (_, every) in zip(values, found, strict=True)], pa.string())
+        decoder, out = decoder_of(shared), [pa.array([], pa.string())]
+        for at in range(0, len(texts), HELD_ROWS):  # a batch has thousands of texts
+            values = texts.slice(at, HELD_ROWS).to_pylist()
+            found = all_spans(values, decoder)
+            out.append(pa.array([t if t is None or not every else masked(t, every) for t, (_, every) in zip(values, found, strict=True)], pa.string()))
+        return pa.concat_arrays(out)
 
     return mask(text)
 

@@ -150,3 +150,21 @@ def test_rows_and_masking(spark, tagger):
     assert masked("abcdef", [(1, 3, "ip"), (2, 4, "card")]) == "a<ip>ef"
     own = train_tagger(spark.createDataFrame([("token = {{ab12cd34ef56ab78}} here",), (None,)], "marked string"))
     assert own.labels == LABELS
+
+
+def test_few_tokens_are_held_at_once(tagger):
+    """However many texts come in a batch, and however long one is, only a group of lines is tokenised before it is decoded."""
+    held, decoder = [], tagger.decoder()
+
+    class Watched:
+        def decode(self, sentences):
+            held.append(sum(map(len, sentences)))
+            return decoder.decode(sentences)
+
+    line = "the token = 4f9c1b7e02d85a36c1e07f4b9a2d6835 " + "word " * 195 + "\n"
+    texts = [line * 5000, None, "", *[line * 2] * 2500]
+    found = all_spans(texts, Watched())
+    assert max(held) < 800_000 and sum(held) > 1_900_000
+    alone = all_spans([line], decoder)[0][1]
+    assert len(alone) == 1 and found[3][1] == alone + [(a + len(line), b + len(line), kind) for a, b, kind in alone]
+    assert len(found[0][1]) == 5000 and found[1] == found[2] == ([], [])
