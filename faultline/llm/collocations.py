@@ -9,9 +9,12 @@ of f occurrences has subphrases of f at least, which reach the threshold within
 When a phrase became able to carry longer ones is kept in one table per length, of a byte for each of 2^SLOT_BITS slots
 of phrase keys, the only thing broadcast. Slots only ever get their round once, so every occurrence of a phrase agrees on
 the scan in which its counting starts, also where keys share a slot: sharing makes a phrase active that need not be, and
-leaves every count exact. A round's counts are merged with the counts so far by one shuffle of phrase keys, reduced in the
-tasks first; phrases below the threshold after their cycle are dropped. Keys have 128 bits (two hashes of the language
-and the words). A last scan reads the words of what is left. Newly set slots come to the driver as bitmaps of a fixed size.
+leaves every count exact. A round's counts are merged with the counts so far by one shuffle, reduced in the tasks first;
+phrases below the threshold after their cycle are dropped. Keys have 128 bits (two hashes of the language and the words).
+Counts move as blocks, the sorted keys of one bucket with their counts in columns of bytes: a bucket is a range of keys, so
+a task that has all blocks of one adds them up by itself, and knows which slots of its range were reached. There are as
+many buckets as the text needs for each to fit a task. A last scan reads the words of what is left. Newly set slots come
+to the driver as bitmaps of a fixed size.
 
 Candidates are phrases of two words or more with f at least the threshold. Cut after k words, with l and r the counts of
 the parts, a candidate scores floor(1000000 * a * a / (l * r)), in decimals; the least score over the cuts counts, ties
@@ -49,7 +52,13 @@ START_BITS = 6
 #: Bytes of text that a task works on at once; keys that it holds before it counts them.
 HELD_BYTES, HELD_KEYS = 2**20, 2**19
 #: Rows of texts, and of counts, that pass between Spark and a worker at once.
-TEXT_ROWS, COUNT_ROWS = 1000, 2**16
+TEXT_ROWS, COUNT_ROWS = 250, 2**16
+#: Bytes of text for each bucket of counts, counts in a block, and counts that a task collects before it adds them up.
+BUCKET_BYTES, BLOCK_ROWS, MERGED_ROWS = 2**24, 2**12, 2**20
+#: Bytes in a row group of the texts, so that a part of them is read by many tasks.
+GROUP_BYTES = 2**23
+#: A task that reads words holds the last phrase given out for each of 2^SEEN_BITS places.
+SEEN_BITS = 21
 #: Words of a longer text that its next part repeats, and the longest word, in bytes, that is hashed in blocks.
 REPEATED, LONG_WORD = LONGEST - 1, 64
 #: Parts that the texts are dealt to; shards are made of them.
@@ -188,8 +197,7 @@ def slots(keys: np.ndarray) -> np.ndarray:
     return (keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-#: Keys and plain numbers only: these rows are most of what is moved, and whole-stage code aggregates them in place.
-COUNTS = "k1 long, k2 long, tag int, n long"
+COUNTS = "length int, k1 long, k2 long, n long"
 
 
 def counts_batch(k1: np.ndarray, k2: np.ndarray, tag: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -197,6 +205,117 @@ def counts_batch(k1: np.ndarray, k2: np.ndarray, tag: np.ndarray, n: np.ndarray)
     return pa.RecordBatch.from_arrays([pa.array(column) for column in columns], ["k1", "k2", "tag", "n"])
 
 
+#: Counts of one bucket, each column as bytes, in the order of k1. `reached` has a bit for each slot of the bucket and length.
+KINDS = {"k1": np.uint64, "k2": np.uint64, "tag": np.int32, "n": np.int64, "since": np.uint8}
+BLOCKS = "bucket int, k1 binary, k2 binary, tag binary, n binary, since binary"
+STATE = f"{BLOCKS}, reached binary"
+
+
+def blocks(columns: list[np.ndarray], bits: int) -> pa.RecordBatch:
+    """A row for each bucket, of 2^bits, and BLOCK_ROWS counts. The columns are those of KINDS, sorted by k1."""
+    bucket = (columns[0] >> np.uint64(64 - bits)).astype(np.int32)
+    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.empty(0, np.int64)
+    edges = np.unique(np.concatenate([edges, np.arange(0, len(bucket), BLOCK_ROWS)]))
+    ends = np.append(edges, len(bucket))
+    packed = [pa.array(bucket[edges])]
+    for column, kind in zip(columns, KINDS.values(), strict=True):
+        data = np.ascontiguousarray(column, kind)
+        offsets = pa.py_buffer((ends * data.itemsize).astype(np.int32))
+        packed.append(pa.Array.from_buffers(pa.binary(), len(edges), [None, offsets, pa.py_buffer(data)]))
+    return pa.RecordBatch.from_arrays(packed, ["bucket", *KINDS])
+
+
+def as_blocks(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        k1, k2, tag, n = (column.to_numpy() for column in batch.columns)
+        yield blocks([k1.view(np.uint64), k2.view(np.uint64), tag, n, np.full(len(k1), NEVER, np.uint8)], bits)
+
+
+def opened(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The columns of KINDS of all blocks in a batch, one after the other."""
+    out = []
+    for name, kind in KINDS.items():
+        column = batch.column(name)
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        first, last = (int(offsets[0]), int(offsets[-1])) if len(column) else (0, 0)
+        data = column.buffers()[2]
+        out.append(np.frombuffer(data, np.uint8)[first:last].copy().view(kind) if last > first else np.empty(0, kind))
+    return out
+
+
+def added_up(held: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Columns of KINDS with every key once, in the order of k1: the sum of its counts, the least of the others."""
+    k1, k2, tag, n, since = (np.concatenate(columns) for columns in zip(*held, strict=True))
+    order = np.argsort(k1)
+    k1, other = k1[order], k2[order]
+    same = k1[1:] == k1[:-1]
+    if (same & (other[1:] != other[:-1])).any():  # keys that differ in their second half only must not lie mixed
+        order = np.lexsort((k2, k1[np.argsort(order)]))
+        other = k2[order]
+        same = (k1[1:] == k1[:-1]) & (other[1:] == other[:-1])
+    first = np.flatnonzero(np.concatenate([[True], ~same])) if len(k1) else np.empty(0, np.int64)
+    if not len(first):
+        return [k1, other, tag, n, since]
+    return [k1[first], other[first], np.minimum.reduceat(tag[order], first), np.add.reduceat(n[order], first), np.minimum.reduceat(since[order], first)]
+
+
+def merged(found: DataFrame, number: int, shards: int, threshold: int, lengths: int, bits: int) -> DataFrame:
+    """The blocks of scan `number` - 1 and of those before it, added up by bucket, without the phrases that have lost.
+
+    What has just reached the threshold has `number` as `since`; the slots of such phrases are the bits of `reached`.
+    """
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, bucket = [], 0, None
+        for batch in batches:
+            if batch.num_rows:
+                bucket = batch.column("bucket")[0].as_py()
+                held.append(opened(batch))
+                size += len(held[-1][0])
+            if size > MERGED_ROWS:
+                held = [added_up(held)]
+                size = 0
+        if not held:
+            return
+        k1, k2, tag, n, since = added_up(held)
+        held.clear()
+        new = (since == NEVER) & (n >= threshold)
+        since[new] = number
+        slot, length = slots(k1[new]) - (bucket << SLOT_BITS - bits), tag[new] >> START_BITS
+        reached = np.zeros((lengths, 2 ** (SLOT_BITS - bits)), bool)
+        within = (length > 0) & (length <= lengths)
+        reached[length[within] - 1, slot[within]] = True
+        kept = (tag >> START_BITS == 0) | (n >= threshold) | ((tag & 2**START_BITS - 1) + shards > number)
+        batch = blocks([column[kept] for column in (k1, k2, tag, n, since)], bits)
+        bitmap = [np.packbits(reached).tobytes() if new.any() else b""] + [b""] * (batch.num_rows - 1)
+        if batch.num_rows:
+            yield batch.append_column("reached", pa.array(bitmap, pa.binary()))
+
+    return found.repartitionById(2**bits, "bucket").mapInArrow(compute, STATE)
+
+
+def reached_slots(state: DataFrame, lengths: int, bits: int) -> np.ndarray:
+    """Which slots were reached in the last scan: a row of truth values for each length."""
+    out = np.zeros((lengths, 2**bits, 2 ** (SLOT_BITS - bits)), bool)
+    for row in state.where(F.length("reached") > 0).select("bucket", "reached").toLocalIterator():
+        found = np.unpackbits(np.frombuffer(row["reached"], np.uint8), count=lengths * out.shape[2])
+        out[:, row["bucket"]] = found.reshape(lengths, -1)
+    return out.reshape(lengths, -1)
+
+
+def counts_of(state: DataFrame) -> DataFrame:
+    """length, k1, k2 and n of the phrases in blocks."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                k1, k2, tag, n, _ = opened(batch.slice(at, 1))
+                columns = [tag >> START_BITS, k1.view(np.int64), k2.view(np.int64), n]
+                yield pa.RecordBatch.from_arrays([pa.array(column) for column in columns], ["length", "k1", "k2", "n"])
+
+    return state.select("bucket", *KINDS).mapInArrow(compute, COUNTS)
+
+
 def sent(spark: SparkSession, tables: np.ndarray) -> Broadcast:
     """Tables on their way to the tasks: they are mostly empty, and held on disk by every executor."""
     return spark.sparkContext.broadcast(zlib.compress(tables.tobytes(), 1))
@@ -232,13 +351,13 @@ class Counter:
                 yield counts_batch(k1[some], k2[some], tag[order[some]], n[at : at + COUNT_ROWS])
 
 
-def scan(rows: DataFrame, number: int, shards: int, longest: int, tables: Broadcast) -> DataFrame:
-    """Counts of all phrases that are active in scan `number`, over a shard's rows. Length 0 counts all words of a language.
+def scan(rows: DataFrame, number: int, shards: int, longest: int, tables: Broadcast, bits: int) -> DataFrame:
+    """Counts of all phrases that are active in scan `number`, over a shard's rows, in blocks. Length 0 counts all words of a language.
 
     `tables[k - 1]` has for each slot the first scan before which a phrase of k words in it had reached the threshold.
     """
 
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready, counter = received(tables, np.uint8), Counter()
         for words, names in held_words(batches):
             phrases = Phrases(words, names)
@@ -246,7 +365,9 @@ def scan(rows: DataFrame, number: int, shards: int, longest: int, tables: Broadc
                 at = np.flatnonzero(phrases.inside)
                 yield from counter.add(phrases.keys(0, at), phrases.keys(1, at), np.full(len(at), 1 << START_BITS))
                 n = np.bincount(words.lang[at], minlength=len(names))
-                yield counts_batch(*phrases.lang_keys(), np.zeros(len(n)), n)
+                k1, k2 = phrases.lang_keys()
+                order = np.argsort(k1)
+                yield counts_batch(k1[order], k2[order], np.zeros(len(n)), n[order])
             while phrases.length < longest and len(phrases.whole) > 1:
                 since = np.where(phrases.whole, ready[phrases.length - 1][slots(phrases.keys(0))], NEVER).astype(np.int32)
                 start = np.maximum(since[:-1], since[1:])
@@ -255,7 +376,7 @@ def scan(rows: DataFrame, number: int, shards: int, longest: int, tables: Broadc
                 yield from counter.add(phrases.keys(0, at), phrases.keys(1, at), (phrases.length << START_BITS) + start[at])
         yield from counter.counts()
 
-    return rows.select("lang", "text").mapInArrow(compute, COUNTS)
+    return rows.select("lang", "text").mapInArrow(lambda batches: as_blocks(counted(batches), bits), BLOCKS)
 
 
 def slot_bitmaps(rows: DataFrame, lengths: int) -> np.ndarray:
@@ -271,7 +392,7 @@ def dealt(documents: DataFrame, shards: int, lang: str, text: str) -> DataFrame:
     """
     folder = new_folder(documents.sparkSession, "shards")
     rows = documents.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(text, F.lit("")).alias("text"))
-    rows.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(PARTS))).write.partitionBy("part").parquet(folder)
+    rows.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(PARTS))).write.option("parquet.block.size", GROUP_BYTES).partitionBy("part").parquet(folder)
     written = documents.sparkSession.read.schema("lang string, text string, part int").parquet(folder)
     return written.withColumn("shard", F.pmod("part", F.lit(shards)))
 
@@ -282,33 +403,27 @@ def count_phrases(rows: DataFrame, shards: int = SHARDS, longest: int = LONGEST,
     `rows` (lang, text, shard) are written.
     """
     tables = np.full((max(1, longest - 1), 2**SLOT_BITS), NEVER, np.uint8)
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    bits = min(max(1, int(size // BUCKET_BYTES).bit_length()), SLOT_BITS)
     state, number, last_change = None, 0, 0
     while number < shards or number < last_change + shards:
         shared = sent(rows.sparkSession, tables)
-        found = scan(rows.where(F.col("shard") == number % shards), number, shards, longest, shared)
-        found = found.withColumn("since", F.lit(NEVER))
-        merged = (found if state is None else state.unionByName(found)).groupBy("k1", "k2")
-        summed = merged.agg(F.min("tag").alias("tag"), F.sum("n").alias("n"), F.min("since").alias("since"))
+        found = scan(rows.where(F.col("shard") == number % shards), number, shards, longest, shared, bits)
+        found = found if state is None else state.select(*found.columns).unionByName(found)
         number += 1
-        marked = summed.withColumn("since", F.when((F.col("since") == NEVER) & (F.col("n") >= threshold), number).otherwise(F.col("since")))
-        growing = F.col("tag").bitwiseAND(2**START_BITS - 1) + shards > number
-        state = materialise(marked.where((F.col("tag") == 0) | (F.col("n") >= threshold) | growing), "counts")
+        state = materialise(merged(found, number, shards, threshold, len(tables), bits), "counts")
         shared.destroy()
-        reached = slot_bitmaps(with_length(state.where(F.col("since") == number)), len(tables)) & (tables == NEVER)
+        reached = reached_slots(state, len(tables), bits) & (tables == NEVER)
         if reached.any():
             tables[reached], last_change = number, number
-    return with_length(state).select("length", "k1", "k2", "n")
-
-
-def with_length(state: DataFrame) -> DataFrame:
-    return state.withColumn("length", F.shiftright("tag", START_BITS))
+    return materialise(counts_of(state), "counts")
 
 
 def read_words(rows: DataFrame, wanted: Broadcast, longest: int) -> DataFrame:
     """lang, length, k1, k2 and phrase of phrases in the wanted slots, mostly once a task; a phrase of length 0 is empty."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, seen = received(wanted, bool), np.empty(0, np.uint64)
+        kept, seen = received(wanted, bool), np.zeros(2**SEEN_BITS, np.uint64)
         for words, names in held_words(batches):
             phrases = Phrases(words, names)
             k1, k2 = phrases.lang_keys()
@@ -318,10 +433,12 @@ def read_words(rows: DataFrame, wanted: Broadcast, longest: int) -> DataFrame:
                 k1 = phrases.keys(0)
                 at = np.flatnonzero(phrases.inside & kept[phrases.length - 1][slots(k1)])
                 k1, k2 = k1[at], phrases.keys(1, at)
-                first = np.unique(k1 ^ k2, return_index=True)[1]
-                first = first[~np.isin(k1[first] ^ k2[first], seen)]
+                both = k1 ^ k2
+                place = (both >> np.uint64(64 - SEEN_BITS)).astype(np.int64)
+                new = np.flatnonzero(seen[place] != both)
+                first = new[np.unique(both[new], return_index=True)[1]]
                 at, k1, k2 = at[first], k1[first], k2[first]
-                seen = k1 ^ k2 if len(seen) > 2**20 else np.concatenate([seen, k1 ^ k2])
+                seen[place[first]] = both[first]
                 lang = pa.array(names, pa.string()).take(pa.array(words.lang[at]))
                 columns = [lang, pa.array(np.full(len(at), phrases.length, np.int32)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))]
                 text = pa.array([phrases.text(i) for i in at.tolist()], pa.binary())

@@ -134,3 +134,52 @@ def test_what_passes_between_spark_and_a_worker_is_bounded(spark):
         with pytest.raises(KeyError):
             col.collocations(spark.createDataFrame([("en", "a b")], "lang string, text string"))
     assert seen[0] <= 1000 and spark.conf.get(name) == before
+
+
+def test_counts_move_in_blocks_and_are_added_up_by_bucket(spark, monkeypatch):
+    """A scan gives a few blocks instead of a row for each key, and every bucket's blocks are added up in one task."""
+    monkeypatch.setattr(col, "SLOT_BITS", 15)
+    rows = corpus(seed=4)
+    dealt = col.dealt(spark.createDataFrame(rows, "text string, lang string").repartition(2), 1, "lang", "text")
+    shared = col.sent(spark, np.full((2, 2**15), col.NEVER, np.uint8))
+    found = materialise(col.scan(dealt, 0, 1, 3, shared, 2), "found")
+    state = materialise(col.merged(found, 1, 1, 10, 2, 2), "state")
+    counts = {key: n for key, n in grams(rows).items() if len(key) == 2}
+    assert found.count() <= 40 < len(counts) and state.groupBy("bucket").count().where("count > 1").isEmpty()
+    kept = sorted(r.n for r in col.counts_of(state).where("length = 1").collect())
+    assert kept == sorted(n for n in counts.values() if n >= 10)
+    reached = col.reached_slots(state, 2, 2)
+    assert reached[1].sum() == 0 < reached[0].sum() <= len(kept)
+    assert set(np.flatnonzero(reached[0])) == set(np.flatnonzero(plain_bitmaps(col.counts_of(state), 2)[0]))
+
+
+def test_keys_that_share_a_half_are_not_mixed():
+    ones = np.array([5, 9, 5, 5, 9, 5], np.uint64)
+    others = np.array([1, 4, 2, 1, 4, 2], np.uint64)
+    n, since = np.arange(1, 7), np.array([255, 3, 255, 2, 255, 255], np.uint8)
+    tags = np.full(6, 64, np.int32)
+    got = col.added_up([[ones[:3], others[:3], tags[:3], n[:3], since[:3]], [ones[3:], others[3:], tags[3:], n[3:], since[3:]]])
+    assert [list(map(int, row)) for row in zip(*got, strict=True)] == [[5, 1, 64, 5, 2], [5, 2, 64, 9, 255], [9, 4, 64, 7, 3]]
+
+
+def test_blocks_hold_what_was_put_in(monkeypatch):
+    monkeypatch.setattr(col, "BLOCK_ROWS", 3)
+    keys = np.sort(np.random.default_rng(1).integers(0, 2**64, 50, np.uint64))
+    columns = [keys, keys[::-1], np.arange(50), np.arange(50) * 10**13, np.arange(50)]
+    batch = col.blocks(columns, 3)
+    assert batch.num_rows >= 17 and batch.column("bucket").to_pylist() == sorted(batch.column("bucket").to_pylist())
+    back = [np.concatenate(parts) for parts in zip(*(col.opened(batch.slice(at, 2)) for at in range(0, batch.num_rows, 2)), strict=True)]
+    assert all((x == y).all() for x, y in zip(back, columns, strict=True))
+    assert set(keys[:3] >> np.uint64(61)) <= set(batch.column("bucket").to_pylist())
+
+
+def test_a_part_of_the_texts_is_read_by_many_tasks(spark, monkeypatch):
+    """Parts are written in small row groups: a task reads at least one."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(col, "GROUP_BYTES", 2**16)
+    choose = random.Random(3)
+    texts = [("".join(choose.choices("abcdefghijklmnop ", k=2000)), "en") for _ in range(2000)]
+    dealt = col.dealt(spark.createDataFrame(texts, "text string, lang string").coalesce(1), 2, "lang", "text")
+    groups = [pq.ParquetFile(path.removeprefix("file://").removeprefix("file:")).num_row_groups for path in dealt.inputFiles()]
+    assert sum(groups) >= 8
