@@ -119,23 +119,29 @@ PNG_HEAD = "89504E470D0A1A0A0000000D49484452"
 
 
 def _write_pictures(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
-    """A PNG header of an image's size with its document's text behind it, a file for each document. Returns the file names."""
+    """A PNG header of an image's size with its document's text behind it, a file for each document, a folder for a thousand of them.
+
+    Returns the file names.
+    """
     texts = views.table(spark, sf_dir, "documents").select("doc_id", "text")
     sizes = views.view(spark, sf_dir, "fx_images").select(F.col("pos").alias("doc_id"), "width", "height", "asset_class")
     named = texts.join(sizes, "doc_id").withColumn("file_name", F.format_string("%012d.png", "doc_id"))
     head = F.unhex(F.concat(F.lit(PNG_HEAD), F.lpad(F.hex("width"), 8, "0"), F.lpad(F.hex("height"), 8, "0")))
-    bytes_of = named.select("file_name", F.concat(head, F.coalesce("text", F.lit("")).cast("binary")).alias("content"))
+    place = F.format_string("%09d/%s", F.floor(F.col("doc_id") / 1000), F.col("file_name")).alias("place")
+    bytes_of = named.select(place, F.concat(head, F.coalesce("text", F.lit("")).cast("binary")).alias("content"))
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = file_system(folder)
-        system.create_dir(base, recursive=True)
         for batch in batches:
-            for name, content in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-                with system.open_output_stream(f"{base}/{name}") as file:
-                    file.write(content)
-            yield batch.select(["file_name"])
-
-    saved = bytes_of.mapInArrow(save, "file_name string")
+            places = batch.column("place").to_pylist()
+            for part in {place.partition("/")[0] for place in places}:
+                system.create_dir(f"{base}/{part}", recursive=True)
+            for place, content in zip(places, batch.column("content"), strict=True):
+                with system.open_output_stream(f"{base}/{place}") as file:
+                    file.write(content.as_buffer())
+            yield batch.select(["place"])
+
+    saved = bytes_of.mapInArrow(save, "place string")
     saved.write.format("noop").mode("overwrite").save()
     return named.select("doc_id", "file_name", "asset_class")
 

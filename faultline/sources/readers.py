@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import re
+from collections.abc import Iterator
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,11 +18,16 @@ from faultline.functions.columns import first_or_blank
 from faultline.functions.text import numbered_id
 from faultline.operators.ordered import with_rank
 from faultline.operators.records import merged_with_sidecar
-from faultline.session import materialise
+from faultline.session import file_system, materialise
 from faultline.sources.ranking import load_queue, ranked_runs
 
 #: Ranked runs whose findings are left out by the names of their folders.
 LISTED_RUNS = 1000
+#: Tasks that list folders, and files that a task reads, of which there are at most READING_TASKS.
+LISTING_TASKS, FILES_A_TASK, READING_TASKS = 64, 1000, 10_000
+#: Names, and bytes of files, that a task gives out at once.
+NAMES_AT_ONCE, BYTES_AT_ONCE = 2**14, 2**23
+IMAGE_NAME = r"\.([jJ][pP][eE]?[gG]|[pP][nN][gG])$"
 
 
 def read_manifest(spark: SparkSession, path: str | list[str], position: bool = False) -> DataFrame:
@@ -38,8 +48,11 @@ def read_manifest(spark: SparkSession, path: str | list[str], position: bool = F
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
     """Paths below a folder; file contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.select(_local_path("path").alias("path"))
+    root = _listable(folder)
+    if root is None:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+        return files.select(_local_path("path").alias("path"))
+    return _places(spark, root, "").select(F.concat(F.lit(f"{root}/"), "place").alias("path"))
 
 
 def _local_path(column: str) -> Column:
@@ -48,14 +61,114 @@ def _local_path(column: str) -> Column:
 
 
 def image_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Every JPEG and PNG below a folder with its bytes, whatever the case of its extension; other files are not opened."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.{[jJ][pP][gG],[jJ][pP][eE][gG],[pP][nN][gG]}")
-        .load(folder)
-        .withColumn("path", _local_path("path"))
-    )
+    """Path and bytes of every JPEG and PNG below a folder, whatever the case of its extension; other files are not opened.
+
+    Tasks list the folder and read the files: Spark's reader would keep every path in the driver.
+    """
+    root = _listable(folder)
+    if root is None:
+        return (
+            spark.read.format("binaryFile")
+            .option("recursiveFileLookup", "true")
+            .option("pathGlobFilter", "*.{[jJ][pP][gG],[jJ][pP][eE][gG],[pP][nN][gG]}")
+            .load(folder)
+            .select(_local_path("path").alias("path"), "content")
+        )
+    places = _places(spark, root, IMAGE_NAME)
+    files = places.count()
+    tasks = max(min(files, spark.sparkContext.defaultParallelism), min(files // FILES_A_TASK, READING_TASKS), 1)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = file_system(root)
+        held: list[tuple[str, bytes]] = []
+        size = 0
+
+        def rows() -> pa.RecordBatch:
+            paths, contents = zip(*held, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], ["path", "content"])
+
+        for batch in batches:
+            for place in batch.column("place").to_pylist():
+                with system.open_input_stream(f"{base}/{place}") as file:
+                    held.append((f"{root}/{place}", file.read()))
+                size += len(held[-1][1])
+                if size >= BYTES_AT_ONCE or len(held) >= FILES_A_TASK:
+                    yield rows()
+                    held, size = [], 0
+        if held:
+            yield rows()
+
+    return places.repartition(tasks, "place").mapInArrow(read, "path string, content binary")
+
+
+def _listable(folder: str) -> str | None:
+    """The folder without doubled slashes; none where only Spark can list it (its own stores, patterns, single files, no such folder)."""
+    from pyarrow import fs
+
+    try:
+        system, base = file_system(folder)
+        base = base.rstrip("/") or "/"
+        if system.get_file_info(base).type != fs.FileType.Directory:
+            return None
+    except (OSError, ValueError, NotImplementedError):  # pa.ArrowInvalid is a ValueError
+        return None
+    return re.sub("/+", "/", base).rstrip("/") if isinstance(system, fs.LocalFileSystem) else folder.rstrip("/")
+
+
+def _hidden(name: str) -> bool:
+    """Names that Spark's readers pass over, of files and of folders."""
+    out = name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name)
+    return out and not name.startswith(("_common_metadata", "_metadata"))
+
+
+def _entries(root: str, place: str) -> Iterator[tuple[str, bool]]:
+    """Names in a folder below `root`, and whether each is a folder. Local folders are never held whole."""
+    from pyarrow import fs
+
+    system, base = file_system(root or "/")
+    within = f"{base.rstrip('/')}/{place}"
+    if isinstance(system, fs.LocalFileSystem):
+        with os.scandir(within) as found:
+            for entry in found:
+                if entry.is_dir() or entry.is_file():  # a link to nothing is neither
+                    yield entry.name, entry.is_dir()
+    else:
+        for info in system.get_file_info(fs.FileSelector(within.rstrip("/"))):
+            yield info.base_name, info.type == fs.FileType.Directory
+
+
+def _places(spark: SparkSession, root: str, wanted: str) -> DataFrame:
+    """`place` of every file below `root` whose name matches `wanted`: its path from there.
+
+    Tasks list the folders of one level after the other, and write what they find; the driver sees how many folders there are.
+    """
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[str, bool]] = []
+
+        def rows() -> pa.RecordBatch:
+            places, kinds = zip(*held, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(places, pa.string()), pa.array(kinds, pa.bool_())], ["place", "is_folder"])
+
+        for batch in batches:
+            for folder in batch.column("place").to_pylist():
+                for name, is_folder in _entries(root, folder):
+                    if not _hidden(name) and (is_folder or re.search(wanted, name)):
+                        held.append((f"{folder}/{name}" if folder else name, is_folder))
+                    if len(held) >= NAMES_AT_ONCE:
+                        yield rows()
+                        held = []
+        if held:
+            yield rows()
+
+    folders, levels, number = spark.createDataFrame([("",)], "place string"), [], 1
+    while number:
+        dealt = folders.repartition(min(number, LISTING_TASKS))
+        found = materialise(dealt.mapInArrow(listed, "place string, is_folder boolean"), "listed")
+        levels.append(found.where("not is_folder").select("place"))
+        folders = found.where("is_folder").select("place")
+        number = folders.count()
+    return reduce(DataFrame.unionAll, levels)
 
 
 def content_hash(content: Column) -> Column:
@@ -105,7 +218,7 @@ def scan_folder(spark: SparkSession, folder: str, asset_class: str, *, sidecar:
         _jpeg_dimensions(F.when(~is_png, F.substring("content", 1, 2**20))).alias("_jpeg"),
     )
     sized = files.select("path", "sha256", "_w", "_h", "_jpeg.width", "_jpeg.height")
-    # Written, and dealt anew: a sort looks at its rows twice, which would open every file twice, and files come in many small tasks.
+    # Written, and dealt anew: a sort looks at its rows twice, which would open every file twice, and many tasks give a few rows each.
     facts = materialise(sized.repartition("path"), "files")
     numbered = with_rank(facts, [], [F.split("path", "/")], "_n")
     records = numbered.select(

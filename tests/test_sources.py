@@ -174,3 +174,41 @@ def test_a_folder_scan_reads_each_file_once(spark, tmp_path, png, monkeypatch):
     monkeypatch.setattr(readers, "content_hash", counted_hash)
     got = readers.scan_folder(spark, str(tmp_path), "steel_coating").collect()
     assert len(got) == 40 and read.value == 40
+
+
+def test_a_folder_is_listed_by_tasks(spark, tmp_path, png, monkeypatch):
+    """The driver keeps no list of files: Spark's reader of binary files, which does, is left alone. Names that it passes over are."""
+    folder = tmp_path / "a b+é"
+    files = ["z.png", "sub/x.JPG", "sub/deep/er/y.jpeg", "k=1/_p=2.png", "sub/deep/n.txt"]
+    for name in [*files, ".h.png", "_h.png", "_hid/a.png", ".hid/a.png", "c.png._COPYING_"]:
+        (folder / name).parent.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_bytes(png(3, len(name)))
+    (folder / "gone.png").symlink_to(folder / "nothing")
+    (folder / "empty").mkdir()
+    want = sorted(f"{folder}/{name}" for name in files[:4])
+    assert sorted(r.path for r in old_image_files(spark, str(folder)).collect()) == want
+    monkeypatch.setattr(readers, "FILES_A_TASK", 2)
+    monkeypatch.setattr(readers, "NAMES_AT_ONCE", 2)
+    for path in (str(folder), f"{folder}/", f"file://{folder}", f"/{folder}"):
+        found = readers.image_files(spark, path)
+        assert found.inputFiles() == [] or not any(name.endswith("png") for name in found.inputFiles())
+        assert sorted(r.path for r in found.collect()) == want
+    assert {r.path: bytes(r.content) for r in found.collect()}[f"{folder}/z.png"] == png(3, 5)
+    assert sorted(r.path for r in readers.list_files(spark, str(folder)).collect()) == sorted(f"{folder}/{name}" for name in files)
+    got = readers.scan_folder(spark, str(folder), "steel_coating").collect()
+    assert {r.path: r.image_id for r in got} == {path: f"img_{at:05d}" for at, path in enumerate(sorted(want, key=lambda p: p.split("/")))}
+    assert readers.scan_folder(spark, str(folder / "empty"), "steel_coating").collect() == []
+
+
+def test_a_path_that_is_no_folder_is_left_to_spark(spark, tmp_path, png):
+    (tmp_path / "a.png").write_bytes(png(5, 6))
+    assert [r.path for r in readers.image_files(spark, str(tmp_path / "a.png")).collect()] == [str(tmp_path / "a.png")]
+    assert [r.path for r in readers.image_files(spark, str(tmp_path / "*.png")).collect()] == [str(tmp_path / "a.png")]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        readers.scan_folder(spark, str(tmp_path / "none"), "steel_coating").collect()
+
+
+def old_image_files(spark, folder):
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    files = read.option("pathGlobFilter", "*.{[jJ][pP][gG],[jJ][pP][eE][gG],[pP][nN][gG]}").load(folder)
+    return files.withColumn("path", readers._local_path("path"))
